@@ -37,3 +37,214 @@ def cleaned_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("clean_series")
 def q_clean_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned_meter(spark, sf_dir).select(*CLEAN_COLS)
+
+
+# ------------------------------------------------------------------ rolling, calendar
+
+@query("rolling_nearest_q10")
+def q_rolling_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.functions.calendar import with_local_calendar
+    from wattlane.operators.rolling import RollingSpec, rolling
+    spec = RollingSpec("rolling_q10_nearest", "quantile", window=168, min_periods=24, q=0.1,
+                       interpolation="nearest")
+    df = with_local_calendar(S.meter_hourly(spark, sf_dir))
+    return rolling(df, "consumption", [spec]).select("postalcode", "time", "consumption",
+                                                     "rolling_q10_nearest")
+
+
+@query("calendar_fields")
+def q_calendar_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from wattlane.functions import calendar as C
+    from wattlane.sources.tables import read_table
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts"])
+    ev = C.with_local_calendar(ev, "ts")
+    return ev.select(
+        "event_id", "localtime", "hour", "date",
+        C.year_of("localtime").alias("year"),
+        C.month_number("localtime").alias("month"),
+        C.month_text("localtime").alias("month_text"),
+        C.weekday_monday0("date").alias("weekday"),
+        C.weekday_iso_text("localtime").alias("weekday_iso"),
+        C.bucket_start("hour", 3).alias("bucket"),
+        C.year_of(F.date_format("date", "yyyy"), T.StringType()).alias("year_from_text"),
+    )
+
+
+# ------------------------------------------------------------------ daily totals, profiles
+
+@query("strict_daily_total")
+def q_strict_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.profiles import strict_daily_total
+    df = strict_daily_total(cleaned_meter(spark, sf_dir))
+    return df.select("postalcode", "time", "date", "consumption_filtered", "daily_consumption")
+
+
+@query("lenient_daily_total")
+def q_lenient_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.profiles import lenient_daily_total
+    return lenient_daily_total(cleaned_meter(spark, sf_dir))
+
+
+def profile_long_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.profiles import profile_long
+    return profile_long(cleaned_meter(spark, sf_dir), n_hours=3)
+
+
+def profile_wide_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.profiles import profile_wide
+    return profile_wide(profile_long_meter(spark, sf_dir), n_hours=3)
+
+
+@query("daily_profile_long")
+def q_profile_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile_long_meter(spark, sf_dir)
+
+
+@query("daily_profile_wide")
+def q_profile_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile_wide_meter(spark, sf_dir)
+
+
+def _scaled(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    from wattlane.operators.profiles import bucket_columns, complete_days
+    from wattlane.operators.scaling import scale_data
+    cols = bucket_columns(3)
+    return complete_days(scale_data(profile_wide_meter(spark, sf_dir), cols, method), cols)
+
+
+@query("unscaled")
+def q_unscaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scaled(spark, sf_dir, "no_scaling")
+
+
+@query("scaled_minmax")
+def q_scaled_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scaled(spark, sf_dir, "min_max_scaling")
+
+
+@query("scaled_znorm")
+def q_scaled_znorm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scaled(spark, sf_dir, "z_norm_scaling")
+
+
+# ------------------------------------------------------------------ curves
+
+def rule_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels for complete profile days: weekend days are cluster 1, working days 0."""
+    from pyspark.sql import functions as F
+
+    from wattlane.operators.profiles import bucket_columns, complete_days
+    days = complete_days(profile_wide_meter(spark, sf_dir), bucket_columns(3))
+    return days.select("postalcode", "date",
+                       F.when(F.weekday("date") >= 5, 1).otherwise(0).alias("cluster"))
+
+
+def labelled_meter_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.curves import labelled_hours
+    return labelled_hours(cleaned_meter(spark, sf_dir), rule_labels(spark, sf_dir))
+
+
+@query("daily_curve_list")
+def q_daily_curve_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.curves import daily_curve_list
+    return daily_curve_list(labelled_meter_hours(spark, sf_dir))
+
+
+@query("centroids_long")
+def q_centroids_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.curves import centroids_long
+    return centroids_long(labelled_meter_hours(spark, sf_dir))
+
+
+@query("centroids_wide")
+def q_centroids_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.curves import centroids_wide
+    return centroids_wide(labelled_meter_hours(spark, sf_dir))
+
+
+@query("cluster_ids")
+def q_cluster_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.curves import cluster_ids
+    return cluster_ids(labelled_meter_hours(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ daily aggregates, datasets
+
+@query("weather_daily")
+def q_weather_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.daily import weather_daily
+    return weather_daily(S.weather_hourly_rows(spark, sf_dir))
+
+
+@query("consumption_daily")
+def q_consumption_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.daily import consumption_daily
+    return consumption_daily(cleaned_meter(spark, sf_dir), rule_labels(spark, sf_dir))
+
+
+def nation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels for nation days with at least two orders: weekend 1, working day 0."""
+    from pyspark.sql import functions as F
+
+    from wattlane.operators.daily import daily_from_instants
+    rows = daily_from_instants(S.nation_daily_orders(spark, sf_dir))
+    return (rows.groupBy("postalcode", "date").agg(F.count(F.lit(1)).alias("_n"))
+                .where(F.col("_n") >= 2)
+                .select("postalcode", "date",
+                        F.when(F.weekday("date") >= 5, 1).otherwise(0).alias("cluster")))
+
+
+def cadaster_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.cadaster import cadaster_by_area
+    return cadaster_by_area(S.buildings_raw(spark, sf_dir), use_values="ECONOMY",
+                            condition_values=("Brand#17", "Brand#2"))
+
+
+def classification_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.daily import consumption_daily, daily_from_instants, weather_daily
+    from wattlane.operators.enrich import classification_dataset, labelled_days
+    cons = consumption_daily(daily_from_instants(S.nation_daily_orders(spark, sf_dir)),
+                             nation_labels(spark, sf_dir))
+    ds = classification_dataset(cons, weather_daily(S.weather_hourly_rows(spark, sf_dir)),
+                                S.socio_nation(spark, sf_dir), cadaster_nation(spark, sf_dir))
+    return labelled_days(ds)
+
+
+@query("classification_dataset")
+def q_classification_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classification_rows(spark, sf_dir)
+
+
+def forecast_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.enrich import forecast_dataset
+    return forecast_dataset(cleaned_meter(spark, sf_dir), S.hourly_weather(spark, sf_dir),
+                            S.socio_events(spark, sf_dir), S.area_events(spark, sf_dir))
+
+
+@query("forecast_dataset")
+def q_forecast_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast_rows(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ cadaster
+
+@query("cadaster_by_area")
+def q_cadaster_by_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cadaster_nation(spark, sf_dir)
+
+
+@query("append_buildings")
+def q_append_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three 'municipality' files: small, medium and large buildings; the
+    large-building file carries no dwelling count."""
+    from pyspark.sql import functions as F
+
+    from wattlane.operators.cadaster import append_buildings
+    b = S.buildings_raw(spark, sf_dir)
+    small = b.where(F.col("value") < 17)
+    medium = b.where((F.col("value") >= 17) & (F.col("value") < 34))
+    large = b.where(F.col("value") >= 34).drop("numberOfDwellings")
+    return append_buildings(small, medium, large)

@@ -47,3 +47,210 @@ def with_cleaned(**extra: str) -> str:
 ORACLE: dict[str, str] = {}
 
 ORACLE["clean_series"] = with_cleaned() + f"SELECT {CLEAN_COLS} FROM cleaned"
+
+ORACLE["rolling_nearest_q10"] = sql_with("meter_hourly") + """
+SELECT postalcode, time, consumption,
+       CASE WHEN n >= 24 THEN vals[CAST(round_even(0.1 * (len(vals) - 1), 0) AS INTEGER) + 1] END
+           AS rolling_q10_nearest
+FROM (
+    SELECT *, count(consumption) OVER w AS n,
+           list_sort(list_filter(list(consumption) OVER w, lambda x: x IS NOT NULL)) AS vals
+    FROM meter_hourly
+    WINDOW w AS (PARTITION BY postalcode ORDER BY time ROWS BETWEEN 84 PRECEDING AND 83 FOLLOWING)
+) t"""
+
+ORACLE["calendar_fields"] = """
+SELECT event_id, localtime, CAST(hour(localtime) AS INTEGER) AS hour, CAST(localtime AS DATE) AS date,
+       CAST(year(localtime) AS INTEGER) AS year, CAST(month(localtime) AS INTEGER) AS month,
+       CAST(month(localtime) AS VARCHAR) AS month_text, CAST(isodow(localtime) - 1 AS INTEGER) AS weekday,
+       CAST(isodow(localtime) AS VARCHAR) AS weekday_iso,
+       CAST(floor(hour(localtime) / 3) * 3 AS INTEGER) AS bucket,
+       CAST(year(localtime) AS INTEGER) AS year_from_text
+FROM (SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Madrid' AS localtime FROM events) e"""
+
+STRICT_DAY = """CASE WHEN count(*) OVER d = count(consumption_filtered) OVER d
+             THEN avg(consumption_filtered) OVER d * 24 END"""
+
+ORACLE["strict_daily_total"] = with_cleaned() + f"""
+SELECT postalcode, time, date, consumption_filtered, {STRICT_DAY} AS daily_consumption
+FROM cleaned WINDOW d AS (PARTITION BY postalcode, date)"""
+
+ORACLE["lenient_daily_total"] = with_cleaned() + """
+SELECT postalcode, date, avg(consumption_filtered) * 24 AS daily_consumption
+FROM cleaned WHERE postalcode IS NOT NULL AND date IS NOT NULL GROUP BY postalcode, date"""
+
+PROFILE_LONG = f"""
+    SELECT *, CASE WHEN daily_consumption <> 0 THEN consumption_filtered * 100.0 / daily_consumption END
+               AS consumption
+    FROM (
+        SELECT postalcode, hour, date, daily_consumption,
+               CASE WHEN count(*) = count(consumption_filtered) THEN avg(consumption_filtered) END * 3
+                   AS consumption_filtered
+        FROM (
+            SELECT postalcode, date, CAST(floor(hour / 3) * 3 AS INTEGER) AS hour, consumption_filtered,
+                   {STRICT_DAY} AS daily_consumption
+            FROM cleaned WINDOW d AS (PARTITION BY postalcode, date)
+        ) s
+        GROUP BY postalcode, hour, date, daily_consumption
+    ) g"""
+
+BUCKETS = [0, 3, 6, 9, 12, 15, 18, 21]
+PROFILE_WIDE = ("SELECT postalcode, date, "
+                + ", ".join(f'avg(consumption) FILTER (WHERE hour = {h}) AS "{h}"' for h in BUCKETS)
+                + " FROM long_profile WHERE consumption IS NOT NULL GROUP BY postalcode, date")
+ALL_PRESENT = " AND ".join(f'"{h}" IS NOT NULL' for h in BUCKETS)
+
+
+def with_profiles(**extra: str) -> str:
+    ctes = {"long_profile": PROFILE_LONG, "wide_profile": PROFILE_WIDE}
+    ctes.update(extra)
+    return with_cleaned(**ctes)
+
+
+ORACLE["daily_profile_long"] = with_profiles() + "SELECT * FROM long_profile"
+ORACLE["daily_profile_wide"] = with_profiles() + "SELECT * FROM wide_profile"
+ORACLE["unscaled"] = with_profiles() + f"SELECT * FROM wide_profile WHERE {ALL_PRESENT}"
+
+
+def _minmax(h: int) -> str:
+    c = f'"{h}"'
+    lo, hi = f"min({c}) OVER ()", f"max({c}) OVER ()"
+    return (f"CASE WHEN {hi} - {lo} = 0 THEN {c} - {lo} ELSE ({c} - {lo}) / ({hi} - {lo}) END AS {c}")
+
+
+def _znorm(h: int) -> str:
+    c = f'"{h}"'
+    sd = f"stddev_pop({c}) OVER ()"
+    return f"({c} - avg({c}) OVER ()) / CASE WHEN {sd} = 0 THEN 1 ELSE {sd} END AS {c}"
+
+
+ORACLE["scaled_minmax"] = with_profiles() + (
+    "SELECT * FROM (SELECT postalcode, date, " + ", ".join(_minmax(h) for h in BUCKETS)
+    + f" FROM wide_profile) s WHERE {ALL_PRESENT}")
+ORACLE["scaled_znorm"] = with_profiles() + (
+    "SELECT * FROM (SELECT postalcode, date, " + ", ".join(_znorm(h) for h in BUCKETS)
+    + f" FROM wide_profile) s WHERE {ALL_PRESENT}")
+
+RULE_LABELS = f"""
+    SELECT postalcode, date, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS cluster
+    FROM wide_profile WHERE {ALL_PRESENT}"""
+
+LABELLED_HOURS = """
+    SELECT r.postalcode, r.date, r.hour, r.time AS ts_utc,
+           CASE WHEN d.daily_consumption <> 0 THEN r.consumption_filtered * 100.0 / d.daily_consumption END
+               AS consumption_filtered,
+           d.daily_consumption, l.cluster
+    FROM cleaned r
+    JOIN (SELECT postalcode, date, avg(consumption_filtered) * 24 AS daily_consumption
+          FROM cleaned WHERE postalcode IS NOT NULL AND date IS NOT NULL GROUP BY postalcode, date) d
+      ON r.postalcode = d.postalcode AND r.date = d.date
+    JOIN labels l ON r.postalcode = l.postalcode AND r.date = l.date"""
+
+
+def with_labelled_hours() -> str:
+    return with_profiles(labels=RULE_LABELS, lh=LABELLED_HOURS)
+
+
+ORACLE["daily_curve_list"] = with_labelled_hours() + """
+SELECT date, postalcode, cluster, list(consumption_filtered ORDER BY ts_utc) AS consumption_filtered
+FROM lh GROUP BY date, postalcode, cluster"""
+
+ORACLE["centroids_long"] = with_labelled_hours() + """
+SELECT hour, cluster, avg(consumption_filtered) AS consumption_filtered FROM lh GROUP BY hour, cluster"""
+
+ORACLE["centroids_wide"] = with_labelled_hours() + (
+    "SELECT cluster, "
+    + ", ".join(f'avg(consumption_filtered) FILTER (WHERE hour = {h}) AS "{h}"' for h in range(24))
+    + " FROM lh GROUP BY cluster")
+
+ORACLE["cluster_ids"] = with_labelled_hours() + "SELECT DISTINCT cluster FROM lh"
+
+WEATHER_DAILY = f"""
+    SELECT CAST({LOCAL} AS DATE) AS date, postalcode,
+           round_even((CAST(avg(CAST(airtemperature AS DECIMAL(30,10))) AS DOUBLE)) * 100, 0) / 100 AS airtemperature,
+           round_even((CAST(avg(CAST(relativehumidity AS DECIMAL(30,10))) AS DOUBLE)) * 100, 0) / 100 AS relativehumidity,
+           round_even((coalesce(CAST(sum(CAST(totalprecipitation AS DECIMAL(30,10))) AS DOUBLE), 0) * 24) * 100, 0) / 100 AS totalprecipitation,
+           round_even((CAST(avg(CAST(ghi AS DECIMAL(30,10))) AS DOUBLE)) * 100, 0) / 100 AS ghi,
+           round_even((CAST(avg(CAST(sunelevation AS DECIMAL(30,10))) AS DOUBLE)) * 100, 0) / 100 AS sunelevation
+    FROM weather_hourly_rows WHERE postalcode IS NOT NULL GROUP BY 1, 2"""
+
+ORACLE["weather_daily"] = sql_with("weather_hourly_rows", extra={"wd": WEATHER_DAILY}) + \
+    "SELECT * FROM wd"
+
+ORACLE["consumption_daily"] = with_profiles(labels=RULE_LABELS) + """
+SELECT cd.*, l.cluster
+FROM (SELECT date, postalcode, round_even((CAST(avg(CAST(consumption_filtered AS DECIMAL(30,10))) AS DOUBLE) * 24) * 100, 0) / 100 AS consumption
+      FROM cleaned WHERE postalcode IS NOT NULL AND date IS NOT NULL GROUP BY date, postalcode) cd
+LEFT JOIN labels l ON cd.postalcode = l.postalcode AND cd.date = l.date"""
+
+CADASTER_NATION = """
+    SELECT postalcode, CAST(coalesce(sum(value), 0) AS BIGINT) AS builtarea,
+           CAST(coalesce(sum(numberOfDwellings), 0) AS BIGINT) AS households
+    FROM buildings_raw
+    WHERE currentUse = 'ECONOMY' AND conditionOfConstruction IN ('Brand#17', 'Brand#2')
+      AND postalcode IS NOT NULL
+    GROUP BY postalcode"""
+
+ORACLE["cadaster_by_area"] = sql_with("buildings_raw", extra={"cad": CADASTER_NATION}) + \
+    "SELECT * FROM cad"
+
+ORACLE["append_buildings"] = sql_with("buildings_raw") + """
+SELECT * FROM buildings_raw WHERE value < 17
+UNION ALL
+SELECT * FROM buildings_raw WHERE value >= 17 AND value < 34
+UNION ALL
+SELECT reference, currentUse, conditionOfConstruction, value, CAST(NULL AS INTEGER) AS numberOfDwellings,
+       postalcode
+FROM buildings_raw WHERE value >= 34"""
+
+CLASSIFICATION = f"""
+    SELECT * FROM (
+        SELECT c.date, c.postalcode, c.consumption, c.cluster, CAST(year(c.date) AS INTEGER) AS year,
+               s.income, s.persons, k.builtarea, k.households,
+               w.airtemperature, w.relativehumidity, w.totalprecipitation, w.ghi, w.sunelevation,
+               CAST(month(c.date) AS INTEGER) AS month, CAST(isodow(c.date) - 1 AS INTEGER) AS weekday
+        FROM (SELECT cd.*, l.cluster FROM cd LEFT JOIN nlabels l
+                ON cd.postalcode = l.postalcode AND cd.date = l.date) c
+        LEFT JOIN (SELECT postalcode, CAST(year(year) AS INTEGER) AS year, income, persons FROM socio_nation) s
+          ON c.postalcode = s.postalcode AND CAST(year(c.date) AS INTEGER) = s.year
+        LEFT JOIN cad k ON c.postalcode = k.postalcode
+        LEFT JOIN wd w ON c.postalcode = w.postalcode AND c.date = w.date
+    ) x WHERE cluster IS NOT NULL"""
+
+
+def with_classification() -> str:
+    return sql_with(
+        "nation_daily_orders", "weather_hourly_rows", "socio_nation", "buildings_raw",
+        extra={
+            "nrows": f"SELECT *, CAST({LOCAL} AS DATE) AS date FROM nation_daily_orders",
+            "nlabels": """SELECT postalcode, date, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS cluster
+                          FROM nrows GROUP BY postalcode, date HAVING count(*) >= 2""",
+            "cd": """SELECT date, postalcode, round_even((CAST(avg(CAST(consumption_filtered AS DECIMAL(30,10))) AS DOUBLE) * 24) * 100, 0) / 100 AS consumption
+                     FROM nrows WHERE postalcode IS NOT NULL AND date IS NOT NULL GROUP BY date, postalcode""",
+            "wd": WEATHER_DAILY,
+            "cad": CADASTER_NATION,
+            "ds": CLASSIFICATION,
+        })
+
+
+ORACLE["classification_dataset"] = with_classification() + "SELECT * FROM ds"
+
+FORECAST = """
+    SELECT c.postalcode, c.time AS ts_utc, c.localtime, c.hour, c.contracts, c.consumption_filtered,
+           c.consumption, CAST(year(c.localtime) AS INTEGER) AS year, s.income, s.persons,
+           a.builtarea, a.households, w.time, w.airtemperature, w.ghi,
+           CAST(month(c.localtime) AS VARCHAR) AS month, CAST(isodow(c.localtime) AS VARCHAR) AS weekday
+    FROM cleaned c
+    JOIN (SELECT postalcode, CAST(year(year) AS INTEGER) AS year, income, persons FROM socio_events) s
+      ON c.postalcode = s.postalcode AND CAST(year(c.localtime) AS INTEGER) = s.year
+    JOIN area_events a ON c.postalcode = a.postalcode
+    JOIN hourly_weather w ON c.postalcode = w.postalcode AND c.time = w.time"""
+
+
+def with_forecast(**extra: str) -> str:
+    ctes = {"cleaned": CLEANED, "fc": FORECAST}
+    ctes.update(extra)
+    return sql_with("meter_hourly", "hourly_weather", "socio_events", "area_events", extra=ctes)
+
+
+ORACLE["forecast_dataset"] = with_forecast() + "SELECT * FROM fc"

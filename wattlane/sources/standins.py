@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattlane.functions.numeric import exact_avg
 from wattlane.sources.tables import read_table
 
 
@@ -79,7 +80,7 @@ def socio_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = o.join(c, o.o_custkey == c.c_custkey)
     return (j.groupBy(F.col("c_nationkey").cast("string").alias("postalcode"),
                       F.make_date(F.year("o_orderdate"), F.lit(1), F.lit(1)).alias("year"))
-             .agg(F.avg("c_acctbal").alias("income"),
+             .agg(exact_avg("c_acctbal").alias("income"),
                   F.count_distinct("c_custkey").alias("persons")))
 
 
@@ -153,7 +154,7 @@ SQL = {
     "socio_nation": """
         SELECT CAST(c.c_nationkey AS VARCHAR) AS postalcode,
                make_date(year(o.o_orderdate), 1, 1) AS year,
-               avg(c.c_acctbal) AS income, count(DISTINCT c.c_custkey) AS persons
+               CAST(avg(CAST(c.c_acctbal AS DECIMAL(30,10))) AS DOUBLE) AS income, count(DISTINCT c.c_custkey) AS persons
         FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2""",
     "socio_events": """
         SELECT event_type AS postalcode, make_date(year(ts), 1, 1) AS year,
