@@ -78,6 +78,30 @@ def _day_chunk(order_col: str, chunk_days: int) -> Column:
     return F.floor(days / F.lit(chunk_days))
 
 
+def series_index(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence[str] = (),
+                 out: str = "row_idx", chunk_days: int = 28) -> DataFrame:
+    """0-based position of every row inside its series (keys), in ``order``.
+
+    Equivalent to ``row_number() over (partition by keys order by order) - 1``
+    but never sorts a whole series in one task: rows are numbered inside
+    (key, time chunk) and shifted by the running count of earlier chunks,
+    taken from a small per-chunk count table.
+    """
+    keys = list(keys)
+    d = df.withColumn("_chunk", _day_chunk(order, chunk_days))
+    counts = d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    w_prev = (Window.partitionBy(*keys).orderBy("_chunk")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*[F.col(k).alias(f"_o_{k}") for k in keys],
+                            F.col("_chunk").alias("_o_chunk"),
+                            F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))
+    cond = [d[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys] + [d["_chunk"] == offsets["_o_chunk"]]
+    d = d.join(offsets, cond, "inner").drop(*[f"_o_{k}" for k in keys], "_o_chunk")
+    w_rn = Window.partitionBy(*keys, "_chunk").orderBy(order, *tiebreak)
+    return (d.withColumn(out, F.col("_off") + F.row_number().over(w_rn) - F.lit(1))
+             .drop("_chunk", "_off"))
+
+
 def rolling(df: DataFrame, value: str, specs: Sequence[RollingSpec],
             keys: Sequence[str] = ("postalcode",), order: str = "ts_utc",
             tiebreak: Sequence[str] = (), split: bool = True,
@@ -102,22 +126,9 @@ def rolling(df: DataFrame, value: str, specs: Sequence[RollingSpec],
     fol = max(s.bounds()[1] for s in specs)
     block = max(block_rows, pre + 1, fol + 1)
 
-    helper = ["_chunk", "_off", "_idx", "_blk", "_pos", "_tgt", "_core"]
-    d = df.withColumn("_chunk", _day_chunk(order, chunk_days))
-
-    # 1. row offset of every (key, chunk): small table, one row per chunk
-    counts = d.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    w_prev = (Window.partitionBy(*keys).orderBy("_chunk")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*[F.col(k).alias(f"_o_{k}") for k in keys],
-                            F.col("_chunk").alias("_o_chunk"),
-                            F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))
-    cond = [d[k].eqNullSafe(offsets[f"_o_{k}"]) for k in keys] + [d["_chunk"] == offsets["_o_chunk"]]
-    d = d.join(offsets, cond, "inner").drop(*[f"_o_{k}" for k in keys], "_o_chunk")
-
-    # 2. global row index inside the series
-    w_rn = Window.partitionBy(*keys, "_chunk").orderBy(*order_cols)
-    d = d.withColumn("_idx", F.col("_off") + F.row_number().over(w_rn) - F.lit(1))
+    helper = ["_idx", "_blk", "_pos", "_tgt", "_core"]
+    # 1-2. global row index inside the series, without a per-series task
+    d = series_index(df, keys, order, tiebreak, out="_idx", chunk_days=chunk_days)
 
     # 3. block and halo copies: a row is also needed by the previous block when
     #    it is among the first `fol` rows of its block, and by the next block

@@ -248,3 +248,81 @@ def q_append_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     medium = b.where((F.col("value") >= 17) & (F.col("value") < 34))
     large = b.where(F.col("value") >= 34).drop("numberOfDwellings")
     return append_buildings(small, medium, large)
+
+
+# ------------------------------------------------------------------ splits, metrics
+
+PLOT_CODES = ["click", "view"]          # the two postal codes plotted (stand-in values)
+HOLDOUT_CODES = 1                        # test rows = 20 x 96 x this
+
+
+def forecast_with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    return forecast_rows(spark, sf_dir).where(F.col("consumption_filtered").isNotNull())
+
+
+def holdout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.splits import chrono_holdout, holdout_size
+    return chrono_holdout(forecast_with_target(spark, sf_dir), holdout_size(HOLDOUT_CODES))
+
+
+def profile_mean_prediction(train: DataFrame) -> DataFrame:
+    """Rule-made predictions: mean training target of the same postal code and hour."""
+    from pyspark.sql import functions as F
+    return train.groupBy("postalcode", "hour").agg(F.avg("consumption_filtered").alias("prediction"))
+
+
+@query("hash_split")
+def q_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.splits import hash_split
+    return hash_split(classification_rows(spark, sf_dir), ["postalcode", "date"]).select(
+        "postalcode", "date", "cluster", "split")
+
+
+@query("chrono_holdout")
+def q_chrono_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return holdout_rows(spark, sf_dir).select("postalcode", "ts_utc", "consumption_filtered", "split")
+
+
+@query("expanding_folds")
+def q_expanding_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from wattlane.operators.splits import expanding_folds
+    train = holdout_rows(spark, sf_dir).where(F.col("split") == "train")
+    return expanding_folds(train, 5, 96).select("postalcode", "ts_utc", "test_fold", "train_from_fold")
+
+
+@query("accuracy_by_split")
+def q_accuracy_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from wattlane.operators.metrics import accuracy_by_split
+    from wattlane.operators.splits import hash_split
+    ds = hash_split(classification_rows(spark, sf_dir), ["postalcode", "date"])
+    pred = ds.withColumn("prediction", F.when(F.col("airtemperature") > 25, 1).otherwise(0))
+    return accuracy_by_split(pred)
+
+
+@query("regression_metrics")
+def q_regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from wattlane.operators.metrics import regression_metrics
+    hold = holdout_rows(spark, sf_dir)
+    prof = profile_mean_prediction(hold.where(F.col("split") == "train"))
+    test = hold.where(F.col("split") == "test").join(prof, ["postalcode", "hour"])
+    return regression_metrics(test, "consumption_filtered", "prediction")
+
+
+@query("forecast_slices")
+def q_forecast_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from wattlane.operators.metrics import forecast_slices
+    hold = holdout_rows(spark, sf_dir)
+    prof = profile_mean_prediction(hold.where(F.col("split") == "train"))
+    pred = (forecast_rows(spark, sf_dir).join(prof, ["postalcode", "hour"], "left")
+            .withColumnRenamed("prediction", "predicted"))
+    return forecast_slices(pred, PLOT_CODES, hours=96, npred=10).select(
+        "postalcode", "slice", "offset", "localtime", "predicted", "consumption")

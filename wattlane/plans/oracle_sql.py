@@ -254,3 +254,67 @@ def with_forecast(**extra: str) -> str:
 
 
 ORACLE["forecast_dataset"] = with_forecast() + "SELECT * FROM fc"
+
+
+def md5_bucket(text_sql: str, modulus_sql: str) -> str:
+    return f"(CAST(('0x' || substr(md5({text_sql}), 1, 8)) AS BIGINT) % ({modulus_sql}))"
+
+
+ORACLE["hash_split"] = with_classification() + f"""
+SELECT postalcode, date, cluster,
+       CASE WHEN {md5_bucket("concat_ws('|', '42', CAST(postalcode AS VARCHAR), CAST(date AS VARCHAR))", "100")} < 20
+            THEN 'test' ELSE 'train' END AS split
+FROM ds"""
+
+HOLDOUT = """
+    SELECT *, CASE WHEN row_number() OVER (ORDER BY ts_utc DESC, postalcode DESC) <= 1920
+                   THEN 'test' ELSE 'train' END AS split
+    FROM fc WHERE consumption_filtered IS NOT NULL"""
+
+PROFILE_MEAN = """
+    SELECT postalcode, hour, avg(consumption_filtered) AS prediction
+    FROM hold WHERE split = 'train' GROUP BY postalcode, hour"""
+
+ORACLE["chrono_holdout"] = with_forecast(hold=HOLDOUT) + \
+    "SELECT postalcode, ts_utc, consumption_filtered, split FROM hold"
+
+ORACLE["expanding_folds"] = with_forecast(hold=HOLDOUT) + """
+SELECT postalcode, ts_utc,
+       CASE WHEN rn < 480 THEN CAST(4 - floor(rn / 96) AS BIGINT) END AS test_fold,
+       CAST(CASE WHEN rn < 480 THEN 5 - floor(rn / 96) ELSE 0 END AS BIGINT) AS train_from_fold
+FROM (SELECT *, row_number() OVER (ORDER BY ts_utc DESC, postalcode DESC) - 1 AS rn
+      FROM hold WHERE split = 'train') t"""
+
+ORACLE["accuracy_by_split"] = with_classification() + f"""
+SELECT split, count(*) AS n,
+       avg(CAST(prediction = cluster AS DOUBLE)) AS accuracy
+FROM (SELECT *, CASE WHEN airtemperature > 25 THEN 1 ELSE 0 END AS prediction,
+             CASE WHEN {md5_bucket("concat_ws('|', '42', CAST(postalcode AS VARCHAR), CAST(date AS VARCHAR))", "100")} < 20
+                  THEN 'test' ELSE 'train' END AS split
+      FROM ds) t
+GROUP BY split"""
+
+ORACLE["regression_metrics"] = with_forecast(hold=HOLDOUT, prof=PROFILE_MEAN) + """
+SELECT count(*) AS n, avg(power(y - prediction, 2)) AS mse, avg(y) AS mean_y,
+       sqrt(avg(power(y - prediction, 2))) AS rmse,
+       sqrt(avg(power(y - prediction, 2))) / avg(y) AS cvrmse
+FROM (SELECT h.consumption_filtered AS y, p.prediction
+      FROM hold h JOIN prof p ON h.postalcode = p.postalcode AND h.hour = p.hour
+      WHERE h.split = 'test') t"""
+
+ORACLE["forecast_slices"] = with_forecast(
+    hold=HOLDOUT, prof=PROFILE_MEAN,
+    pred="""SELECT f.*, p.prediction AS predicted FROM fc f
+            LEFT JOIN prof p ON f.postalcode = p.postalcode AND f.hour = p.hour
+            WHERE f.postalcode IN ('click', 'view')""",
+    idx="""SELECT *, row_number() OVER (PARTITION BY postalcode ORDER BY ts_utc) - 1 AS row_idx,
+                  count(*) OVER (PARTITION BY postalcode) AS len FROM pred""",
+    starts=f"""SELECT postalcode, CAST(s.slice AS INTEGER) AS slice,
+                      {md5_bucket("concat_ws('|', '42', postalcode, CAST(s.slice AS VARCHAR))", "len - 96 + 1")}
+                          AS start
+               FROM (SELECT DISTINCT postalcode, len FROM idx WHERE len >= 96) l, range(0, 10) s(slice)""",
+) + """
+SELECT i.postalcode, s.slice, CAST(i.row_idx - s.start AS INTEGER) AS "offset", i.localtime, i.predicted,
+       i.consumption
+FROM idx i JOIN starts s ON i.postalcode = s.postalcode
+WHERE i.row_idx >= s.start AND i.row_idx < s.start + 96"""
