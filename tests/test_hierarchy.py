@@ -1,0 +1,61 @@
+"""Ward merge helper vs. a brute-force greedy Ward (Lance-Williams on a full matrix)."""
+
+import numpy as np
+import pytest
+
+from wattlane.functions.hierarchy import cut_labels, ward_merges
+
+
+def brute_ward(x, w):
+    """Greedy: always merge the closest pair; returns sorted heights and the sequence of leaf sets."""
+    clusters = {i: ([i], x[i].astype(float), float(w[i])) for i in range(len(x))}
+    heights, sets = [], []
+    while len(clusters) > 1:
+        best = None
+        keys = sorted(clusters)
+        for a_i, a in enumerate(keys):
+            for b in keys[a_i + 1:]:
+                _, ca, wa = clusters[a]
+                _, cb, wb = clusters[b]
+                d = np.sqrt(2 * wa * wb / (wa + wb) * np.sum((ca - cb) ** 2))
+                if best is None or d < best[0]:
+                    best = (d, a, b)
+        d, a, b = best
+        la, ca, wa = clusters.pop(a)
+        lb, cb, wb = clusters.pop(b)
+        clusters[a] = (la + lb, (wa * ca + wb * cb) / (wa + wb), wa + wb)
+        heights.append(d)
+        sets.append(frozenset(la + lb))
+    return np.array(heights), sets
+
+
+@pytest.mark.parametrize("seed,n,d", [(0, 40, 3), (1, 60, 8), (2, 25, 2)])
+def test_heights_match_brute_force(seed, n, d):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d))
+    w = rng.integers(1, 4, size=n)
+    m = ward_merges(x, w)
+    h, sets = brute_ward(x, w)
+    np.testing.assert_allclose(m[:, 2], np.sort(h), rtol=1e-9)
+    assert np.all(np.diff(m[:, 2]) >= -1e-12)          # monotone
+    assert m[-1, 3] == w.sum()                         # root holds everything
+
+
+def test_cut_matches_brute_force_partition():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 4))
+    w = np.ones(50)
+    m = ward_merges(x, w)
+    _, sets = brute_ward(x, w)
+    for k in (2, 3, 5):
+        lab = cut_labels(m, w, k)
+        assert len(set(lab)) == k
+        # clusters of the brute-force cut: apply the first n-k merges
+        parts = [{i} for i in range(50)]
+        for s in sets[: 50 - k]:
+            parts = [p for p in parts if not p <= s] + [set(s)]
+        got = sorted(sorted(np.flatnonzero(lab == c).tolist()) for c in range(k))
+        want = sorted(sorted(p) for p in parts)
+        assert got == want
+        sizes = [np.sum(lab == c) for c in range(k)]
+        assert sizes == sorted(sizes, reverse=True)    # canonical numbering

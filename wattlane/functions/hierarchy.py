@@ -1,0 +1,114 @@
+"""Per-task helper: Ward merges of a bounded set of weighted points.
+
+Used inside one ``applyInPandas`` group whose size is capped by the caller
+(``max_exact`` distinct vectors or K-means micro-clusters).  Nearest-neighbour
+chain over weighted centroids: O(m^2 d) time, O(m d) memory.  The Ward
+distance of clusters A and B is ``sqrt(2 |A| |B| / (|A| + |B|)) * ||c_A - c_B||``,
+so weighted points start as clusters of their weight.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+
+def ward_merges(points: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Merges as rows (left_node, right_node, height, size), in height order.
+
+    Leaves are 0..m-1 (row order of ``points``); merge i creates node m+i.
+    Equal heights keep the order in which the chain found them.
+    """
+    m = len(points)
+    if m < 2:
+        return np.zeros((0, 4))
+    cent = np.asarray(points, dtype=np.float64).copy()
+    size = np.asarray(weights, dtype=np.float64).copy()
+    active = np.ones(m, dtype=bool)
+    found = []                               # (leaf_a, leaf_b, height)
+    chain: list[int] = []
+    n_active = m
+    while n_active > 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(active)[0]))
+        i = chain[-1]
+        cand = np.flatnonzero(active)
+        cand = cand[cand != i]
+        diff = cent[cand] - cent[i]
+        d = np.sqrt(2.0 * size[i] * size[cand] / (size[i] + size[cand]) * np.einsum("ij,ij->i", diff, diff))
+        j = int(cand[np.argmin(d)])
+        if len(chain) > 1:
+            prev = chain[-2]
+            dprev = d[np.searchsorted(cand, prev)]
+            if dprev <= d.min():
+                j = prev
+        if len(chain) > 1 and j == chain[-2]:
+            chain.pop()
+            chain.pop()
+            h = float(d[np.searchsorted(cand, j)])
+            a, b = (i, j) if i < j else (j, i)
+            tot = size[a] + size[b]
+            cent[a] = (size[a] * cent[a] + size[b] * cent[b]) / tot
+            size[a] = tot
+            active[b] = False
+            found.append((a, b, h))
+            n_active -= 1
+        else:
+            chain.append(j)
+
+    order = sorted(range(len(found)), key=lambda t: (found[t][2], t))
+    parent = np.arange(m)                   # union-find over leaves
+    node = np.arange(m)                     # dendrogram node of each root
+    leaf_w = np.asarray(weights, dtype=np.float64)
+    csize = leaf_w.copy()
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = np.zeros((m - 1, 4))
+    for step, t in enumerate(order):
+        a, b, h = found[t]
+        ra, rb = root(a), root(b)
+        na, nb = node[ra], node[rb]
+        left, right = (na, nb) if na < nb else (nb, na)
+        parent[rb] = ra
+        csize[ra] = csize[ra] + csize[rb]
+        node[ra] = m + step
+        out[step] = (left, right, h, csize[ra])
+    return out
+
+
+def cut_labels(merges: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+    """Cluster number of every leaf when the tree is cut into ``k`` clusters.
+
+    Numbering is canonical: by cluster size (sum of weights) descending, then
+    by smallest leaf index.
+    """
+    m = len(weights)
+    parent = np.arange(m)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    leaf_of_node = list(range(m))            # a representative leaf per node
+    for step in range(max(0, m - k)):
+        left, right = int(merges[step, 0]), int(merges[step, 1])
+        la, lb = leaf_of_node[left], leaf_of_node[right]
+        ra, rb = root(la), root(lb)
+        parent[rb] = ra
+        leaf_of_node.append(ra)
+    for step in range(max(0, m - k), m - 1):
+        leaf_of_node.append(leaf_of_node[int(merges[step, 0])])
+    roots = np.array([root(x) for x in range(m)])
+    w = np.asarray(weights, dtype=np.float64)
+    uniq = np.unique(roots)
+    tot = {r: w[roots == r].sum() for r in uniq}
+    first = {r: int(np.flatnonzero(roots == r)[0]) for r in uniq}
+    ranked = sorted(uniq, key=lambda r: (-tot[r], first[r]))
+    number = {r: i for i, r in enumerate(ranked)}
+    return np.array([number[r] for r in roots], dtype=np.int64)

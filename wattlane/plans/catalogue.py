@@ -326,3 +326,68 @@ def q_forecast_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("prediction", "predicted"))
     return forecast_slices(pred, PLOT_CODES, hours=96, npred=10).select(
         "postalcode", "slice", "offset", "localtime", "predicted", "consumption")
+
+
+# ------------------------------------------------------------------ clustering
+
+N_CLUSTERS = 3
+SCALING = "z_norm_scaling"
+
+
+def load_curves_result(spark: SparkSession, sf_dir: str, do_silhouette: bool = False):
+    from wattlane.plans.load_curves import identify_load_curves
+    return identify_load_curves(cleaned_meter(spark, sf_dir), scaling_method=SCALING,
+                                n_clusters=N_CLUSTERS, do_silhouette=do_silhouette)
+
+
+@query("ward_labels")
+def q_ward_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_curves_result(spark, sf_dir).labels
+
+
+@query("ward_merges")
+def q_ward_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_curves_result(spark, sf_dir).ward.merges
+
+
+@query("ward_top_merges")
+def q_ward_top_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_curves_result(spark, sf_dir).tables["top_merges"]
+
+
+@query("silhouette_sweep")
+def q_silhouette_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_curves_result(spark, sf_dir, do_silhouette=True).tables["silhouette"]
+
+
+def embedding_dims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    from pyspark.sql import functions as F
+
+    from wattlane.sources.tables import read_table
+    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    dim = len(emb.select("embedding").first()[0])
+    cols = [f"e{i}" for i in range(dim)]
+    return emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c)
+                                           for i, c in enumerate(cols)]), cols
+
+
+@query("ward_embeddings")
+def q_ward_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.ward import ward
+    emb, cols = embedding_dims(spark, sf_dir)
+    return ward(emb, cols, [10], keys=["vec_id"]).labels[10]
+
+
+@query("kmeans_labels")
+def q_kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.ward import kmeans_labels
+    emb, cols = embedding_dims(spark, sf_dir)
+    return kmeans_labels(emb, cols, ["vec_id"], k=10)
+
+
+@query("silhouette_given_labels")
+def q_silhouette_given_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.silhouette import silhouette_score
+    from wattlane.sources.tables import read_table
+    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    return silhouette_score(emb, "embedding", "label")

@@ -318,3 +318,22 @@ SELECT i.postalcode, s.slice, CAST(i.row_idx - s.start AS INTEGER) AS "offset",
        i.consumption
 FROM idx i JOIN starts s ON i.postalcode = s.postalcode
 WHERE i.row_idx >= s.start AND i.row_idx < s.start + 96"""
+
+ORACLE["silhouette_given_labels"] = """
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL),
+cnt AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+pair_sums AS (
+    SELECT a.vec_id, a.label AS la, b.label AS lb,
+           sum(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS s
+    FROM e a CROSS JOIN e b GROUP BY a.vec_id, a.label, b.label),
+means AS (
+    SELECT p.vec_id, p.la, p.lb, c.n,
+           CASE WHEN p.la = p.lb THEN p.s / NULLIF(c.n - 1, 0) ELSE p.s / c.n END AS mean_d
+    FROM pair_sums p JOIN cnt c ON p.lb = c.label),
+per AS (
+    SELECT vec_id, max(CASE WHEN la = lb THEN mean_d END) AS a, min(CASE WHEN la <> lb THEN mean_d END) AS b,
+           max(CASE WHEN la = lb THEN n END) AS own_n
+    FROM means GROUP BY vec_id)
+SELECT count(*) AS n,
+       avg(CASE WHEN own_n <= 1 THEN 0.0 ELSE coalesce((b - a) / NULLIF(greatest(a, b), 0), 0.0) END) AS silhouette
+FROM per"""
