@@ -391,3 +391,53 @@ def q_silhouette_given_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattlane.sources.tables import read_table
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     return silhouette_score(emb, "embedding", "label")
+
+
+# ------------------------------------------------------------------ models
+
+def day_ahead_result(spark: SparkSession, sf_dir: str):
+    from wattlane.operators.daily import consumption_daily, daily_from_instants
+    from wattlane.plans.day_ahead import predict_day_ahead
+    cons = consumption_daily(daily_from_instants(S.nation_daily_orders(spark, sf_dir)),
+                             nation_labels(spark, sf_dir))
+    return predict_day_ahead(spark, cons, S.weather_hourly_rows(spark, sf_dir),
+                             S.socio_nation(spark, sf_dir), cadaster_nation(spark, sf_dir),
+                             daily_input=True)
+
+
+@query("tree_classify")
+def q_tree_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day_ahead_result(spark, sf_dir).predictions
+
+
+@query("tree_accuracy")
+def q_tree_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day_ahead_result(spark, sf_dir).accuracy
+
+
+@query("tree_nodes")
+def q_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return day_ahead_result(spark, sf_dir).nodes
+
+
+def forecast_result(spark: SparkSession, sf_dir: str):
+    from wattlane.plans.forecast import electricity_consumption_forecast
+    return electricity_consumption_forecast(
+        spark, cleaned_meter(spark, sf_dir), S.hourly_weather(spark, sf_dir),
+        S.socio_events(spark, sf_dir), S.area_events(spark, sf_dir), PLOT_CODES[:HOLDOUT_CODES])
+
+
+@query("grid_results")
+def q_grid_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast_result(spark, sf_dir).grid.scores
+
+
+@query("tree_forecast")
+def q_tree_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast_result(spark, sf_dir).grid.test_predictions.select(
+        "postalcode", "ts_utc", "consumption_filtered", "prediction")
+
+
+@query("forecast_metrics")
+def q_forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast_result(spark, sf_dir).metrics
