@@ -441,3 +441,13 @@ def q_tree_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("forecast_metrics")
 def q_forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast_result(spark, sf_dir).metrics
+
+
+# ------------------------------------------------------------------ spatial
+
+@query("within_join")
+def q_within_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.cadaster import rename_postal
+    from wattlane.operators.spatial import join_within
+    polys = rename_postal(S.postal_polygons(spark))
+    return join_within(S.footprints(spark, sf_dir), polys, cell=500.0).select("cadastralref", "postalcode")

@@ -337,3 +337,68 @@ per AS (
 SELECT count(*) AS n,
        avg(CASE WHEN own_n <= 1 THEN 0.0 ELSE coalesce((b - a) / NULLIF(greatest(a, b), 0), 0.0) END) AS silhouette
 FROM per"""
+
+
+# ------------------------------------------------------------------ spatial (list lambdas)
+
+def sql_edges(r: str) -> str:
+    """Edges of an open ring expression ``r`` as a list of structs."""
+    return (f"list_transform(range(1, len({r}) + 1), lambda i: {{'ax': {r}[i].x, 'ay': {r}[i].y, "
+            f"'bx': {r}[(i % len({r})) + 1].x, 'by': {r}[(i % len({r})) + 1].y}})")
+
+
+def _sql_on_edge(px: str, py: str, e: str) -> str:
+    return (f"(({e}.bx - {e}.ax) * ({py} - {e}.ay) - ({e}.by - {e}.ay) * ({px} - {e}.ax) = 0 "
+            f"AND {px} >= least({e}.ax, {e}.bx) AND {px} <= greatest({e}.ax, {e}.bx) "
+            f"AND {py} >= least({e}.ay, {e}.by) AND {py} <= greatest({e}.ay, {e}.by))")
+
+
+def _sql_ray(px: str, py: str, e: str) -> str:
+    return (f"((({e}.ay > {py}) <> ({e}.by > {py})) AND {px} < CASE WHEN {e}.by <> {e}.ay THEN "
+            f"({e}.bx - {e}.ax) * ({py} - {e}.ay) / ({e}.by - {e}.ay) + {e}.ax END)")
+
+
+def _sql_exists(lst: str, var: str, cond: str) -> str:
+    return f"(len(list_filter({lst}, lambda {var}: {cond})) > 0)"
+
+
+def sql_inside_or_on(px: str, py: str, edges_sql: str, v: str) -> str:
+    return (f"({_sql_exists(edges_sql, v, _sql_on_edge(px, py, v))} OR "
+            f"len(list_filter({edges_sql}, lambda {v}: {_sql_ray(px, py, v)})) % 2 = 1)")
+
+
+def sql_strictly_inside(px: str, py: str, edges_sql: str, v: str) -> str:
+    return (f"(NOT {_sql_exists(edges_sql, v, _sql_on_edge(px, py, v))} AND "
+            f"len(list_filter({edges_sql}, lambda {v}: {_sql_ray(px, py, v)})) % 2 = 1)")
+
+
+def _orient(ax, ay, bx, by, cx, cy):
+    return f"(({bx} - {ax}) * ({cy} - {ay}) - ({by} - {ay}) * ({cx} - {ax}))"
+
+
+def sql_any_cross(ea: str, eb: str, e: str, f: str) -> str:
+    d1 = _orient(f"{f}.ax", f"{f}.ay", f"{f}.bx", f"{f}.by", f"{e}.ax", f"{e}.ay")
+    d2 = _orient(f"{f}.ax", f"{f}.ay", f"{f}.bx", f"{f}.by", f"{e}.bx", f"{e}.by")
+    d3 = _orient(f"{e}.ax", f"{e}.ay", f"{e}.bx", f"{e}.by", f"{f}.ax", f"{f}.ay")
+    d4 = _orient(f"{e}.ax", f"{e}.ay", f"{e}.bx", f"{e}.by", f"{f}.bx", f"{f}.by")
+    inner = _sql_exists(eb, f, f"({d1} * {d2} < 0 AND {d3} * {d4} < 0)")
+    return _sql_exists(ea, e, inner)
+
+
+def sql_within(b: str, ext: str, holes: str) -> str:
+    be, ee = sql_edges(b), sql_edges(ext)
+    verts_in = f"(len(list_filter({b}, lambda v: NOT {sql_inside_or_on('v.x', 'v.y', ee, 'e1')})) = 0)"
+    no_cross = f"(NOT {sql_any_cross(be, ee, 'e2', 'f2')})"
+    he = sql_edges("hr")
+    hole_bad = (f"({_sql_exists(b, 'w', sql_strictly_inside('w.x', 'w.y', he, 'e3'))} OR "
+                f"{sql_any_cross(be, he, 'e4', 'f4')} OR "
+                f"{sql_strictly_inside('hr[1].x', 'hr[1].y', be, 'e5')})")
+    holes_ok = f"(len(list_filter({holes}, lambda hr: {hole_bad})) = 0)"
+    return f"({verts_in} AND {no_cross} AND {holes_ok})"
+
+
+ORACLE["within_join"] = sql_with("postal_polygons", "footprints") + f"""
+SELECT b.cadastralref, p.postalcode
+FROM footprints b
+LEFT JOIN (SELECT CODPOS AS postalcode, exterior, holes FROM postal_polygons) p
+  ON {sql_within('b.geometry', 'p.exterior', 'p.holes')}"""

@@ -185,3 +185,65 @@ def sql_with(*names: str, extra: dict[str, str] | None = None) -> str:
     if extra:
         parts += [f"{k} AS ({v})" for k, v in extra.items()]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+# ------------------------------------------------------------------ spatial stand-ins
+
+# Four postal polygons on the (c_acctbal, c_custkey % 1000) plane:
+# a concave U, a square with a hole, a square overlapping it, a triangle.
+POLYGONS = [
+    ("25", "25001", [(0, 0), (4000, 0), (4000, 1000), (2500, 1000), (2500, 400), (1500, 400),
+                     (1500, 1000), (0, 1000)], []),
+    ("25", "25002", [(4000, 0), (8000, 0), (8000, 1000), (4000, 1000)],
+     [[(5000, 300), (7000, 300), (7000, 700), (5000, 700)]]),
+    ("25", "25003", [(7000, 0), (10000, 0), (10000, 1000), (7000, 1000)], []),
+    ("25", "25004", [(-1000, 0), (0, 0), (-1000, 1000)], []),
+]
+FOOT_HALF_X = 30.0
+FOOT_HALF_Y = 10.0
+
+
+def postal_polygons(spark: SparkSession) -> DataFrame:
+    """S5 layout (PROV, CODPOS, exterior ring, holes), already in the cadaster CRS."""
+    rows = [(prov, code, [(float(x), float(y)) for x, y in ext],
+             [[(float(x), float(y)) for x, y in h] for h in holes])
+            for prov, code, ext, holes in POLYGONS]
+    return spark.createDataFrame(
+        rows, "PROV string, CODPOS string, exterior array<struct<x:double,y:double>>, "
+              "holes array<array<struct<x:double,y:double>>>")
+
+
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Building footprints: a 60 x 20 rectangle around (c_acctbal, c_custkey % 1000)."""
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"])
+    x, y = F.col("c_acctbal"), (F.col("c_custkey") % 1000).cast("double")
+    hx, hy = F.lit(FOOT_HALF_X), F.lit(FOOT_HALF_Y)
+
+    def pt(px, py):
+        return F.struct(px.alias("x"), py.alias("y"))
+    ring = F.array(pt(x - hx, y - hy), pt(x + hx, y - hy), pt(x + hx, y + hy), pt(x - hx, y + hy))
+    return c.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("cadastralref"),
+                    ring.alias("geometry"))
+
+
+def polygons_sql() -> str:
+    def ring(pts):
+        return "[" + ", ".join(f"{{'x': {float(x)}, 'y': {float(y)}}}" for x, y in pts) + "]"
+    rows = []
+    for prov, code, ext, holes in POLYGONS:
+        hs = "[" + ", ".join(ring(h) for h in holes) + "]"
+        if not holes:
+            hs = "CAST([] AS STRUCT(x DOUBLE, y DOUBLE)[][])"
+        rows.append(f"SELECT '{prov}' AS PROV, '{code}' AS CODPOS, {ring(ext)} AS exterior, {hs} AS holes")
+    return " UNION ALL ".join(rows)
+
+
+SQL["postal_polygons"] = polygons_sql()
+SQL["footprints"] = f"""
+    SELECT 'C' || CAST(c_custkey AS VARCHAR) AS cadastralref,
+           [{{'x': c_acctbal - {FOOT_HALF_X}, 'y': CAST(c_custkey % 1000 AS DOUBLE) - {FOOT_HALF_Y}}},
+            {{'x': c_acctbal + {FOOT_HALF_X}, 'y': CAST(c_custkey % 1000 AS DOUBLE) - {FOOT_HALF_Y}}},
+            {{'x': c_acctbal + {FOOT_HALF_X}, 'y': CAST(c_custkey % 1000 AS DOUBLE) + {FOOT_HALF_Y}}},
+            {{'x': c_acctbal - {FOOT_HALF_X}, 'y': CAST(c_custkey % 1000 AS DOUBLE) + {FOOT_HALF_Y}}}]
+               AS geometry
+    FROM customer"""
