@@ -451,3 +451,54 @@ def q_within_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattlane.operators.spatial import join_within
     polys = rename_postal(S.postal_polygons(spark))
     return join_within(S.footprints(spark, sf_dir), polys, cell=500.0).select("cadastralref", "postalcode")
+
+
+@query("cadaster_spatial_by_area")
+def q_cadaster_spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """data_transformation's cadaster path: spatial join, rename, filter, sum per area."""
+    from wattlane.operators.cadaster import cadaster_by_area, rename_postal
+    from wattlane.operators.spatial import join_within
+    polys = rename_postal(S.postal_polygons(spark))
+    joined = join_within(S.footprint_buildings(spark, sf_dir), polys, cell=500.0)
+    return cadaster_by_area(joined, use_values="HOUSEHOLD", condition_values="functional")
+
+
+@query("ring_centroid")
+def q_ring_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from wattlane.functions.geometry import centroid
+    fp = S.footprints(spark, sf_dir).select(F.col("cadastralref").alias("id"),
+                                            centroid("geometry").alias("c"))
+    pg = S.postal_polygons(spark).select(F.col("CODPOS").alias("id"), centroid("exterior", "holes").alias("c"))
+    return fp.unionByName(pg).select("id", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+
+
+def lonlat_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer points placed around Lleida in degrees."""
+    from pyspark.sql import functions as F
+
+    from wattlane.sources.tables import read_table
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal"])
+    return c.select("c_custkey",
+                    (F.lit(0.3) + (F.col("c_custkey") % 100) * F.lit(0.006)).alias("lon"),
+                    (F.lit(41.5) + (F.col("c_acctbal") + F.lit(1000.0)) / F.lit(100000.0)).alias("lat"))
+
+
+@query("reproject")
+def q_reproject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from wattlane.functions.geometry import lonlat_to_tm
+    p = lonlat_points(spark, sf_dir).withColumn("_p", lonlat_to_tm("lon", "lat"))
+    return p.select("c_custkey", F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
+
+
+@query("profile_csv")
+def q_profile_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long profile written as CSV to the shared folder and read back."""
+    from wattlane.session import scratch_table_path
+    from wattlane.sources.sinks import read_profile_csv, write_profile_csv
+    path = scratch_table_path(spark, "profile-csv")
+    write_profile_csv(profile_long_meter(spark, sf_dir), path)
+    return read_profile_csv(spark, path)

@@ -402,3 +402,78 @@ SELECT b.cadastralref, p.postalcode
 FROM footprints b
 LEFT JOIN (SELECT CODPOS AS postalcode, exterior, holes FROM postal_polygons) p
   ON {sql_within('b.geometry', 'p.exterior', 'p.holes')}"""
+
+ORACLE["cadaster_spatial_by_area"] = sql_with("postal_polygons", "footprints", "footprint_buildings") + f"""
+SELECT postalcode, CAST(coalesce(sum(value), 0) AS BIGINT) AS builtarea,
+       CAST(coalesce(sum(numberOfDwellings), 0) AS BIGINT) AS households
+FROM (
+    SELECT b.*, p.postalcode
+    FROM footprint_buildings b
+    LEFT JOIN (SELECT CODPOS AS postalcode, exterior, holes FROM postal_polygons) p
+      ON {sql_within('b.geometry', 'p.exterior', 'p.holes')}
+) j
+WHERE currentUse = 'HOUSEHOLD' AND conditionOfConstruction = 'functional' AND postalcode IS NOT NULL
+GROUP BY postalcode"""
+
+
+def _sql_twice_area(r: str) -> str:
+    return f"list_sum(list_transform({sql_edges(r)}, lambda e: e.ax * e.by - e.bx * e.ay))"
+
+
+def _sql_moment(r: str, a: str, b: str) -> str:
+    return (f"list_sum(list_transform({sql_edges(r)}, "
+            f"lambda e: (e.{a} + e.{b}) * (e.ax * e.by - e.bx * e.ay)))")
+
+
+def _sql_centroid(ext: str, holes: str | None, axis: str) -> str:
+    a, b = ("ax", "bx") if axis == "x" else ("ay", "by")
+    sign = f"sign({_sql_twice_area(ext)} / 2.0)"
+    area = f"abs({_sql_twice_area(ext)} / 2.0)"
+    mom = f"({_sql_moment(ext, a, b)} * {sign})"
+    if holes:
+        h_area = f"coalesce(list_sum(list_transform({holes}, lambda hr: abs({_sql_twice_area('hr')} / 2.0))), 0.0)"
+        h_mom = (f"coalesce(list_sum(list_transform({holes}, lambda hr: "
+                 f"{_sql_moment('hr', a, b)} * sign({_sql_twice_area('hr')} / 2.0))), 0.0)")
+        area = f"({area} - {h_area})"
+        mom = f"({mom} - {h_mom})"
+    return f"{mom} / (6.0 * {area})"
+
+
+ORACLE["ring_centroid"] = sql_with("postal_polygons", "footprints") + f"""
+SELECT cadastralref AS id, {_sql_centroid('geometry', None, 'x')} AS cx,
+       {_sql_centroid('geometry', None, 'y')} AS cy
+FROM footprints
+UNION ALL
+SELECT CODPOS AS id, {_sql_centroid('exterior', 'holes', 'x')} AS cx,
+       {_sql_centroid('exterior', 'holes', 'y')} AS cy
+FROM postal_polygons"""
+
+
+def _sql_tm() -> tuple[str, str]:
+    import math
+
+    from wattlane.functions.geometry import GRS80_A, GRS80_F, UTM_K0, _kruger_coefficients
+    n, big_a, alpha = _kruger_coefficients(GRS80_F)
+    k = 2 * math.sqrt(n) / (1 + n)
+    scale = UTM_K0 * GRS80_A * big_a
+    east = "eta" + "".join(f" + {a!r} * cos({2.0 * j!r} * xi) * sinh({2.0 * j!r} * eta)"
+                           for j, a in enumerate(alpha, 1))
+    north = "xi" + "".join(f" + {a!r} * sin({2.0 * j!r} * xi) * cosh({2.0 * j!r} * eta)"
+                           for j, a in enumerate(alpha, 1))
+    inner = f"""
+        SELECT c_custkey, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1.0 + t * t)) AS eta
+        FROM (SELECT c_custkey, radians(lon - 3.0) AS lam,
+                     sinh(atanh(sin(radians(lat))) - {k!r} * atanh({k!r} * sin(radians(lat)))) AS t
+              FROM pts) a"""
+    return inner, (f"round_even((500000.0 + {scale!r} * ({east})) * 1000, 0) / 1000 AS x, "
+                   f"round_even((0.0 + {scale!r} * ({north})) * 1000, 0) / 1000 AS y")
+
+
+_TM_INNER, _TM_OUT = _sql_tm()
+ORACLE["reproject"] = f"""
+WITH pts AS (SELECT c_custkey, 0.3 + (c_custkey % 100) * 0.006 AS lon,
+                    41.5 + (c_acctbal + 1000.0) / 100000.0 AS lat FROM customer)
+SELECT c_custkey, {_TM_OUT} FROM ({_TM_INNER}) b"""
+
+ORACLE["profile_csv"] = with_profiles() + """
+SELECT postalcode, hour, date, daily_consumption, consumption_filtered, consumption FROM long_profile"""

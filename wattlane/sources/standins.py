@@ -247,3 +247,25 @@ SQL["footprints"] = f"""
             {{'x': c_acctbal - {FOOT_HALF_X}, 'y': CAST(c_custkey % 1000 AS DOUBLE) + {FOOT_HALF_Y}}}]
                AS geometry
     FROM customer"""
+
+
+def footprint_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footprints with GML attributes: use from the market segment, a negative
+    balance marks a ruin, dwellings and area from the key and balance."""
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal", "c_mktsegment"])
+    fp = footprints(spark, sf_dir)
+    attrs = c.select(
+        F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("reference"),
+        F.col("c_mktsegment").alias("currentUse"),
+        F.when(F.col("c_acctbal") >= 0, "functional").otherwise("ruin").alias("conditionOfConstruction"),
+        (F.col("c_custkey") % 5).cast("int").alias("numberOfDwellings"),
+        F.floor(F.abs(F.col("c_acctbal"))).cast("int").alias("value"))
+    return attrs.join(fp, attrs.reference == fp.cadastralref).drop("cadastralref")
+
+
+SQL["footprint_buildings"] = """
+    SELECT 'C' || CAST(c.c_custkey AS VARCHAR) AS reference, c.c_mktsegment AS currentUse,
+           CASE WHEN c.c_acctbal >= 0 THEN 'functional' ELSE 'ruin' END AS conditionOfConstruction,
+           CAST(c.c_custkey % 5 AS INTEGER) AS numberOfDwellings,
+           CAST(floor(abs(c.c_acctbal)) AS INTEGER) AS value, f.geometry
+    FROM customer c JOIN footprints f ON 'C' || CAST(c.c_custkey AS VARCHAR) = f.cadastralref"""
