@@ -78,8 +78,8 @@ def _text(col: Column, dtype: T.DataType) -> Column:
 def poslist_to_ring(text: Column) -> Column:
     """'x1 y1 x2 y2 ...' -> array<struct<x, y>>."""
     nums = F.transform(F.split(F.trim(text), r"\s+"), lambda s: s.cast("double"))
-    idx = F.sequence(F.lit(0), F.size(nums) / 2 - 1)
-    return F.transform(idx.cast("array<int>"), lambda i: F.struct(nums[i * 2].alias("x"),
+    idx = F.sequence(F.lit(0), (F.size(nums) / 2).cast("int") - 1)
+    return F.transform(idx, lambda i: F.struct(nums[i * 2].alias("x"),
                                                                   nums[i * 2 + 1].alias("y")))
 
 
