@@ -2,7 +2,7 @@
 
 pandas drops rows with a missing group key, sums of nothing are 0 and
 ``round(2)`` is half-to-even.  Means that get rounded are accumulated exactly
-(decimal), so a tie is decided the same way on every partitioning: ``where(key not null)``, ``coalesce(sum, 0)``
+(fixed point), so a tie is decided the same way on every partitioning: ``where(key not null)``, ``coalesce(sum, 0)``
 and numpy-style half-to-even rounding (``rint`` of the scaled value).
 """
 

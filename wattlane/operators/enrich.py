@@ -1,10 +1,13 @@
 """Feature tables of the two prediction tasks.
 
-Dimension tables (socioeconomic per year, cadaster per area) are joined
-without hints: the planner broadcasts a side only when its estimated size is
-under ``spark.sql.autoBroadcastJoinThreshold``, and AQE re-checks the
-measured size of the materialised side at run time.  Fact-to-fact joins
-(weather per day or hour) are sort-merge joins on the full key.
+Dimension tables (socioeconomic per (area, year), cadaster per area) are
+materialised once in the shared checkpoint folder and counted; a dimension
+of at most ``broadcast_rows`` rows is broadcast, a larger one is joined by
+sort-merge.  The planner alone would not broadcast them: it estimates an
+aggregate as large as its input, and every sort-merge join re-shuffles the
+fact table on the next key.  With the dimensions broadcast, the fact table
+keeps the partitioning of its own aggregation, and only the fact-to-fact
+weather join (per day or hour) shuffles.
 """
 
 from __future__ import annotations
@@ -14,6 +17,19 @@ from pyspark.sql import functions as F
 
 from wattlane.functions.calendar import (local_time, month_number, month_text, utc_column,
                                          weekday_iso_text, weekday_monday0, year_of)
+from wattlane.session import cut_lineage
+
+
+# Rows a dimension may hold and still be broadcast to every task.
+BROADCAST_ROWS = 2_000_000
+
+
+def dimension(df: DataFrame, broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
+    """Materialise a dimension once; broadcast it when its row count is within the bound."""
+    if broadcast_rows is None:
+        return df
+    d = cut_lineage(df)
+    return F.broadcast(d) if d.count() <= broadcast_rows else d
 
 
 def socio_with_year(socio: DataFrame) -> DataFrame:
@@ -23,11 +39,12 @@ def socio_with_year(socio: DataFrame) -> DataFrame:
 
 def classification_dataset(consumption_daily: DataFrame, weather_daily: DataFrame,
                            socio: DataFrame, cadaster: DataFrame,
-                           key: str = "postalcode") -> DataFrame:
+                           key: str = "postalcode",
+                           broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
     """Daily rows with socioeconomic, cadaster and weather features."""
     df = consumption_daily.withColumn("year", F.year("date"))
-    df = df.join(socio_with_year(socio), [key, "year"], "left")
-    df = df.join(cadaster, [key], "left")
+    df = df.join(dimension(socio_with_year(socio), broadcast_rows), [key, "year"], "left")
+    df = df.join(dimension(cadaster, broadcast_rows), [key], "left")
     df = df.join(weather_daily, [key, "date"], "left")
     return df.withColumns({"month": month_number("date"), "weekday": weekday_monday0("date")})
 
@@ -39,7 +56,8 @@ def labelled_days(dataset: DataFrame, label: str = "cluster") -> DataFrame:
 
 def forecast_dataset(cleaned: DataFrame, weather: DataFrame, socio: DataFrame,
                      cadaster: DataFrame, key: str = "postalcode",
-                     weather_time: str = "time") -> DataFrame:
+                     weather_time: str = "time",
+                     broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
     """Hourly rows joined to all dimensions (inner joins).
 
     The weather join uses the UTC instant; the local wall clock repeats an hour
@@ -49,8 +67,8 @@ def forecast_dataset(cleaned: DataFrame, weather: DataFrame, socio: DataFrame,
                            "consumption_filtered", "consumption")
                    .withColumn("year", F.year("localtime")))
     w = weather.withColumn("_wts", utc_column(weather, weather_time))
-    df = (base.join(socio_with_year(socio), [key, "year"])
-              .join(cadaster, [key])
+    df = (base.join(dimension(socio_with_year(socio), broadcast_rows), [key, "year"])
+              .join(dimension(cadaster, broadcast_rows), [key])
               .join(w, (base[key] == w[key]) & (base["ts_utc"] == w["_wts"]))
               .drop(w[key]).drop("_wts"))
     return df.withColumns({"month": month_text("localtime"), "weekday": weekday_iso_text("localtime")})

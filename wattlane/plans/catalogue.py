@@ -191,7 +191,8 @@ def nation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from wattlane.operators.daily import daily_from_instants
     rows = daily_from_instants(S.nation_daily_orders(spark, sf_dir))
-    return (rows.groupBy("postalcode", "date").agg(F.count(F.lit(1)).alias("_n"))
+    # same key order as the daily aggregate it is joined to: the join reuses its partitioning
+    return (rows.groupBy("date", "postalcode").agg(F.count(F.lit(1)).alias("_n"))
                 .where(F.col("_n") >= 2)
                 .select("postalcode", "date",
                         F.when(F.weekday("date") >= 5, 1).otherwise(0).alias("cluster")))

@@ -17,6 +17,7 @@ from wattlane.operators.enrich import classification_dataset, labelled_days
 from wattlane.operators.metrics import accuracy_by_split
 from wattlane.operators.models import train_tree_classifier, tree_nodes
 from wattlane.operators.splits import hash_split
+from wattlane.session import cut_lineage
 
 
 @dataclass
@@ -34,7 +35,9 @@ def predict_day_ahead(spark: SparkSession, consumption_days: DataFrame, weather:
     daily rows when ``daily_input``."""
     cons = consumption_days if daily_input else consumption_daily(consumption_days, labels)
     ds = labelled_days(classification_dataset(cons, weather_daily(weather), socio, cadaster))
-    ds = hash_split(ds, ["postalcode", "date"], test_pct=20, seed=42)
+    # one row per labelled day: materialised once in the shared folder, the
+    # imputer, the tree levels and the predictions all read it
+    ds = cut_lineage(hash_split(ds, ["postalcode", "date"], test_pct=20, seed=42))
     res = train_tree_classifier(ds)
     acc = accuracy_by_split(res.predictions)
     nodes = tree_nodes(spark, res.model.stages[-1], res.feature_names)

@@ -167,11 +167,11 @@ ORACLE["cluster_ids"] = with_labelled_hours() + "SELECT DISTINCT cluster FROM lh
 
 WEATHER_DAILY = f"""
     SELECT CAST({LOCAL} AS DATE) AS date, postalcode,
-           round_even((CAST(avg(CAST(airtemperature AS DECIMAL(30,10))) AS DOUBLE)) * 100, 0) / 100 AS airtemperature,
-           round_even((CAST(avg(CAST(relativehumidity AS DECIMAL(30,10))) AS DOUBLE)) * 100, 0) / 100 AS relativehumidity,
-           round_even((coalesce(CAST(sum(CAST(totalprecipitation AS DECIMAL(30,10))) AS DOUBLE), 0) * 24) * 100, 0) / 100 AS totalprecipitation,
-           round_even((CAST(avg(CAST(ghi AS DECIMAL(30,10))) AS DOUBLE)) * 100, 0) / 100 AS ghi,
-           round_even((CAST(avg(CAST(sunelevation AS DECIMAL(30,10))) AS DOUBLE)) * 100, 0) / 100 AS sunelevation
+           round_even(((CAST(sum(CAST(round_even(airtemperature * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(airtemperature) AS DOUBLE) / 1000000.0)) * 100, 0) / 100 AS airtemperature,
+           round_even(((CAST(sum(CAST(round_even(relativehumidity * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(relativehumidity) AS DOUBLE) / 1000000.0)) * 100, 0) / 100 AS relativehumidity,
+           round_even((coalesce((CAST(sum(CAST(round_even(totalprecipitation * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / 1000000.0), 0) * 24) * 100, 0) / 100 AS totalprecipitation,
+           round_even(((CAST(sum(CAST(round_even(ghi * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(ghi) AS DOUBLE) / 1000000.0)) * 100, 0) / 100 AS ghi,
+           round_even(((CAST(sum(CAST(round_even(sunelevation * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(sunelevation) AS DOUBLE) / 1000000.0)) * 100, 0) / 100 AS sunelevation
     FROM weather_hourly_rows WHERE postalcode IS NOT NULL GROUP BY 1, 2"""
 
 ORACLE["weather_daily"] = sql_with("weather_hourly_rows", extra={"wd": WEATHER_DAILY}) + \
@@ -179,7 +179,7 @@ ORACLE["weather_daily"] = sql_with("weather_hourly_rows", extra={"wd": WEATHER_D
 
 ORACLE["consumption_daily"] = with_profiles(labels=RULE_LABELS) + """
 SELECT cd.*, l.cluster
-FROM (SELECT date, postalcode, round_even((CAST(avg(CAST(consumption_filtered AS DECIMAL(30,10))) AS DOUBLE) * 24) * 100, 0) / 100 AS consumption
+FROM (SELECT date, postalcode, round_even(((CAST(sum(CAST(round_even(consumption_filtered * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(consumption_filtered) AS DOUBLE) / 1000000.0) * 24) * 100, 0) / 100 AS consumption
       FROM cleaned WHERE postalcode IS NOT NULL AND date IS NOT NULL GROUP BY date, postalcode) cd
 LEFT JOIN labels l ON cd.postalcode = l.postalcode AND cd.date = l.date"""
 
@@ -225,7 +225,7 @@ def with_classification() -> str:
             "nrows": f"SELECT *, CAST({LOCAL} AS DATE) AS date FROM nation_daily_orders",
             "nlabels": """SELECT postalcode, date, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS cluster
                           FROM nrows GROUP BY postalcode, date HAVING count(*) >= 2""",
-            "cd": """SELECT date, postalcode, round_even((CAST(avg(CAST(consumption_filtered AS DECIMAL(30,10))) AS DOUBLE) * 24) * 100, 0) / 100 AS consumption
+            "cd": """SELECT date, postalcode, round_even(((CAST(sum(CAST(round_even(consumption_filtered * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(consumption_filtered) AS DOUBLE) / 1000000.0) * 24) * 100, 0) / 100 AS consumption
                      FROM nrows WHERE postalcode IS NOT NULL AND date IS NOT NULL GROUP BY date, postalcode""",
             "wd": WEATHER_DAILY,
             "cad": CADASTER_NATION,

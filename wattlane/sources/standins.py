@@ -154,7 +154,7 @@ SQL = {
     "socio_nation": """
         SELECT CAST(c.c_nationkey AS VARCHAR) AS postalcode,
                make_date(year(o.o_orderdate), 1, 1) AS year,
-               CAST(avg(CAST(c.c_acctbal AS DECIMAL(30,10))) AS DOUBLE) AS income, count(DISTINCT c.c_custkey) AS persons
+               (CAST(sum(CAST(round_even(c.c_acctbal * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(c.c_acctbal) AS DOUBLE) / 1000000.0) AS income, count(DISTINCT c.c_custkey) AS persons
         FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2""",
     "socio_events": """
         SELECT event_type AS postalcode, make_date(year(ts), 1, 1) AS year,
