@@ -78,6 +78,27 @@ def any_proper_crossing(edges_a: Column, edges_b: Column) -> Column:
     return F.exists(edges_a, lambda e: F.exists(edges_b, lambda f: _proper_cross(e, f)))
 
 
+def within_prepared(inner_ring: Column, inner_edges: Column, ext_edges: Column,
+                    hole_edges: Column | None = None) -> Column:
+    """:func:`within` on precomputed edge arrays (``hole_edges``: one edge array per hole).
+
+    Conditions are ordered cheapest first; ``AND`` stops at the first false.
+    """
+    cond = (F.forall(inner_ring, lambda v: inside_or_on(v["x"], v["y"], ext_edges))
+            & ~any_proper_crossing(inner_edges, ext_edges))
+    if hole_edges is not None:
+        hole_ok = F.forall(hole_edges, lambda he: (
+            ~F.exists(inner_ring, lambda v: strictly_inside(v["x"], v["y"], he))
+            & ~any_proper_crossing(inner_edges, he)
+            & ~strictly_inside(he[0]["ax"], he[0]["ay"], inner_edges)))
+        cond = cond & F.coalesce(hole_ok, F.lit(True))
+    return cond
+
+
+def hole_edge_arrays(holes: str | Column) -> Column:
+    return F.transform(_c(holes), lambda hr: edges(hr))
+
+
 def within(inner: str | Column, exterior: str | Column, holes: str | Column | None = None) -> Column:
     """True when polygon ``inner`` lies within (exterior minus holes); touching the boundary counts as within.
 
@@ -85,19 +106,14 @@ def within(inner: str | Column, exterior: str | Column, holes: str | Column | No
     inside a hole, no edge of ``inner`` properly crosses an edge of the
     exterior or of a hole, and no hole lies inside ``inner``.
     """
-    ir = open_ring(inner)
-    ie = edges(inner)
-    ee = edges(exterior)
-    cond = (F.forall(ir, lambda v: inside_or_on(v["x"], v["y"], ee))
-            & ~any_proper_crossing(ie, ee))
-    if holes is not None:
-        h = _c(holes)
-        hole_ok = F.forall(h, lambda hr: (
-            ~F.exists(ir, lambda v: strictly_inside(v["x"], v["y"], edges(hr)))
-            & ~any_proper_crossing(ie, edges(hr))
-            & ~strictly_inside(hr[0]["x"], hr[0]["y"], ie)))
-        cond = cond & F.coalesce(hole_ok, F.lit(True))
-    return cond
+    return within_prepared(open_ring(inner), edges(inner), edges(exterior),
+                           hole_edge_arrays(holes) if holes is not None else None)
+
+
+def bbox_contains(outer: Column, inner: Column) -> Column:
+    """Bounding box ``outer`` contains bounding box ``inner`` (both from :func:`bbox`)."""
+    return ((outer["xmin"] <= inner["xmin"]) & (outer["ymin"] <= inner["ymin"])
+            & (outer["xmax"] >= inner["xmax"]) & (outer["ymax"] >= inner["ymax"]))
 
 
 def signed_area(ring: str | Column) -> Column:

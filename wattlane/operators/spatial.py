@@ -25,14 +25,16 @@ def polygon_cells(polygons: DataFrame, cell: float, key: str = "postalcode",
                   exterior: str = "exterior", holes: str = "holes") -> DataFrame:
     """One row per grid cell: the polygons whose bounding box touches it."""
     bb = G.bbox(exterior)
-    p = polygons.select(key, exterior, holes, bb.alias("_bb"))
+    # edges are built once per polygon here, not once per (building, candidate)
+    p = polygons.select(key, G.edges(exterior).alias("_ee"), G.hole_edge_arrays(holes).alias("_he"),
+                        bb.alias("_bb"))
     p = (p.withColumn("cx", F.explode(F.sequence(F.floor(F.col("_bb.xmin") / cell).cast("long"),
                                                  F.floor(F.col("_bb.xmax") / cell).cast("long"))))
           .withColumn("cy", F.explode(F.sequence(F.floor(F.col("_bb.ymin") / cell).cast("long"),
                                                  F.floor(F.col("_bb.ymax") / cell).cast("long")))))
     return p.groupBy("cx", "cy").agg(
-        F.collect_list(F.struct(F.col(key).alias("key"), F.col(exterior).alias("ext"),
-                                F.col(holes).alias("holes"))).alias("_cands"))
+        F.collect_list(F.struct(F.col(key).alias("key"), F.col("_ee").alias("ee"),
+                                F.col("_he").alias("he"), F.col("_bb").alias("bb"))).alias("_cands"))
 
 
 def join_within(buildings: DataFrame, polygons: DataFrame, cell: float = 1000.0,
@@ -43,10 +45,14 @@ def join_within(buildings: DataFrame, polygons: DataFrame, cell: float = 1000.0,
     first = F.col(ring)[0]
     b = (buildings.withColumn("cx", F.floor(first["x"] / cell).cast("long"))
                   .withColumn("cy", F.floor(first["y"] / cell).cast("long")))
-    j = b.join(cells, ["cx", "cy"], "left")
-    hits = F.filter(F.col("_cands"), lambda c: G.within(F.col(ring), c["ext"], c["holes"]))
+    j = (b.join(cells, ["cx", "cy"], "left")
+          .withColumn("_ir", G.open_ring(ring))
+          .withColumn("_ie", G.edges(ring))
+          .withColumn("_ib", G.bbox(ring)))
+    hits = F.filter(F.col("_cands"), lambda c: G.bbox_contains(c["bb"], F.col("_ib"))
+                    & G.within_prepared(F.col("_ir"), F.col("_ie"), c["ee"], c["he"]))
     return (j.withColumn(key, F.explode_outer(F.transform(hits, lambda c: c["key"])))
-             .drop("cx", "cy", "_cands"))
+             .drop("cx", "cy", "_cands", "_ir", "_ie", "_ib"))
 
 
 def with_centroid(df: DataFrame, ring: str = "geometry", holes: str | None = None,
