@@ -53,3 +53,13 @@ def test_reprojection_known_points(spark):
     assert abs(r[1].p.y - 0.9996 * 4984944.378) < 0.01
     assert abs((r[2].p.x - 500000.0) + (r[3].p.x - 500000.0)) < 1e-6      # symmetric about lon0
     assert abs(r[2].p.y - r[3].p.y) < 1e-6
+
+
+def test_polygon_from_wkt(spark):
+    from wattlane.functions.geometry import polygon_from_wkt
+    df = spark.createDataFrame([("POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 4 2, 4 4, 2 2))",),
+                                ("polygon((1 1,2 1,2 2,1 1))",)], "w string")
+    r = df.select(polygon_from_wkt("w").alias("p")).collect()
+    assert [(v.x, v.y) for v in r[0].p.exterior] == [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
+    assert len(r[0].p.holes) == 1 and (r[0].p.holes[0][1].x, r[0].p.holes[0][1].y) == (4, 2)
+    assert len(r[1].p.exterior) == 4 and r[1].p.holes == []

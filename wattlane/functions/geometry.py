@@ -213,3 +213,23 @@ def reproject_ring(ring: str | Column, source_srid: int, **kw) -> Column:
     if source_srid != 4326:
         raise ValueError(f"unsupported source SRID {source_srid}")
     return F.transform(_c(ring), lambda v: lonlat_to_tm(v["x"], v["y"], **kw))
+
+
+# ---------------------------------------------------------------- S5 polygon text
+
+def polygon_from_wkt(wkt: str | Column) -> Column:
+    """``POLYGON ((x y, ...), (x y, ...))`` -> ``struct<exterior, holes>`` (first ring exterior).
+
+    Postal polygons arriving as WKT text (e.g. exported from a GeoPackage)
+    become rings with column functions only.
+    """
+    body = F.regexp_replace(F.trim(_c(wkt)), r"^(?i)POLYGON\s*\(\s*\(|\)\s*\)\s*$", "")
+    rings = F.split(body, r"\)\s*,\s*\(")
+
+    def ring(txt):
+        pts = F.split(F.trim(txt), r"\s*,\s*")
+        return F.transform(pts, lambda p: F.struct(
+            F.split(F.trim(p), r"\s+")[0].cast("double").alias("x"),
+            F.split(F.trim(p), r"\s+")[1].cast("double").alias("y")))
+    return F.struct(ring(rings[0]).alias("exterior"),
+                    F.transform(F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), ring).alias("holes"))

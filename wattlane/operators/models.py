@@ -161,43 +161,74 @@ def _mse(pred: DataFrame, label: str) -> float:
     return pred.agg(F.avg(F.pow(F.col(label) - F.col("prediction"), 2))).first()[0]
 
 
-def grid_search_tree_regressor(spark: SparkSession, folds: DataFrame, test: DataFrame, label: str,
-                               numeric: Sequence[str], text: Sequence[str],
-                               depths: Sequence[int] = (15, 25, 40, 60),
-                               leaves: Sequence[int] = (5, 10, 15, 20), n_splits: int = 5,
-                               seed: int = 42, parallelism: int = 8) -> GridResult:
-    """Grid x expanding folds, mean MSE per combination, best refitted on all training rows."""
+def tree_regressor(params: dict, seed: int = 42):
+    """MLlib regression tree for one grid point."""
     from pyspark.ml.regression import DecisionTreeRegressor
-    grid = clamp_grid(depths, leaves)
+    return DecisionTreeRegressor(labelCol="_y", featuresCol="features", maxDepth=params["max_depth"],
+                                 minInstancesPerNode=params["min_samples_leaf"], seed=seed)
+
+
+def tree_grid(depths: Sequence[int] = (15, 25, 40, 60),
+              leaves: Sequence[int] = (5, 10, 15, 20)) -> list[dict]:
+    """M23 grid with depths clamped to MLlib's limit and duplicates removed."""
+    return [{"max_depth": d, "min_samples_leaf": lf} for d, lf in clamp_grid(depths, leaves)]
+
+
+def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: str,
+                numeric: Sequence[str], text: Sequence[str], build, grid: Sequence[dict],
+                n_splits: int = 5, parallelism: int = 8) -> GridResult:
+    """Every grid point on every expanding fold, mean MSE, best refitted on all training rows.
+
+    Preprocessing is fitted inside each fold (on that fold's training rows),
+    once for all grid points of the fold.
+    """
+    grid = list(grid)
+    keys = sorted(grid[0])
     stages, _ = preprocessing_stages(numeric, text, impute=False)
-    rows = []
-    for fold in range(n_splits):
+
+    def prepare(fold):
         tr, te = fold_frames(folds, fold)
         prep = Pipeline(stages=stages).fit(tr)
         trp = prep.transform(tr).select("features", F.col(label).cast("double").alias("_y")).persist()
         tep = prep.transform(te).select("features", F.col(label).cast("double").alias("_y")).persist()
-
-        def fit_one(params, trp=trp, tep=tep, fold=fold):
-            dpt, lf = params
-            m = DecisionTreeRegressor(labelCol="_y", featuresCol="features", maxDepth=dpt,
-                                      minInstancesPerNode=lf, seed=seed).fit(trp)
-            return (dpt, lf, fold, _mse(m.transform(tep), "_y"))
-
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            rows += list(pool.map(fit_one, grid))
+        return fold, trp, tep
+
+    def fit_one(task):
+        (fold, trp, tep), params = task
+        m = build(params).fit(trp)
+        return (*[params[k] for k in keys], fold, _mse(m.transform(tep), "_y"))
+
+    # all folds prepared, then every (fold, grid point) fit submitted at once:
+    # Spark runs the small jobs side by side instead of fold by fold
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        prepared = list(pool.map(prepare, range(n_splits)))
+        rows = list(pool.map(fit_one, [(p, g) for p in prepared for g in grid]))
+    for _, trp, tep in prepared:
         trp.unpersist()
         tep.unpersist()
-    scores = spark.createDataFrame(rows, "max_depth int, min_samples_leaf int, fold int, mse double")
-    mean = {}
-    for dpt, lf, _, mse in rows:
-        mean.setdefault((dpt, lf), []).append(mse)
-    best_params = min(grid, key=lambda p: (sum(mean[p]) / len(mean[p]), grid.index(p)))
-    best = {"max_depth": best_params[0], "min_samples_leaf": best_params[1],
-            "mean_mse": sum(mean[best_params]) / len(mean[best_params])}
+    schema = ", ".join(f"{k} int" for k in keys) + ", fold int, mse double"
+    scores = spark.createDataFrame(rows, schema)
+    mean: dict[tuple, list[float]] = {}
+    for r in rows:
+        mean.setdefault(tuple(r[:len(keys)]), []).append(r[-1])
+    best_key = min(mean, key=lambda p: (sum(mean[p]) / len(mean[p]),
+                                        [tuple(g[k] for k in keys) for g in grid].index(p)))
+    best_params = dict(zip(keys, best_key))
+    best = {**best_params, "mean_mse": sum(mean[best_key]) / len(mean[best_key])}
     all_train = folds.where(F.col("train_from_fold").isNotNull())
-    tree = DecisionTreeRegressor(labelCol="_y", featuresCol="features", maxDepth=best_params[0],
-                                 minInstancesPerNode=best_params[1], seed=seed)
-    model = Pipeline(stages=[*stages, tree]).fit(all_train.withColumn("_y", F.col(label).cast("double")))
+    model = Pipeline(stages=[*stages, build(best_params)]).fit(
+        all_train.withColumn("_y", F.col(label).cast("double")))
     tp = model.transform(test)
     test_pred = tp.drop(*[c for c in tp.columns if c.startswith("_") or c == "features"])
     return GridResult(scores=scores, best=best, model=model, test_predictions=test_pred)
+
+
+def grid_search_tree_regressor(spark: SparkSession, folds: DataFrame, test: DataFrame, label: str,
+                               numeric: Sequence[str], text: Sequence[str],
+                               depths: Sequence[int] = (15, 25, 40, 60),
+                               leaves: Sequence[int] = (5, 10, 15, 20), n_splits: int = 5,
+                               seed: int = 42, parallelism: int = 8) -> GridResult:
+    """The reference's single model: regression tree over depth x min-leaf."""
+    return grid_search(spark, folds, test, label, numeric, text,
+                       lambda p: tree_regressor(p, seed), tree_grid(depths, leaves),
+                       n_splits=n_splits, parallelism=parallelism)

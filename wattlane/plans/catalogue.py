@@ -441,7 +441,7 @@ def q_tree_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("forecast_metrics")
 def q_forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forecast_result(spark, sf_dir).metrics
+    return forecast_result(spark, sf_dir).metrics["Decision Tree"]
 
 
 # ------------------------------------------------------------------ spatial

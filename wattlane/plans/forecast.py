@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wattlane.operators.enrich import forecast_dataset
 from wattlane.operators.metrics import forecast_slices, regression_metrics
-from wattlane.operators.models import GridResult, columns_by_kind, grid_search_tree_regressor
+from wattlane.operators.models import GridResult, columns_by_kind, grid_search, tree_grid, tree_regressor
 from wattlane.operators.splits import chrono_holdout, expanding_folds, holdout_size
 from wattlane.session import cut_lineage
 
@@ -28,19 +28,29 @@ NOT_FEATURES = ("localtime", "time", "consumption_filtered", "consumption")
 DEPTHS = (15, 25, 40, 60)
 LEAVES = (5, 10, 15, 20)
 
+# Models by name -> (estimator builder, grid).  The reference has one.
+MODELS = {
+    "Decision Tree": (tree_regressor, tree_grid(DEPTHS, LEAVES)),
+}
+
 
 @dataclass
 class Forecast:
-    grid: GridResult
-    metrics: DataFrame
-    slices: DataFrame
+    grids: dict[str, GridResult]
+    metrics: dict[str, DataFrame]
+    slices: dict[str, DataFrame]
     holdout: DataFrame
 
+    @property
+    def grid(self) -> GridResult:
+        return next(iter(self.grids.values()))
+
 
 def electricity_consumption_forecast(spark: SparkSession, cleaned: DataFrame, weather: DataFrame,
                                      socio: DataFrame, cadaster: DataFrame,
                                      postalcodes: Sequence[str], n_splits: int = 5,
-                                     fold_rows: int = 96, parallelism: int = 8) -> Forecast:
+                                     fold_rows: int = 96, parallelism: int = 8,
+                                     models: dict | None = None) -> Forecast:
     data = cut_lineage(forecast_dataset(cleaned, weather, socio, cadaster))
     with_target = data.where(F.col(TARGET).isNotNull())
     numeric, text = columns_by_kind(with_target, exclude=NOT_FEATURES)
@@ -48,11 +58,14 @@ def electricity_consumption_forecast(spark: SparkSession, cleaned: DataFrame, we
     train = hold.where(F.col("split") == "train")
     test = hold.where(F.col("split") == "test")
     folds = cut_lineage(expanding_folds(train, n_splits, fold_rows))
-    grid = grid_search_tree_regressor(spark, folds, test, TARGET, numeric, text, DEPTHS, LEAVES,
-                                      n_splits=n_splits, parallelism=parallelism)
-    metrics = regression_metrics(grid.test_predictions, TARGET, "prediction")
-    all_rows = grid.model.transform(data.where(F.col("postalcode").isin(list(postalcodes))))
-    pred = all_rows.select("postalcode", "ts_utc", "localtime", "consumption",
-                           F.col("prediction").alias("predicted"))
-    slices = forecast_slices(pred, postalcodes, hours=fold_rows, npred=10)
-    return Forecast(grid=grid, metrics=metrics, slices=slices, holdout=hold)
+    grids, metrics, slices = {}, {}, {}
+    for name, (build, grid_points) in (models or MODELS).items():
+        g = grid_search(spark, folds, test, TARGET, numeric, text, build, grid_points,
+                        n_splits=n_splits, parallelism=parallelism)
+        grids[name] = g
+        metrics[name] = regression_metrics(g.test_predictions, TARGET, "prediction")
+        all_rows = g.model.transform(data.where(F.col("postalcode").isin(list(postalcodes))))
+        pred = all_rows.select("postalcode", "ts_utc", "localtime", "consumption",
+                               F.col("prediction").alias("predicted"))
+        slices[name] = forecast_slices(pred, postalcodes, hours=fold_rows, npred=10)
+    return Forecast(grids=grids, metrics=metrics, slices=slices, holdout=hold)
