@@ -456,7 +456,7 @@ def q_within_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("cadaster_spatial_by_area")
 def q_cadaster_spatial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """data_transformation's cadaster path: spatial join, rename, filter, sum per area."""
+    """The cadaster preparation path: spatial join, rename, filter, sum per area."""
     from wattlane.operators.cadaster import cadaster_by_area, rename_postal
     from wattlane.operators.spatial import join_within
     polys = rename_postal(S.postal_polygons(spark))
