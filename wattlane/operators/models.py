@@ -71,7 +71,8 @@ def preprocessing_stages(numeric: Sequence[str], text: Sequence[str], scale: boo
         ohe = [f"_ohe_{c}" for c in text]
         stages.append(StringIndexer(inputCols=list(text), outputCols=idx, handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"))
+        # the indexer's unknown bucket is the last category; dropLast makes it all zeros
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
         inputs += ohe
         names += [f"{c}=*" for c in text]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))

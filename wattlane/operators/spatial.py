@@ -39,9 +39,15 @@ def polygon_cells(polygons: DataFrame, cell: float, key: str = "postalcode",
 
 def join_within(buildings: DataFrame, polygons: DataFrame, cell: float = 1000.0,
                 ring: str = "geometry", key: str = "postalcode", exterior: str = "exterior",
-                holes: str = "holes") -> DataFrame:
-    """``buildings`` + ``key`` of every polygon the building lies within (left join)."""
-    cells = polygon_cells(polygons, cell, key, exterior, holes)
+                holes: str = "holes", broadcast_rows: int | None = 2_000_000) -> DataFrame:
+    """``buildings`` + ``key`` of every polygon the building lies within (left join).
+
+    The per-cell polygon table is materialised and counted; within
+    ``broadcast_rows`` cells it is broadcast, so a dense cell holding a large
+    share of the buildings costs no shuffle and no single hot task.
+    """
+    from wattlane.operators.enrich import dimension
+    cells = dimension(polygon_cells(polygons, cell, key, exterior, holes), broadcast_rows)
     first = F.col(ring)[0]
     b = (buildings.withColumn("cx", F.floor(first["x"] / cell).cast("long"))
                   .withColumn("cy", F.floor(first["y"] / cell).cast("long")))
