@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from wattlane.operators.rolling import CLEANING_SPECS, RollingSpec, clean_series, rolling, series_index
@@ -53,10 +54,11 @@ def test_clean_series_matches_pandas(spark):
                                    atol=1e-9, equal_nan=True, err_msg=c)
 
 
-def test_split_plan_equals_single_task_plan(spark):
+@pytest.mark.parametrize("engine", ["pandas", "window"])
+def test_split_plan_equals_single_task_plan(spark, engine):
     base = meter_hourly(spark, SF001).withColumn("ts_utc", F.col("time"))
-    specs = list(CLEANING_SPECS)
-    a = rolling(base, "consumption", specs, split=True, block_rows=90, chunk_days=3)
+    specs = list(CLEANING_SPECS) + [RollingSpec("qn", "quantile", 168, 24, q=0.1, interpolation="nearest")]
+    a = rolling(base, "consumption", specs, split=True, block_rows=90, chunk_days=3, engine=engine)
     b = rolling(base, "consumption", specs, split=False)
     cols = ["postalcode", "ts_utc"] + [s.name for s in specs]
     da = a.select(*cols).toPandas().sort_values(cols[:2]).reset_index(drop=True)
