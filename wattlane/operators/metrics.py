@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from wattlane.operators.rolling import series_index
 from wattlane.operators.splits import BROADCAST_ROWS, key_hash_bucket
+from wattlane.session import cut_lineage
 
 
 def accuracy_by_split(pred: DataFrame, label: str = "cluster", prediction: str = "prediction",
@@ -32,7 +33,8 @@ def regression_metrics(pred: DataFrame, label: str, prediction: str,
 
 
 def forecast_slices(pred: DataFrame, postalcodes: Sequence[str], hours: int = 96, npred: int = 10,
-                    seed: int = 42, key: str = "postalcode", order: str = "ts_utc") -> DataFrame:
+                    seed: int = 42, key: str = "postalcode", order: str = "ts_utc",
+                    materialize: bool = True) -> DataFrame:
     """``npred`` windows of ``hours`` consecutive rows per postal code.
 
     The start of window i is md5-hashed from (seed, postal code, i) into
@@ -41,6 +43,9 @@ def forecast_slices(pred: DataFrame, postalcodes: Sequence[str], hours: int = 96
     :func:`series_index`, so no series is sorted in one task.
     """
     rows = pred.where(F.col(key).isin(list(postalcodes)))
+    if materialize:
+        # read three times below (chunk counts, numbering, series lengths)
+        rows = cut_lineage(rows)
     rows = series_index(rows, [key], order, out="row_idx")
     lens = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_len"))
     starts = (lens.where(F.col("_len") >= F.lit(hours))

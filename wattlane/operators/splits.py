@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattlane.session import cut_lineage
+
 # Rows a side table may hold and still be broadcast (tail ranks, slice starts).
 BROADCAST_ROWS = 1_000_000
 
@@ -39,11 +41,16 @@ def hash_split(df: DataFrame, keys: Sequence[str], test_pct: int = 20, seed: int
 
 
 def tail_index(df: DataFrame, order: str, tiebreak: Sequence[str], n: int,
-               out: str = "rev_idx") -> DataFrame:
+               out: str = "rev_idx", materialize: bool = True) -> DataFrame:
     """0-based rank from the end by (order desc, tiebreak desc) for the last ``n`` rows, else NULL.
 
-    ``(order, *tiebreak)`` must identify a row.
+    ``(order, *tiebreak)`` must identify a row.  The input is read three
+    times (instant counts, tail rows, final join); with ``materialize`` it is
+    written once to the shared checkpoint folder instead of being recomputed
+    from its sources three times.
     """
+    if materialize:
+        df = cut_lineage(df)
     inst = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count(F.lit(1)).alias("_c"))
     # one row per distinct instant: bounded by the time span, not by the data
     w_after = Window.orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)

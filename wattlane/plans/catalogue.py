@@ -264,7 +264,8 @@ def forecast_with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def holdout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattlane.operators.splits import chrono_holdout, holdout_size
-    return chrono_holdout(forecast_with_target(spark, sf_dir), holdout_size(HOLDOUT_CODES))
+    from wattlane.session import cut_lineage
+    return cut_lineage(chrono_holdout(forecast_with_target(spark, sf_dir), holdout_size(HOLDOUT_CODES)))
 
 
 def profile_mean_prediction(train: DataFrame) -> DataFrame:

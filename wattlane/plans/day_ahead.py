@@ -25,7 +25,13 @@ class DayAhead:
     dataset: DataFrame
     predictions: DataFrame
     accuracy: DataFrame
-    nodes: DataFrame
+    spark: SparkSession
+    result: object
+
+    @property
+    def nodes(self) -> DataFrame:
+        """M14 node table (saves the tree model when first asked for)."""
+        return tree_nodes(self.spark, self.result.model.stages[-1], self.result.feature_names)
 
 
 def predict_day_ahead(spark: SparkSession, consumption_days: DataFrame, weather: DataFrame,
@@ -40,5 +46,4 @@ def predict_day_ahead(spark: SparkSession, consumption_days: DataFrame, weather:
     ds = cut_lineage(hash_split(ds, ["postalcode", "date"], test_pct=20, seed=42))
     res = train_tree_classifier(ds)
     acc = accuracy_by_split(res.predictions)
-    nodes = tree_nodes(spark, res.model.stages[-1], res.feature_names)
-    return DayAhead(dataset=ds, predictions=res.predictions, accuracy=acc, nodes=nodes)
+    return DayAhead(dataset=ds, predictions=res.predictions, accuracy=acc, spark=spark, result=res)
