@@ -28,3 +28,17 @@ def test_partition_count_invariance(spark):
     a, b = out
     assert a.shape == b.shape
     assert ((a.fillna(-1).round(9) == b.fillna(-1).round(9)).all().all())
+
+
+def test_session_zone_invariance(spark):
+    """Local calendar fields do not depend on the session time zone (fast path vs general path)."""
+    from wattlane.plans.catalogue import QUERIES
+    from .conftest import SF001
+    out = []
+    for tz in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", tz)
+        df = QUERIES["calendar_fields"](spark, SF001)
+        out.append(df.withColumn("localtime", df.localtime.cast("string")).toPandas()
+                   .sort_values("event_id").reset_index(drop=True))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert out[0].equals(out[1])
