@@ -33,3 +33,12 @@ def test_complete_day_shares_sum_to_100(spark):
     wide = profile_wide(profile_long(df)).toPandas()
     shares = wide[[str(h) for h in range(0, 24, 3)]].iloc[0]
     assert abs(shares.sum() - 100.0) < 1e-9
+
+
+def test_rows_with_missing_keys_are_dropped(spark):
+    rows = [("a", dt.date(2024, 1, 1), h, 1.0) for h in range(24)] + [(None, dt.date(2024, 1, 1), 0, 5.0),
+                                                                       ("a", None, 0, 5.0)]
+    df = spark.createDataFrame(rows, "postalcode string, date date, hour int, consumption_filtered double")
+    long = profile_long(df).toPandas()
+    assert set(long.postalcode) == {"a"} and long.date.notna().all()
+    assert abs(long.daily_consumption.iloc[0] - 24.0) < 1e-12

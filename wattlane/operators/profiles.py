@@ -52,8 +52,9 @@ def profile_long(cleaned: DataFrame, n_hours: int = 3, value: str = "consumption
     A bucket with a missing hour is missing; the share is missing when the day
     is incomplete even if the bucket is complete.
     """
-    df = strict_daily_total(cleaned.select(key, "date", "hour", value), value=value,
-                            keys=(key, "date"))
+    # pandas groupby drops rows whose group key is missing
+    rows = cleaned.select(key, "date", "hour", value).where(F.col(key).isNotNull() & F.col("date").isNotNull())
+    df = strict_daily_total(rows, value=value, keys=(key, "date"))
     df = df.withColumn("hour", bucket_start("hour", n_hours))
     long = (df.groupBy(key, "hour", "date", "daily_consumption")
               .agg((strict_avg(value) * F.lit(n_hours)).alias("consumption_filtered")))

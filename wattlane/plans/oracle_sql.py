@@ -89,7 +89,8 @@ PROFILE_LONG = f"""
         FROM (
             SELECT postalcode, date, CAST(floor(hour / 3) * 3 AS INTEGER) AS hour, consumption_filtered,
                    {STRICT_DAY} AS daily_consumption
-            FROM cleaned WINDOW d AS (PARTITION BY postalcode, date)
+            FROM cleaned WHERE postalcode IS NOT NULL AND date IS NOT NULL
+            WINDOW d AS (PARTITION BY postalcode, date)
         ) s
         GROUP BY postalcode, hour, date, daily_consumption
     ) g"""
