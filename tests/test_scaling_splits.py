@@ -1,6 +1,5 @@
 """Scaling properties, splits and folds."""
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

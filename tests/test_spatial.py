@@ -2,7 +2,6 @@
 
 import math
 
-from pyspark.sql import functions as F
 
 from wattlane.functions.geometry import centroid, lonlat_to_tm
 from wattlane.operators.spatial import join_within
