@@ -58,3 +58,17 @@ def test_read_gml(spark):
     assert r.numberOfDwellings == 12 and r.value == 850
     assert [(p.x, p.y) for p in r.geometry][:2] == [(300000.0, 4600000.0), (300010.0, 4600000.0)]
     assert len(r.geometry) == 4
+
+
+def test_load_curve_outputs_round_trip(spark):
+    from wattlane.plans.catalogue import cleaned_meter
+    from wattlane.plans.load_curves import identify_load_curves, write_outputs
+
+    from .conftest import SF001
+    res = identify_load_curves(cleaned_meter(spark, SF001), "z_norm_scaling", 3, do_silhouette=True)
+    paths = write_outputs(res, tempfile.mkdtemp(prefix="wattlane-out-"))
+    assert set(paths) >= {"labels", "merges", "top_merges", "daily_curves", "centroids_wide", "silhouette"}
+    assert spark.read.parquet(paths["labels"]).count() == res.labels.count()
+    sil = spark.read.parquet(paths["silhouette"]).toPandas()
+    assert sorted(sil.k) == list(range(2, 10)) and sil.silhouette.between(-1, 1).all()
+    assert spark.read.parquet(paths["top_merges"]).count() == 2

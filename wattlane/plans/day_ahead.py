@@ -47,3 +47,10 @@ def predict_day_ahead(spark: SparkSession, consumption_days: DataFrame, weather:
     res = train_tree_classifier(ds)
     acc = accuracy_by_split(res.predictions)
     return DayAhead(dataset=ds, predictions=res.predictions, accuracy=acc, spark=spark, result=res)
+
+
+def write_outputs(result: DayAhead, base_path: str) -> dict[str, str]:
+    """Predictions, accuracy per split and the tree's node table."""
+    from wattlane.sources.sinks import write_tables
+    return write_tables({"predictions": result.predictions, "accuracy": result.accuracy,
+                         "tree_nodes": result.nodes}, base_path)

@@ -69,3 +69,15 @@ def electricity_consumption_forecast(spark: SparkSession, cleaned: DataFrame, we
                                F.col("prediction").alias("predicted"))
         slices[name] = forecast_slices(pred, postalcodes, hours=fold_rows, npred=10)
     return Forecast(grids=grids, metrics=metrics, slices=slices, holdout=hold)
+
+
+def write_outputs(result: Forecast, base_path: str) -> dict[str, str]:
+    """Per model the grid scores, hold-out metrics and predicted-vs-actual windows."""
+    from wattlane.sources.sinks import write_tables
+    tables = {}
+    for name, g in result.grids.items():
+        slug = name.lower().replace(" ", "_")
+        tables[f"{slug}_grid"] = g.scores
+        tables[f"{slug}_metrics"] = result.metrics[name]
+        tables[f"{slug}_windows"] = result.slices[name]
+    return write_tables(tables, base_path)

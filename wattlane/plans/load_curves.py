@@ -70,3 +70,9 @@ def silhouette_sweep(matrix: DataFrame, res: WardResult, cols, ks=SWEEP_KS) -> D
         s = silhouette_score(lab, cols, "cluster").select(F.lit(k).alias("k"), "n", "silhouette")
         out = s if out is None else out.unionByName(s)
     return out
+
+
+def write_outputs(result: LoadCurves, base_path: str) -> dict[str, str]:
+    """Labels and the tables behind the dendrogram, curve and silhouette figures."""
+    from wattlane.sources.sinks import write_tables
+    return write_tables({"labels": result.labels, **result.tables}, base_path)
