@@ -4,10 +4,10 @@
   text), so it does not depend on partitioning or row order and is the same
   in any engine that has md5.
 * ``chrono_holdout``: the last ``n_test`` rows in time order are the test
-  set.  Rows are counted per instant; the running count from the end over
-  the small table of instants finds the instants that reach into the tail;
-  only rows of those instants (at most ``n_test`` plus one instant) are
-  ranked.
+  set.  Rows are counted per hour; the running count from the end over the
+  small table of hours finds the hours that reach into the tail; only rows of
+  those hours are ranked, at most ``n_test`` per hour after Spark's
+  per-partition group limit.
 * ``expanding_folds``: ``TimeSeriesSplit(n_splits, test_size)`` as two
   columns per row: the fold the row is a test row of, and the first fold it
   trains in.  No row is copied per fold.
@@ -40,27 +40,43 @@ def hash_split(df: DataFrame, keys: Sequence[str], test_pct: int = 20, seed: int
     return df.withColumn(out, F.when(b < F.lit(test_pct), "test").otherwise("train"))
 
 
+def _bucket(df: DataFrame, order: str) -> Column:
+    """Coarse bucket of the order column: the hour for timestamps, the value otherwise."""
+    from pyspark.sql import types as T
+    dt = df.schema[order].dataType
+    c = F.col(order)
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.lit(0), F.lit(0))
+    return c
+
+
 def tail_index(df: DataFrame, order: str, tiebreak: Sequence[str], n: int,
                out: str = "rev_idx", materialize: bool = True) -> DataFrame:
     """0-based rank from the end by (order desc, tiebreak desc) for the last ``n`` rows, else NULL.
 
-    ``(order, *tiebreak)`` must identify a row.  The input is read three
-    times (instant counts, tail rows, final join); with ``materialize`` it is
-    written once to the shared checkpoint folder instead of being recomputed
-    from its sources three times.
+    ``(order, *tiebreak)`` must identify a row.  Rows are counted per hour
+    bucket (a table bounded by the time span, whatever the timestamp
+    resolution); a running count from the end over that table finds the
+    buckets that reach into the tail; only their rows are ranked, with a pure
+    ``row_number() <= n`` limit that Spark applies per partition before the
+    exchange (``WindowGroupLimit``).  The input is read three times; with
+    ``materialize`` it is written once to the shared checkpoint folder.
     """
     if materialize:
         df = cut_lineage(df)
-    inst = df.where(F.col(order).isNotNull()).groupBy(order).agg(F.count(F.lit(1)).alias("_c"))
-    # one row per distinct instant: bounded by the time span, not by the data
-    w_after = Window.orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    reach = (inst.withColumn("_after", F.coalesce(F.sum("_c").over(w_after), F.lit(0)))
-                 .where(F.col("_after") < F.lit(n)).drop("_c"))           # at most n rows
+    b = df.where(F.col(order).isNotNull()).withColumn("_b", _bucket(df, order))
+    counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    # one row per hour bucket: bounded by the time span, not by the data
+    w_after = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reach = (counts.withColumn("_after", F.coalesce(F.sum("_c").over(w_after), F.lit(0)))
+                   .where(F.col("_after") < F.lit(n)).drop("_c"))          # at most n rows
     reach = F.broadcast(reach) if n <= BROADCAST_ROWS else reach
-    w_in = Window.partitionBy(order).orderBy(*[F.col(t).desc() for t in tiebreak])
-    tail = (df.select(order, *tiebreak).join(reach, order)
-              .withColumn(out, F.col("_after") + F.row_number().over(w_in) - F.lit(1))
-              .where(F.col(out) < F.lit(n)).drop("_after"))               # at most n rows
+    w_in = Window.partitionBy("_b").orderBy(F.col(order).desc(), *[F.col(t).desc() for t in tiebreak])
+    tail = (b.select("_b", order, *tiebreak).join(reach, "_b")
+              .withColumn("_rn", F.row_number().over(w_in))
+              .where(F.col("_rn") <= F.lit(n))                             # group limit
+              .withColumn(out, F.col("_after") + F.col("_rn") - F.lit(1))
+              .where(F.col(out) < F.lit(n)).drop("_after", "_rn", "_b"))  # at most n rows
     tail = F.broadcast(tail) if n <= BROADCAST_ROWS else tail
     return df.join(tail, [order, *tiebreak], "left")
 
