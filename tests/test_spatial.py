@@ -62,3 +62,20 @@ def test_polygon_from_wkt(spark):
     assert [(v.x, v.y) for v in r[0].p.exterior] == [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)]
     assert len(r[0].p.holes) == 1 and (r[0].p.holes[0][1].x, r[0].p.holes[0][1].y) == (4, 2)
     assert len(r[1].p.exterior) == 4 and r[1].p.holes == []
+
+
+def test_polygons_reprojected_before_join(spark):
+    from wattlane.operators.spatial import to_cadaster_crs
+    # a lon/lat square around Lleida and a 20 m building near its centre, given in UTM 31N
+    polys = spark.createDataFrame(
+        [("25001", [(0.55, 41.58), (0.70, 41.58), (0.70, 41.66), (0.55, 41.66)], [])],
+        "postalcode string, exterior array<struct<x:double,y:double>>, "
+        "holes array<array<struct<x:double,y:double>>>")
+    utm = to_cadaster_crs(polys, 4326)
+    centre = spark.createDataFrame([(0.62, 41.62)], "lon double, lat double").select(
+        lonlat_to_tm("lon", "lat").alias("p")).first().p
+    b = spark.createDataFrame([("b1", _sq(centre.x - 10, centre.y - 10, centre.x + 10, centre.y + 10))],
+                              "cadastralref string, geometry array<struct<x:double,y:double>>")
+    got = join_within(b, utm, cell=1000.0).collect()
+    assert [(r.cadastralref, r.postalcode) for r in got] == [("b1", "25001")]
+    assert 290000 < centre.x < 310000 and 4600000 < centre.y < 4620000   # Lleida in UTM 31N

@@ -65,3 +65,17 @@ def with_centroid(df: DataFrame, ring: str = "geometry", holes: str | None = Non
                   out: str = "centroid") -> DataFrame:
     """area centroid of each polygon."""
     return df.withColumn(out, G.centroid(ring, holes))
+
+
+def to_cadaster_crs(polygons: DataFrame, source_srid: int, exterior: str = "exterior",
+                    holes: str = "holes") -> DataFrame:
+    """F12 before J1: postal polygons into the buildings' CRS (ETRS89 / UTM 31N).
+
+    ``source_srid`` is 4326 (lon/lat degrees) or 25831 (already projected, no-op).
+    """
+    if source_srid == 25831:
+        return polygons
+    return polygons.withColumns({
+        exterior: G.reproject_ring(exterior, source_srid),
+        holes: F.transform(F.col(holes), lambda h: G.reproject_ring(h, source_srid)),
+    })
