@@ -37,3 +37,13 @@ def test_dimension_broadcast_is_checked(spark):
     assert "BroadcastHashJoin" in plan
     plan2 = fact.join(dimension(dim, 5), "k")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan2 or "AdaptiveSparkPlan" in plan2
+
+
+def test_single_category_and_all_missing_feature(spark):
+    from wattlane.operators.models import present_columns
+    train = spark.createDataFrame([(1.0, "a", None), (2.0, "a", None)], "x double, t string, z double")
+    stages, _ = preprocessing_stages(["x"], ["t"], impute=False)
+    model = Pipeline(stages=stages).fit(train)
+    rows = model.transform(train).select(vector_to_array("features").alias("f")).collect()
+    assert all(len(r.f) == 2 for r in rows)                 # one slot for the single category
+    assert present_columns(train, ["x", "z"]) == ["x"]

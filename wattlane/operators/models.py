@@ -79,6 +79,18 @@ def preprocessing_stages(numeric: Sequence[str], text: Sequence[str], scale: boo
     return stages, names
 
 
+def present_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
+    """Columns with at least one value in ``df`` (one aggregate row).
+
+    An all-missing feature carries no information - a tree never splits on
+    it - and MLlib's imputer cannot fit it, so it is left out.
+    """
+    if not cols:
+        return []
+    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    return [c for i, c in enumerate(cols) if row[f"n{i}"] > 0]
+
+
 def with_missing_indicators(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """``<col>_missing`` = 1.0 where the value is missing."""
     names = [f"{c}_missing" for c in cols]
@@ -102,6 +114,7 @@ def train_tree_classifier(ds: DataFrame, label: str = "cluster",
     """Entropy tree (depth 4, at least 20 rows per leaf) on the 'train' rows."""
     from pyspark.ml.classification import DecisionTreeClassifier
     numeric, _ = columns_by_kind(ds, exclude=[*drop, split_col])
+    numeric = present_columns(ds.where(F.col(split_col) == "train"), numeric)
     d, ind = with_missing_indicators(ds, numeric)
     stages, names = preprocessing_stages(numeric, [], scale=False)
     # indicators go in after the imputed values
@@ -185,7 +198,15 @@ def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: s
     """
     grid = list(grid)
     keys = sorted(grid[0])
-    stages, _ = preprocessing_stages(numeric, text, impute=False)
+    # MLlib trees refuse missing values: impute (mean, refitted per fold) the
+    # numeric features that have any value in the training rows
+    numeric = present_columns(folds.where(F.col("train_from_fold").isNotNull()), numeric)
+    stages, _ = preprocessing_stages(numeric, text, impute=True)
+
+    first_train = folds.where(F.col("train_from_fold") == 0).limit(1).count()
+    if not first_train:
+        raise ValueError(f"too few training rows for {n_splits} folds: every fold needs rows "
+                         "before its test block")
 
     def prepare(fold):
         tr, te = fold_frames(folds, fold)

@@ -50,11 +50,14 @@ def electricity_consumption_forecast(spark: SparkSession, cleaned: DataFrame, we
                                      socio: DataFrame, cadaster: DataFrame,
                                      postalcodes: Sequence[str], n_splits: int = 5,
                                      fold_rows: int = 96, parallelism: int = 8,
-                                     models: dict | None = None) -> Forecast:
+                                     models: dict | None = None,
+                                     holdout_rows: int | None = None) -> Forecast:
+    """``holdout_rows`` defaults to the reference's 20 x 96 rows per listed postal code."""
     data = cut_lineage(forecast_dataset(cleaned, weather, socio, cadaster))
     with_target = data.where(F.col(TARGET).isNotNull())
     numeric, text = columns_by_kind(with_target, exclude=NOT_FEATURES)
-    hold = cut_lineage(chrono_holdout(with_target, holdout_size(len(postalcodes))))
+    n_test = holdout_rows if holdout_rows is not None else holdout_size(len(postalcodes))
+    hold = cut_lineage(chrono_holdout(with_target, n_test))
     train = hold.where(F.col("split") == "train")
     test = hold.where(F.col("split") == "test")
     folds = cut_lineage(expanding_folds(train, n_splits, fold_rows))
