@@ -504,3 +504,14 @@ def q_profile_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_table_path(spark, "profile-csv")
     write_profile_csv(profile_long_meter(spark, sf_dir), path)
     return read_profile_csv(spark, path)
+
+
+@query("gml_buildings")
+def q_gml_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 round trip: footprint buildings written as GML features, read back by element paths."""
+    from wattlane.session import scratch_table_path
+    from wattlane.sources.gml import read_gml_buildings, write_gml_buildings
+    path = scratch_table_path(spark, "gml")
+    write_gml_buildings(S.footprint_buildings(spark, sf_dir), path)
+    return read_gml_buildings(spark, path, row_tag="Building").select(
+        "reference", "currentUse", "conditionOfConstruction", "numberOfDwellings", "value", "geometry")

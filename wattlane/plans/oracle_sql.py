@@ -478,3 +478,7 @@ SELECT c_custkey, {_TM_OUT} FROM ({_TM_INNER}) b"""
 
 ORACLE["profile_csv"] = with_profiles() + """
 SELECT postalcode, hour, date, daily_consumption, consumption_filtered, consumption FROM long_profile"""
+
+ORACLE["gml_buildings"] = sql_with("footprints", "footprint_buildings") + """
+SELECT reference, currentUse, conditionOfConstruction, numberOfDwellings, value, geometry
+FROM footprint_buildings"""

@@ -111,3 +111,32 @@ def read_gml_buildings(spark: SparkSession, paths: str | Sequence[str],
                  else F.lit(None).cast("array<struct<x:double,y:double>>")).alias("geometry"))
     cols.append(F.input_file_name().alias("source_file"))
     return raw.select(*cols)
+
+
+def ring_to_poslist(ring: Column) -> Column:
+    """array<struct<x, y>> -> 'x1 y1 x2 y2 ...'."""
+    return F.concat_ws(" ", F.flatten(F.transform(ring, lambda p: F.array(p["x"].cast("string"),
+                                                                         p["y"].cast("string")))))
+
+
+def write_gml_buildings(buildings: DataFrame, path: str, row_tag: str = "Building",
+                        root_tag: str = "FeatureCollection") -> None:
+    """Buildings (GML field names + ``geometry`` ring) as GML features, element
+    paths as in the cadastral layout.  Spark's XML writer cannot emit
+    namespace prefixes, so elements carry local names; the reader matches
+    local names either way."""
+    def nest(col: Column, *names: str) -> Column:
+        """``col`` inside elements ``names`` (innermost first)."""
+        for n in names:
+            col = F.struct(col).alias(n)
+        return col
+    ring = nest(ring_to_poslist(F.col("geometry")).alias("posList"),
+                "LinearRing", "exterior", "PolygonPatch", "patches", "Surface", "geometry",
+                "BuildingGeometry", "geometry")
+    feats = buildings.select(
+        *[F.col(c) for c in ("conditionOfConstruction", "currentUse", "reference", "numberOfDwellings")
+          if c in buildings.columns],
+        nest(F.col("value").alias("value"), "OfficialArea", "officialArea"),
+        ring)
+    (feats.write.format("xml").option("rowTag", row_tag).option("rootTag", root_tag)
+     .mode("overwrite").save(path))
