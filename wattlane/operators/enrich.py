@@ -32,6 +32,15 @@ def dimension(df: DataFrame, broadcast_rows: int | None = BROADCAST_ROWS) -> Dat
     return F.broadcast(d) if d.count() <= broadcast_rows else d
 
 
+def dimensions(dfs: list[DataFrame], broadcast_rows: int | None = BROADCAST_ROWS) -> list[DataFrame]:
+    """:func:`dimension` for several tables, materialised concurrently (independent jobs)."""
+    if broadcast_rows is None or len(dfs) < 2:
+        return [dimension(d, broadcast_rows) for d in dfs]
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(dfs)) as pool:
+        return list(pool.map(lambda d: dimension(d, broadcast_rows), dfs))
+
+
 def socio_with_year(socio: DataFrame) -> DataFrame:
     """``year`` as INT whatever its source type (date, text or integer)."""
     return socio.withColumn("year", year_of("year", socio.schema["year"].dataType))
@@ -42,9 +51,10 @@ def classification_dataset(consumption_daily: DataFrame, weather_daily: DataFram
                            key: str = "postalcode",
                            broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
     """Daily rows with socioeconomic, cadaster and weather features."""
+    socio_d, cad_d = dimensions([socio_with_year(socio), cadaster], broadcast_rows)
     df = consumption_daily.withColumn("year", F.year("date"))
-    df = df.join(dimension(socio_with_year(socio), broadcast_rows), [key, "year"], "left")
-    df = df.join(dimension(cadaster, broadcast_rows), [key], "left")
+    df = df.join(socio_d, [key, "year"], "left")
+    df = df.join(cad_d, [key], "left")
     df = df.join(weather_daily, [key, "date"], "left")
     return df.withColumns({"month": month_number("date"), "weekday": weekday_monday0("date")})
 
@@ -67,8 +77,9 @@ def forecast_dataset(cleaned: DataFrame, weather: DataFrame, socio: DataFrame,
                            "consumption_filtered", "consumption")
                    .withColumn("year", F.year("localtime")))
     w = weather.withColumn("_wts", utc_column(weather, weather_time))
-    df = (base.join(dimension(socio_with_year(socio), broadcast_rows), [key, "year"])
-              .join(dimension(cadaster, broadcast_rows), [key])
+    socio_d, cad_d = dimensions([socio_with_year(socio), cadaster], broadcast_rows)
+    df = (base.join(socio_d, [key, "year"])
+              .join(cad_d, [key])
               .join(w, (base[key] == w[key]) & (base["ts_utc"] == w["_wts"]))
               .drop(w[key]).drop("_wts"))
     return df.withColumns({"month": month_text("localtime"), "weekday": weekday_iso_text("localtime")})
