@@ -186,6 +186,9 @@ def rolling(df: DataFrame, value: str, specs: Sequence[RollingSpec],
         for s in in_window})
     if in_pandas:
         from pyspark.sql import types as T
+
+        from wattlane.session import ship_package
+        ship_package(df.sparkSession)
         schema = T.StructType(out.schema.fields + [T.StructField(s.name, T.DoubleType()) for s in in_pandas])
         out = out.groupBy(*keys, "_blk").applyInPandas(_block_frames(in_pandas, value), schema)
     out = out.withColumns({s.name: F.when(present, F.col(s.name)) for s in specs})

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattlane.functions.hierarchy import cut_labels, ward_merges
-from wattlane.session import cut_lineage
+from wattlane.session import cut_lineage, ship_package
 
 TREE_SCHEMA = ("kind string, leaf long, k int, cluster int, merge_id long, left_node long, "
                "right_node long, height double, size long")
@@ -105,6 +105,7 @@ def ward(df: DataFrame, features: Sequence[str], ks: Sequence[int], keys: Sequen
                       .agg(F.count(F.lit(1)).alias("w"),
                            *[F.avg(F.col("_v")[i]).alias(f"_c{i}") for i in range(d)])
                       .select("leaf", F.array(*[F.col(f"_c{i}") for i in range(d)]).alias("v"), "w"))
+    ship_package(df.sparkSession)
     tree = (leaf_table.groupBy(F.lit(0).alias("_g"))
             .applyInPandas(lambda pdf: _tree_task(list(ks))(pdf.drop(columns=["_g"], errors="ignore")), TREE_SCHEMA))
     tree = cut_lineage(tree)

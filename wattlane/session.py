@@ -76,3 +76,35 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for an intermediate table."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/wattlane-{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``wattlane`` importable in the Python workers (``addPyFile`` of a zip).
+
+    Operators that run Python in tasks (pandas frame kernels, the Ward merge
+    task) call this; the zip is built once per application on the driver and
+    Spark distributes it to every executor.
+    """
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions: install the package on the cluster
+        return
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import wattlane
+    root = os.path.dirname(os.path.abspath(wattlane.__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="wattlane-pyfiles-"), "wattlane.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.join("wattlane", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    _SHIPPED.add(app)
