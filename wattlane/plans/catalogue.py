@@ -513,5 +513,8 @@ def q_gml_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattlane.sources.gml import read_gml_buildings, write_gml_buildings
     path = scratch_table_path(spark, "gml")
     write_gml_buildings(S.footprint_buildings(spark, sf_dir), path)
+    from pyspark.sql import functions as F
+    coords = F.flatten(F.transform("geometry", lambda p: F.array(p["x"], p["y"])))
     return read_gml_buildings(spark, path, row_tag="Building").select(
-        "reference", "currentUse", "conditionOfConstruction", "numberOfDwellings", "value", "geometry")
+        "reference", "currentUse", "conditionOfConstruction", "numberOfDwellings", "value",
+        coords.alias("coords"))

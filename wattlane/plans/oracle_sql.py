@@ -480,5 +480,6 @@ ORACLE["profile_csv"] = with_profiles() + """
 SELECT postalcode, hour, date, daily_consumption, consumption_filtered, consumption FROM long_profile"""
 
 ORACLE["gml_buildings"] = sql_with("footprints", "footprint_buildings") + """
-SELECT reference, currentUse, conditionOfConstruction, numberOfDwellings, value, geometry
+SELECT reference, currentUse, conditionOfConstruction, numberOfDwellings, value,
+       flatten(list_transform(geometry, lambda p: [p.x, p.y])) AS coords
 FROM footprint_buildings"""
