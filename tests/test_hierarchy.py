@@ -59,3 +59,24 @@ def test_cut_matches_brute_force_partition():
         assert got == want
         sizes = [np.sum(lab == c) for c in range(k)]
         assert sizes == sorted(sizes, reverse=True)    # canonical numbering
+
+
+def test_weighted_silhouette_equals_expanded_brute_force():
+    from wattlane.functions.hierarchy import weighted_silhouette
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 3))
+    w = rng.integers(1, 4, size=40)
+    lab = rng.integers(0, 3, size=40)
+    lab[0] = 5                                   # a singleton cluster (weight may be > 1)
+    xe, le = np.repeat(x, w, axis=0), np.repeat(lab, w)
+    d = np.sqrt(((xe[:, None, :] - xe[None, :, :]) ** 2).sum(-1))
+    s = []
+    for i in range(len(xe)):
+        own = le == le[i]
+        if own.sum() == 1:
+            s.append(0.0)
+            continue
+        a = d[i, own].sum() / (own.sum() - 1)
+        b = min(d[i, le == c].mean() for c in set(le) if c != le[i])
+        s.append((b - a) / max(a, b))
+    assert abs(weighted_silhouette(x, w, lab, block=7) - np.mean(s)) < 1e-10

@@ -29,11 +29,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattlane.functions.hierarchy import cut_labels, ward_merges
+from wattlane.functions.hierarchy import cut_labels, ward_merges, weighted_silhouette
 from wattlane.session import cut_lineage, ship_package
 
 TREE_SCHEMA = ("kind string, leaf long, k int, cluster int, merge_id long, left_node long, "
-               "right_node long, height double, size long")
+               "right_node long, height double, size long, score double")
 
 
 @dataclass
@@ -42,6 +42,7 @@ class WardResult:
     merges: DataFrame                 # merge_id, left_node, right_node, height, size
     leaves: int
     exact: bool
+    silhouette: DataFrame | None = None   # k, n, silhouette (Euclidean; exact mode only)
 
     def top_merges(self, p: int) -> DataFrame:
         """M8: the last ``p - 1`` merges (``truncate_mode='lastp'``)."""
@@ -52,7 +53,7 @@ def _vector(cols: Sequence[str]):
     return F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
 
 
-def _tree_task(ks: Sequence[int]):
+def _tree_task(ks: Sequence[int], with_silhouette: bool = False):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("leaf")
         leaf = pdf["leaf"].to_numpy()
@@ -63,22 +64,31 @@ def _tree_task(ks: Sequence[int]):
             "kind": "merge", "leaf": None, "k": None, "cluster": None,
             "merge_id": np.arange(len(merges), dtype=np.int64),
             "left_node": merges[:, 0].astype(np.int64), "right_node": merges[:, 1].astype(np.int64),
-            "height": merges[:, 2], "size": merges[:, 3].astype(np.int64)})]
+            "height": merges[:, 2], "size": merges[:, 3].astype(np.int64), "score": None})]
         for k in ks:
             lab = cut_labels(merges, w, min(k, len(leaf))) if len(leaf) else np.zeros(0, np.int64)
             parts.append(pd.DataFrame({
                 "kind": "label", "leaf": leaf.astype(np.int64), "k": k, "cluster": lab.astype(np.int32),
-                "merge_id": None, "left_node": None, "right_node": None, "height": None, "size": None}))
+                "merge_id": None, "left_node": None, "right_node": None, "height": None, "size": None,
+                "score": None}))
+            if with_silhouette and len(leaf) > 1:
+                parts.append(pd.DataFrame({
+                    "kind": ["silhouette"], "leaf": [None], "k": [k], "cluster": [None], "merge_id": [None],
+                    "left_node": [None], "right_node": [None], "height": [None],
+                    "size": [int(w.sum())], "score": [weighted_silhouette(x, w, lab)]}))
         return pd.concat(parts, ignore_index=True)
     return run
 
 
 def ward(df: DataFrame, features: Sequence[str], ks: Sequence[int], keys: Sequence[str],
-         max_exact: int = 2000, micro_clusters: int | None = None, seed: int = 42) -> WardResult:
+         max_exact: int = 2000, micro_clusters: int | None = None, seed: int = 42,
+         silhouette: bool = False) -> WardResult:
     """M5-M7: Ward clustering of the rows of ``df`` on ``features``.
 
     Returns labels per k for the rows (``keys`` + ``cluster``) and the merge
     table.  Leaves are distinct vectors (exact) or K-means micro-clusters.
+    With ``silhouette`` and exact leaves, the Euclidean silhouette of every cut
+    (M9, the reference's metric) is computed in the same bounded task.
     """
     keys = list(keys)
     pts = df.select(*keys, _vector(features).alias("_v"))
@@ -107,7 +117,8 @@ def ward(df: DataFrame, features: Sequence[str], ks: Sequence[int], keys: Sequen
                       .select("leaf", F.array(*[F.col(f"_c{i}") for i in range(d)]).alias("v"), "w"))
     ship_package(df.sparkSession)
     tree = (leaf_table.groupBy(F.lit(0).alias("_g"))
-            .applyInPandas(lambda pdf: _tree_task(list(ks))(pdf.drop(columns=["_g"], errors="ignore")), TREE_SCHEMA))
+            .applyInPandas(lambda pdf: _tree_task(list(ks), silhouette and exact)(
+                pdf.drop(columns=["_g"], errors="ignore")), TREE_SCHEMA))
     tree = cut_lineage(tree)
     merges = (tree.where(F.col("kind") == "merge")
                   .select("merge_id", "left_node", "right_node", "height", "size"))
@@ -115,8 +126,12 @@ def ward(df: DataFrame, features: Sequence[str], ks: Sequence[int], keys: Sequen
     for k in ks:
         lab = tree.where((F.col("kind") == "label") & (F.col("k") == k)).select("leaf", "cluster")
         labels[k] = assign.join(F.broadcast(lab), "leaf").select(*keys, "cluster")
+    sil = None
+    if silhouette and exact:
+        sil = (tree.where(F.col("kind") == "silhouette")
+                   .select("k", F.col("size").alias("n"), F.col("score").alias("silhouette")))
     return WardResult(labels=labels, merges=merges, leaves=m if exact else (micro_clusters or max_exact),
-                      exact=exact)
+                      exact=exact, silhouette=sil)
 
 
 def kmeans_labels(df: DataFrame, features: Sequence[str], keys: Sequence[str], k: int,

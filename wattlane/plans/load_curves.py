@@ -46,7 +46,8 @@ def identify_load_curves(cleaned: DataFrame, scaling_method: str = "no_scaling",
     cols = bucket_columns(n_hours)
     matrix = profile_matrix(cleaned, scaling_method, n_hours)
     ks = sorted({n_clusters, *(SWEEP_KS if do_silhouette else ())})
-    res = ward(matrix, cols, ks, keys=["postalcode", "date"], max_exact=max_exact)
+    res = ward(matrix, cols, ks, keys=["postalcode", "date"], max_exact=max_exact,
+               silhouette=do_silhouette)
     labels = res.labels[n_clusters].withColumn("date", F.col("date").cast("date"))
     hours = curves.labelled_hours(cleaned, labels)
     tables = {
@@ -63,7 +64,14 @@ def identify_load_curves(cleaned: DataFrame, scaling_method: str = "no_scaling",
 
 
 def silhouette_sweep(matrix: DataFrame, res: WardResult, cols, ks=SWEEP_KS) -> DataFrame:
-    """M9: silhouette of the tree cut at each k (one tree, cut k times)."""
+    """M9: silhouette of the tree cut at each k (one tree, cut k times).
+
+    Exact Ward: the Euclidean silhouette computed in the bounded Ward task.
+    Reduced Ward (above ``max_exact``): squared-Euclidean sufficient statistics
+    over all rows.
+    """
+    if res.silhouette is not None:
+        return res.silhouette.where(F.col("k").isin(list(ks)))
     out = None
     for k in ks:
         lab = matrix.join(res.labels[k], ["postalcode", "date"])
