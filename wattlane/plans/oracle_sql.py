@@ -21,7 +21,10 @@ CLEANED = f"""
         SELECT *, CASE WHEN rolling_std <> 0 THEN (consumption - rolling_mean) / rolling_std END AS z_norm
         FROM (
             SELECT *,
-                CASE WHEN count(consumption) OVER w48 >= 4 THEN avg(consumption) OVER w48 END AS rolling_mean,
+                CASE WHEN count(consumption) OVER w48 >= 4 THEN
+                    (CAST(sum(CAST(floor(consumption * 1000000.0) AS BIGINT)) OVER w48 AS DOUBLE)
+                     + sum(consumption * 1000000.0 - floor(consumption * 1000000.0)) OVER w48)
+                    / CAST(count(consumption) OVER w48 AS DOUBLE) / 1000000.0 END AS rolling_mean,
                 CASE WHEN count(consumption) OVER w48 >= 4 THEN stddev_samp(consumption) OVER w48 END AS rolling_std,
                 CASE WHEN count(consumption) OVER w168 >= 24 THEN quantile_cont(consumption, 0.1) OVER w168 END
                     AS rolling_q10
