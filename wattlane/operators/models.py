@@ -220,14 +220,16 @@ def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: s
         m = build(params).fit(trp)
         return (*[params[k] for k in keys], fold, _mse(m.transform(tep), "_y"))
 
-    # all folds prepared, then every (fold, grid point) fit submitted at once:
-    # Spark runs the small jobs side by side instead of fold by fold
+    # one fold at a time (each fold's training rows are nearly the whole
+    # training set: only one persisted copy exists at any moment); the grid
+    # points of a fold are fitted concurrently
+    rows = []
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        prepared = list(pool.map(prepare, range(n_splits)))
-        rows = list(pool.map(fit_one, [(p, g) for p in prepared for g in grid]))
-    for _, trp, tep in prepared:
-        trp.unpersist()
-        tep.unpersist()
+        for fold in range(n_splits):
+            prepared = prepare(fold)
+            rows += list(pool.map(fit_one, [(prepared, g) for g in grid]))
+            prepared[1].unpersist()
+            prepared[2].unpersist()
     schema = ", ".join(f"{k} int" for k in keys) + ", fold int, mse double"
     scores = spark.createDataFrame(rows, schema)
     mean: dict[tuple, list[float]] = {}
