@@ -190,7 +190,7 @@ def tree_grid(depths: Sequence[int] = (15, 25, 40, 60),
 
 def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: str,
                 numeric: Sequence[str], text: Sequence[str], build, grid: Sequence[dict],
-                n_splits: int = 5, parallelism: int = 8) -> GridResult:
+                n_splits: int = 5, parallelism: int | None = None) -> GridResult:
     """Every grid point on every expanding fold, mean MSE, best refitted on all training rows.
 
     Preprocessing is fitted inside each fold (on that fold's training rows),
@@ -224,7 +224,7 @@ def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: s
     # training set: only one persisted copy exists at any moment); the grid
     # points of a fold are fitted concurrently
     rows = []
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+    with ThreadPoolExecutor(max_workers=parallelism or len(grid)) as pool:
         for fold in range(n_splits):
             prepared = prepare(fold)
             rows += list(pool.map(fit_one, [(prepared, g) for g in grid]))
@@ -251,7 +251,7 @@ def grid_search_tree_regressor(spark: SparkSession, folds: DataFrame, test: Data
                                numeric: Sequence[str], text: Sequence[str],
                                depths: Sequence[int] = (15, 25, 40, 60),
                                leaves: Sequence[int] = (5, 10, 15, 20), n_splits: int = 5,
-                               seed: int = 42, parallelism: int = 8) -> GridResult:
+                               seed: int = 42, parallelism: int | None = None) -> GridResult:
     """The reference's single model: regression tree over depth x min-leaf."""
     return grid_search(spark, folds, test, label, numeric, text,
                        lambda p: tree_regressor(p, seed), tree_grid(depths, leaves),

@@ -49,7 +49,7 @@ class Forecast:
 def electricity_consumption_forecast(spark: SparkSession, cleaned: DataFrame, weather: DataFrame,
                                      socio: DataFrame, cadaster: DataFrame,
                                      postalcodes: Sequence[str], n_splits: int = 5,
-                                     fold_rows: int = 96, parallelism: int = 8,
+                                     fold_rows: int = 96, parallelism: int | None = None,
                                      models: dict | None = None,
                                      holdout_rows: int | None = None) -> Forecast:
     """``holdout_rows`` defaults to the reference's 20 x 96 rows per listed postal code."""
