@@ -42,3 +42,17 @@ def test_rows_with_missing_keys_are_dropped(spark):
     long = profile_long(df).toPandas()
     assert set(long.postalcode) == {"a"} and long.date.notna().all()
     assert abs(long.daily_consumption.iloc[0] - 24.0) < 1e-12
+
+
+def test_day_without_rows_in_first_bucket(spark):
+    """Absent hours are not missing values: the strict total uses the rows present,
+    the absent bucket has no long row and leaves its wide cell empty."""
+    from wattlane.operators.profiles import complete_days
+    vals = [(h, 10.0) for h in range(3, 24)]
+    long = profile_long(_day(spark, vals)).toPandas().set_index("hour").sort_index()
+    assert 0 not in long.index and len(long) == 7
+    assert abs(long["daily_consumption"].iloc[0] - 240.0) < 1e-9
+    wide = profile_wide(profile_long(_day(spark, vals)))
+    row = wide.first()
+    assert row["0"] is None and abs(row["3"] - 12.5) < 1e-9
+    assert complete_days(wide, [str(h) for h in range(0, 24, 3)]).count() == 0
