@@ -78,19 +78,32 @@ def any_proper_crossing(edges_a: Column, edges_b: Column) -> Column:
     return F.exists(edges_a, lambda e: F.exists(edges_b, lambda f: _proper_cross(e, f)))
 
 
+def _probe_points(ring_edges: Column) -> Column:
+    """Vertices and edge midpoints of a ring (``array<struct<x, y>>``)."""
+    verts = F.transform(ring_edges, lambda e: F.struct(e["ax"].alias("x"), e["ay"].alias("y")))
+    mids = F.transform(ring_edges, lambda e: F.struct(((e["ax"] + e["bx"]) / 2).alias("x"),
+                                                       ((e["ay"] + e["by"]) / 2).alias("y")))
+    return F.concat(verts, mids)
+
+
 def within_prepared(inner_ring: Column, inner_edges: Column, ext_edges: Column,
                     hole_edges: Column | None = None) -> Column:
     """:func:`within` on precomputed edge arrays (``hole_edges``: one edge array per hole).
 
-    Conditions are ordered cheapest first; ``AND`` stops at the first false.
+    Probe points (vertices and edge midpoints) make collinear contacts safe: a
+    building filling a notch of a concave polygon has an edge midpoint outside
+    it, and a hole sharing an edge with a building has a vertex or midpoint
+    strictly inside the building.  Conditions are ordered cheapest first;
+    ``AND`` stops at the first false.
     """
-    cond = (F.forall(inner_ring, lambda v: inside_or_on(v["x"], v["y"], ext_edges))
+    probes = _probe_points(inner_edges)
+    cond = (F.forall(probes, lambda v: inside_or_on(v["x"], v["y"], ext_edges))
             & ~any_proper_crossing(inner_edges, ext_edges))
     if hole_edges is not None:
         hole_ok = F.forall(hole_edges, lambda he: (
-            ~F.exists(inner_ring, lambda v: strictly_inside(v["x"], v["y"], he))
+            ~F.exists(probes, lambda v: strictly_inside(v["x"], v["y"], he))
             & ~any_proper_crossing(inner_edges, he)
-            & ~strictly_inside(he[0]["ax"], he[0]["ay"], inner_edges)))
+            & ~F.exists(_probe_points(he), lambda v: strictly_inside(v["x"], v["y"], inner_edges))))
         cond = cond & F.coalesce(hole_ok, F.lit(True))
     return cond
 

@@ -389,14 +389,21 @@ def sql_any_cross(ea: str, eb: str, e: str, f: str) -> str:
     return _sql_exists(ea, e, inner)
 
 
+def sql_probes(edges_sql: str) -> str:
+    """Vertices and edge midpoints of a ring given by its edge list."""
+    return (f"list_concat(list_transform({edges_sql}, lambda q: {{'x': q.ax, 'y': q.ay}}), "
+            f"list_transform({edges_sql}, lambda q: {{'x': (q.ax + q.bx) / 2, 'y': (q.ay + q.by) / 2}}))")
+
+
 def sql_within(b: str, ext: str, holes: str) -> str:
     be, ee = sql_edges(b), sql_edges(ext)
-    verts_in = f"(len(list_filter({b}, lambda v: NOT {sql_inside_or_on('v.x', 'v.y', ee, 'e1')})) = 0)"
+    probes = sql_probes(be)
+    verts_in = f"(len(list_filter({probes}, lambda v: NOT {sql_inside_or_on('v.x', 'v.y', ee, 'e1')})) = 0)"
     no_cross = f"(NOT {sql_any_cross(be, ee, 'e2', 'f2')})"
     he = sql_edges("hr")
-    hole_bad = (f"({_sql_exists(b, 'w', sql_strictly_inside('w.x', 'w.y', he, 'e3'))} OR "
+    hole_bad = (f"({_sql_exists(probes, 'w', sql_strictly_inside('w.x', 'w.y', he, 'e3'))} OR "
                 f"{sql_any_cross(be, he, 'e4', 'f4')} OR "
-                f"{sql_strictly_inside('hr[1].x', 'hr[1].y', be, 'e5')})")
+                f"{_sql_exists(sql_probes(he), 'u', sql_strictly_inside('u.x', 'u.y', be, 'e5'))})")
     holes_ok = f"(len(list_filter({holes}, lambda hr: {hole_bad})) = 0)"
     return f"({verts_in} AND {no_cross} AND {holes_ok})"
 
