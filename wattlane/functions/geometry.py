@@ -86,7 +86,7 @@ def _probe_points(ring_edges: Column) -> Column:
     return F.concat(verts, mids)
 
 
-def within_prepared(inner_ring: Column, inner_edges: Column, ext_edges: Column,
+def within_prepared(inner_edges: Column, ext_edges: Column,
                     hole_edges: Column | None = None) -> Column:
     """:func:`within` on precomputed edge arrays (``hole_edges``: one edge array per hole).
 
@@ -119,7 +119,7 @@ def within(inner: str | Column, exterior: str | Column, holes: str | Column | No
     inside a hole, no edge of ``inner`` properly crosses an edge of the
     exterior or of a hole, and no hole lies inside ``inner``.
     """
-    return within_prepared(open_ring(inner), edges(inner), edges(exterior),
+    return within_prepared(edges(inner), edges(exterior),
                            hole_edge_arrays(holes) if holes is not None else None)
 
 

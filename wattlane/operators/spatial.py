@@ -52,13 +52,12 @@ def join_within(buildings: DataFrame, polygons: DataFrame, cell: float = 1000.0,
     b = (buildings.withColumn("cx", F.floor(first["x"] / cell).cast("long"))
                   .withColumn("cy", F.floor(first["y"] / cell).cast("long")))
     j = (b.join(cells, ["cx", "cy"], "left")
-          .withColumn("_ir", G.open_ring(ring))
           .withColumn("_ie", G.edges(ring))
           .withColumn("_ib", G.bbox(ring)))
     hits = F.filter(F.col("_cands"), lambda c: G.bbox_contains(c["bb"], F.col("_ib"))
-                    & G.within_prepared(F.col("_ir"), F.col("_ie"), c["ee"], c["he"]))
+                    & G.within_prepared(F.col("_ie"), c["ee"], c["he"]))
     return (j.withColumn(key, F.explode_outer(F.transform(hits, lambda c: c["key"])))
-             .drop("cx", "cy", "_cands", "_ir", "_ie", "_ib"))
+             .drop("cx", "cy", "_cands", "_ie", "_ib"))
 
 
 def with_centroid(df: DataFrame, ring: str = "geometry", holes: str | None = None,
