@@ -45,3 +45,24 @@ def test_half_even_rounding_and_exact_mean(spark):
     a = parts.repartition(1).agg(exact_avg("x")).first()[0]
     b = parts.repartition(7).agg(exact_avg("x")).first()[0]
     assert a == b
+
+
+def test_zoned_and_naive_inputs_give_the_same_local_calendar(spark):
+    from wattlane.functions.calendar import with_local_calendar
+    naive = spark.createDataFrame([(dt.datetime(2024, 3, 31, 0, 30),), (dt.datetime(2024, 10, 27, 0, 30),),
+                                   (dt.datetime(2024, 10, 27, 1, 30),)], "time timestamp_ntz")
+    want = [(r.ts_utc, r.localtime, r.hour, r.date) for r in
+            with_local_calendar(naive).orderBy("ts_utc").collect()]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # the same instants as zoned timestamps, read in another session zone
+        zoned = naive.select(F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("time"))
+                             .cast("timestamp").alias("time"))
+        got = [(r.ts_utc, r.localtime, r.hour, r.date) for r in
+               with_local_calendar(zoned).orderBy("ts_utc").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == want
+    # 00:30 UTC on 31 March is 01:30 CET (before the switch); 00:30 and 01:30 UTC
+    # on 27 October are both 02:30 local (the repeated hour)
+    assert [w[2] for w in want] == [1, 2, 2]
