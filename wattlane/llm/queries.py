@@ -130,3 +130,31 @@ agg AS (SELECT r.doc_id, count(l.n) AS n_lines, count(g.n) AS n_removed,
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
        CASE WHEN d.text IS NOT NULL THEN coalesce(txt, '') END AS text
 FROM documents d LEFT JOIN agg USING (doc_id)"""
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents counted with word_bpe_49k.json; limit 2048."""
+    from wattlane.llm.token_count import count_tokens
+    return count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
+@query("op5_piece_codec")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents encoded and decoded with piece_bpe_32k.model."""
+    from wattlane.llm.piece_codec import encode_documents
+    return encode_documents(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"), with_ids=False).select(
+        "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents written as token files with word_bpe_49k.json and read back."""
+    from wattlane.llm.token_files import read_token_files, write_token_files
+    files = write_token_files(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return read_token_files(files).withColumnRenamed("id", "doc_id")
