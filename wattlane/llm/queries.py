@@ -158,3 +158,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattlane.llm.token_files import read_token_files, write_token_files
     files = write_token_files(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
     return read_token_files(files).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_minhash_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents: near-duplicate groups, five-word shingles, similarity 0.8."""
+    from wattlane.llm.minhash_dedup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
