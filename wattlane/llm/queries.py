@@ -165,3 +165,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents: near-duplicate groups, five-word shingles, similarity 0.8."""
     from wattlane.llm.minhash_dedup import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "group_id", "kept")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents scored with a lexicon and weights learned from labels.toxic."""
+    from wattlane.llm.toxicity import score_toxicity
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
