@@ -173,3 +173,25 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattlane.llm.toxicity import score_toxicity
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "held_out", "score", "predicted")
+
+
+@query("op7_embedding_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings of equal label linked at cosine 0.98 or more."""
+    from wattlane.llm.embedding_dedup import near_vectors
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op7_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda c: c * c))) AS s
+    FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+    WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+      AND len(list_filter(e, lambda c: c <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.98),
+r(vec_id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept
+FROM c LEFT JOIN n ON n.a = c.vec_id"""
