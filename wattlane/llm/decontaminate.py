@@ -32,34 +32,53 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.llm.common import (broadcast_if_small, let, materialise, steps, text_key, text_or_empty,
-                                 word_count, words)
+                                 words)
+
+
+def _slide(values: Column, width: int, fold) -> Column:
+    """``fold`` over every ``width`` consecutive elements, by doubling; ``fold`` may see an element twice."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = let(values, _pairwise(step, fold))
+        have += step
+    return values
+
+
+def _pairwise(step: int, fold):
+    """The function that folds every element with the one ``step`` behind it."""
+    def paired(v: Column) -> Column:
+        n = F.greatest(F.size(v) - step, F.lit(0))
+        return F.zip_with(F.slice(v, 1, n), F.slice(v, step + 1, n), fold)
+    return paired
+
+
+def _winnowed(hashes: Column, span: int, k: int) -> Column:
+    """The fingerprint of every window: the least of its k-gram hashes."""
+    grams = _slide(hashes, k, lambda a, b: F.xxhash64(a, b))
+    return _slide(grams, span - k + 1, lambda a, b: F.least(a, b))
+
+
+def _short(hashes: Column, n: int) -> Column:
+    return F.transform(steps(1, F.size(hashes) - (n - 1)), lambda i: F.xxhash64(F.slice(hashes, i, n), F.lit(n)))
 
 
 def _fingerprints(ws: Column, span: int, k: int, short: list[int]) -> Column:
-    """Array of (len, pos, fp): the winnowed fingerprint of every window of the word array."""
+    """Array of (len, pos, fp): the fingerprint of every window of the word array."""
+    def placed(n: int, fps: Column) -> Column:
+        return F.transform(fps, lambda fp, i: F.struct(F.lit(n).alias("len"), (i + 1).alias("pos"), fp.alias("fp")))
+
     def windows(h: Column) -> Column:
-        grams = F.transform(steps(1, F.size(h) - (k - 1)), lambda i: F.xxhash64(F.slice(h, i, k)))
-        full = let(grams, lambda g: F.transform(
-            steps(1, F.size(h) - (span - 1)),
-            lambda i: F.struct(F.lit(span).alias("len"), i.alias("pos"),
-                               F.array_min(F.slice(g, i, span - k + 1)).alias("fp"))))
-        parts = [full] + [F.transform(
-            steps(1, F.size(h) - (n - 1)),
-            lambda i, n=n: F.struct(F.lit(n).alias("len"), i.alias("pos"),
-                                    F.xxhash64(F.slice(h, i, n), F.lit(n)).alias("fp"))) for n in short]
-        return F.concat(*parts) if len(parts) > 1 else full
+        parts = [placed(span, _winnowed(h, span, k)), *(placed(n, _short(h, n)) for n in short)]
+        return F.concat(*parts) if len(parts) > 1 else parts[0]
     return let(F.transform(ws, lambda w: F.xxhash64(w)), windows)
 
 
 def _distinct_fps(ws: Column, span: int, k: int, short: list[int]) -> Column:
-    """The distinct fingerprints alone (no positions): the winnowed set."""
+    """The distinct fingerprints alone: the winnowed set of a text."""
     def fps(h: Column) -> Column:
-        grams = F.transform(steps(1, F.size(h) - (k - 1)), lambda i: F.xxhash64(F.slice(h, i, k)))
-        full = let(grams, lambda g: F.transform(
-            steps(1, F.size(h) - (span - 1)), lambda i: F.array_min(F.slice(g, i, span - k + 1))))
-        parts = [full] + [F.transform(steps(1, F.size(h) - (n - 1)),
-                                      lambda i, n=n: F.xxhash64(F.slice(h, i, n), F.lit(n))) for n in short]
-        return F.array_distinct(F.concat(*parts) if len(parts) > 1 else full)
+        parts = [_winnowed(h, span, k), *(_short(h, n) for n in short)]
+        return F.array_distinct(F.concat(*parts) if len(parts) > 1 else parts[0])
     return let(F.transform(ws, lambda w: F.xxhash64(w)), fps)
 
 
@@ -90,12 +109,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     distinct_windows = windows.groupBy("win").agg(F.collect_set("cls").alias("clss"))
     distinct_windows = broadcast_if_small(materialise(distinct_windows, "bench-win"), 512)
 
-    # ---- documents: winnowed fingerprints joined with the benchmark's
+    # ---- documents: winnowed fingerprints joined with the benchmark's, in one pass over the texts.
+    # The first row of a text stays whatever it hits and carries the number of words.
     text = text_or_empty(text_col)
     texts = docs.select(text.alias("t")).where("t <> ''").withColumn("key", text_key(F.col("t")))
-    found = (texts.select("key", F.explode(_distinct_fps(words(F.col("t")), span, k, short)).alias("fp"))
-             .join(fps, "fp", "left_semi").groupBy("key").agg(F.collect_set("fp").alias("found")))
-    found = broadcast_if_small(materialise(found, "doc-fps"), 256)
+    per_text = texts.select("key", F.inline(F.transform(F.array(words(F.col("t"))), lambda ws: F.struct(
+        F.size(ws).cast("long").alias("n_words"), _distinct_fps(ws, span, k, short).alias("fps")))))
+    found = (per_text.select("key", "n_words", F.posexplode_outer("fps").alias("at", "fp"))
+             .join(fps.withColumn("hit", F.col("fp")), "fp", "left").where("coalesce(at, 0) = 0 or hit is not null")
+             .groupBy("key").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("found")))
+    found = materialise(found, "doc-fps")
+    counted = broadcast_if_small(found.select(F.col("key").alias("wkey"), "n_words"), 64)
+    found = broadcast_if_small(found.where("size(found) > 0").select("key", "found"), 256)
 
     # ---- extend: full windows at the positions found
     cand = let(words(F.col("t")), lambda ws: let(
@@ -126,7 +151,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("sha"))
     result = broadcast_if_small(materialise(result, "doc-result"), 512)
 
-    base = docs.select(id_col, text_key(text).alias("key"), word_count(text).alias("n_words"))
+    base = docs.select(id_col, text_key(text).alias("key"))
+    base = base.join(counted, F.col("key") == F.col("wkey"), "left").select(
+        id_col, "key", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return base.join(result, "key", "left").select(
         id_col, F.col("key").alias("text_key"), "n_words", n_hit.alias("n_hit"),
