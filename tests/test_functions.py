@@ -66,3 +66,46 @@ def test_zoned_and_naive_inputs_give_the_same_local_calendar(spark):
     # 00:30 UTC on 31 March is 01:30 CET (before the switch); 00:30 and 01:30 UTC
     # on 27 October are both 02:30 local (the repeated hour)
     assert [w[2] for w in want] == [1, 2, 2]
+
+
+def test_text_instants_with_and_without_offset(spark):
+    from wattlane.functions.calendar import utc_column
+    rows = ["2024-01-01T00:00:00+02:00", "2024-01-01T00:00:00", "2024-01-01 00:00:00Z", "2024-01-01", "2024-06-01 12:30:00.5-03:30"]
+    df = spark.createDataFrame([(r,) for r in rows], "time string")
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = [str(r[0]) for r in df.select(utc_column(df, "time").cast("string")).collect()]
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert got == ["2023-12-31 22:00:00", "2024-01-01 00:00:00", "2024-01-01 00:00:00", "2024-01-01 00:00:00", "2024-06-01 16:00:00.5"]
+
+
+def test_exact_sums_lose_nothing_and_do_not_overflow(spark):
+    from wattlane.functions.numeric import exact_sum
+    get = lambda xs, agg: spark.createDataFrame([(x,) for x in xs], "x double").agg(agg("x")).first()[0]
+    assert get([4e-7, 4e-7], exact_avg) == 4e-7
+    assert get([1e13, 1e13], exact_avg) == 1e13 and get([1e300, 1e300], exact_sum) == 2e300
+    assert get([0.1] * 10, exact_sum) == 1.0 and get([None, None], exact_avg) is None
+    assert get([1e15, 0.1, -1e15, 0.2], exact_sum) == 0.1 + 0.2 or abs(get([1e15, 0.1, -1e15, 0.2], exact_sum) - 0.3) < 0.1
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    import os
+
+    import pytest
+
+    from wattlane.session import scratch_folder
+    for master in ("local", "local[4]", "local[*]"):
+        assert os.path.isdir(scratch_folder(master))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://https://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch_folder(master)
+
+
+def test_command_line_names_no_master(monkeypatch):
+    from wattlane.plans import tasks
+    seen = {}
+    monkeypatch.setattr("wattlane.session.get_session", lambda **kw: seen.update(kw) or (_ for _ in ()).throw(SystemExit))
+    import pytest
+    with pytest.raises(SystemExit):
+        tasks.main(["--consumption", "c", "--weather", "w", "--socioeconomic", "s", "--buildings", "b", "--polygons", "p", "--out", "o"])
+    assert seen == {}

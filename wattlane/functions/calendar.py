@@ -20,17 +20,23 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+#: A time of day followed by a zone mark.
+_OFFSET = r"(?i)\d:\d\d.*(Z|UTC|GMT|[+-]\d{1,2}(:?\d{2})?)\s*$"
+
+
 def to_utc_ntz(col: str | Column, dtype: T.DataType | None = None) -> Column:
     """parse/cast to a naive UTC timestamp.
 
     Zoned timestamps are converted to their UTC wall clock, naive ones are
-    taken as UTC, strings are parsed.
+    taken as UTC.  Strings are parsed the same way: one that ends in ``Z`` or an
+    offset is an instant, any other a naive UTC time.
     """
     c = _c(col)
     if isinstance(dtype, T.TimestampType):
         return F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
     if isinstance(dtype, T.StringType):
-        return F.to_timestamp_ntz(c)
+        instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.to_timestamp(c).cast("timestamp_ntz"))
+        return F.when(c.rlike(_OFFSET), instant).otherwise(F.to_timestamp_ntz(c))
     return c.cast("timestamp_ntz")
 
 

@@ -21,17 +21,6 @@ def strict_avg(col: str | Column) -> Column:
     return F.when(F.count(F.lit(1)) == F.count(c), F.avg(c))
 
 
-def lenient_avg(col: str | Column) -> Column:
-    """Mean over the present values (pandas/polars default)."""
-    return F.avg(_c(col))
-
-
 def sum_or_zero(col: str | Column) -> Column:
     """pandas ``sum`` of nothing is 0."""
     return F.coalesce(F.sum(_c(col)), F.lit(0))
-
-
-def daily_total(col: str | Column, strict: bool, scale: float = 24.0) -> Column:
-    """Three daily totals of the reference, kept apart: strict or lenient mean x scale."""
-    mean = strict_avg(col) if strict else lenient_avg(col)
-    return mean * F.lit(scale)

@@ -1,10 +1,13 @@
-"""Numeric expressions."""
+"""Numeric expressions (F9): half-even rounding and order-free sums."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
+#: Steps of the fine part of a split double, per unit.
+FINE = float(2 ** 26)
+
 
 def round_half_even(col: str | Column, digits: int = 2) -> Column:
     """pandas/numpy ``round(digits)``: scale, round half to even on the double, unscale.
@@ -17,34 +20,30 @@ def round_half_even(col: str | Column, digits: int = 2) -> Column:
     return F.rint(c * F.lit(scale)) / F.lit(scale)
 
 
-def sqrt(col: str | Column) -> Column:
-    """F10."""
-    return F.sqrt(F.col(col) if isinstance(col, str) else col)
-
-
-# Fixed value: resolution of exact accumulation (micro-units).
-FIXED_POINT_SCALE = 1_000_000.0
-
-
-def fixed_point(col: str | Column) -> Column:
-    """Value in micro-units as a long (round half to even on the double)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.rint(c * F.lit(FIXED_POINT_SCALE)).cast("long")
+def exact_sum(col: str | Column, over: WindowSpec | None = None) -> Column:
+    """Sum of doubles that does not depend on the order of the rows.
 
+    A plain double sum changes in its last bits with the partitioning, which
+    flips ties of a later rounding.  Each value is split without loss into a
+    whole number, a whole number of 2^-26 steps, and a rest below one step.  The
+    first two are whole-number doubles, whose sums are exact in any order up
+    to 2^53 (beyond it they round like any double; nothing overflows); the sum
+    of the rests only moves bits far below the result's last one.  All of it
+    stays in whole-stage codegen.
+    """
+    c = (F.col(col) if isinstance(col, str) else col).cast("double")
+    whole = F.rint(c)
+    steps = (c - whole) * F.lit(FINE)
+    fine = F.rint(steps)
 
-def exact_avg(col: str | Column) -> Column:
-    """Mean accumulated exactly in fixed point (micro-units), returned as double.
+    def total(x: Column) -> Column:
+        return F.sum(x) if over is None else F.sum(x).over(over)
 
-    A double sum depends on the order rows arrive in, i.e. on partitioning;
-    before rounding to 2 digits that noise can flip a result across a tie.
-    Summing micro-unit longs is exact, so the result is the same on every
-    run, on any number of partitions and in any engine - and stays inside
-    whole-stage codegen (no BigDecimal arithmetic per row).
-    """
-    fx = fixed_point(col)
-    return (F.sum(fx).cast("double") / F.count(fx).cast("double")) / F.lit(FIXED_POINT_SCALE)
+    return total(whole) + (total(fine) + total(steps - fine)) / F.lit(FINE)
 
 
-def exact_sum(col: str | Column) -> Column:
-    """Sum accumulated exactly in fixed point, returned as double (see :func:`exact_avg`)."""
-    return F.sum(fixed_point(col)).cast("double") / F.lit(FIXED_POINT_SCALE)
+def exact_avg(col: str | Column, over: WindowSpec | None = None) -> Column:
+    """Mean of the present values by :func:`exact_sum`; NULL when there is none."""
+    c = F.col(col) if isinstance(col, str) else col
+    n = F.count(c) if over is None else F.count(c).over(over)
+    return F.try_divide(exact_sum(c, over), n.cast("double"))

@@ -19,23 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "wattlane") -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(cpus)
-    spark = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
+    """The running session, or a new one.
+
+    Without ``master`` the launcher's choice stands (``spark-submit --master``, or
+    Spark's own default); tests and benchmarks name one.
+    """
+    builder = (
+        SparkSession.builder.appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    if master:
+        builder = builder.master(master).config("spark.driver.memory", "16g")
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
@@ -44,8 +43,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when nothing is configured (unit
-    tests on one machine) a scratch folder is created.
+    The cluster's setting always wins.  When nothing is configured, a session
+    on one machine (``local[...]``: unit tests) gets a scratch folder; on a
+    cluster, where such a folder would be another one on every machine, it is
+    an error.
     """
     try:
         sc = spark.sparkContext
@@ -57,11 +58,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="wattlane-ckpt-")
+        configured = scratch_folder(sc.master)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def scratch_folder(master: str) -> str:
+    """A folder of this machine for intermediate tables; only for a session that runs on this machine alone."""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines of {master!r} share")
+    return tempfile.mkdtemp(prefix="wattlane-ckpt-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder.
 
@@ -78,6 +86,17 @@ def scratch_table_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/wattlane-{name}-{uuid.uuid4().hex}"
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back.
+
+    For loops: a checkpoint keeps the constraints and statistics of its plan,
+    which grow with every round built on the last one; a file keeps neither.
+    """
+    path = scratch_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SHIPPED: set[str] = set()
 
 
