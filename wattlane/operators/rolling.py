@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattlane.functions.numeric import exact_avg
+
 
 @dataclass(frozen=True)
 class RollingSpec:
@@ -44,39 +46,34 @@ class RollingSpec:
         return self.window - 1 - following, following
 
 
-def exact_frame_mean(value: Column, w) -> Column:
-    """Frame mean with an exact integer part.
+def interpolated(values: Column, q: float) -> Column:
+    """Linearly interpolated quantile of an ascending array (pandas ``quantile``)."""
+    at = F.lit(q) * (F.size(values) - 1)
+    low = F.floor(at).cast("int")
+    below = F.get(values, low)
+    above = F.get(values, F.least(low + 1, F.size(values) - 1))
+    return below + (above - below) * (at - low)
 
-    The value in micro-units is split into its integer part (summed as a long:
-    exact, order-free) and the sub-micro residual (summed as a double, ~1e-20
-    of the value), so the mean does not depend on summation order - a tie at
-    the 7th decimal, common for means of 48 two-decimal values, is decided
-    the same way in every engine and on every partitioning.
-    """
-    scaled = value * F.lit(1_000_000.0)
-    hi = F.floor(scaled)
-    lo = scaled - hi
-    total = F.sum(hi.cast("long")).over(w).cast("double") + F.sum(lo).over(w)
-    return total / F.count(value).over(w).cast("double") / F.lit(1_000_000.0)
+
+def nearest(values: Column, q: float) -> Column:
+    """Element of an ascending array at round-half-even(q * (n - 1))."""
+    return F.get(values, F.bround(F.lit(q) * (F.size(values) - 1), 0).cast("int"))
 
 
 def _stat_expr(spec: RollingSpec, value: Column, w) -> Column:
     if spec.stat == "mean":
-        stat = exact_frame_mean(value, w)
+        stat = exact_avg(value, w)
     elif spec.stat == "std":
         stat = F.stddev_samp(value).over(w)
     elif spec.stat == "quantile":
         if spec.q is None:
             raise ValueError("quantile spec needs q")
-        if spec.interpolation == "linear":
-            stat = F.percentile(value, F.lit(spec.q)).over(w)
-        elif spec.interpolation == "nearest":
-            # sorted frame values, element at round-half-even(q*(n-1))
-            vals = F.array_sort(F.collect_list(value).over(w))
-            pos = F.bround(F.lit(spec.q) * (F.size(vals) - 1), 0).cast("int")
-            stat = F.get(vals, pos)
-        else:
+        if spec.interpolation not in ("linear", "nearest"):
             raise ValueError(f"unknown interpolation {spec.interpolation!r}")
+        pick = interpolated if spec.interpolation == "linear" else nearest
+        # the frame's values are sorted once per row, in a one-element array for the lambda
+        frame = F.array(F.sort_array(F.collect_list(value).over(w)))
+        stat = F.get(F.transform(frame, lambda v: pick(v, spec.q)), 0)
     else:
         raise ValueError(f"unknown rolling stat {spec.stat!r}")
     return F.when(F.count(value).over(w) >= F.lit(spec.min_periods), stat)
@@ -118,44 +115,20 @@ def series_index(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Seque
              .drop("_chunk", "_off"))
 
 
-def _block_frames(specs: Sequence[RollingSpec], value: str):
-    """Per-(key, block) evaluation of quantile frames with pandas' rolling kernel.
-
-    A block holds at most ``block_rows`` own rows plus the halo, so the group
-    is bounded.  The sliding quantile is a skiplist in pandas (O(log w) per
-    row); Spark's ``percentile`` over a sliding frame re-aggregates the whole
-    frame for every row (measured ~4x slower end to end on 600k rows).
-    """
-    def run(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values("_idx", kind="stable")
-        x = pd.to_numeric(pdf[value], errors="coerce").astype("float64").reset_index(drop=True)
-        out = {}
-        for s in specs:
-            r = x.rolling(s.window, min_periods=s.min_periods, center=s.center)
-            out[s.name] = r.quantile(s.q, interpolation=s.interpolation)
-        res = pdf.reset_index(drop=True)
-        for k, v in out.items():
-            res[k] = v.to_numpy()
-        return res
-    return run
-
-
 def rolling(df: DataFrame, value: str, specs: Sequence[RollingSpec],
             keys: Sequence[str] = ("postalcode",), order: str = "ts_utc",
             tiebreak: Sequence[str] = (), split: bool = True,
-            block_rows: int = 4096, chunk_days: int = 28, engine: str = "pandas") -> DataFrame:
+            block_rows: int = 4096, chunk_days: int = 28) -> DataFrame:
     """Add one column per spec.
 
     Rows whose key is missing keep their place and get missing statistics
     (pandas drops them from the grouped rolling and re-aligns by index).
     ``order`` must be a date/timestamp column when ``split`` is on.
 
-    Means and standard deviations are Spark window functions.  Quantiles:
-    ``engine="pandas"`` evaluates them per bounded (key, block) group with
-    ``applyInPandas`` in the window's partitioning (no extra exchange or
-    sort); ``engine="window"`` uses ``percentile`` over the frame.  Both give
-    the same values (tested).
+    All statistics are Spark window functions over one frame each; a quantile
+    sorts the frame's values (at most ``window`` of them) and interpolates.
+    Rows with equal ``order`` are ordered by ``tiebreak``; what is equal in both
+    has no defined order.
     """
     keys = list(keys)
     order_cols = [order, *tiebreak]
@@ -191,22 +164,11 @@ def rolling(df: DataFrame, value: str, specs: Sequence[RollingSpec],
           .withColumn("_blk", F.col("_tgt.b"))
           .withColumn("_core", F.col("_tgt.core")))
 
-    if engine not in ("pandas", "window"):
-        raise ValueError(f"unknown engine {engine!r}")
     present = _keys_present(keys)
-    in_pandas = [s for s in specs if engine == "pandas" and s.stat == "quantile"]
-    in_window = [s for s in specs if s not in in_pandas]
     base = Window.partitionBy(*keys, "_blk").orderBy("_idx")
     out = d.drop("_pos", "_tgt").withColumns({
         s.name: _stat_expr(s, value_c, base.rowsBetween(-s.bounds()[0], s.bounds()[1]))
-        for s in in_window})
-    if in_pandas:
-        from pyspark.sql import types as T
-
-        from wattlane.session import ship_package
-        ship_package(df.sparkSession)
-        schema = T.StructType(out.schema.fields + [T.StructField(s.name, T.DoubleType()) for s in in_pandas])
-        out = out.groupBy(*keys, "_blk").applyInPandas(_block_frames(in_pandas, value), schema)
+        for s in specs})
     out = out.withColumns({s.name: F.when(present, F.col(s.name)) for s in specs})
     return out.where(F.col("_core")).drop(*[h for h in helper if h in out.columns])
 
@@ -243,17 +205,24 @@ def clean_series(consumption: DataFrame, value: str = "consumption",
                  zone: str = "Europe/Madrid", specs: Sequence[RollingSpec] = CLEANING_SPECS,
                  max_threshold: float = MAX_Z, min_threshold: float = MIN_Z,
                  q_factor: float = Q10_FACTOR, split: bool = True,
-                 block_rows: int = 4096) -> DataFrame:
+                 block_rows: int = 4096, tiebreak: Sequence[str] | None = None) -> DataFrame:
     """Local calendar, rolling stats, z-score and outlier mask in one window stage.
 
+    Readings of the same instant are ordered by ``tiebreak``, by default by every
+    other column that can be ordered, so the result does not depend on the order
+    the rows arrive in.
+
     Adds ``ts_utc, localtime, hour, date, rolling_mean, rolling_std,
     rolling_q10, z_norm, consumption_filtered``.
     """
     from wattlane.functions.calendar import with_local_calendar
     from wattlane.sources.tables import nan_to_null
 
+    if tiebreak is None:
+        rest = [f for f in consumption.schema.fields if f.name not in (*keys, time_col)]
+        tiebreak = [f.name for f in rest if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
     df = with_local_calendar(nan_to_null(consumption, [value]), time_col, zone)
-    df = rolling(df, value, specs, keys=keys, order="ts_utc", split=split, block_rows=block_rows)
+    df = rolling(df, value, specs, keys=keys, order="ts_utc", tiebreak=tiebreak, split=split, block_rows=block_rows)
     df = normalize_z(df, value=value)
     return filter_extreme_values(df, value=value, max_threshold=max_threshold,
                                  min_threshold=min_threshold, q_factor=q_factor)
