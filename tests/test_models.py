@@ -1,11 +1,12 @@
-"""Model helpers: one-hot of unseen values, grid clamping, checked broadcast."""
+"""Model helpers, and fitted trees against exhaustive search."""
 
+import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from wattlane.operators.enrich import dimension
-from wattlane.operators.models import clamp_grid, columns_by_kind, preprocessing_stages
+from wattlane.operators.models import check_depth, columns_by_kind, fitted_as, preprocessing_stages, tree_grid, tree_regressor
 
 
 def test_unseen_category_is_all_zero(spark):
@@ -19,9 +20,45 @@ def test_unseen_category_is_all_zero(spark):
     assert got["zzz"][1:] == [0.0, 0.0, 0.0]        # unseen value -> zeros
 
 
-def test_grid_clamped_and_deduplicated():
-    g = clamp_grid([15, 25, 40, 60], [5, 10, 15, 20])
-    assert len(g) == 12 and max(d for d, _ in g) == 30
+def test_grid_has_every_point_and_fits_equal_ones_once(spark):
+    g = tree_grid([15, 25, 40, 60], [5, 10, 15, 20])
+    assert len(g) == 16 and len({fitted_as(p) for p in g}) == 12
+    assert tree_regressor({"max_depth": 60, "min_samples_leaf": 5}, max_bins=64).getMaxBins() == 64
+    stub = type("Model", (), {"depth": 30})()
+    check_depth(stub, {"max_depth": 25})
+    with pytest.raises(ValueError, match="limit"):
+        check_depth(stub, {"max_depth": 40})
+
+
+def test_regression_tree_finds_the_steps(spark):
+    """Two thresholds on one of two features: the tree's predictions are the segment means."""
+    from pyspark.ml.feature import VectorAssembler
+    rows = [(float(i % 20), float(i % 7), 10.0 * (i % 20 > 6) + 5.0 * (i % 20 > 13)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, _y double")
+    x = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    m = tree_regressor({"max_depth": 40, "min_samples_leaf": 5}).fit(x)
+    check_depth(m, {"max_depth": 40})
+    assert m.transform(x).where("abs(prediction - _y) > 1e-9").count() == 0
+    assert m.depth == 2 and set(m.featureImportances.indices.tolist()) == {0}
+
+
+def test_classifier_equals_exhaustive_entropy_search(spark):
+    """Depth 1: the split with the greatest gain over every feature and threshold."""
+    import math
+
+    from wattlane.operators.models import train_tree_classifier, tree_nodes
+    rows = [(i, "train", (i * 7) % 11, (i * 5) % 6, (int((i * 7) % 11 > 4) + (i % 13 == 0)) % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "date int, split string, f int, g int, cluster int").withColumn("postalcode", F.lit("x"))
+    res = train_tree_classifier(df, max_depth=1, min_leaf=20)
+
+    def entropy(ys):
+        return -sum(p * math.log2(p) for p in (sum(y == c for y in ys) / len(ys) for c in set(ys))) if ys else 0.0
+    ys = [r[4] for r in rows]
+    best = max((entropy(ys) - sum(len(s) / len(ys) * entropy(s) for s in (lo, hi)), name, t)
+               for col, name in ((2, "f"), (3, "g")) for t in sorted({r[col] for r in rows})[:-1]
+               for lo, hi in [([r[4] for r in rows if r[col] <= t], [r[4] for r in rows if r[col] > t])] if min(len(lo), len(hi)) >= 20)
+    root = tree_nodes(spark, res.model.stages[-1], res.feature_names).where("node_id = 0").first()
+    assert root.feature == best[1] and best[2] <= root.threshold < best[2] + 1 and abs(root.gain - best[0]) < 1e-9
 
 
 def test_columns_by_kind(spark):

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattlane.operators.scaling import scale_data
-from wattlane.operators.splits import chrono_holdout, expanding_folds, hash_split
+from wattlane.operators.metrics import forecast_slices
+from wattlane.operators.splits import chrono_holdout, expanding_folds, hash_split, holdout_with_folds
 
 
 def test_minmax_and_znorm(spark):
@@ -51,3 +52,29 @@ def test_hash_split_independent_of_partitioning(spark):
     assert a.exceptAll(b).count() == 0
     share = a.where("split = 'test'").count() / 2000
     assert 0.15 < share < 0.25
+
+
+def test_every_row_once_with_repeated_keys(spark):
+    df = spark.createDataFrame([("a", "2024-01-01 %02d:00:00" % (i if i < 9 else 8), i) for i in range(11)],
+                               "postalcode string, t string, id int").select("postalcode", F.col("t").cast("timestamp_ntz").alias("ts_utc"), "id")
+    got = chrono_holdout(df, 4).collect()
+    assert sorted(r.id for r in got) == list(range(11)) and sum(r.split == "test" for r in got) == 4
+    assert {r.id for r in got if r.split == "test"} >= {8, 9, 10}
+    folds = expanding_folds(df, 2, 3).collect()
+    assert sorted(r.id for r in folds) == list(range(11)) and sum(r.test_fold is not None for r in folds) == 6
+
+
+def test_one_ranking_equals_two(spark):
+    df = _ts(spark, 1000)
+    one = {r.id: (r.split, r.test_fold, r.train_from_fold) for r in holdout_with_folds(df, 200, 3, 50).collect()}
+    hold = chrono_holdout(df, 200)
+    two = {r.id: ("train", r.test_fold, r.train_from_fold) for r in expanding_folds(hold.where("split = 'train'"), 3, 50).collect()}
+    two |= {r.id: ("test", None, None) for r in hold.where("split = 'test'").collect()}
+    assert one == two
+
+
+def test_series_of_exactly_one_window_gives_none(spark):
+    df = _ts(spark, 192 + 2).withColumn("v", F.col("id"))            # 97 rows each
+    short = df.where("postalcode = 'a' or id < 192")                  # b has 96 rows
+    got = forecast_slices(short, ["a", "b"], hours=96, npred=10).groupBy("postalcode").count().collect()
+    assert {r.postalcode: r["count"] for r in got} == {"a": 960}

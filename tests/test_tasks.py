@@ -39,4 +39,4 @@ def test_run_tasks_end_to_end(spark):
     assert set(acc.split) <= {"train", "test"} and acc.accuracy.between(0, 1).all()
     m = spark.read.parquet(written["forecast"]["decision_tree_metrics"]).first()
     assert m.n > 0 and m.rmse >= 0
-    assert spark.read.parquet(written["forecast"]["decision_tree_grid"]).count() == 60
+    assert spark.read.parquet(written["forecast"]["decision_tree_grid"]).count() == 80

@@ -39,7 +39,7 @@ def forecast_slices(pred: DataFrame, postalcodes: Sequence[str], hours: int = 96
 
     The start of window i is md5-hashed from (seed, postal code, i) into
     ``[0, len - hours]`` - repeatable, unlike ``random.randint``.  Series
-    shorter than ``hours`` give no windows.  Row positions come from
+    of at most ``hours`` rows give no windows.  Row positions come from
     :func:`series_index`, so no series is sorted in one task.
     """
     rows = pred.where(F.col(key).isin(list(postalcodes)))
@@ -48,7 +48,7 @@ def forecast_slices(pred: DataFrame, postalcodes: Sequence[str], hours: int = 96
         rows = cut_lineage(rows)
     rows = series_index(rows, [key], order, out="row_idx")
     lens = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_len"))
-    starts = (lens.where(F.col("_len") >= F.lit(hours))
+    starts = (lens.where(F.col("_len") > F.lit(hours))
                   .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(npred - 1))))
                   .withColumn("_start", F.pmod(
                       F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key),

@@ -11,8 +11,12 @@
   divides by the sample std; trees are invariant to any scaling).
 * The grid search fits the preprocessing once per fold and the trees of all
   parameter combinations of that fold concurrently (Spark schedules the jobs).
-  MLlib caps tree depth at 30, so deeper grid values are clamped and the grid
-  de-duplicated.
+* MLlib trees are at most 30 deep.  A deeper grid value is fitted at 30; if the
+  tree ends above that depth by itself, it is the tree the deeper value gives,
+  and the grid point stands; if it reaches 30, the fit is an error.
+* MLlib tries at most ``max_bins - 1`` thresholds per numeric feature (all of
+  them for a feature of up to ``max_bins`` distinct values).  The default here
+  is MAX_BINS; raise it for more thresholds at more memory per node.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from wattlane.operators.splits import fold_frames
 from wattlane.session import scratch_table_path
 
 MLLIB_MAX_DEPTH = 30
+#: Thresholds tried per numeric feature, plus one (MLlib's own default is 32).
+MAX_BINS = 256
 
 
 def columns_by_kind(df: DataFrame, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
@@ -109,7 +115,7 @@ class ClassifierResult:
 def train_tree_classifier(ds: DataFrame, label: str = "cluster",
                           drop: Sequence[str] = ("date", "postalcode", "cluster", "consumption"),
                           split_col: str = "split", max_depth: int = 4, min_leaf: int = 20,
-                          impurity: str = "entropy", seed: int = 42,
+                          impurity: str = "entropy", seed: int = 42, max_bins: int = MAX_BINS,
                           keys: Sequence[str] = ("postalcode", "date")) -> ClassifierResult:
     """Entropy tree (depth 4, at least 20 rows per leaf) on the 'train' rows."""
     from pyspark.ml.classification import DecisionTreeClassifier
@@ -122,7 +128,7 @@ def train_tree_classifier(ds: DataFrame, label: str = "cluster",
                                  handleInvalid="keep")
     names = names + ind
     tree = DecisionTreeClassifier(labelCol="_label", featuresCol="features", impurity=impurity,
-                                  maxDepth=max_depth, minInstancesPerNode=min_leaf, seed=seed)
+                                  maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins, seed=seed)
     d = d.withColumn("_label", F.col(label).cast("double"))
     model = Pipeline(stages=[*stages, tree]).fit(d.where(F.col(split_col) == "train"))
     pred = (model.transform(d)
@@ -161,31 +167,32 @@ class GridResult:
     test_predictions: DataFrame
 
 
-def clamp_grid(depths: Sequence[int], leaves: Sequence[int]) -> list[tuple[int, int]]:
-    seen, out = set(), []
-    for dpt, lf in itertools.product(depths, leaves):
-        key = (min(dpt, MLLIB_MAX_DEPTH), lf)
-        if key not in seen:
-            seen.add(key)
-            out.append(key)
-    return out
-
-
 def _mse(pred: DataFrame, label: str) -> float:
     return pred.agg(F.avg(F.pow(F.col(label) - F.col("prediction"), 2))).first()[0]
 
 
-def tree_regressor(params: dict, seed: int = 42):
-    """MLlib regression tree for one grid point."""
+def tree_regressor(params: dict, seed: int = 42, max_bins: int = MAX_BINS):
+    """MLlib regression tree for one grid point, at most MLLIB_MAX_DEPTH deep."""
     from pyspark.ml.regression import DecisionTreeRegressor
-    return DecisionTreeRegressor(labelCol="_y", featuresCol="features", maxDepth=params["max_depth"],
-                                 minInstancesPerNode=params["min_samples_leaf"], seed=seed)
+    return DecisionTreeRegressor(labelCol="_y", featuresCol="features", maxDepth=min(params["max_depth"], MLLIB_MAX_DEPTH),
+                                 minInstancesPerNode=params["min_samples_leaf"], maxBins=max_bins, seed=seed)
+
+
+def fitted_as(params: dict) -> tuple:
+    """Grid points with the same value are one fit: depths beyond MLlib's limit are fitted at it."""
+    return tuple(min(v, MLLIB_MAX_DEPTH) if k == "max_depth" else v for k, v in sorted(params.items()))
+
+
+def check_depth(model, params: dict) -> None:
+    """Raise if a tree asked to be deeper than MLlib allows has grown to the limit."""
+    if params.get("max_depth", 0) > MLLIB_MAX_DEPTH and getattr(model, "depth", 0) >= MLLIB_MAX_DEPTH:
+        raise ValueError(f"a tree of max_depth {params['max_depth']} reached MLlib's limit of {MLLIB_MAX_DEPTH}")
 
 
 def tree_grid(depths: Sequence[int] = (15, 25, 40, 60),
               leaves: Sequence[int] = (5, 10, 15, 20)) -> list[dict]:
-    """M23 grid with depths clamped to MLlib's limit and duplicates removed."""
-    return [{"max_depth": d, "min_samples_leaf": lf} for d, lf in clamp_grid(depths, leaves)]
+    """Every depth with every leaf size."""
+    return [{"max_depth": d, "min_samples_leaf": lf} for d, lf in itertools.product(depths, leaves)]
 
 
 def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: str,
@@ -194,7 +201,8 @@ def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: s
     """Every grid point on every expanding fold, mean MSE, best refitted on all training rows.
 
     Preprocessing is fitted inside each fold (on that fold's training rows),
-    once for all grid points of the fold.
+    once for all grid points of the fold.  ``scores`` has every grid point as
+    asked for; points that differ only beyond MLlib's depth are fitted once.
     """
     grid = list(grid)
     keys = sorted(grid[0])
@@ -215,10 +223,17 @@ def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: s
         tep = prep.transform(te).select("features", F.col(label).cast("double").alias("_y")).persist()
         return fold, trp, tep
 
+    same: dict[tuple, list[dict]] = {}
+    for g in grid:
+        same.setdefault(fitted_as(g), []).append(g)
+
     def fit_one(task):
-        (fold, trp, tep), params = task
-        m = build(params).fit(trp)
-        return (*[params[k] for k in keys], fold, _mse(m.transform(tep), "_y"))
+        (fold, trp, tep), points = task
+        m = build(points[0]).fit(trp)
+        for params in points:
+            check_depth(m, params)
+        mse = _mse(m.transform(tep), "_y")
+        return [(*[params[k] for k in keys], fold, mse) for params in points]
 
     # one fold at a time (each fold's training rows are nearly the whole
     # training set: only one persisted copy exists at any moment); the grid
@@ -227,7 +242,7 @@ def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: s
     with ThreadPoolExecutor(max_workers=parallelism or len(grid)) as pool:
         for fold in range(n_splits):
             prepared = prepare(fold)
-            rows += list(pool.map(fit_one, [(prepared, g) for g in grid]))
+            rows += itertools.chain.from_iterable(pool.map(fit_one, [(prepared, g) for g in same.values()]))
             prepared[1].unpersist()
             prepared[2].unpersist()
     schema = ", ".join(f"{k} int" for k in keys) + ", fold int, mse double"
@@ -242,6 +257,7 @@ def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: s
     all_train = folds.where(F.col("train_from_fold").isNotNull())
     model = Pipeline(stages=[*stages, build(best_params)]).fit(
         all_train.withColumn("_y", F.col(label).cast("double")))
+    check_depth(model.stages[-1], best_params)
     tp = model.transform(test)
     test_pred = tp.drop(*[c for c in tp.columns if c.startswith("_") or c == "features"])
     return GridResult(scores=scores, best=best, model=model, test_predictions=test_pred)

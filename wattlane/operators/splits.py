@@ -11,6 +11,7 @@
 * ``expanding_folds``: ``TimeSeriesSplit(n_splits, test_size)`` as two
   columns per row: the fold the row is a test row of, and the first fold it
   trains in.  No row is copied per fold.
+* ``holdout_with_folds``: both from one ranking of the last rows.
 """
 
 from __future__ import annotations
@@ -50,20 +51,26 @@ def _bucket(df: DataFrame, order: str) -> Column:
     return c
 
 
-def tail_index(df: DataFrame, order: str, tiebreak: Sequence[str], n: int,
-               out: str = "rev_idx", materialize: bool = True) -> DataFrame:
+def with_row_id(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, with a stored row id ``_rid``."""
+    return cut_lineage(df.withColumn("_rid", F.monotonically_increasing_id()))
+
+
+def tail_index(df: DataFrame, order: str, tiebreak: Sequence[str], n: int, out: str = "rev_idx") -> DataFrame:
     """0-based rank from the end by (order desc, tiebreak desc) for the last ``n`` rows, else NULL.
 
-    ``(order, *tiebreak)`` must identify a row.  Rows are counted per hour
-    bucket (a table bounded by the time span, whatever the timestamp
-    resolution); a running count from the end over that table finds the
-    buckets that reach into the tail; only their rows are ranked, with a pure
-    ``row_number() <= n`` limit that Spark applies per partition before the
-    exchange (``WindowGroupLimit``).  The input is read three times; with
-    ``materialize`` it is written once to the shared checkpoint folder.
+    Every row of ``df`` comes out once, whatever its keys: rows are identified
+    by a stored row id (made by :func:`with_row_id` unless ``df`` has one),
+    which also decides between rows equal in all order columns.
+
+    Rows are counted per hour bucket (a table bounded by the time span,
+    whatever the timestamp resolution); a running count from the end over that
+    table finds the buckets that reach into the tail; only their rows are
+    ranked, with a pure ``row_number() <= n`` limit that Spark applies per
+    partition before the exchange (``WindowGroupLimit``).
     """
-    if materialize:
-        df = cut_lineage(df)
+    own = "_rid" not in df.columns
+    df = with_row_id(df) if own else df
     b = df.where(F.col(order).isNotNull()).withColumn("_b", _bucket(df, order))
     counts = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     # one row per hour bucket: bounded by the time span, not by the data
@@ -71,14 +78,24 @@ def tail_index(df: DataFrame, order: str, tiebreak: Sequence[str], n: int,
     reach = (counts.withColumn("_after", F.coalesce(F.sum("_c").over(w_after), F.lit(0)))
                    .where(F.col("_after") < F.lit(n)).drop("_c"))          # at most n rows
     reach = F.broadcast(reach) if n <= BROADCAST_ROWS else reach
-    w_in = Window.partitionBy("_b").orderBy(F.col(order).desc(), *[F.col(t).desc() for t in tiebreak])
-    tail = (b.select("_b", order, *tiebreak).join(reach, "_b")
+    w_in = Window.partitionBy("_b").orderBy(*[F.col(t).desc() for t in (order, *tiebreak, "_rid")])
+    tail = (b.select("_rid", "_b", order, *tiebreak).join(reach, "_b")
               .withColumn("_rn", F.row_number().over(w_in))
               .where(F.col("_rn") <= F.lit(n))                             # group limit
               .withColumn(out, F.col("_after") + F.col("_rn") - F.lit(1))
-              .where(F.col(out) < F.lit(n)).drop("_after", "_rn", "_b"))  # at most n rows
+              .where(F.col(out) < F.lit(n)).select("_rid", out))           # at most n rows
+    tail = cut_lineage(tail)          # read with every later use of the split
     tail = F.broadcast(tail) if n <= BROADCAST_ROWS else tail
-    return df.join(tail, [order, *tiebreak], "left")
+    ranked = df.join(tail, "_rid", "left")
+    return ranked.drop("_rid") if own else ranked
+
+
+def _fold_columns(df: DataFrame, rank: Column, train: Column, n_splits: int, test_size: int) -> DataFrame:
+    """``test_fold`` and ``train_from_fold`` from the rank of a training row counted from the end."""
+    inside = train & (rank < F.lit(n_splits * test_size))
+    fold = F.when(inside, (F.lit(n_splits - 1) - F.floor(rank / F.lit(test_size))).cast("long"))
+    return (df.withColumn("test_fold", fold)
+              .withColumn("train_from_fold", F.when(train, F.coalesce(F.col("test_fold") + F.lit(1), F.lit(0)).cast("long"))))
 
 
 def chrono_holdout(df: DataFrame, n_test: int, order: str = "ts_utc",
@@ -88,6 +105,19 @@ def chrono_holdout(df: DataFrame, n_test: int, order: str = "ts_utc",
     return t.withColumn(out, F.when(F.col("_rev").isNotNull(), "test").otherwise("train")).drop("_rev")
 
 
+def holdout_with_folds(df: DataFrame, n_test: int, n_splits: int = 5, test_size: int = 96, order: str = "ts_utc",
+                       tiebreak: Sequence[str] = ("postalcode",)) -> DataFrame:
+    """M16 and M17 from one ranking: ``split``, ``test_fold`` and ``train_from_fold``.
+
+    Equal to :func:`chrono_holdout` followed by :func:`expanding_folds` on its
+    training rows; test rows have NULL in the fold columns.
+    """
+    t = tail_index(df, order, tiebreak, n_test + n_splits * test_size, out="_rev")
+    test = F.coalesce(F.col("_rev") < F.lit(n_test), F.lit(False))
+    t = t.withColumn("split", F.when(test, "test").otherwise("train"))
+    return _fold_columns(t, F.col("_rev") - F.lit(n_test), ~test, n_splits, test_size).drop("_rev")
+
+
 def holdout_size(n_postalcodes: int, days: int = 20, rows_per_day: int = 96) -> int:
     """Test rows of the reference: 20 x 96 per plotted postal code."""
     return days * rows_per_day * n_postalcodes
@@ -102,10 +132,7 @@ def expanding_folds(train: DataFrame, n_splits: int = 5, test_size: int = 96,
     ``n - (n_splits - i) * test_size`` rows and trains on those first rows.
     """
     t = tail_index(train, order, tiebreak, n_splits * test_size, out="_rev")
-    fold = (F.lit(n_splits - 1) - F.floor(F.col("_rev") / F.lit(test_size))).cast("long")
-    return (t.withColumn("test_fold", fold)
-             .withColumn("train_from_fold", F.coalesce(F.col("test_fold") + F.lit(1), F.lit(0)).cast("long"))
-             .drop("_rev"))
+    return _fold_columns(t, F.col("_rev"), F.lit(True), n_splits, test_size).drop("_rev")
 
 
 def fold_frames(folds: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,7 @@ the listed postal codes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 from wattlane.operators.enrich import forecast_dataset
 from wattlane.operators.metrics import forecast_slices, regression_metrics
 from wattlane.operators.models import GridResult, columns_by_kind, grid_search, tree_grid, tree_regressor
-from wattlane.operators.splits import chrono_holdout, expanding_folds, holdout_size
-from wattlane.session import cut_lineage
+from wattlane.operators.splits import holdout_size, holdout_with_folds, with_row_id
 
 TARGET = "consumption_filtered"
 # Columns the reference removes before choosing features.
@@ -38,13 +37,18 @@ MODELS = {
 class Forecast:
     grids: dict[str, GridResult]
     metrics: dict[str, DataFrame]
-    slices: dict[str, DataFrame]
     holdout: DataFrame
+    make_slices: Callable[[str], DataFrame]
 
     @property
     def grid(self) -> GridResult:
         return next(iter(self.grids.values()))
 
+    @property
+    def slices(self) -> dict[str, DataFrame]:
+        """Predicted-vs-actual windows per model; predicted when asked for."""
+        return {name: self.make_slices(name) for name in self.grids}
+
 
 def electricity_consumption_forecast(spark: SparkSession, cleaned: DataFrame, weather: DataFrame,
                                      socio: DataFrame, cadaster: DataFrame,
@@ -52,35 +56,41 @@ def electricity_consumption_forecast(spark: SparkSession, cleaned: DataFrame, we
                                      fold_rows: int = 96, parallelism: int | None = None,
                                      models: dict | None = None,
                                      holdout_rows: int | None = None) -> Forecast:
-    """``holdout_rows`` defaults to the reference's 20 x 96 rows per listed postal code."""
-    data = cut_lineage(forecast_dataset(cleaned, weather, socio, cadaster))
+    """``holdout_rows`` defaults to the reference's 20 x 96 rows per listed postal code.
+
+    The joined table is written once; hold-out and folds come from one ranking of
+    its last rows, joined to it by row id.
+    """
+    data = with_row_id(forecast_dataset(cleaned, weather, socio, cadaster))
     with_target = data.where(F.col(TARGET).isNotNull())
-    numeric, text = columns_by_kind(with_target, exclude=NOT_FEATURES)
+    numeric, text = columns_by_kind(with_target, exclude=(*NOT_FEATURES, "_rid"))
     n_test = holdout_rows if holdout_rows is not None else holdout_size(len(postalcodes))
-    hold = cut_lineage(chrono_holdout(with_target, n_test))
-    train = hold.where(F.col("split") == "train")
+    hold = holdout_with_folds(with_target, n_test, n_splits, fold_rows).drop("_rid")
+    folds = hold.where(F.col("split") == "train")
     test = hold.where(F.col("split") == "test")
-    folds = cut_lineage(expanding_folds(train, n_splits, fold_rows))
-    grids, metrics, slices = {}, {}, {}
+    grids, metrics = {}, {}
     for name, (build, grid_points) in (models or MODELS).items():
         g = grid_search(spark, folds, test, TARGET, numeric, text, build, grid_points,
                         n_splits=n_splits, parallelism=parallelism)
         grids[name] = g
         metrics[name] = regression_metrics(g.test_predictions, TARGET, "prediction")
-        all_rows = g.model.transform(data.where(F.col("postalcode").isin(list(postalcodes))))
+
+    def make_slices(name: str) -> DataFrame:
+        all_rows = grids[name].model.transform(data.drop("_rid").where(F.col("postalcode").isin(list(postalcodes))))
         pred = all_rows.select("postalcode", "ts_utc", "localtime", "consumption",
                                F.col("prediction").alias("predicted"))
-        slices[name] = forecast_slices(pred, postalcodes, hours=fold_rows, npred=10)
-    return Forecast(grids=grids, metrics=metrics, slices=slices, holdout=hold)
+        return forecast_slices(pred, postalcodes, hours=fold_rows, npred=10)
+
+    return Forecast(grids=grids, metrics=metrics, holdout=hold.drop("test_fold", "train_from_fold"), make_slices=make_slices)
 
 
 def write_outputs(result: Forecast, base_path: str) -> dict[str, str]:
     """Per model the grid scores, hold-out metrics and predicted-vs-actual windows."""
     from wattlane.sources.sinks import write_tables
-    tables = {}
+    tables, slices = {}, result.slices
     for name, g in result.grids.items():
         slug = name.lower().replace(" ", "_")
         tables[f"{slug}_grid"] = g.scores
         tables[f"{slug}_metrics"] = result.metrics[name]
-        tables[f"{slug}_windows"] = result.slices[name]
+        tables[f"{slug}_windows"] = slices[name]
     return write_tables(tables, base_path)
