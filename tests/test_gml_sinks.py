@@ -70,5 +70,26 @@ def test_load_curve_outputs_round_trip(spark):
     assert set(paths) >= {"labels", "merges", "top_merges", "daily_curves", "centroids_wide", "silhouette"}
     assert spark.read.parquet(paths["labels"]).count() == res.labels.count()
     sil = spark.read.parquet(paths["silhouette"]).toPandas()
-    assert sorted(sil.k) == list(range(2, 10)) and sil.silhouette.between(-1, 1).all()
+    assert sorted(sil.k) == list(range(2, 10)) and sil.silhouette_sqeuclidean.between(-1, 1).all()
     assert spark.read.parquet(paths["top_merges"]).count() == 2
+
+
+TWO = """<c:FeatureCollection xmlns:c="urn:c" xmlns:g="urn:g"><c:Building g:id="x"><c:reference>R</c:reference>
+<c:geometry><c:BuildingGeometry><c:geometry><g:Surface><g:patches>
+<g:PolygonPatch><g:exterior><g:LinearRing><g:posList>0 0 10 0 10 10 0 10 0 0</g:posList></g:LinearRing></g:exterior>
+<g:interior><g:LinearRing><g:posList>4 4 6 4 6 6 4 4</g:posList></g:LinearRing></g:interior>
+<g:interior><g:LinearRing><g:posList count="4">7 7 8 7 8 8 7 7</g:posList></g:LinearRing></g:interior></g:PolygonPatch>
+<g:PolygonPatch><g:exterior><g:LinearRing><g:posList>20 0 30 0 30 10 20 0</g:posList></g:LinearRing></g:exterior></g:PolygonPatch>
+</g:patches></g:Surface></c:geometry></c:BuildingGeometry></c:geometry></c:Building>
+<c:Building g:id="y"><c:reference>S</c:reference></c:Building></c:FeatureCollection>"""
+
+
+def test_every_patch_and_ring_is_read(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="wattlane-gml-"), "t.gml")
+    with open(path, "w") as f:
+        f.write(TWO)
+    r, s = sorted(read_gml_buildings(spark, path, row_tag="c:Building").collect(), key=lambda b: b.reference)
+    assert [len(p.exterior) for p in r.parts] == [5, 4] and [len(p.holes) for p in r.parts] == [2, 0]
+    assert [(v.x, v.y) for v in r.parts[0].holes[1]] == [(7, 7), (8, 7), (8, 8), (7, 7)]
+    assert r.geometry == r.parts[0].exterior and r.value is None
+    assert not s.parts and s.geometry is None

@@ -29,11 +29,13 @@ def test_within_cases(spark):
         ("touch", _sq(0, 0, 2, 2)),               # shares U's corner: within
         ("overlap", _sq(72, 1, 78, 3)),           # in H and in O
     ], "cadastralref string, geometry array<struct<x:double,y:double>>")
-    got = {}
-    for r in join_within(b, polys, cell=7.0).collect():
-        got.setdefault(r.cadastralref, set()).add(r.postalcode)
-    assert got == {"inside": {"U"}, "straddle": {None}, "notch": {None}, "spans_notch": {None},
+    want = {"inside": {"U"}, "straddle": {None}, "notch": {None}, "spans_notch": {None},
                    "in_hole": {None}, "around_hole": {None}, "touch": {"U"}, "overlap": {"H", "O"}}
+    for limit in (1 << 20, 0):                    # edges packed per cell, and by polygon id
+        got = {}
+        for r in join_within(b, polys, cell=7.0, broadcast_bytes=limit).collect():
+            got.setdefault(r.cadastralref, set()).add(r.postalcode)
+        assert got == want
 
 
 def test_centroid_with_hole(spark):
@@ -79,3 +81,20 @@ def test_polygons_reprojected_before_join(spark):
     got = join_within(b, utm, cell=1000.0).collect()
     assert [(r.cadastralref, r.postalcode) for r in got] == [("b1", "25001")]
     assert 290000 < centre.x < 310000 and 4600000 < centre.y < 4620000   # Lleida in UTM 31N
+
+
+def test_whole_building_counts(spark):
+    """Every patch must lie within; a hole of the polygon may lie in the building's courtyard."""
+    ring = "array<struct<x:double,y:double>>"
+    polys = spark.createDataFrame([("H", _sq(0, 0, 100, 100), [_sq(45, 45, 55, 55)])],
+                                  f"postalcode string, exterior {ring}, holes array<{ring}>")
+    b = spark.createDataFrame([
+        ("both_in", [(_sq(1, 1, 5, 5), []), (_sq(80, 80, 90, 90), [])]),
+        ("one_out", [(_sq(1, 1, 5, 5), []), (_sq(95, 95, 105, 99), [])]),
+        ("court", [(_sq(30, 30, 70, 70), [_sq(40, 40, 60, 60)])]),
+        ("small_court", [(_sq(30, 30, 70, 70), [_sq(48, 48, 52, 52)])]),
+        ("no_court", [(_sq(30, 30, 70, 70), [])]),
+    ], f"id string, parts array<struct<exterior:{ring},holes:array<{ring}>>>")
+    for limit in (1 << 20, 0):
+        got = {r.id: r.postalcode for r in join_within(b, polys, cell=50.0, parts="parts", broadcast_bytes=limit).collect()}
+        assert got == {"both_in": "H", "one_out": None, "court": "H", "small_court": None, "no_court": None}

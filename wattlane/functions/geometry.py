@@ -86,16 +86,22 @@ def _probe_points(ring_edges: Column) -> Column:
     return F.concat(verts, mids)
 
 
-def within_prepared(inner_edges: Column, ext_edges: Column,
-                    hole_edges: Column | None = None) -> Column:
+def within_prepared(inner_edges: Column, ext_edges: Column, hole_edges: Column | None = None,
+                    court_edges: Column | None = None) -> Column:
     """:func:`within` on precomputed edge arrays (``hole_edges``: one edge array per hole).
 
     Probe points (vertices and edge midpoints) make collinear contacts safe: a
     building filling a notch of a concave polygon has an edge midpoint outside
     it, and a hole sharing an edge with a building has a vertex or midpoint
-    strictly inside the building.  Conditions are ordered cheapest first;
-    ``AND`` stops at the first false.
+    strictly inside the building.  ``court_edges`` are the interior rings of the
+    building itself: a hole may lie in such a courtyard.  Conditions are ordered
+    cheapest first; ``AND`` stops at the first false.
     """
+    courts = F.array().cast("array<array<struct<ax:double,ay:double,bx:double,by:double>>>") if court_edges is None else court_edges
+
+    def in_building(v: Column) -> Column:
+        return strictly_inside(v["x"], v["y"], inner_edges) & ~F.exists(
+            courts, lambda c: inside_or_on(v["x"], v["y"], c))
     probes = _probe_points(inner_edges)
     cond = (F.forall(probes, lambda v: inside_or_on(v["x"], v["y"], ext_edges))
             & ~any_proper_crossing(inner_edges, ext_edges))
@@ -103,7 +109,8 @@ def within_prepared(inner_edges: Column, ext_edges: Column,
         hole_ok = F.forall(hole_edges, lambda he: (
             ~F.exists(probes, lambda v: strictly_inside(v["x"], v["y"], he))
             & ~any_proper_crossing(inner_edges, he)
-            & ~F.exists(_probe_points(he), lambda v: strictly_inside(v["x"], v["y"], inner_edges))))
+            & ~F.exists(courts, lambda c: any_proper_crossing(c, he))
+            & ~F.exists(_probe_points(he), in_building)))
         cond = cond & F.coalesce(hole_ok, F.lit(True))
     return cond
 

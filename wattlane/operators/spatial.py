@@ -1,69 +1,97 @@
 """Spatial left join: buildings within postal-code polygons.
 
-Plan: every polygon is listed under each grid cell its bounding box touches
-(small table: polygons x cells), grouped to one row per cell.  A building is
-looked up under the cell of its first vertex - a building within a polygon
-has every vertex inside it, so one cell is enough.  The candidates of that
-cell are filtered by the exact ``within`` test and exploded; a building
-without a match keeps one row with a NULL postal code, a building inside two
-overlapping polygons gets two rows - ``sjoin(how='left', predicate='within')``.
-
-The join is an equi-join on the cell; the per-cell table holds one row per
-cell, so a dense cell with many buildings costs no more than its buildings
-(no pairs are enumerated beyond the polygons of one cell).
+Every polygon is listed under each grid cell its bounding box touches.  A
+building is looked up under the cell of its first vertex - a building within
+a polygon has every vertex inside it, so one cell is enough.  Candidates pass
+a bounding-box test and the exact ``within`` test; a building without a match
+keeps one row with a NULL postal code, a building inside two overlapping
+polygons gets two rows - ``sjoin(how='left', predicate='within')``.
+
+Two plans, chosen by measured bytes, with the same result:
+
+* the polygons of a cell, edges included, packed into one row per cell and
+  broadcast, if that table is within ``broadcast_bytes``: buildings are not
+  shuffled;
+* otherwise the cell table holds polygon ids and boxes only, edges stay in one
+  row per polygon, and candidates (row id, polygon id) are found by an
+  equi-join on the cell, which adaptive execution splits where a cell is
+  dense, and joined with the edges; each of the two sides is broadcast only
+  if it is small enough by itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.functions import geometry as G
+from wattlane.session import cut_lineage
+
+#: Bytes of an edge, and of a row's other values, as estimated for a broadcast.
+EDGE_BYTES, ROW_BYTES = 32, 100
+BROADCAST_BYTES = 64 << 20
+
+
+def _cells(box: Column, cell: float) -> tuple[Column, Column]:
+    return tuple(F.explode(F.sequence(F.floor(box[f"{a}min"] / cell).cast("long"), F.floor(box[f"{a}max"] / cell).cast("long")))
+                 for a in "xy")
 
 
-def polygon_cells(polygons: DataFrame, cell: float, key: str = "postalcode",
-                  exterior: str = "exterior", holes: str = "holes") -> DataFrame:
-    """One row per grid cell: the polygons whose bounding box touches it."""
-    bb = G.bbox(exterior)
-    # edges are built once per polygon here, not once per (building, candidate)
-    p = polygons.select(key, G.edges(exterior).alias("_ee"), G.hole_edge_arrays(holes).alias("_he"),
-                        bb.alias("_bb"))
-    p = (p.withColumn("cx", F.explode(F.sequence(F.floor(F.col("_bb.xmin") / cell).cast("long"),
-                                                 F.floor(F.col("_bb.xmax") / cell).cast("long"))))
-          .withColumn("cy", F.explode(F.sequence(F.floor(F.col("_bb.ymin") / cell).cast("long"),
-                                                 F.floor(F.col("_bb.ymax") / cell).cast("long")))))
-    return p.groupBy("cx", "cy").agg(
-        F.collect_list(F.struct(F.col(key).alias("key"), F.col("_ee").alias("ee"),
-                                F.col("_he").alias("he"), F.col("_bb").alias("bb"))).alias("_cands"))
+def polygon_edges(polygons: DataFrame, key: str = "postalcode", exterior: str = "exterior", holes: str = "holes") -> DataFrame:
+    """One row per polygon: id, key, edges of the exterior and of every hole, box and bytes."""
+    p = polygons.select(F.monotonically_increasing_id().alias("_pid"), F.col(key).alias("_key"),
+                        G.edges(exterior).alias("_ee"), G.hole_edge_arrays(holes).alias("_he"), G.bbox(exterior).alias("_bb"))
+    n = F.size("_ee") + F.coalesce(F.aggregate("_he", F.lit(0), lambda acc, h: acc + F.size(h)), F.lit(0))
+    return p.withColumn("_bytes", F.lit(ROW_BYTES) + F.lit(EDGE_BYTES) * n)
+
+
+def _hit(box: Column, poly: Column, parts: Column) -> Column:
+    """The building (box, parts with prepared edges) lies within the polygon (struct of bb, ee, he)."""
+    return G.bbox_contains(poly["bb"], box) & F.forall(
+        parts, lambda p: G.within_prepared(p["ee"], poly["ee"], poly["he"], p["ce"]))
 
 
 def join_within(buildings: DataFrame, polygons: DataFrame, cell: float = 1000.0,
                 ring: str = "geometry", key: str = "postalcode", exterior: str = "exterior",
-                holes: str = "holes", broadcast_rows: int | None = 2_000_000) -> DataFrame:
+                holes: str = "holes", parts: str | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``buildings`` + ``key`` of every polygon the building lies within (left join).
 
-    The per-cell polygon table is materialised and counted; within
-    ``broadcast_rows`` cells it is broadcast, so a dense cell holding a large
-    share of the buildings costs no shuffle and no single hot task.
+    ``parts``: column with all patches of a building (exterior and holes each),
+    which must all lie within; without it the one ring ``ring`` counts.
     """
-    from wattlane.operators.enrich import dimension
-    cells = dimension(polygon_cells(polygons, cell, key, exterior, holes), broadcast_rows)
-    first = F.col(ring)[0]
-    b = (buildings.withColumn("cx", F.floor(first["x"] / cell).cast("long"))
-                  .withColumn("cy", F.floor(first["y"] / cell).cast("long")))
-    j = (b.join(cells, ["cx", "cy"], "left")
-          .withColumn("_ie", G.edges(ring))
-          .withColumn("_ib", G.bbox(ring)))
-    hits = F.filter(F.col("_cands"), lambda c: G.bbox_contains(c["bb"], F.col("_ib"))
-                    & G.within_prepared(F.col("_ie"), c["ee"], c["he"]))
-    return (j.withColumn(key, F.explode_outer(F.transform(hits, lambda c: c["key"])))
-             .drop("cx", "cy", "_cands", "_ie", "_ib"))
-
-
-def with_centroid(df: DataFrame, ring: str = "geometry", holes: str | None = None,
-                  out: str = "centroid") -> DataFrame:
-    """area centroid of each polygon."""
-    return df.withColumn(out, G.centroid(ring, holes))
+    polys = cut_lineage(polygon_edges(polygons, key, exterior, holes))
+    cx, cy = _cells(F.col("_bb"), cell)
+    listed = polys.select("_pid", "_key", "_bb", "_bytes", cx.alias("_cx")).join(
+        polys.select(F.col("_pid").alias("_p2"), cy.alias("_cy")), F.col("_pid") == F.col("_p2")).drop("_p2")
+    listed = cut_lineage(listed)
+    cells, packed_bytes = listed.agg(F.count("*"), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+
+    whole = F.struct(F.col(ring).alias("exterior"), F.array().cast(f"array<{G.RING_TYPE}>").alias("holes"))
+    listed_parts = F.col(parts) if parts else F.array(whole)
+    first = listed_parts[0]["exterior"][0]
+    b = buildings.withColumns({
+        "_cx": F.floor(first["x"] / cell).cast("long"), "_cy": F.floor(first["y"] / cell).cast("long"),
+        "_parts": F.transform(listed_parts, lambda p: F.struct(
+            G.edges(p["exterior"]).alias("ee"), G.hole_edge_arrays(p["holes"]).alias("ce"))),
+        "_ib": G.bbox(F.flatten(F.transform(listed_parts, lambda p: p["exterior"])))})
+    internal = ["_cx", "_cy", "_parts", "_ib"]
+
+    if packed_bytes <= broadcast_bytes:
+        packed = (listed.join(polys.select("_pid", "_ee", "_he"), "_pid").groupBy("_cx", "_cy").agg(F.collect_list(F.struct(
+            F.col("_key").alias("key"), F.col("_ee").alias("ee"), F.col("_he").alias("he"), F.col("_bb").alias("bb"))).alias("_cands")))
+        found = F.filter("_cands", lambda c: _hit(F.col("_ib"), c, F.col("_parts")))
+        return (b.join(F.broadcast(packed), ["_cx", "_cy"], "left")
+                .withColumn(key, F.explode_outer(F.transform(found, lambda c: c["key"]))).drop(*internal, "_cands"))
+
+    small = lambda df, size: F.broadcast(df) if size <= broadcast_bytes else df
+    edge_bytes = polys.agg(F.sum("_bytes")).first()[0]
+    b = cut_lineage(b.withColumn("_rid", F.monotonically_increasing_id()))
+    candidates = (b.select("_rid", *internal).join(small(listed.select("_cx", "_cy", "_pid", "_bb"), cells * ROW_BYTES), ["_cx", "_cy"])
+                  .where(G.bbox_contains(F.col("_bb"), F.col("_ib"))))
+    poly = F.struct(F.col("_bb").alias("bb"), F.col("_ee").alias("ee"), F.col("_he").alias("he"))
+    found = (candidates.join(small(polys.select("_pid", "_key", "_ee", "_he"), edge_bytes), "_pid")
+             .where(_hit(F.col("_ib"), poly, F.col("_parts"))).select("_rid", F.col("_key").alias(key)))
+    return b.drop(*internal).join(found, "_rid", "left").drop("_rid")
 
 
 def to_cadaster_crs(polygons: DataFrame, source_srid: int, exterior: str = "exterior",

@@ -1,12 +1,11 @@
 """Building features from GML (cadastral INSPIRE layout) with Spark's XML source.
 
-The GFS descriptions give element paths relative to the feature element
-(``currentUse``, ``officialArea|OfficialArea|value``,
-``geometry|BuildingGeometry|geometry``).  Namespace prefixes differ between
-files, so fields are located by their local name after a schema-inferring
-read; the polygon's ``posList`` text becomes a ring of (x, y) structs.
-Several files (one per municipality) are read as one multi-path scan - the
-bag union of U1.
+The element layout is declared, so files are read once, without inference;
+namespace prefixes, which differ between files, are ignored below the feature
+element.  A building's geometry is a surface of one or more patches, each with
+an exterior ring and any number of interior rings (courtyards); all of them
+are kept.  Several files (one per municipality) are read as one multi-path
+scan - the bag union of U1.
 """
 
 from __future__ import annotations
@@ -15,102 +14,65 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# GFS element paths of the fields the pipeline uses (local names).
-GML_FIELDS = {
-    "reference": ("reference",),
-    "currentUse": ("currentUse",),
-    "conditionOfConstruction": ("conditionOfConstruction",),
-    "numberOfDwellings": ("numberOfDwellings",),
-    "numberOfBuildingUnits": ("numberOfBuildingUnits",),
-    "value": ("officialArea", "OfficialArea", "value"),
-}
-GML_INT_FIELDS = ("numberOfDwellings", "numberOfBuildingUnits", "value")
-
-
-def _local(name: str) -> str:
-    return name.split(":", 1)[-1]
-
-
-def _find(schema: T.StructType, path: Sequence[str], prefix: str = "") -> str | None:
-    """Column path of the first field chain whose local names match ``path``."""
-    head, rest = path[0], path[1:]
-    for f in schema.fields:
-        if _local(f.name) == head:
-            here = f"{prefix}`{f.name}`"
-            if not rest:
-                return here
-            dt = f.dataType
-            if isinstance(dt, T.ArrayType):
-                dt = dt.elementType
-                here = f"{here}[0]"
-            if isinstance(dt, T.StructType):
-                got = _find(dt, rest, here + ".")
-                if got:
-                    return got
-    return None
-
-
-def _find_deep(schema: T.StructType, leaf: str, prefix: str = "") -> str | None:
-    """Column path of the first field named ``leaf`` at any depth."""
-    for f in schema.fields:
-        here = f"{prefix}`{f.name}`"
-        if _local(f.name) == leaf:
-            return here
-        dt = f.dataType
-        if isinstance(dt, T.ArrayType):
-            dt = dt.elementType
-            here = f"{here}[0]"
-        if isinstance(dt, T.StructType):
-            got = _find_deep(dt, leaf, here + ".")
-            if got:
-                return got
-    return None
-
-
-def _text(col: Column, dtype: T.DataType) -> Column:
-    if isinstance(dtype, T.StructType) and "_VALUE" in dtype.fieldNames():
-        return col["_VALUE"].cast("string")
-    return col.cast("string")
+
+# Element paths of the cadastral layout (local names).
+_TEXT = "struct<_VALUE:string>"
+_RING = f"struct<LinearRing:struct<posList:{_TEXT}>>"
+_PATCH = f"struct<exterior:{_RING},interior:array<{_RING}>>"
+_SURFACE = f"struct<patches:struct<PolygonPatch:array<{_PATCH}>>>"
+GML_SCHEMA = (
+    "reference string, currentUse string, conditionOfConstruction string, numberOfDwellings string, "
+    f"numberOfBuildingUnits string, officialArea struct<OfficialArea:struct<value:{_TEXT}>>, "
+    f"geometry struct<BuildingGeometry:array<struct<geometry:struct<Surface:{_SURFACE},"
+    f"MultiSurface:struct<surfaceMember:array<struct<Surface:{_SURFACE}>>>>>>>")
+RING_TYPE = "array<struct<x:double,y:double>>"
+PARTS_TYPE = f"array<struct<exterior:{RING_TYPE},holes:array<{RING_TYPE}>>>"
 
 
 def poslist_to_ring(text: Column) -> Column:
     """'x1 y1 x2 y2 ...' -> array<struct<x, y>>."""
     nums = F.transform(F.split(F.trim(text), r"\s+"), lambda s: s.cast("double"))
     idx = F.sequence(F.lit(0), (F.size(nums) / 2).cast("int") - 1)
-    return F.transform(idx, lambda i: F.struct(nums[i * 2].alias("x"),
-                                                                  nums[i * 2 + 1].alias("y")))
+    return F.transform(idx, lambda i: F.struct(nums[i * 2].alias("x"), nums[i * 2 + 1].alias("y")))
+
+
+def _ring(r: Column) -> Column:
+    return poslist_to_ring(r["LinearRing"]["posList"]["_VALUE"])
+
+
+def _parts() -> Column:
+    """All patches of all surfaces of all building geometries, in document order."""
+    none = F.array().cast(f"array<{_SURFACE}>")
+
+    def surfaces(g: Column) -> Column:
+        one = F.when(g["geometry"]["Surface"].isNotNull(), F.array(g["geometry"]["Surface"])).otherwise(none)
+        many = F.transform(g["geometry"]["MultiSurface"]["surfaceMember"], lambda m: m["Surface"])
+        return F.concat(one, F.coalesce(many, none))
+    found = F.flatten(F.transform(F.col("geometry.BuildingGeometry"), surfaces))
+    patches = F.flatten(F.filter(F.transform(found, lambda s: s["patches"]["PolygonPatch"]), lambda p: p.isNotNull()))
+    return F.transform(patches, lambda p: F.struct(
+        _ring(p["exterior"]).alias("exterior"),
+        F.coalesce(F.transform(p["interior"], _ring), F.array().cast(f"array<{RING_TYPE}>")).alias("holes")))
 
 
 def read_gml_buildings(spark: SparkSession, paths: str | Sequence[str],
                        row_tag: str = "bu-ext2d:Building") -> DataFrame:
-    """Buildings with GML field names, ``geometry`` ring and ``source_file``."""
+    """Buildings with GML field names, ``parts`` (every patch with its rings), ``geometry`` and ``source_file``.
+
+    ``geometry`` is the exterior ring of the first patch.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = (spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "_")
-           .option("valueTag", "_VALUE").option("ignoreNamespace", "false").load(paths))
-    cols = []
-    for name, path in GML_FIELDS.items():
-        p = _find(raw.schema, path)
-        if p is None:
-            cols.append(F.lit(None).cast("int" if name in GML_INT_FIELDS else "string").alias(name))
-            continue
-        c = _text(F.expr(p), raw.select(F.expr(p)).schema.fields[0].dataType)
-        cols.append((c.try_cast("int") if name in GML_INT_FIELDS else c).alias(name))
-    geom_root = _find(raw.schema, ("geometry",))
-    pos = None
-    if geom_root is not None:
-        sub = raw.select(F.expr(geom_root).alias("g")).schema.fields[0].dataType
-        if isinstance(sub, T.StructType):
-            inner = _find_deep(sub, "posList")
-            if inner:
-                pos = F.expr(f"{geom_root}.{inner}")
-                ptype = raw.select(pos).schema.fields[0].dataType
-                pos = _text(pos, ptype)
-    cols.append((poslist_to_ring(pos) if pos is not None
-                 else F.lit(None).cast("array<struct<x:double,y:double>>")).alias("geometry"))
-    cols.append(F.input_file_name().alias("source_file"))
-    return raw.select(*cols)
+    raw = (spark.read.format("xml").schema(GML_SCHEMA).option("rowTag", row_tag.rsplit(":", 1)[-1]).option("attributePrefix", "_")
+           .option("valueTag", "_VALUE").option("ignoreNamespace", "true").load(paths))
+    number = lambda c: c.try_cast("int")
+    rows = raw.select(
+        "reference", "currentUse", "conditionOfConstruction",
+        number(F.col("numberOfDwellings")).alias("numberOfDwellings"),
+        number(F.col("numberOfBuildingUnits")).alias("numberOfBuildingUnits"),
+        number(F.col("officialArea.OfficialArea.value._VALUE")).alias("value"),
+        _parts().alias("parts"), F.input_file_name().alias("source_file"))
+    return rows.withColumn("geometry", F.get("parts", 0)["exterior"]).select(
+        *[c for c in rows.columns if c != "source_file"], "geometry", "source_file")
 
 
 def ring_to_poslist(ring: Column) -> Column:
@@ -121,7 +83,7 @@ def ring_to_poslist(ring: Column) -> Column:
 
 def write_gml_buildings(buildings: DataFrame, path: str, row_tag: str = "Building",
                         root_tag: str = "FeatureCollection") -> None:
-    """Buildings (GML field names + ``geometry`` ring) as GML features, element
+    """Buildings (GML field names + ``parts``, or one ``geometry`` ring) as GML features, element
     paths as in the cadastral layout.  Spark's XML writer cannot emit
     namespace prefixes, so elements carry local names; the reader matches
     local names either way."""
@@ -130,13 +92,21 @@ def write_gml_buildings(buildings: DataFrame, path: str, row_tag: str = "Buildin
         for n in names:
             col = F.struct(col).alias(n)
         return col
-    ring = nest(ring_to_poslist(F.col("geometry")).alias("posList"),
-                "LinearRing", "exterior", "PolygonPatch", "patches", "Surface", "geometry",
-                "BuildingGeometry", "geometry")
+
+    def ring(r: Column, name: str) -> Column:
+        return nest(ring_to_poslist(r).alias("posList"), "LinearRing", name)
+    parts = F.col("parts") if "parts" in buildings.columns else F.array(F.struct(
+        F.col("geometry").alias("exterior"), F.array().cast(f"array<{RING_TYPE}>").alias("holes")))
+    patches = F.transform(parts, lambda p: F.struct(
+        ring(p["exterior"], "exterior"),
+        F.transform(p["holes"], lambda h: ring(h, "interior")["LinearRing"]).alias("_h")))
+    patches = F.transform(patches, lambda p: F.struct(
+        p["exterior"].alias("exterior"), F.transform(p["_h"], lambda r: F.struct(r.alias("LinearRing"))).alias("interior")))
+    surface = nest(patches.alias("PolygonPatch"), "patches", "Surface", "geometry", "BuildingGeometry", "geometry")
     feats = buildings.select(
         *[F.col(c) for c in ("conditionOfConstruction", "currentUse", "reference", "numberOfDwellings")
           if c in buildings.columns],
         nest(F.col("value").alias("value"), "OfficialArea", "officialArea"),
-        ring)
+        surface)
     (feats.write.format("xml").option("rowTag", row_tag).option("rootTag", root_tag)
      .mode("overwrite").save(path))
