@@ -1,10 +1,12 @@
-"""Ward on Spark, silhouette vs brute force, K-means."""
+"""Ward rounds, silhouette and K-means against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from wattlane.operators.silhouette import silhouette_score
-from wattlane.operators.ward import ward
+from wattlane.operators.numbering import global_index
+from wattlane.operators.silhouette import SCORE, silhouette_samples, silhouette_score
+from wattlane.operators.ward import kmeans_labels, ward
 
 
 def _blobs(spark, n=90, seed=4):
@@ -14,41 +16,98 @@ def _blobs(spark, n=90, seed=4):
     return spark.createDataFrame(rows, "id long, a double, b double, c double"), rows
 
 
-def test_ward_exact_recovers_blobs(spark):
-    df, rows = _blobs(spark)
-    res = ward(df, ["a", "b", "c"], [2, 3], keys=["id"])
-    assert res.exact and res.leaves == 90
-    m = res.merges.orderBy("merge_id").toPandas()
-    assert len(m) == 89 and np.all(np.diff(m.height) >= -1e-12) and m["size"].iloc[-1] == 90
-    lab = res.labels[3].toPandas().sort_values("id")
-    truth = lab["id"] % 3
-    assert lab.groupby(truth)["cluster"].nunique().eq(1).all()
-    assert lab["cluster"].nunique() == 3
-    assert res.top_merges(3).count() == 2
-
-
-def test_ward_duplicates_and_reduction(spark):
-    df, _ = _blobs(spark, n=120)
-    dup = df.unionByName(df.withColumn("id", F.col("id") + 1000))
-    res = ward(dup, ["a", "b", "c"], [3], keys=["id"])
-    assert res.exact and res.leaves == 120                  # duplicates collapsed with weight 2
-    assert res.labels[3].count() == 240
-    red = ward(dup, ["a", "b", "c"], [3], keys=["id"], max_exact=50, micro_clusters=20)
-    assert not red.exact and red.labels[3].count() == 240
-    assert red.labels[3].select("cluster").distinct().count() == 3
-
-
-def test_silhouette_matches_brute_force(spark):
-    df, rows = _blobs(spark, n=60, seed=9)
-    lab = df.withColumn("label", (F.col("id") % 4).cast("int"))
-    got = silhouette_score(lab, ["a", "b", "c"], "label").first()
-    x = np.array([r[1:] for r in rows])
-    y = np.array([r[0] % 4 for r in rows])
+def _greedy(x, w):
+    """The cheapest pair merged one at a time: (left, right, height, size), and the leaf sets at each count."""
+    at = {i: (i, x[i].astype(float), float(w[i]), [i]) for i in range(len(x))}
+    merges, cuts = [], {len(x): [[i] for i in range(len(x))]}
+    while len(at) > 1:
+        _, a, b, d = min(((2 * at[a][2] * at[b][2] / (at[a][2] + at[b][2]) * ((at[a][1] - at[b][1]) ** 2).sum(), a, b, 0)
+                          for a in at for b in at if a < b))
+        na, ca, wa, la = at.pop(a)
+        nb, cb, wb, lb = at.pop(b)
+        d = np.sqrt(2 * wa * wb / (wa + wb) * ((ca - cb) ** 2).sum())
+        node = len(x) + len(merges)
+        merges.append((min(na, nb), max(na, nb), d, wa + wb))
+        at[a] = (node, (wa * ca + wb * cb) / (wa + wb), wa + wb, la + lb)
+        cuts[len(at)] = [c[3] for c in at.values()]
+    return merges, cuts
+
+
+@pytest.mark.parametrize("parts,pairs", [("1", 2000), ("8", 4)])
+def test_ward_equals_greedy_merging(spark, parts, pairs):
+    """With equal vectors, any partitioning, and cells so small that the radius has to grow."""
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(30, 4)).round(3)
+    pick = rng.integers(0, 30, 50)
+    rows = [(i, *map(float, base[j])) for i, j in enumerate(pick)] + [(99, None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
+    leaves, weight = np.unique(base[pick], axis=0, return_counts=True)
+    merges, cuts = _greedy(leaves, weight)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        res = ward(df, list("abcd"), [2, 5], keys=["id"], pairs_per_cluster=pairs)
+        got = res.merges.orderBy("merge_id").collect()
+        labels = {k: {r.id: r.cluster for r in res.labels[k].collect()} for k in (2, 5)}
+        top = res.top_merges(3).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert [(r.left_node, r.right_node, r.size) for r in got] == [(a, b, n) for a, b, _, n in merges]
+    np.testing.assert_allclose([r.height for r in got], [h for _, _, h, _ in merges])
+    assert [r.merge_id for r in top] == [len(merges) - 1, len(merges) - 2]
+    leaf = {tuple(v): i for i, v in enumerate(leaves.tolist())}
+    for k in (2, 5):
+        parts_k = sorted((-sum(weight[i] for i in p), min(p), p) for p in cuts[k])
+        number = {i: n for n, (_, _, p) in enumerate(parts_k) for i in p}
+        assert labels[k] == {r[0]: number[leaf[tuple(r[1:])]] for r in rows[:-1]}
+
+
+def test_ward_of_few_rows(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 2.0)], "id long, a double")
+    res = ward(df, ["a"], [3], keys=["id"])
+    assert res.leaves == 1 and res.merges.count() == 0
+    assert [r.cluster for r in res.labels[3].collect()] == [0, 0]
+
+
+def test_global_index(spark):
+    df = spark.range(500).withColumn("v", F.col("id") % 7)
+    got = global_index(df.repartition(5), ["v"], out="no").orderBy("no").collect()
+    assert [r.no for r in got] == list(range(500)) and [r.v for r in got] == sorted(r.v for r in got)
+
+
+def _silhouette(x, y):
     d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
-    s = []
+    out = []
     for i in range(len(x)):
         own = y == y[i]
+        if own.sum() == 1:
+            out.append(0.0)
+            continue
         a = d[i, own].sum() / (own.sum() - 1)
-        b = min(d[i, y == c].mean() for c in set(y) if c != y[i])
-        s.append((b - a) / max(a, b))
-    assert abs(got.silhouette - np.mean(s)) < 1e-9 and got.n == 60
+        b = min(d[i, y == c].mean() for c in set(y.tolist()) if c != y[i])
+        out.append((b - a) / max(a, b))
+    return out
+
+
+@pytest.mark.parametrize("pack", [1_000_000, 9])
+def test_silhouette_matches_brute_force(spark, pack):
+    df, rows = _blobs(spark, n=61, seed=9)
+    lab = df.withColumn("label", F.when(F.col("id") == 60, 77).otherwise((F.col("id") % 4).cast("int")))
+    y = np.array([77 if r[0] == 60 else r[0] % 4 for r in rows])
+    got = {r.id: r[SCORE] for r in silhouette_samples(lab, ["a", "b", "c"], "label", pack_doubles=pack).collect()}
+    want = _silhouette(np.array([r[1:] for r in rows]), y)
+    np.testing.assert_allclose([got[i] for i in range(61)], want, atol=1e-9)
+    one = silhouette_score(lab, ["a", "b", "c"], "label").first()
+    assert one.n == 61 and abs(one[SCORE] - np.mean(want)) < 1e-9
+
+
+def test_silhouette_needs_one_length(spark):
+    df = spark.createDataFrame([([1.0, 2.0], 0), ([1.0], 1)], "v array<double>, label int")
+    with pytest.raises(ValueError, match="one length"):
+        silhouette_score(df, "v", "label")
+
+
+def test_kmeans_recovers_blobs(spark):
+    df, _ = _blobs(spark, n=150)
+    got = {r.id: r.cluster for r in kmeans_labels(df, ["a", "b", "c"], ["id"], k=3).collect()}
+    share = [max(np.bincount([got[i] for i in got if i % 3 == b], minlength=3)) / 50 for b in range(3)]
+    assert min(share) > 0.95 and len(set(got.values())) == 3

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.functions.calendar import (local_time, month_number, month_text, utc_column,
+from wattlane.functions.calendar import (month_number, month_text, utc_column,
                                          weekday_iso_text, weekday_monday0, year_of)
 from wattlane.session import cut_lineage
 
@@ -85,11 +85,6 @@ def forecast_dataset(cleaned: DataFrame, weather: DataFrame, socio: DataFrame,
     return df.withColumns({"month": month_text("localtime"), "weekday": weekday_iso_text("localtime")})
 
 
-def with_local_weather_time(weather: DataFrame, time_col: str = "time") -> DataFrame:
-    """F2 on the weather table (``localtime`` of each reading)."""
-    return weather.withColumn("localtime", local_time(utc_column(weather, time_col)))
-
-
 def forecast_features(dataset: DataFrame, target: str = "consumption_filtered") -> DataFrame:
     """Drop time and target columns' siblings, keep rows with a target."""
     return (dataset.where(F.col(target).isNotNull())

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from wattlane.functions.calendar import bucket_start
 from wattlane.functions.missing import strict_avg
+from wattlane.functions.numeric import exact_avg
 
 
 def bucket_hours(n_hours: int) -> list[int]:
@@ -36,11 +37,11 @@ def strict_daily_total(df: DataFrame, value: str = "consumption_filtered",
 def lenient_daily_total(df: DataFrame, value: str = "consumption_filtered",
                         keys: Sequence[str] = ("postalcode", "date"), scale: float = 24.0,
                         out: str = "daily_consumption") -> DataFrame:
-    """Mean over present hours x 24, one row per day."""
+    """Mean over present hours x 24, one row per day; the mean does not depend on row order."""
     present = df.where(F.col(keys[0]).isNotNull()) if keys else df
     for k in keys[1:]:
         present = present.where(F.col(k).isNotNull())
-    return present.groupBy(*keys).agg((F.avg(value) * F.lit(scale)).alias(out))
+    return present.groupBy(*keys).agg((exact_avg(value) * F.lit(scale)).alias(out))
 
 
 def profile_long(cleaned: DataFrame, n_hours: int = 3, value: str = "consumption_filtered",

@@ -1,16 +1,19 @@
-"""Silhouette score (M9) from per-cluster sufficient statistics.
+"""Silhouette score (M9) with the squared Euclidean dissimilarity, from sufficient statistics.
 
-With the squared Euclidean dissimilarity the mean distance of a point x to a
-cluster C needs only |C|, the vector sum S_C and the sum of squared norms Q_C:
+The mean squared distance of a point x to a cluster C needs only |C|, the
+vector sum S_C and the sum of squared norms Q_C:
 
     sum_{y in C} ||x - y||^2 = |C| ||x||^2 - 2 x.S_C + Q_C
 
-so the score is exact in O(n k): one aggregation fits k small rows, which
-are folded into the per-row expression as literals (k is bounded by the
-number of clusters).  a(x) averages over the other members of x's cluster,
-b(x) is the smallest mean over another cluster, a singleton scores 0 - the
-definition of ``silhouette_score(metric='sqeuclidean')``.  The plain
-Euclidean form needs every pair of rows and is not provided.
+so the score is exact in O(n k), at every size.  a(x) averages over the other
+members of x's cluster, b(x) is the smallest mean over another cluster, a
+singleton scores 0 - ``silhouette_score(metric='sqeuclidean')``.  The plain
+Euclidean form needs every pair of rows and is not provided; output columns
+carry the metric in their name.
+
+The statistics are a table, packed into rows of at most ``pack_doubles`` numbers
+each; such a row is small enough to be broadcast.  Few clusters make one
+packed row, very many make several, which every point meets one after another.
 """
 
 from __future__ import annotations
@@ -20,6 +23,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattlane.session import cut_lineage
+
+SCORE = "silhouette_sqeuclidean"
+
 
 def _vec(cols: Sequence[str] | str) -> Column:
     if isinstance(cols, str):
@@ -31,35 +38,44 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, t: acc + t)
 
 
-def silhouette_samples(df: DataFrame, features: Sequence[str] | str, label: str) -> DataFrame:
-    """Adds ``silhouette`` per row."""
-    d = df.withColumn("_x", _vec(features)).withColumn("_nx", _dot(F.col("_x"), F.col("_x")))
-    dim = len(features) if not isinstance(features, str) else d.select(F.size("_x")).first()[0]
-    stats = (d.groupBy(label)
-              .agg(F.count(F.lit(1)).alias("n"), F.sum("_nx").alias("q"),
-                   *[F.sum(F.col("_x")[i]).alias(f"s{i}") for i in range(dim)])
-              .collect())                               # k rows
-    if len(stats) < 2:
-        return d.withColumn("silhouette", F.lit(None).cast("double")).drop("_x", "_nx")
-    own_sum = None
-    terms = []
-    for r in stats:
-        s_vec = F.array(*[F.lit(float(r[f"s{i}"])) for i in range(dim)])
-        total = F.lit(float(r["n"])) * F.col("_nx") - F.lit(2.0) * _dot(F.col("_x"), s_vec) + F.lit(float(r["q"]))
-        is_own = F.col(label) == F.lit(r[label])
-        own_sum = F.when(is_own, total) if own_sum is None else own_sum.when(is_own, total)
-        terms.append(F.when(~is_own, total / F.lit(float(r["n"]))))
-    own_n = None
-    for r in stats:
-        is_own = F.col(label) == F.lit(r[label])
-        own_n = F.when(is_own, F.lit(float(r["n"]))) if own_n is None else own_n.when(is_own, F.lit(float(r["n"])))
-    a = F.try_divide(own_sum, own_n - F.lit(1.0))
-    b = F.least(*terms) if len(terms) > 1 else terms[0]
-    s = F.when(own_n <= 1, F.lit(0.0)).otherwise(F.try_divide(b - a, F.greatest(a, b)))
-    return d.withColumn("silhouette", F.coalesce(s, F.lit(0.0))).drop("_x", "_nx")
-
-
-def silhouette_score(df: DataFrame, features: Sequence[str] | str, label: str) -> DataFrame:
-    """M9: one row (n, silhouette)."""
-    s = silhouette_samples(df.where(F.col(label).isNotNull()), features, label)
-    return s.agg(F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette"))
+def _dimension(d: DataFrame) -> int:
+    lo, hi, missing = d.agg(F.min(F.size("_x")), F.max(F.size("_x")), F.count_if(F.col("_x").isNull())).first()
+    if lo != hi or missing:
+        raise ValueError(f"vectors of one length are needed, found {lo} to {hi} and {missing} missing")
+    return lo or 0
+
+
+def silhouette_samples(df: DataFrame, features: Sequence[str] | str, label: str, by: Sequence[str] = (),
+                       pack_doubles: int = 1_000_000) -> DataFrame:
+    """Adds ``silhouette_sqeuclidean`` per row; rows of different ``by`` values are scored apart."""
+    by = list(by)
+    d = cut_lineage(df.withColumns({"_x": _vec(features), "_rid": F.monotonically_increasing_id()})
+                    .withColumn("_nx", _dot(F.col("_x"), F.col("_x"))))
+    dim = _dimension(d)
+    stats = cut_lineage(d.groupBy(*by, F.col(label).alias("c")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("_nx").alias("q"),
+        F.array(*[F.sum(F.col("_x")[i]) for i in range(dim)]).alias("s")))
+    packs = max(1, -(-stats.count() * (dim + 2) // pack_doubles))
+    pack = F.pmod(F.xxhash64("c"), F.lit(packs)).cast("int")
+    packed = stats.groupBy(*by, pack.alias("_pack")).agg(F.collect_list(F.struct("c", "n", "q", "s")).alias("_cs"))
+    if packs == 1:
+        packed = F.broadcast(packed)
+    met = d.withColumn("_pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))).join(packed, [*by, "_pack"])
+    totals = F.transform("_cs", lambda c: F.struct(
+        (c["c"] == F.col(label)).alias("own"), c["n"].alias("n"),
+        (c["n"] * F.col("_nx") - F.lit(2.0) * _dot(F.col("_x"), c["s"]) + c["q"]).alias("t")))
+    met = met.withColumn("_ts", totals).withColumns({
+        "_own": F.get(F.filter("_ts", lambda t: t["own"]), 0),
+        "_other": F.array_min(F.transform(F.filter("_ts", lambda t: ~t["own"]), lambda t: t["t"] / t["n"]))})
+    if packs > 1:
+        met = d.join(met.groupBy("_rid").agg(F.max("_own").alias("_own"), F.min("_other").alias("_other")), "_rid")
+    n, a, b = F.col("_own.n"), F.try_divide(F.col("_own.t"), F.col("_own.n") - F.lit(1.0)), F.col("_other")
+    score = F.when(b.isNull(), F.lit(None)).when(n <= 1, F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+    return met.withColumn(SCORE, score).drop("_x", "_nx", "_rid", "_pack", "_cs", "_ts", "_own", "_other")
+
+
+def silhouette_score(df: DataFrame, features: Sequence[str] | str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """M9: per ``by`` one row (n, silhouette_sqeuclidean); rows without a label are left out."""
+    s = silhouette_samples(df.where(F.col(label).isNotNull()), features, label, by)
+    return s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(SCORE).alias(SCORE))

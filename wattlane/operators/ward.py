@@ -1,39 +1,51 @@
-"""Ward agglomerative clustering at scale.
-
-Plan
-----
-1. Rows become vectors; identical vectors are collapsed into weighted leaves
-   (one ``groupBy`` on the vector).
-2. If there are at most ``max_exact`` distinct vectors, they are the leaves
-   and the result is exact Ward.  Otherwise MLlib ``KMeans`` (distributed,
-   k = ``micro_clusters``) reduces the rows to weighted micro-clusters, which
-   are then merged by Ward - the usual two-stage scheme, approximate.
-3. The bounded leaf set (at most ``max(max_exact, micro_clusters)`` rows of d
-   doubles) is merged by a nearest-neighbour chain in one task
-   (``applyInPandas`` on a single group).  Merges and the cluster number of
-   every leaf at each requested k are written once to the shared checkpoint
-   folder.
-4. Rows get their label by a broadcast join on the leaf id (bounded table).
-
-No pair of rows is ever materialised; the only quadratic work is inside the
-bounded leaf set.
+"""Ward agglomerative clustering as rounds of DataFrame jobs.
+
+Exact Ward at every size.  Identical vectors are one weighted leaf.  A round
+finds the nearest neighbour of every cluster and merges all pairs that are
+each other's; Ward's cost is reducible, so such pairs can be merged in any
+order and give the same tree as merging the cheapest pair one at a time.
+
+*Nearest neighbours.*  The cost of two clusters,
+``sqrt(2 |A| |B| / (|A| + |B|)) * ||c_A - c_B||``, is never below the distance of
+their centres (sizes are at least 1).  So all pairs with cost <= r lie in
+neighbouring cells of width r over a few columns of high variance: an
+equi-join on the cell, reduced to the least cost per cluster in the same
+stage - pairs are never written.  A cluster whose least cost is above r waits.
+Every round takes the largest r whose cells hold at most ``pairs_per_cluster``
+pairs per cluster, measured from the cell counts; if nothing merges, r doubles.
+The choice of r changes the work, never the tree.
+
+*Tree.*  A round's clusters are one table in the shared checkpoint folder; new
+ones carry the two they were made of.  Merges are numbered by height over a
+range partitioning; nodes ``0..m-1`` are leaves (in order of their vectors),
+node ``m + i`` is merge ``i``.
+
+*Labels.*  The tree is cut at the largest k asked for by pointer jumping over
+the merges below the cut; smaller k join those clusters by the merges above it
+(fewer rows than k).  Clusters are numbered by size, then by their least leaf.
+Rows get labels by equi-joins on the vector and the leaf.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.functions.hierarchy import cut_labels, ward_merges, weighted_silhouette
-from wattlane.session import cut_lineage, ship_package
+from wattlane.operators.numbering import global_index
+from wattlane.session import scratch_table_path, written_table
 
-TREE_SCHEMA = ("kind string, leaf long, k int, cluster int, merge_id long, left_node long, "
-               "right_node long, height double, size long, score double")
+
+def _table(df: DataFrame) -> DataFrame:
+    return written_table(df, "ward")
+
+#: Columns that make up a cell.
+CELL_COLUMNS = 3
+#: Radii tried per round: the widest range halved so many times.
+RADII = 24
 
 
 @dataclass
@@ -41,97 +53,176 @@ class WardResult:
     labels: dict[int, DataFrame]      # k -> rows with `cluster`
     merges: DataFrame                 # merge_id, left_node, right_node, height, size
     leaves: int
-    exact: bool
-    silhouette: DataFrame | None = None   # k, n, silhouette (Euclidean; exact mode only)
 
     def top_merges(self, p: int) -> DataFrame:
         """M8: the last ``p - 1`` merges (``truncate_mode='lastp'``)."""
         return self.merges.orderBy(F.col("height").desc(), F.col("merge_id").desc()).limit(max(p - 1, 0))
 
 
-def _vector(cols: Sequence[str]):
-    return F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
-
-
-def _tree_task(ks: Sequence[int], with_silhouette: bool = False):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("leaf")
-        leaf = pdf["leaf"].to_numpy()
-        x = np.stack(pdf["v"].to_numpy()) if len(pdf) else np.zeros((0, 1))
-        w = pdf["w"].to_numpy(dtype=np.float64)
-        merges = ward_merges(x, w)
-        parts = [pd.DataFrame({
-            "kind": "merge", "leaf": None, "k": None, "cluster": None,
-            "merge_id": np.arange(len(merges), dtype=np.int64),
-            "left_node": merges[:, 0].astype(np.int64), "right_node": merges[:, 1].astype(np.int64),
-            "height": merges[:, 2], "size": merges[:, 3].astype(np.int64), "score": None})]
-        for k in ks:
-            lab = cut_labels(merges, w, min(k, len(leaf))) if len(leaf) else np.zeros(0, np.int64)
-            parts.append(pd.DataFrame({
-                "kind": "label", "leaf": leaf.astype(np.int64), "k": k, "cluster": lab.astype(np.int32),
-                "merge_id": None, "left_node": None, "right_node": None, "height": None, "size": None,
-                "score": None}))
-            if with_silhouette and len(leaf) > 1:
-                parts.append(pd.DataFrame({
-                    "kind": ["silhouette"], "leaf": [None], "k": [k], "cluster": [None], "merge_id": [None],
-                    "left_node": [None], "right_node": [None], "height": [None],
-                    "size": [int(w.sum())], "score": [weighted_silhouette(x, w, lab)]}))
-        return pd.concat(parts, ignore_index=True)
-    return run
+def _cell(cols: Sequence[str], radius: Column | float) -> list[Column]:
+    return [F.floor(F.col(c) / F.lit(radius)).cast("long") for c in cols]
+
+
+def _radius(state: DataFrame, cols: Sequence[str], widest: float, clusters: int, budget: int) -> float | None:
+    """The largest radius whose cells hold at most ``budget`` pairs per cluster; None: any."""
+    if clusters <= budget or not widest > 0:
+        return None
+    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(widest / 2 ** i).alias("r")) for i in range(RADII)]))
+    cells = state.select(*cols, levels.alias("l")).select("l.level", F.struct(*_cell(cols, F.col("l.r"))).alias("cell"))
+    per_level = (cells.groupBy("level", "cell").agg(F.count(F.lit(1)).cast("double").alias("n"))
+                 .groupBy("level").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+                 .where(F.col("pairs") * 3 ** len(cols) <= float(budget) * clusters).agg(F.min("level")).first()[0])
+    return widest / 2 ** (RADII - 1 if per_level is None else per_level)
+
+
+def _nearest(state: DataFrame, centre: Sequence[str], cell_cols: Sequence[str], radius: float | None,
+             blocks: int = 8) -> DataFrame:
+    """Per cluster ``rep`` its least (cost, lo, hi) with cost <= radius."""
+    side = lambda p: state.select(F.col("rep").alias(f"{p}rep"), F.col("size").alias(f"{p}size"),
+                                  *[F.col(c).alias(f"{p}{c}") for c in dict.fromkeys([*centre, *cell_cols])])
+    a, b = side("a"), side("b")
+    if radius is None:      # all clusters are neighbours: blocks of rows against all rows
+        a = a.withColumn("cell", F.pmod(F.xxhash64("arep"), F.lit(blocks)))
+        b = b.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    else:
+        around = [F.array(c - 1, c, c + 1) for c in _cell([f"a{c}" for c in cell_cols], radius)]
+        a = reduce(lambda df, i: df.withColumn(f"k{i}", F.explode(around[i])), range(len(around)), a)
+        a = a.withColumn("cell", F.struct(*[F.col(f"k{i}") for i in range(len(around))])).drop(*[f"k{i}" for i in range(len(around))])
+        b = b.withColumn("cell", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_cell([f"b{c}" for c in cell_cols], radius))]))
+    squares = reduce(lambda x, y: x + y, [(F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in centre])
+    cost = F.sqrt(F.lit(2.0) * F.col("asize") * F.col("bsize") / (F.col("asize") + F.col("bsize")) * squares)
+    pairs = a.join(b, "cell").where("arep <> brep").select(
+        F.col("arep").alias("rep"), cost.alias("cost"), F.least("arep", "brep").alias("lo"), F.greatest("arep", "brep").alias("hi"))
+    if radius is not None:
+        pairs = pairs.where(F.col("cost") <= F.lit(radius))
+    return pairs.groupBy("rep").agg(F.min(F.struct("cost", "lo", "hi")).alias("best"))
+
+
+def _merge_round(state: DataFrame, nearest: DataFrame, centre: Sequence[str], made: int) -> DataFrame:
+    """The clusters after merging all mutual nearest neighbours."""
+    mutual = nearest.groupBy("best").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(
+        F.col("best.lo").alias("lo"), F.col("best.cost").alias("cost"),
+        F.explode(F.array("best.lo", "best.hi")).alias("mrep"))
+    joined = state.join(mutual, F.col("rep") == F.col("mrep"), "left").withColumn("grp", F.coalesce("lo", "rep"))
+    alone = F.count(F.lit(1)) == 1
+    part = F.struct("rep", "made")
+    return joined.groupBy("grp").agg(
+        F.when(alone, F.max("made")).otherwise(F.lit(made)).alias("made"),
+        F.sum("size").alias("total"), F.greatest(F.max("h"), F.max("cost")).alias("h"),
+        F.when(alone, F.max("left")).otherwise(F.min(part)).alias("left"),
+        F.when(alone, F.max("right")).otherwise(F.max(part)).alias("right"),
+        *[F.when(alone, F.max(c)).otherwise(F.sum(F.col(c) * F.col("size")) / F.sum("size")).alias(c) for c in centre],
+    ).withColumnsRenamed({"grp": "rep", "total": "size"})
+
+
+def _agglomerate(leaves: DataFrame, centre: Sequence[str], m: int, budget: int) -> DataFrame | None:
+    """All merges: (rep, made, h, size, left, right); None for fewer than two leaves."""
+    none = F.lit(None).cast("struct<rep:long,made:int>")
+    state = _table(leaves.select(F.col("leaf").alias("rep"), F.lit(0).alias("made"), F.col("w").cast("double").alias("size"),
+                                      F.lit(0.0).alias("h"), none.alias("left"), none.alias("right"), *centre))
+    spread = state.agg(*[F.coalesce(F.var_pop(c), F.lit(0.0)).alias(c) for c in centre]).first()
+    cell_cols = sorted(centre, key=lambda c: -spread[c])[:CELL_COLUMNS]
+    widest = max(state.agg(*[(F.max(c) - F.min(c)).alias(c) for c in cell_cols]).first() or [0.0]) if m > 1 else 0.0
+    rounds, left, made, floor = [], m, 0, 0.0
+    while left > 1:
+        made += 1
+        radius = _radius(state, cell_cols, widest, left, budget)
+        if radius is not None and radius < floor:
+            radius = floor if floor <= 2 * widest * len(centre) else None
+        path = scratch_table_path(leaves.sparkSession, "ward-round")
+        _merge_round(state, _nearest(state, centre, cell_cols, radius), centre, made).write.parquet(path)
+        after = leaves.sparkSession.read.schema(state.schema).parquet(path)
+        n = after.where(F.col("made") == made).count()
+        if n:
+            rounds.append(path)
+            state, left, floor = after, left - n, 0.0
+        else:
+            floor = 2 * radius
+    if not rounds:
+        return None
+    # a cluster stands in the tables from its round until it is merged
+    every = leaves.sparkSession.read.schema(state.schema).parquet(*rounds).where("made > 0")
+    return every.dropDuplicates(["rep", "made"]).select("rep", "made", "h", "size", "left", "right")
+
+
+def _merge_table(merges: DataFrame | None, spark, m: int) -> DataFrame:
+    if merges is None:
+        return spark.createDataFrame([], "merge_id long, left_node long, right_node long, height double, size long")
+    numbered = _table(global_index(merges, ["h", "made", "rep"], out="merge_id"))
+    ids = numbered.select(F.col("rep").alias("nrep"), F.col("made").alias("nmade"), (F.col("merge_id") + m).alias("node"))
+    out = numbered
+    for side in ("left", "right"):
+        part = ids.select(F.col("nrep").alias(f"{side}_rep"), F.col("nmade").alias(f"{side}_made"), F.col("node").alias(f"{side}_id"))
+        out = out.join(part, (F.col(f"{side}.rep") == F.col(f"{side}_rep")) & (F.col(f"{side}.made") == F.col(f"{side}_made")), "left")
+        out = out.withColumn(f"{side}_at", F.when(F.col(f"{side}.made") == 0, F.col(f"{side}.rep")).otherwise(F.col(f"{side}_id")))
+    return _table(out.select("merge_id", F.least("left_at", "right_at").alias("left_node"),
+                                  F.greatest("left_at", "right_at").alias("right_node"), F.col("h").alias("height"),
+                                  F.col("size").cast("long").alias("size")))
+
+
+def _roots(merges: DataFrame, m: int, k: int) -> DataFrame:
+    """(node, root) of every node below the cut into ``k`` clusters, by pointer jumping."""
+    up = _table(merges.where(F.col("merge_id") < m - k).select(
+        (F.col("merge_id") + m).alias("root"), F.explode(F.array("left_node", "right_node")).alias("node")))
+    while True:
+        nxt = up.select(F.col("node").alias("pnode"), F.col("root").alias("proot"))
+        up = _table(up.join(nxt, F.col("root") == F.col("pnode"), "left").select(
+            "node", F.coalesce("proot", "root").alias("root"), F.col("pnode").isNotNull().alias("moved")))
+        if not up.where("moved").limit(1).count():
+            return up.select("node", "root")
+        up = up.select("node", "root")
+
+
+def _cluster_numbers(tops: list, above: list, m: int, ks: Sequence[int]) -> list[tuple[int, int, int]]:
+    """(k, root, cluster): clusters at the largest k, joined by the merges above the cut for the others.
+
+    ``tops``: (root, rows, least leaf), at most max(ks) of them; ``above``: (merge_id, left, right) in order.
+    """
+    out, todo = [], sorted(set(ks), reverse=True)
+    parts = {root: (size, first, [root]) for root, size, first in tops}
+    pending = list(above)
+    for k in todo:
+        while len(parts) > max(k, 1) and pending:
+            i, a, b = pending.pop(0)
+            (sa, fa, ra), (sb, fb, rb) = parts.pop(a), parts.pop(b)
+            parts[m + i] = (sa + sb, min(fa, fb), ra + rb)
+        for no, (_, _, roots) in enumerate(sorted(parts.values(), key=lambda p: (-p[0], p[1]))):
+            out += [(k, r, no) for r in roots]
+    return out
 
 
 def ward(df: DataFrame, features: Sequence[str], ks: Sequence[int], keys: Sequence[str],
-         max_exact: int = 2000, micro_clusters: int | None = None, seed: int = 42,
-         silhouette: bool = False) -> WardResult:
+         pairs_per_cluster: int = 2000) -> WardResult:
     """M5-M7: Ward clustering of the rows of ``df`` on ``features``.
 
     Returns labels per k for the rows (``keys`` + ``cluster``) and the merge
-    table.  Leaves are distinct vectors (exact) or K-means micro-clusters.
-    With ``silhouette`` and exact leaves, the Euclidean silhouette of every cut
-    (M9, the reference's metric) is computed in the same bounded task.
+    table.  Rows with a missing feature get no label.  ``pairs_per_cluster``
+    bounds the work of a round; the result does not depend on it.
     """
-    keys = list(keys)
-    pts = df.select(*keys, _vector(features).alias("_v"))
-    distinct = pts.groupBy("_v").agg(F.count(F.lit(1)).alias("w"))
-    m = distinct.count()
-    exact = m <= max_exact
-    if exact:
-        # at most max_exact rows: one ordered partition is bounded
-        leaves = distinct.withColumn("leaf", (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("long"))
-        leaves = cut_lineage(leaves)
-        assign = pts.join(F.broadcast(leaves.select("_v", "leaf")), "_v")
-        leaf_table = leaves.select("leaf", F.col("_v").alias("v"), "w")
+    spark, keys = df.sparkSession, list(keys)
+    centre = [f"c{i}" for i in range(len(features))]
+    pts = df.select(*keys, *[F.col(f"`{f}`").cast("double").alias(c) for f, c in zip(features, centre)]).dropna(subset=centre)
+    leaves = _table(global_index(pts.groupBy(*centre).agg(F.count(F.lit(1)).alias("w")), centre, out="leaf"))
+    m = leaves.count()
+    merges = _merge_table(_agglomerate(leaves, centre, m, pairs_per_cluster), spark, m)
+
+    top_k = min(max(ks), m)
+    tops = leaves.select("leaf", "w")
+    if top_k < m:
+        roots = _roots(merges, m, top_k)
+        tops = tops.join(roots, F.col("leaf") == F.col("node"), "left").withColumn("root", F.coalesce("root", "leaf"))
     else:
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.functions import array_to_vector
-        k_micro = micro_clusters or max_exact
-        vec = pts.withColumn("_fv", array_to_vector("_v"))
-        model = KMeans(k=k_micro, seed=seed, featuresCol="_fv", predictionCol="_leaf",
-                       maxIter=20).fit(vec)
-        assign = cut_lineage(model.transform(vec).withColumn("leaf", F.col("_leaf").cast("long"))
-                             .drop("_fv", "_leaf"))
-        d = len(features)
-        leaf_table = (assign.groupBy("leaf")
-                      .agg(F.count(F.lit(1)).alias("w"),
-                           *[F.avg(F.col("_v")[i]).alias(f"_c{i}") for i in range(d)])
-                      .select("leaf", F.array(*[F.col(f"_c{i}") for i in range(d)]).alias("v"), "w"))
-    ship_package(df.sparkSession)
-    tree = (leaf_table.groupBy(F.lit(0).alias("_g"))
-            .applyInPandas(lambda pdf: _tree_task(list(ks), silhouette and exact)(
-                pdf.drop(columns=["_g"], errors="ignore")), TREE_SCHEMA))
-    tree = cut_lineage(tree)
-    merges = (tree.where(F.col("kind") == "merge")
-                  .select("merge_id", "left_node", "right_node", "height", "size"))
-    labels = {}
-    for k in ks:
-        lab = tree.where((F.col("kind") == "label") & (F.col("k") == k)).select("leaf", "cluster")
-        labels[k] = assign.join(F.broadcast(lab), "leaf").select(*keys, "cluster")
-    sil = None
-    if silhouette and exact:
-        sil = (tree.where(F.col("kind") == "silhouette")
-                   .select("k", F.col("size").alias("n"), F.col("score").alias("silhouette")))
-    return WardResult(labels=labels, merges=merges, leaves=m if exact else (micro_clusters or max_exact),
-                      exact=exact, silhouette=sil)
+        tops = tops.withColumn("root", F.col("leaf"))
+    tops = _table(tops.select("leaf", "w", "root"))
+    small = [tuple(r) for r in tops.groupBy("root").agg(F.sum("w"), F.min("leaf")).collect()]        # top_k rows
+    above = [tuple(r) for r in merges.where(F.col("merge_id") >= m - top_k).orderBy("merge_id")
+             .select("merge_id", "left_node", "right_node").collect()]                             # top_k - 1 rows
+    numbers = spark.createDataFrame(_cluster_numbers(small, above, m, ks), "k int, root long, cluster int")
+    assigned = _table(pts.join(leaves.select(*centre, "leaf"), centre).join(tops.select("leaf", "root"), "leaf")
+                           .select(*keys, "root"))
+    labels = {k: assigned.join(F.broadcast(numbers.where(F.col("k") == k).drop("k")), "root").select(*keys, "cluster")
+              for k in ks}
+    return WardResult(labels=labels, merges=merges, leaves=m)
 
 
 def kmeans_labels(df: DataFrame, features: Sequence[str], keys: Sequence[str], k: int,
@@ -139,6 +230,6 @@ def kmeans_labels(df: DataFrame, features: Sequence[str], keys: Sequence[str], k
     """MLlib K-means labels for the rows (the note's alternative to Ward)."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    vec = df.select(*keys, array_to_vector(_vector(features)).alias("_fv"))
+    vec = df.select(*keys, array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in features])).alias("_fv"))
     model = KMeans(k=k, seed=seed, featuresCol="_fv", predictionCol="cluster", maxIter=max_iter).fit(vec)
     return model.transform(vec).select(*keys, "cluster")

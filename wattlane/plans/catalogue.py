@@ -186,16 +186,18 @@ def q_consumption_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels for nation days with at least two orders: weekend 1, working day 0."""
+    """Labels for every nation day, not determined by any one feature: summer half-year and
+    weekend give four classes, a key hash moves 15 % of the days to the next one."""
     from pyspark.sql import functions as F
 
     from wattlane.operators.daily import daily_from_instants
+    from wattlane.operators.splits import key_hash_bucket
     rows = daily_from_instants(S.nation_daily_orders(spark, sf_dir))
+    rule = F.month("date").between(4, 9).cast("int") + 2 * (F.weekday("date") >= 5).cast("int")
+    moved = (key_hash_bucket(["postalcode", "date"], seed=7) < 15).cast("int")
     # same key order as the daily aggregate it is joined to: the join reuses its partitioning
     return (rows.groupBy("date", "postalcode").agg(F.count(F.lit(1)).alias("_n"))
-                .where(F.col("_n") >= 2)
-                .select("postalcode", "date",
-                        F.when(F.weekday("date") >= 5, 1).otherwise(0).alias("cluster")))
+                .select("postalcode", "date", ((rule + moved) % 4).cast("int").alias("cluster")))
 
 
 def cadaster_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,19 +255,36 @@ def q_append_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------------ splits, metrics
 
-PLOT_CODES = ["click", "view"]          # the two postal codes plotted (stand-in values)
-HOLDOUT_CODES = 1                        # test rows = 20 x 96 x this
+AREA_PARTS = 4                           # user groups per event type: enough rows for the hold-out
+PLOT_CODES = ["click-0", "view-0"]       # the two postal codes plotted (stand-in values)
+
+
+def forecast_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Cleaned series, weather, socioeconomic and cadaster by (event type, user group)."""
+    return (clean_series(S.meter_hourly(spark, sf_dir, AREA_PARTS)), S.hourly_weather(spark, sf_dir, AREA_PARTS),
+            S.socio_events(spark, sf_dir, AREA_PARTS), S.area_events(spark, sf_dir, AREA_PARTS))
+
+
+def forecast_area_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.enrich import forecast_dataset
+    return forecast_dataset(*forecast_inputs(spark, sf_dir))
 
 
 def forecast_with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
-    return forecast_rows(spark, sf_dir).where(F.col("consumption_filtered").isNotNull())
+    return forecast_area_rows(spark, sf_dir).where(F.col("consumption_filtered").isNotNull())
 
 
 def holdout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wattlane.operators.splits import chrono_holdout, holdout_size
-    from wattlane.session import cut_lineage
-    return cut_lineage(chrono_holdout(forecast_with_target(spark, sf_dir), holdout_size(HOLDOUT_CODES)))
+    """Hold-out of 20 x 96 rows per plotted code, and the folds, from one ranking."""
+    from wattlane.operators.splits import holdout_size, holdout_with_folds
+    return holdout_with_folds(forecast_with_target(spark, sf_dir), holdout_size(len(PLOT_CODES)))
+
+
+@query("forecast_features")
+def q_forecast_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wattlane.operators.enrich import forecast_features
+    return forecast_features(forecast_rows(spark, sf_dir))
 
 
 def profile_mean_prediction(train: DataFrame) -> DataFrame:
@@ -289,10 +308,8 @@ def q_chrono_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("expanding_folds")
 def q_expanding_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
-
-    from wattlane.operators.splits import expanding_folds
-    train = holdout_rows(spark, sf_dir).where(F.col("split") == "train")
-    return expanding_folds(train, 5, 96).select("postalcode", "ts_utc", "test_fold", "train_from_fold")
+    return holdout_rows(spark, sf_dir).where(F.col("split") == "train").select(
+        "postalcode", "ts_utc", "test_fold", "train_from_fold")
 
 
 @query("accuracy_by_split")
@@ -324,7 +341,7 @@ def q_forecast_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattlane.operators.metrics import forecast_slices
     hold = holdout_rows(spark, sf_dir)
     prof = profile_mean_prediction(hold.where(F.col("split") == "train"))
-    pred = (forecast_rows(spark, sf_dir).join(prof, ["postalcode", "hour"], "left")
+    pred = (forecast_area_rows(spark, sf_dir).join(prof, ["postalcode", "hour"], "left")
             .withColumnRenamed("prediction", "predicted"))
     return forecast_slices(pred, PLOT_CODES, hours=96, npred=10).select(
         "postalcode", "slice", "offset", "localtime", "predicted", "consumption")
@@ -367,7 +384,10 @@ def embedding_dims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[st
 
     from wattlane.sources.tables import read_table
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
-    dim = len(emb.select("embedding").first()[0])
+    lo, hi = emb.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if lo != hi:
+        raise ValueError(f"vectors of one length are needed, found {lo} to {hi}")
+    dim = lo or 0
     cols = [f"e{i}" for i in range(dim)]
     return emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c)
                                            for i, c in enumerate(cols)]), cols
@@ -424,9 +444,7 @@ def q_tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forecast_result(spark: SparkSession, sf_dir: str):
     from wattlane.plans.forecast import electricity_consumption_forecast
-    return electricity_consumption_forecast(
-        spark, cleaned_meter(spark, sf_dir), S.hourly_weather(spark, sf_dir),
-        S.socio_events(spark, sf_dir), S.area_events(spark, sf_dir), PLOT_CODES[:HOLDOUT_CODES])
+    return electricity_consumption_forecast(spark, *forecast_inputs(spark, sf_dir), PLOT_CODES)
 
 
 @query("grid_results")
@@ -512,9 +530,56 @@ def q_gml_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattlane.session import scratch_table_path
     from wattlane.sources.gml import read_gml_buildings, write_gml_buildings
     path = scratch_table_path(spark, "gml")
-    write_gml_buildings(S.footprint_buildings(spark, sf_dir), path)
+    write_gml_buildings(S.building_parts(spark, sf_dir), path)
     from pyspark.sql import functions as F
-    coords = F.flatten(F.transform("geometry", lambda p: F.array(p["x"], p["y"])))
-    return read_gml_buildings(spark, path, row_tag="Building").select(
+    rings = F.flatten(F.transform("parts", lambda p: F.concat(F.array(p["exterior"]), p["holes"])))
+    b = read_gml_buildings(spark, path, row_tag="Building").withColumn("rings", rings)
+    return b.select(
         "reference", "currentUse", "conditionOfConstruction", "numberOfDwellings", "value",
-        coords.alias("coords"))
+        F.transform("rings", lambda r: F.size(r)).alias("ring_sizes"),
+        F.flatten(F.transform(F.flatten("rings"), lambda p: F.array(p["x"], p["y"]))).alias("coords"))
+
+
+@query("within_join_parts")
+def q_within_join_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 on whole buildings: every patch must lie within."""
+    from wattlane.operators.cadaster import rename_postal
+    from wattlane.operators.spatial import join_within
+    polys = rename_postal(S.postal_polygons(spark))
+    return join_within(S.building_parts(spark, sf_dir), polys, cell=500.0, parts="parts").select("reference", "postalcode")
+
+
+@query("wkt_within")
+def q_wkt_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons from a table with WKT text."""
+    from wattlane.functions.geometry import polygon_from_wkt
+    from wattlane.operators.spatial import join_within
+    polys = S.nation_wkt(spark, sf_dir).withColumn("p", polygon_from_wkt("wkt")).select("postalcode", "p.exterior", "p.holes")
+    return join_within(S.footprints(spark, sf_dir), polys, cell=500.0).select("cadastralref", "postalcode")
+
+
+@query("text_missing")
+def q_text_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text 'NaN' as missing, counted."""
+    from pyspark.sql import functions as F
+
+    from wattlane.sources.tables import read_table, text_nan_to_null
+    ev = read_table(spark, sf_dir, "events", ["user_id", "event_type"])
+    text = F.when(F.col("user_id") % 10 == 0, F.lit("NaN")).otherwise(F.col("event_type"))
+    return ev.select(text_nan_to_null(text).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("unlabelled_curves")
+def q_unlabelled_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without labels every hour is in cluster 1."""
+    from wattlane.operators.curves import centroids_long, labelled_hours
+    return centroids_long(labelled_hours(cleaned_meter(spark, sf_dir), None))
+
+
+@query("tables_round_trip")
+def q_tables_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figure tables written with write_tables; the wide profile read back."""
+    from wattlane.session import scratch_table_path
+    from wattlane.sources.sinks import write_tables
+    paths = write_tables({"wide": profile_wide_meter(spark, sf_dir)}, scratch_table_path(spark, "tables"))
+    return spark.read.parquet(paths["wide"])

@@ -8,6 +8,7 @@ optionally, the silhouette sweep over k = 2..9.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,13 +42,11 @@ def profile_matrix(cleaned: DataFrame, scaling_method: str = "no_scaling", n_hou
 
 
 def identify_load_curves(cleaned: DataFrame, scaling_method: str = "no_scaling", n_clusters: int = 3,
-                         do_silhouette: bool = True, n_hours: int = 3,
-                         max_exact: int = 2000) -> LoadCurves:
+                         do_silhouette: bool = True, n_hours: int = 3) -> LoadCurves:
     cols = bucket_columns(n_hours)
     matrix = profile_matrix(cleaned, scaling_method, n_hours)
     ks = sorted({n_clusters, *(SWEEP_KS if do_silhouette else ())})
-    res = ward(matrix, cols, ks, keys=["postalcode", "date"], max_exact=max_exact,
-               silhouette=do_silhouette)
+    res = ward(matrix, cols, ks, keys=["postalcode", "date"])
     labels = res.labels[n_clusters].withColumn("date", F.col("date").cast("date"))
     hours = curves.labelled_hours(cleaned, labels)
     tables = {
@@ -64,20 +63,10 @@ def identify_load_curves(cleaned: DataFrame, scaling_method: str = "no_scaling",
 
 
 def silhouette_sweep(matrix: DataFrame, res: WardResult, cols, ks=SWEEP_KS) -> DataFrame:
-    """M9: silhouette of the tree cut at each k (one tree, cut k times).
-
-    Exact Ward: the Euclidean silhouette computed in the bounded Ward task.
-    Reduced Ward (above ``max_exact``): squared-Euclidean sufficient statistics
-    over all rows.
-    """
-    if res.silhouette is not None:
-        return res.silhouette.where(F.col("k").isin(list(ks)))
-    out = None
-    for k in ks:
-        lab = matrix.join(res.labels[k], ["postalcode", "date"])
-        s = silhouette_score(lab, cols, "cluster").select(F.lit(k).alias("k"), "n", "silhouette")
-        out = s if out is None else out.unionByName(s)
-    return out
+    """M9: squared Euclidean silhouette of the tree cut at each k (one tree, one pass for all cuts)."""
+    cuts = reduce(DataFrame.unionByName, [res.labels[k].withColumn("k", F.lit(k)) for k in ks])
+    rows = matrix.join(cuts, ["postalcode", "date"])
+    return silhouette_score(rows, cols, "cluster", by=["k"])
 
 
 def write_outputs(result: LoadCurves, base_path: str) -> dict[str, str]:

@@ -7,10 +7,14 @@ kept as CTE texts and composed with :func:`wattlane.sources.standins.sql_with`.
 
 from __future__ import annotations
 
-from wattlane.sources.standins import sql_with
+from wattlane.sources.standins import sql_event_parts, sql_exact_avg, sql_exact_sum, sql_with
 
 # ---------------------------------------------------------------- shared CTEs
 
+def md5_bucket(text_sql: str, modulus_sql: str) -> str:
+    return f"(CAST(('0x' || substr(md5({text_sql}), 1, 8)) AS BIGINT) % ({modulus_sql}))"
+
+
 LOCAL = "((time AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Madrid')"
 
 CLEANED = f"""
@@ -22,9 +26,7 @@ CLEANED = f"""
         FROM (
             SELECT *,
                 CASE WHEN count(consumption) OVER w48 >= 4 THEN
-                    (CAST(sum(CAST(floor(consumption * 1000000.0) AS BIGINT)) OVER w48 AS DOUBLE)
-                     + sum(consumption * 1000000.0 - floor(consumption * 1000000.0)) OVER w48)
-                    / CAST(count(consumption) OVER w48 AS DOUBLE) / 1000000.0 END AS rolling_mean,
+                    {sql_exact_avg("consumption", " OVER w48")} END AS rolling_mean,
                 CASE WHEN count(consumption) OVER w48 >= 4 THEN stddev_samp(consumption) OVER w48 END AS rolling_std,
                 CASE WHEN count(consumption) OVER w168 >= 24 THEN quantile_cont(consumption, 0.1) OVER w168 END
                     AS rolling_q10
@@ -78,8 +80,8 @@ ORACLE["strict_daily_total"] = with_cleaned() + f"""
 SELECT postalcode, time, date, consumption_filtered, {STRICT_DAY} AS daily_consumption
 FROM cleaned WINDOW d AS (PARTITION BY postalcode, date)"""
 
-ORACLE["lenient_daily_total"] = with_cleaned() + """
-SELECT postalcode, date, avg(consumption_filtered) * 24 AS daily_consumption
+ORACLE["lenient_daily_total"] = with_cleaned() + f"""
+SELECT postalcode, date, {sql_exact_avg("consumption_filtered")} * 24 AS daily_consumption
 FROM cleaned WHERE postalcode IS NOT NULL AND date IS NOT NULL GROUP BY postalcode, date"""
 
 PROFILE_LONG = f"""
@@ -139,13 +141,13 @@ RULE_LABELS = f"""
     SELECT postalcode, date, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS cluster
     FROM wide_profile WHERE {ALL_PRESENT}"""
 
-LABELLED_HOURS = """
+LABELLED_HOURS = f"""
     SELECT r.postalcode, r.date, r.hour, r.time AS ts_utc,
            CASE WHEN d.daily_consumption <> 0 THEN r.consumption_filtered * 100.0 / d.daily_consumption END
                AS consumption_filtered,
            d.daily_consumption, l.cluster
     FROM cleaned r
-    JOIN (SELECT postalcode, date, avg(consumption_filtered) * 24 AS daily_consumption
+    JOIN (SELECT postalcode, date, {sql_exact_avg("consumption_filtered")} * 24 AS daily_consumption
           FROM cleaned WHERE postalcode IS NOT NULL AND date IS NOT NULL GROUP BY postalcode, date) d
       ON r.postalcode = d.postalcode AND r.date = d.date
     JOIN labels l ON r.postalcode = l.postalcode AND r.date = l.date"""
@@ -171,19 +173,19 @@ ORACLE["cluster_ids"] = with_labelled_hours() + "SELECT DISTINCT cluster FROM lh
 
 WEATHER_DAILY = f"""
     SELECT CAST({LOCAL} AS DATE) AS date, postalcode,
-           round_even(((CAST(sum(CAST(round_even(airtemperature * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(airtemperature) AS DOUBLE) / 1000000.0)) * 100, 0) / 100 AS airtemperature,
-           round_even(((CAST(sum(CAST(round_even(relativehumidity * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(relativehumidity) AS DOUBLE) / 1000000.0)) * 100, 0) / 100 AS relativehumidity,
-           round_even((coalesce((CAST(sum(CAST(round_even(totalprecipitation * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / 1000000.0), 0) * 24) * 100, 0) / 100 AS totalprecipitation,
-           round_even(((CAST(sum(CAST(round_even(ghi * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(ghi) AS DOUBLE) / 1000000.0)) * 100, 0) / 100 AS ghi,
-           round_even(((CAST(sum(CAST(round_even(sunelevation * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(sunelevation) AS DOUBLE) / 1000000.0)) * 100, 0) / 100 AS sunelevation
+           round_even(({sql_exact_avg("airtemperature")}) * 100, 0) / 100 AS airtemperature,
+           round_even(({sql_exact_avg("relativehumidity")}) * 100, 0) / 100 AS relativehumidity,
+           round_even((coalesce({sql_exact_sum("totalprecipitation")}, 0) * 24) * 100, 0) / 100 AS totalprecipitation,
+           round_even(({sql_exact_avg("ghi")}) * 100, 0) / 100 AS ghi,
+           round_even(({sql_exact_avg("sunelevation")}) * 100, 0) / 100 AS sunelevation
     FROM weather_hourly_rows WHERE postalcode IS NOT NULL GROUP BY 1, 2"""
 
 ORACLE["weather_daily"] = sql_with("weather_hourly_rows", extra={"wd": WEATHER_DAILY}) + \
     "SELECT * FROM wd"
 
-ORACLE["consumption_daily"] = with_profiles(labels=RULE_LABELS) + """
+ORACLE["consumption_daily"] = with_profiles(labels=RULE_LABELS) + f"""
 SELECT cd.*, l.cluster
-FROM (SELECT date, postalcode, round_even(((CAST(sum(CAST(round_even(consumption_filtered * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(consumption_filtered) AS DOUBLE) / 1000000.0) * 24) * 100, 0) / 100 AS consumption
+FROM (SELECT date, postalcode, round_even(({sql_exact_avg("consumption_filtered")} * 24) * 100, 0) / 100 AS consumption
       FROM cleaned WHERE postalcode IS NOT NULL AND date IS NOT NULL GROUP BY date, postalcode) cd
 LEFT JOIN labels l ON cd.postalcode = l.postalcode AND cd.date = l.date"""
 
@@ -227,9 +229,11 @@ def with_classification() -> str:
         "nation_daily_orders", "weather_hourly_rows", "socio_nation", "buildings_raw",
         extra={
             "nrows": f"SELECT *, CAST({LOCAL} AS DATE) AS date FROM nation_daily_orders",
-            "nlabels": """SELECT postalcode, date, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS cluster
-                          FROM nrows GROUP BY postalcode, date HAVING count(*) >= 2""",
-            "cd": """SELECT date, postalcode, round_even(((CAST(sum(CAST(round_even(consumption_filtered * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(consumption_filtered) AS DOUBLE) / 1000000.0) * 24) * 100, 0) / 100 AS consumption
+            "nlabels": f"""SELECT DISTINCT postalcode, date, CAST((CAST(month(date) BETWEEN 4 AND 9 AS INTEGER)
+                                  + 2 * CAST(isodow(date) >= 6 AS INTEGER)
+                                  + CAST({md5_bucket("concat_ws('|', '7', CAST(postalcode AS VARCHAR), CAST(date AS VARCHAR))", "100")} < 15
+                                         AS INTEGER)) % 4 AS INTEGER) AS cluster FROM nrows""",
+            "cd": f"""SELECT date, postalcode, round_even(({sql_exact_avg("consumption_filtered")} * 24) * 100, 0) / 100 AS consumption
                      FROM nrows WHERE postalcode IS NOT NULL AND date IS NOT NULL GROUP BY date, postalcode""",
             "wd": WEATHER_DAILY,
             "cad": CADASTER_NATION,
@@ -257,11 +261,12 @@ def with_forecast(**extra: str) -> str:
     return sql_with("meter_hourly", "hourly_weather", "socio_events", "area_events", extra=ctes)
 
 
-ORACLE["forecast_dataset"] = with_forecast() + "SELECT * FROM fc"
+def with_forecast_areas(**extra: str) -> str:
+    """As with_forecast, by (event type, user group)."""
+    return sql_with(extra={**sql_event_parts(4), "cleaned": CLEANED, "fc": FORECAST, **extra})
 
 
-def md5_bucket(text_sql: str, modulus_sql: str) -> str:
-    return f"(CAST(('0x' || substr(md5({text_sql}), 1, 8)) AS BIGINT) % ({modulus_sql}))"
+ORACLE["forecast_dataset"] = with_forecast() + "SELECT * FROM fc"
 
 
 ORACLE["hash_split"] = with_classification() + f"""
@@ -271,7 +276,7 @@ SELECT postalcode, date, cluster,
 FROM ds"""
 
 HOLDOUT = """
-    SELECT *, CASE WHEN row_number() OVER (ORDER BY ts_utc DESC, postalcode DESC) <= 1920
+    SELECT *, CASE WHEN row_number() OVER (ORDER BY ts_utc DESC, postalcode DESC) <= 3840
                    THEN 'test' ELSE 'train' END AS split
     FROM fc WHERE consumption_filtered IS NOT NULL"""
 
@@ -279,10 +284,10 @@ PROFILE_MEAN = """
     SELECT postalcode, hour, avg(consumption_filtered) AS prediction
     FROM hold WHERE split = 'train' GROUP BY postalcode, hour"""
 
-ORACLE["chrono_holdout"] = with_forecast(hold=HOLDOUT) + \
+ORACLE["chrono_holdout"] = with_forecast_areas(hold=HOLDOUT) + \
     "SELECT postalcode, ts_utc, consumption_filtered, split FROM hold"
 
-ORACLE["expanding_folds"] = with_forecast(hold=HOLDOUT) + """
+ORACLE["expanding_folds"] = with_forecast_areas(hold=HOLDOUT) + """
 SELECT postalcode, ts_utc,
        CASE WHEN rn < 480 THEN CAST(4 - floor(rn / 96) AS BIGINT) END AS test_fold,
        CAST(CASE WHEN rn < 480 THEN 5 - floor(rn / 96) ELSE 0 END AS BIGINT) AS train_from_fold
@@ -298,7 +303,7 @@ FROM (SELECT *, CASE WHEN airtemperature > 25 THEN 1 ELSE 0 END AS prediction,
       FROM ds) t
 GROUP BY split"""
 
-ORACLE["regression_metrics"] = with_forecast(hold=HOLDOUT, prof=PROFILE_MEAN) + """
+ORACLE["regression_metrics"] = with_forecast_areas(hold=HOLDOUT, prof=PROFILE_MEAN) + """
 SELECT count(*) AS n, avg(power(y - prediction, 2)) AS mse, avg(y) AS mean_y,
        sqrt(avg(power(y - prediction, 2))) AS rmse,
        sqrt(avg(power(y - prediction, 2))) / avg(y) AS cvrmse
@@ -306,17 +311,17 @@ FROM (SELECT h.consumption_filtered AS y, p.prediction
       FROM hold h JOIN prof p ON h.postalcode = p.postalcode AND h.hour = p.hour
       WHERE h.split = 'test') t"""
 
-ORACLE["forecast_slices"] = with_forecast(
+ORACLE["forecast_slices"] = with_forecast_areas(
     hold=HOLDOUT, prof=PROFILE_MEAN,
     pred="""SELECT f.*, p.prediction AS predicted FROM fc f
             LEFT JOIN prof p ON f.postalcode = p.postalcode AND f.hour = p.hour
-            WHERE f.postalcode IN ('click', 'view')""",
+            WHERE f.postalcode IN ('click-0', 'view-0')""",
     idx="""SELECT *, row_number() OVER (PARTITION BY postalcode ORDER BY ts_utc) - 1 AS row_idx,
                   count(*) OVER (PARTITION BY postalcode) AS len FROM pred""",
     starts=f"""SELECT postalcode, CAST(s.slice AS INTEGER) AS slice,
                       {md5_bucket("concat_ws('|', '42', postalcode, CAST(s.slice AS VARCHAR))", "len - 96 + 1")}
                           AS start
-               FROM (SELECT DISTINCT postalcode, len FROM idx WHERE len >= 96) l, range(0, 10) s(slice)""",
+               FROM (SELECT DISTINCT postalcode, len FROM idx WHERE len > 96) l, range(0, 10) s(slice)""",
 ) + """
 SELECT i.postalcode, s.slice, CAST(i.row_idx - s.start AS INTEGER) AS "offset", i.localtime, i.predicted,
        i.consumption
@@ -339,7 +344,7 @@ per AS (
            max(CASE WHEN la = lb THEN n END) AS own_n
     FROM means GROUP BY vec_id)
 SELECT count(*) AS n,
-       avg(CASE WHEN own_n <= 1 THEN 0.0 ELSE coalesce((b - a) / NULLIF(greatest(a, b), 0), 0.0) END) AS silhouette
+       avg(CASE WHEN own_n <= 1 THEN 0.0 ELSE coalesce((b - a) / NULLIF(greatest(a, b), 0), 0.0) END) AS silhouette_sqeuclidean
 FROM per"""
 
 
@@ -489,7 +494,85 @@ SELECT c_custkey, {_TM_OUT} FROM ({_TM_INNER}) b"""
 ORACLE["profile_csv"] = with_profiles() + """
 SELECT postalcode, hour, date, daily_consumption, consumption_filtered, consumption FROM long_profile"""
 
-ORACLE["gml_buildings"] = sql_with("footprints", "footprint_buildings") + """
+ORACLE["gml_buildings"] = sql_with("footprints", "footprint_buildings", "building_parts") + """
 SELECT reference, currentUse, conditionOfConstruction, numberOfDwellings, value,
-       flatten(list_transform(geometry, lambda p: [p.x, p.y])) AS coords
-FROM footprint_buildings"""
+       list_transform(rings, lambda r: CAST(len(r) AS INTEGER)) AS ring_sizes,
+       flatten(list_transform(flatten(rings), lambda p: [p.x, p.y])) AS coords
+FROM building_parts"""
+
+ORACLE["within_join_parts"] = sql_with("postal_polygons", "footprints", "footprint_buildings", "building_parts") + f"""
+SELECT b.reference, p.postalcode
+FROM building_parts b
+LEFT JOIN (SELECT CODPOS AS postalcode, exterior, holes FROM postal_polygons) p
+  ON {sql_within('b.rings[1]', 'p.exterior', 'p.holes')}
+     AND (b.n <> 0 OR {sql_within('b.rings[len(b.rings)]', 'p.exterior', 'p.holes')})"""
+
+ORACLE["wkt_within"] = sql_with("footprints", "nation_rings") + f"""
+SELECT b.cadastralref, p.postalcode
+FROM footprints b
+LEFT JOIN (SELECT *, CAST([] AS STRUCT(x DOUBLE, y DOUBLE)[][]) AS holes FROM nation_rings) p
+  ON {sql_within('b.geometry', 'p.exterior', 'p.holes')}"""
+
+ORACLE["text_missing"] = """
+SELECT CASE WHEN user_id % 10 = 0 THEN NULL ELSE event_type END AS kind, count(*) AS n FROM events GROUP BY 1"""
+
+ORACLE["unlabelled_curves"] = with_profiles(
+    labels="SELECT DISTINCT postalcode, date, 1 AS cluster FROM cleaned", lh=LABELLED_HOURS) + """
+SELECT hour, cluster, avg(consumption_filtered) AS consumption_filtered FROM lh GROUP BY hour, cluster"""
+
+ORACLE["tables_round_trip"] = ORACLE["daily_profile_wide"]
+
+ORACLE["forecast_features"] = with_forecast() + """
+SELECT * EXCLUDE (localtime, time, consumption) FROM fc WHERE consumption_filtered IS NOT NULL"""
+
+
+# ------------------------------------------------------------------ Ward, one merge per step
+
+WARD_MATRIX = (f"SELECT postalcode, date, [{', '.join(f'\"{h}\"' for h in BUCKETS)}] AS v FROM (SELECT * FROM (SELECT postalcode, date, "
+               + ", ".join(_znorm(h) for h in BUCKETS) + f" FROM wide_profile) s WHERE {ALL_PRESENT}) z")
+WARD_STEPS = """
+    SELECT 0 AS step, len(c) AS m, c, CAST(NULL AS BIGINT) AS l, CAST(NULL AS BIGINT) AS r, CAST(NULL AS DOUBLE) AS h, CAST(NULL AS DOUBLE) AS n
+    FROM (SELECT list({'node': leaf, 'w': CAST(w AS DOUBLE), 'v': v, 'ls': [leaf]} ORDER BY leaf) AS c FROM leaves) s
+    UNION ALL
+    SELECT step + 1, m, list_append(list_filter(c, lambda q: q.node <> x.node AND q.node <> y.node),
+               {'node': m + step, 'w': x.w + y.w,
+                'v': list_transform(list_zip(x.v, y.v), lambda z: (z[1] * x.w + z[2] * y.w) / (x.w + y.w)),
+                'ls': list_concat(x.ls, y.ls)}),
+           x.node, y.node, best.d, x.w + y.w
+    FROM (SELECT *, list_filter(c, lambda q: q.node = best.a)[1] AS x, list_filter(c, lambda q: q.node = best.b)[1] AS y
+          FROM (SELECT step, m, c, list_sort(flatten(list_transform(c, lambda p: list_transform(
+                    list_filter(c, lambda q: q.node > p.node), lambda q: {
+                        'd': sqrt(2.0 * p.w * q.w / (p.w + q.w) * list_sum(list_transform(list_zip(p.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))),
+                        'a': p.node, 'b': q.node}))))[1] AS best
+                FROM steps WHERE len(c) > 1) a) b"""
+
+
+def with_ward() -> str:
+    text = with_profiles(mat=WARD_MATRIX, leaves="SELECT v, count(*) AS w, row_number() OVER (ORDER BY v) - 1 AS leaf FROM mat GROUP BY v",
+                         steps=WARD_STEPS)
+    return "WITH RECURSIVE " + text.removeprefix("WITH ")
+
+
+WARD_CUT = """(SELECT k, no - 1 AS cluster, unnest(c[no].ls) AS leaf
+    FROM (SELECT len(c) AS k, list_sort(list_transform(c, lambda q: {'a': -q.w, 'b': list_min(q.ls), 'ls': q.ls})) AS c,
+                 unnest(range(1, len(c) + 1)) AS no FROM steps) u)"""
+
+ORACLE["ward_merges"] = with_ward() + """
+SELECT step - 1 AS merge_id, l AS left_node, r AS right_node, h AS height, CAST(n AS BIGINT) AS size FROM steps WHERE step > 0"""
+ORACLE["ward_top_merges"] = ORACLE["ward_merges"] + " ORDER BY height DESC, merge_id DESC LIMIT 2"
+ORACLE["ward_labels"] = with_ward() + f"""
+SELECT postalcode, date, CAST(cluster AS INTEGER) AS cluster
+FROM mat JOIN leaves USING (v) JOIN {WARD_CUT} USING (leaf) WHERE k = 3"""
+ORACLE["silhouette_sweep"] = with_ward() + f"""
+, pts AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY postalcode, date) AS id, cluster, v
+          FROM mat JOIN leaves USING (v) JOIN {WARD_CUT} USING (leaf) WHERE k BETWEEN 2 AND 9),
+cnt AS (SELECT k, cluster, count(*) AS n FROM pts GROUP BY k, cluster),
+sums AS (SELECT a.k, a.id, a.cluster AS ca, b.cluster AS cb,
+                sum(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS s
+         FROM pts a JOIN pts b ON a.k = b.k GROUP BY a.k, a.id, a.cluster, b.cluster),
+per AS (SELECT s.k, s.id, max(CASE WHEN ca = cb THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN ca <> cb THEN s / n END) AS b,
+               max(CASE WHEN ca = cb THEN n END) AS own
+        FROM sums s JOIN cnt ON cnt.k = s.k AND cnt.cluster = cb GROUP BY s.k, s.id)
+SELECT CAST(k AS INTEGER) AS k, count(*) AS n,
+       avg(CASE WHEN own <= 1 THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END) AS silhouette_sqeuclidean
+FROM per GROUP BY k"""

@@ -62,7 +62,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     ap.add_argument("--out", required=True)
     a = ap.parse_args(argv)
     from wattlane.session import get_session
-    spark = SparkSession.getActiveSession() or get_session()
+    spark = get_session()   # the launcher names the master
     run_tasks(spark, read_consumption(spark, a.consumption), read_weather(spark, a.weather),
               read_socioeconomic(spark, a.socioeconomic),
               read_gml_buildings(spark, a.buildings, a.buildings_row_tag),

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattlane.functions.numeric import exact_avg
+from wattlane.functions.numeric import exact_avg, exact_sum
 from wattlane.sources.tables import read_table
 
 
@@ -38,11 +38,18 @@ def hour_floor(col: str | Column) -> Column:
 
 # --------------------------------------------------------------------------- Spark
 
-def meter_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_area(parts: int | None) -> Column:
+    """The 'postal code' of an event: its type, or its type and one of ``parts`` user groups."""
+    if parts is None:
+        return F.col("event_type").alias("postalcode")
+    return F.concat("event_type", F.lit("-"), (F.col("user_id") % parts).cast("string")).alias("postalcode")
+
+
+def meter_hourly(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Hourly consumption per 'postal code' (F-1 layout)."""
     ev = read_table(spark, sf_dir, "events", ["ts", "user_id", "event_type", "value"])
-    return (ev.groupBy(F.col("event_type").alias("postalcode"), hour_floor("ts").alias("time"))
-              .agg(F.sum("value").alias("consumption"),
+    return (ev.groupBy(event_area(parts), hour_floor("ts").alias("time"))
+              .agg(exact_sum("value").alias("consumption"),
                    F.count_distinct("user_id").alias("contracts")))
 
 
@@ -63,14 +70,14 @@ def weather_hourly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def hourly_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly weather per event type; hours with a single event report nothing."""
+def hourly_weather(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Hourly weather per event area; without ``parts``, hours with a single event report nothing."""
     ev = read_table(spark, sf_dir, "events", ["ts", "user_id", "event_type", "value"])
-    return (ev.groupBy(F.col("event_type").alias("postalcode"), hour_floor("ts").alias("time"))
+    return (ev.groupBy(event_area(parts), hour_floor("ts").alias("time"))
               .agg(F.avg("value").alias("airtemperature"),
                    F.avg("user_id").alias("ghi"),
                    F.count(F.lit(1)).alias("_n"))
-              .where(F.col("_n") >= 2).drop("_n"))
+              .where(F.col("_n") >= (2 if parts is None else 1)).drop("_n"))
 
 
 def socio_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,18 +91,18 @@ def socio_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.count_distinct("c_custkey").alias("persons")))
 
 
-def socio_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def socio_events(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", ["ts", "user_id", "event_type", "value"])
-    return (ev.groupBy(F.col("event_type").alias("postalcode"),
+    return (ev.groupBy(event_area(parts),
                        F.make_date(F.year("ts"), F.lit(1), F.lit(1)).alias("year"))
               .agg(F.avg("value").alias("income"),
                    F.count_distinct("user_id").alias("persons")))
 
 
-def area_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-area cadaster summary (F-6 layout) keyed by event type."""
+def area_events(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Per-area cadaster summary (F-6 layout) keyed by event area."""
     ev = read_table(spark, sf_dir, "events", ["user_id", "event_type"])
-    return (ev.groupBy(F.col("event_type").alias("postalcode"))
+    return (ev.groupBy(event_area(parts))
               .agg(F.count(F.lit(1)).alias("builtarea"),
                    F.count_distinct("user_id").alias("households")))
 
@@ -136,10 +143,22 @@ def nation_daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ----------------------------------------------------------------------- DuckDB SQL
 
 
+def sql_exact_sum(x: str, over: str = "") -> str:
+    """Order-free sum: whole numbers, 2^-26 steps and rests are summed apart."""
+    step = f"(({x}) - round_even({x}, 0)) * 67108864.0"
+    total = lambda e: f"sum({e}){over}"
+    return (f"({total(f'round_even({x}, 0)')} + ({total(f'round_even({step}, 0)')}"
+            f" + {total(f'{step} - round_even({step}, 0)')}) / 67108864.0)")
+
+
+def sql_exact_avg(x: str, over: str = "") -> str:
+    return f"({sql_exact_sum(x, over)} / CAST(nullif(count({x}){over}, 0) AS DOUBLE))"
+
+
 SQL = {
-    "meter_hourly": """
+    "meter_hourly": f"""
         SELECT event_type AS postalcode, date_trunc('hour', ts) AS time,
-               sum(value) AS consumption, count(DISTINCT user_id) AS contracts
+               {sql_exact_sum("value")} AS consumption, count(DISTINCT user_id) AS contracts
         FROM events GROUP BY 1, 2""",
     "weather_hourly_rows": """
         SELECT CAST(s.s_nationkey AS VARCHAR) AS postalcode, l.l_shipdate AS time,
@@ -151,10 +170,10 @@ SQL = {
         SELECT event_type AS postalcode, date_trunc('hour', ts) AS time,
                avg(value) AS airtemperature, avg(user_id) AS ghi
         FROM events GROUP BY 1, 2 HAVING count(*) >= 2""",
-    "socio_nation": """
+    "socio_nation": f"""
         SELECT CAST(c.c_nationkey AS VARCHAR) AS postalcode,
                make_date(year(o.o_orderdate), 1, 1) AS year,
-               (CAST(sum(CAST(round_even(c.c_acctbal * 1000000.0, 0) AS BIGINT)) AS DOUBLE) / CAST(count(c.c_acctbal) AS DOUBLE) / 1000000.0) AS income, count(DISTINCT c.c_custkey) AS persons
+               {sql_exact_avg("c.c_acctbal")} AS income, count(DISTINCT c.c_custkey) AS persons
         FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2""",
     "socio_events": """
         SELECT event_type AS postalcode, make_date(year(ts), 1, 1) AS year,
@@ -179,6 +198,13 @@ SQL = {
 }
 
 
+def sql_event_parts(parts: int) -> dict[str, str]:
+    """The event stand-ins by (event type, user group), under their usual names."""
+    names = ("meter_hourly", "hourly_weather", "socio_events", "area_events")
+    area = f"event_type || '-' || CAST(user_id % {parts} AS VARCHAR) AS postalcode"
+    return {n: SQL[n].replace("event_type AS postalcode", area).replace("HAVING count(*) >= 2", "") for n in names}
+
+
 def sql_with(*names: str, extra: dict[str, str] | None = None) -> str:
     """``WITH`` clause defining the named stand-ins (and extra CTEs, in order)."""
     parts = [f"{n} AS ({SQL[n]})" for n in names]
@@ -226,6 +252,32 @@ def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ring.alias("geometry"))
 
 
+def building_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footprint buildings with several patches and courtyards: every third one has a second
+    patch 100 to the right, every other third an interior ring of half the size."""
+    b = footprint_buildings(spark, sf_dir)
+    no = F.substring("reference", 2, 20).cast("long") % 3
+
+    def ring(scale: float, right: float) -> Column:
+        c = F.struct(((F.col("geometry")[0]["x"] + F.col("geometry")[2]["x"]) / 2).alias("x"),
+                     ((F.col("geometry")[0]["y"] + F.col("geometry")[2]["y"]) / 2).alias("y"))
+        return F.transform("geometry", lambda p: F.struct(
+            (c["x"] + (p["x"] - c["x"]) * scale + right).alias("x"), (c["y"] + (p["y"] - c["y"]) * scale).alias("y")))
+    none = F.array().cast("array<array<struct<x:double,y:double>>>")
+    first = F.struct(F.col("geometry").alias("exterior"), F.when(no == 1, F.array(ring(0.5, 0.0))).otherwise(none).alias("holes"))
+    second = F.struct(ring(1.0, 100.0).alias("exterior"), none.alias("holes"))
+    return b.withColumn("parts", F.when(no == 0, F.array(first, second)).otherwise(F.array(first)))
+
+
+def nation_wkt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 as text: one rectangle per nation, placed by its least customer key, as WKT."""
+    c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
+    x = (F.min("c_custkey") * 37 % 90 * 100 - 500).cast("string")
+    x2 = (F.min("c_custkey") * 37 % 90 * 100 + 1000).cast("string")
+    text = F.concat(F.lit("POLYGON (("), x, F.lit(" 0, "), x2, F.lit(" 0, "), x2, F.lit(" 1000, "), x, F.lit(" 1000, "), x, F.lit(" 0))"))
+    return c.groupBy("c_nationkey").agg(text.alias("wkt")).select(F.col("c_nationkey").cast("string").alias("postalcode"), "wkt")
+
+
 def polygons_sql() -> str:
     def ring(pts):
         return "[" + ", ".join(f"{{'x': {float(x)}, 'y': {float(y)}}}" for x, y in pts) + "]"
@@ -269,3 +321,17 @@ SQL["footprint_buildings"] = """
            CAST(c.c_custkey % 5 AS INTEGER) AS numberOfDwellings,
            CAST(floor(abs(c.c_acctbal)) AS INTEGER) AS value, f.geometry
     FROM customer c JOIN footprints f ON 'C' || CAST(c.c_custkey AS VARCHAR) = f.cadastralref"""
+
+
+SQL["building_parts"] = """
+    SELECT reference, currentUse, conditionOfConstruction, numberOfDwellings, value, geometry,
+           CASE n WHEN 0 THEN [geometry, list_transform(geometry, lambda p: {'x': p.x + 100.0, 'y': p.y})]
+                  WHEN 1 THEN [geometry, list_transform(geometry, lambda p: {'x': cx + (p.x - cx) * 0.5, 'y': cy + (p.y - cy) * 0.5})]
+                  ELSE [geometry] END AS rings, n
+    FROM (SELECT *, CAST(substr(reference, 2) AS BIGINT) % 3 AS n, (geometry[1].x + geometry[3].x) / 2 AS cx,
+                 (geometry[1].y + geometry[3].y) / 2 AS cy FROM footprint_buildings) b"""
+
+SQL["nation_rings"] = """
+    SELECT CAST(c_nationkey AS VARCHAR) AS postalcode,
+           [{'x': x - 500.0, 'y': 0.0}, {'x': x + 1000.0, 'y': 0.0}, {'x': x + 1000.0, 'y': 1000.0}, {'x': x - 500.0, 'y': 1000.0}] AS exterior
+    FROM (SELECT c_nationkey, CAST(min(c_custkey) * 37 % 90 * 100 AS DOUBLE) AS x FROM customer GROUP BY c_nationkey) n"""
