@@ -39,6 +39,18 @@ def q_clean_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned_meter(spark, sf_dir).select(*CLEAN_COLS)
 
 
+@query("clean_many_series")
+def q_clean_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One short series per user."""
+    return clean_series(S.meter_users(spark, sf_dir)).select(*CLEAN_COLS)
+
+
+@query("clean_skewed_series")
+def q_clean_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One series with a third of all rows, with tied instants."""
+    return clean_series(S.meter_skewed(spark, sf_dir)).select(*CLEAN_COLS)
+
+
 # ------------------------------------------------------------------ rolling, calendar
 
 @query("rolling_nearest_q10")

@@ -53,6 +53,11 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["clean_series"] = with_cleaned() + f"SELECT {CLEAN_COLS} FROM cleaned"
 
+ORACLE["clean_many_series"] = sql_with("meter_users", extra={"cleaned": CLEANED.replace("meter_hourly", "meter_users")}) + \
+    f"SELECT {CLEAN_COLS} FROM cleaned"
+ORACLE["clean_skewed_series"] = sql_with("meter_skewed", extra={"cleaned": CLEANED.replace("meter_hourly", "meter_skewed").replace(
+    "ORDER BY time ROWS", "ORDER BY time, consumption, contracts ROWS")}) + f"SELECT {CLEAN_COLS} FROM cleaned"
+
 ORACLE["rolling_nearest_q10"] = sql_with("meter_hourly") + """
 SELECT postalcode, time, consumption,
        CASE WHEN n >= 24 THEN vals[CAST(round_even(0.1 * (len(vals) - 1), 0) AS INTEGER) + 1] END

@@ -38,6 +38,22 @@ def hour_floor(col: str | Column) -> Column:
 
 # --------------------------------------------------------------------------- Spark
 
+def meter_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many short series: hourly consumption per user."""
+    ev = read_table(spark, sf_dir, "events", ["ts", "user_id", "value"])
+    return (ev.groupBy(F.col("user_id").cast("string").alias("postalcode"), hour_floor("ts").alias("time"))
+              .agg(exact_sum("value").alias("consumption"), F.count(F.lit(1)).alias("contracts")))
+
+
+def meter_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long series and fifty shorter ones: orders, a third of the customers under one code."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"])
+    code = F.when(F.col("o_custkey") % 3 == 0, "hot").otherwise((F.col("o_custkey") % 50).cast("string"))
+    time = F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    return o.select(code.alias("postalcode"), time.alias("time"), F.col("o_totalprice").alias("consumption"),
+                    F.col("o_orderkey").alias("contracts"))
+
+
 def event_area(parts: int | None) -> Column:
     """The 'postal code' of an event: its type, or its type and one of ``parts`` user groups."""
     if parts is None:
@@ -160,6 +176,13 @@ SQL = {
         SELECT event_type AS postalcode, date_trunc('hour', ts) AS time,
                {sql_exact_sum("value")} AS consumption, count(DISTINCT user_id) AS contracts
         FROM events GROUP BY 1, 2""",
+    "meter_users": f"""
+        SELECT CAST(user_id AS VARCHAR) AS postalcode, date_trunc('hour', ts) AS time,
+               {sql_exact_sum("value")} AS consumption, count(*) AS contracts FROM events GROUP BY 1, 2""",
+    "meter_skewed": """
+        SELECT CASE WHEN o_custkey % 3 = 0 THEN 'hot' ELSE CAST(o_custkey % 50 AS VARCHAR) END AS postalcode,
+               o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS time, o_totalprice AS consumption, o_orderkey AS contracts
+        FROM orders""",
     "weather_hourly_rows": """
         SELECT CAST(s.s_nationkey AS VARCHAR) AS postalcode, l.l_shipdate AS time,
                l.l_quantity AS airtemperature, l.l_discount AS relativehumidity,
