@@ -99,7 +99,7 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = nxt
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Tables of the rows with equal keys, from batches sorted by them."""
     held: pa.Table | None = None
     for batch in batches:
@@ -120,7 +120,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield held.combine_chunks()
 
 
-def _matrix(column: pa.ChunkedArray, dtype) -> np.ndarray:
+def matrix_of(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
@@ -176,11 +176,11 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for g in _groups(batches, keys):
+        for g in groups_of(batches, keys):
             if len(g) < 2:
                 continue
-            x, own = _matrix(g.column("unit"), float), _matrix(g.column("own"), np.int32)
-            probes = _matrix(g.column("probes"), np.int32).reshape(len(g), tables, 2)
+            x, own = matrix_of(g.column("unit"), float), matrix_of(g.column("own"), np.int32)
+            probes = matrix_of(g.column("probes"), np.int32).reshape(len(g), tables, 2)
             cid, n = g.column("cid").to_numpy(), g.column("n").to_numpy()
             at_home, right = (g.column(c).to_numpy(zero_copy_only=False) for c in ("home", "right"))
             here = (np.int64(g.column("tab")[0].as_py()) << 32) + g.column("code")[0].as_py()

@@ -15,14 +15,16 @@ probability J_P.
 *Candidates.*  Documents with equal words are one class.  Bands of a class's
 signature are buckets; every class is compared with the least class of each of
 its buckets, which is linear in the bucket however large it is.  Where the
-links so found leave a bucket in several components, all pairs across them are
-compared as well, unless the triangle inequality (1 - J_P is a metric, and the
-distances to the bucket's least class are known) excludes a link.  So no link
-that a bucket holds can be lost, and a bucket of thousands of copies makes no
-quadratic number of pairs.
+links so found leave the others of a bucket in several components, its classes
+are compared across components, in blocks: a group of two blocks estimates its
+pairs from the signatures, decides the near ones by their shingles, leaves out
+what its own links have connected already, and emits the links that connect -
+fewer than it has classes.  A pair is handled in the first bucket it shares.
+So no link that joins components is lost, and a bucket of thousands of near
+copies never becomes a table of pairs.
 
 *Verification.*  A pair is first estimated by its signatures; below the
-threshold less six standard deviations it is dropped, the others are decided
+threshold less five standard deviations it is dropped, the others are decided
 by their exact J_P from the texts.
 
 *Groups* are the connected components of the links.
@@ -36,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.llm.common import broadcast_if_small, components, doc_key, materialise, text_or_empty
+from wattlane.llm.embedding_dedup import groups_of, matrix_of
 from wattlane.llm.piece_codec import slices
 from wattlane.session import ship_package
 
@@ -184,59 +188,150 @@ def _signature_table(docs: DataFrame, id_col: str, text_col: str, bands: int, ro
     return base.mapInArrow(run, f"id {id_type}, dkey binary, cls binary, bands array<long>, sig binary")
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, m: int, k: int,
-            threshold: float, name: str) -> DataFrame:
-    """Rows (a, b, sim): exact J_P of the pairs (a, b), null where the signatures exclude the threshold."""
-    floor = threshold - 6 * math.sqrt(threshold * (1 - threshold) / m)
-    sig_a = classes.select(F.col("cls").alias("a"), F.col("sig").alias("sa"))
-    sig_b = classes.select(F.col("cls").alias("b"), F.col("sig").alias("sb"))
-
-    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, m) for c in ("sa", "sb"))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((x == y).mean(axis=1))],
-                                                 ["a", "b", "est"])
-
-    rated = materialise(pairs.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sa", "sb")
-                        .mapInArrow(estimate, "a binary, b binary, est double"), f"{name}-estimates")
-    near = rated.where(F.col("est") >= floor)
-    wanted = near.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "dkey"), "cls")
-    wanted = broadcast_if_small(materialise(wanted.select(F.col("dkey").alias("wkey"), "cls"), f"{name}-wanted"), 96)
-    text = text_or_empty(text_col)
-    texts = (docs.select(doc_key(F.col(id_col), text).alias("wkey"), text.alias("text")).join(wanted, "wkey")
-             .groupBy("cls").agg(F.first("text").alias("text")))
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, part in slices((x.as_py() for x in batch.column("text")), 1_000_000):
-                s, w, n = shingles(*word_hashes(part), k)
-                at = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("cls").slice(a, b - a), pa.ListArray.from_arrays(at, pa.array(s.view(np.int64))),
-                     pa.ListArray.from_arrays(at, pa.array(w))], ["cls", "s", "w"])
-
-    shingled = materialise(texts.mapInArrow(sets, "cls binary, s array<long>, w array<double>"), f"{name}-sets")
-    side = lambda c: shingled.select(F.col("cls").alias(c), F.struct("s", "w").alias(f"set_{c}"))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sims = []
-            for i in range(batch.num_rows):
-                a, b = batch.column("set_a")[i], batch.column("set_b")[i]
-                (sa, wa), (sb, wb) = ((x["s"].values.to_numpy().view(np.uint64), x["w"].values.to_numpy()) for x in (a, b))
-                sims.append(prob_jaccard(sa, wa, sb, wb))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())],
-                                             ["a", "b", "sim"])
-
-    known = (near.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-             .mapInArrow(exact, "a binary, b binary, sim double"))
-    return materialise(known.union(rated.where(F.col("est") < floor).select("a", "b", F.lit(None).cast("double"))),
-                       f"{name}-links")
+def _estimates(sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
+    """Shares of equal components of every row of one matrix with every row of the other."""
+    out = np.empty((len(sig_a), len(sig_b)))
+    for i in range(0, len(sig_a), 64):
+        out[i:i + 64] = np.count_nonzero(sig_a[i:i + 64, None, :] == sig_b[None, :, :], axis=2)
+    return out / sig_a.shape[1]
+
+
+def _near_in_groups(groups: Iterator[pa.Table], bands: int, floor: float) -> Iterator[tuple]:
+    """(group, i, j, estimates, component numbers): near pairs across components, in their first shared bucket."""
+    for g in groups:
+        if len(g) < 2:
+            continue
+        sig = matrix_of(g.column("sig"), np.uint8)
+        band_of = np.array(g.column("bands").combine_chunks().flatten()).reshape(len(g), bands)
+        comp = np.unique(np.array(g.column("comp").to_pylist(), object), return_inverse=True)[1]
+        right = g.column("right").to_numpy(zero_copy_only=False)
+        if g.column("lo")[0].as_py() == g.column("hi")[0].as_py():
+            est = np.triu(_estimates(sig, sig), 1)
+            i, j = np.nonzero(est >= floor)
+            est = est[i, j]
+        else:
+            x, y = np.flatnonzero(~right), np.flatnonzero(right)
+            est = _estimates(sig[x], sig[y])
+            i, j = np.nonzero(est >= floor)
+            est, i, j = est[i, j], x[i], y[j]
+        band = g.column("band")[0].as_py()
+        ok = (comp[i] != comp[j]) & ~(band_of[i, :band] == band_of[j, :band]).any(axis=1)
+        if ok.any():
+            yield g, i[ok], j[ok], est[ok], comp
+
+
+class _Near:
+    """Verification over one table of classes: estimates, shingles of the classes that need them, exact J_P."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, bands: int, m: int, k: int,
+                 threshold: float):
+        self.docs, self.classes, self.id_col, self.text_col = docs, classes, id_col, text_col
+        self.bands, self.m, self.k, self.threshold = bands, m, k, threshold
+        self.floor = threshold - 5 * math.sqrt(threshold * (1 - threshold) / m)
+        self.sets: list[DataFrame] = []  # tables (cls, s, w) made so far
+
+    def shingled(self, wanted: DataFrame) -> DataFrame:
+        """Rows (cls, s, w) of at least the classes ``wanted``; only those still missing are read."""
+        for made in self.sets:
+            wanted = wanted.join(made, "cls", "left_anti")
+        wanted = materialise(wanted.join(self.classes.select("cls", "dkey"), "cls").select(F.col("dkey").alias("wkey"), "cls"), "minhash-wanted")
+        if wanted.limit(1).count():
+            text, k = text_or_empty(self.text_col), self.k
+            texts = (self.docs.select(doc_key(F.col(self.id_col), text).alias("wkey"), text.alias("text"))
+                     .join(broadcast_if_small(wanted, 96), "wkey").groupBy("cls").agg(F.first("text").alias("text")))
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for a, b, part in slices((x.as_py() for x in batch.column("text")), 1_000_000):
+                        s, w, n = shingles(*word_hashes(part), k)
+                        at = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column("cls").slice(a, b - a), pa.ListArray.from_arrays(at, pa.array(s.view(np.int64))),
+                             pa.ListArray.from_arrays(at, pa.array(w))], ["cls", "s", "w"])
+            self.sets.append(materialise(texts.mapInArrow(run, "cls binary, s array<long>, w array<double>"), "minhash-sets"))
+        if not self.sets:
+            return self.docs.sparkSession.createDataFrame([], "cls binary, s array<long>, w array<double>")
+        return reduce(DataFrame.unionAll, self.sets)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) at or above the threshold."""
+        m, floor = self.m, self.floor
+        sig = lambda c: self.classes.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"))
+
+        def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, m) for c in ("sig_a", "sig_b"))
+                    yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= floor))
+
+        near = materialise(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
+                           .mapInArrow(estimate, "a binary, b binary"), "minhash-near")
+        shingled = self.shingled(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+        side = lambda c: shingled.select(F.col("cls").alias(c), F.struct("s", "w").alias(f"set_{c}"))
+        threshold = self.threshold
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for i in range(batch.num_rows):
+                    (sa, wa), (sb, wb) = ((x["s"].values.to_numpy().view(np.uint64), x["w"].values.to_numpy())
+                                          for x in (batch.column("set_a")[i], batch.column("set_b")[i]))
+                    keep.append(prob_jaccard(sa, wa, sb, wb) >= threshold)
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        return materialise(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
+                           .mapInArrow(exact, "a binary, b binary"), "minhash-links")
+
+    def across(self, open_members: DataFrame, block: int) -> DataFrame:
+        """Links between components inside the buckets of ``open_members`` (bucket, band, cls, comp)."""
+        keys, bands, floor = ["band", "bucket", "lo", "hi"], self.bands, self.floor
+
+        def dealt(members: DataFrame, payload: DataFrame) -> DataFrame:
+            sizes = materialise(members.groupBy("band", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "minhash-sizes")
+            mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
+            placed = (members.join(broadcast_if_small(sizes, 24), ["band", "bucket"]).withColumn("mine", mine)
+                      .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                      .select("bucket", "band", "cls", "comp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
+                              (F.col("mine") > F.col("other")).alias("right")))
+            return placed.join(payload, "cls").repartition(*keys).sortWithinPartitions(*keys)
+
+        signed = self.classes.select("cls", "sig", "bands")
+
+        def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for g, i, j, _, _ in _near_in_groups(groups_of(batches, keys), bands, floor):
+                at = np.unique(np.r_[i, j])
+                yield pa.RecordBatch.from_arrays([g.column("cls").take(pa.array(at)).combine_chunks()], ["cls"])
+
+        flagged = materialise(dealt(open_members, signed).mapInArrow(flag, "cls binary").distinct(), "minhash-flagged")
+        if not flagged.limit(1).count():
+            return self.docs.sparkSession.createDataFrame([], "a binary, b binary")
+        payload = signed.join(self.shingled(flagged), "cls")
+        near_members = materialise(open_members.join(flagged, "cls", "left_semi"), "minhash-near-members")
+        threshold = self.threshold
+
+        def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for g, i, j, est, comp in _near_in_groups(groups_of(batches, keys), bands, floor):
+                cls, label = g.column("cls").to_pylist(), comp.copy()
+                sets: dict[int, tuple] = {}
+                out = []
+                for t in np.argsort(-est, kind="stable").tolist():
+                    a, b = int(i[t]), int(j[t])
+                    if label[a] == label[b]:
+                        continue
+                    for x in (a, b):
+                        if x not in sets:
+                            sets[x] = (g.column("s")[x].values.to_numpy().view(np.uint64), g.column("w")[x].values.to_numpy())
+                    if prob_jaccard(*sets[a], *sets[b]) >= threshold:
+                        label[label == label[b]] = label[a]
+                        out.append((max(cls[a], cls[b]), min(cls[a], cls[b])))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)], ["a", "b"])
+
+        return materialise(dealt(near_members, payload).mapInArrow(connect, "a binary, b binary").distinct(), "minhash-across")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-                    k: int = 5, bands: int = 40, rows: int = 8) -> DataFrame:
+                    k: int = 5, bands: int = 40, rows: int = 8, block: int = 256) -> DataFrame:
     """Rows (id, dkey, group_id, kept) of every row of ``docs``.
 
     ``group_id``: the least id of the group; ``kept``: the document with that id
@@ -251,38 +346,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialise(found.groupBy("cls").agg(
         F.min("id").alias("least_id"), F.min("dkey").alias("dkey"), F.first("bands").alias("bands"),
         F.first("sig").alias("sig")), "minhash-classes")
-    buckets = classes.select("cls", F.explode("bands").alias("bucket"))
-    reps = materialise(buckets.groupBy("bucket").agg(F.min("cls").alias("rep"), F.max("cls").alias("last"))
-                       .where("rep <> last").select("bucket", "rep"), "minhash-reps")
-    members = materialise(buckets.join(broadcast_if_small(reps, 64), "bucket"), "minhash-members")
-    star = members.where("cls <> rep").select(F.col("cls").alias("a"), F.col("rep").alias("b")).distinct()
-    first = _verify(star, classes, docs, id_col, text_col, m, k, threshold, "minhash-star")
-    links = first.where(F.col("sim") >= threshold).select("a", "b")
-    comp = components(links, "minhash-star-components")
-
-    # buckets that the links leave in several components: their pairs across components
-    placed = (members.join(comp, members.cls == comp.node, "left")
-              .select("bucket", "cls", "rep", F.coalesce("component", "cls").alias("comp")))
-    split = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")
-                                         ).where("lo <> hi and n > 2").select("bucket")
-    open_members = (placed.join(split, "bucket", "left_semi")
-                    .join(first.select(F.col("a").alias("cls"), F.col("b").alias("rep"), "sim"), ["cls", "rep"])
-                    .select("bucket", "cls", "comp", "sim"))
-    open_members = materialise(open_members, "minhash-open")
-    slack = 1 - threshold + 1e-9
-    x, y = open_members.alias("x"), open_members.alias("y")
-    # a null similarity is one that the signatures excluded: below the threshold, but not known
-    across = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") > F.col("y.cls"))
-                     & (F.col("x.comp") != F.col("y.comp"))
-                     & F.coalesce(F.abs(F.col("x.sim") - F.col("y.sim")) <= slack, F.lit(True)))
-              .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
-    second = _verify(across, classes, docs, id_col, text_col, m, k, threshold, "minhash-across")
-    more = materialise(second.where(F.col("sim") >= threshold).select("a", "b"), "minhash-more")
-    if more.limit(1).count():
-        comp = components(links.union(more), "minhash-components")
+    near = _Near(docs, classes, id_col, text_col, bands, m, k, threshold)
+    buckets = classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
+    reps = materialise(buckets.groupBy("band", "bucket").agg(F.min("cls").alias("rep"), F.max("cls").alias("last"))
+                       .where("rep <> last").select("band", "bucket", "rep"), "minhash-reps")
+    members = materialise(buckets.join(broadcast_if_small(reps, 64), ["band", "bucket"]).where("cls <> rep"), "minhash-members")
+    links = near.links(members.select(F.col("cls").alias("a"), F.col("rep").alias("b")).distinct())
+    comp = materialise(components(links, "minhash-components"), "minhash-comp")
+
+    # buckets whose others the links leave in several components (the least class has met them all)
+    placed = members.join(comp, members.cls == comp.node, "left").select("bucket", "band", "cls", F.coalesce("component", "cls").alias("comp"))
+    several = placed.groupBy("band", "bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "bucket")
+    open_members = materialise(placed.join(several, ["band", "bucket"], "left_semi"), "minhash-open")
+    if open_members.limit(1).count():
+        more = near.across(open_members, block)
+        if more.limit(1).count():
+            comp = materialise(components(links.unionAll(more), "minhash-components"), "minhash-comp")
 
     least = F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("id"), F.col("cls").alias("cls"))
-    comp = materialise(comp, "minhash-comp")
     grouped = classes.select("cls", "least_id").join(comp, F.col("cls") == F.col("node"))
     chosen = grouped.groupBy("component").agg(F.min(least).alias("first"))
     linked = (grouped.join(chosen, "component").select(F.col("cls").alias("lcls"), F.col("first.id").alias("gid"),
