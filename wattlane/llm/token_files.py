@@ -19,9 +19,8 @@ Writing: documents are range-partitioned and sorted by id (ties split by a
 salt, so a hot id spreads over files); every task writes one file under a
 name of its attempt and renames it when it is complete, so a lost or repeated
 attempt leaves no half file under the final name.  Documents are encoded with
-the tokenizer library; words between spaces that were encoded before come from
-a bounded cache, which is exact because no token of a white-space-separated
-tokenizer reaches across a space.  ``start`` counts the ids of all documents
+the tokenizer library; words that were encoded before come from a bounded
+cache, which is exact because no token reaches across their borders.  ``start`` counts the ids of all documents
 before, by a running sum over the table of files (one row per file).
 
 Files go to ``out_dir``, by default a new folder in the shared folder of
@@ -34,12 +33,14 @@ repeated rows are written each.  An empty table writes no file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -55,36 +56,134 @@ SEEK_MAGIC, SKIP_SEEK, SKIP_INDEX, CHECKSUM_FLAG = 0x8F92EAB1, 0x184D2A5E, 0x184
 
 # ---------------------------------------------------------------------- encoding
 
+#: Letters whose lower case, composition and word-forming are the same in every Unicode version.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: Texts of such letters, ASCII and common punctuation; without apostrophes, which join letters to contractions.
+_PLAIN = re.compile("[\x00-\x1b !-&(-~\u00a1\u00ab\u00bb\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+                    "\u2013\u2014\u201c-\u201e\u2026]*")
+#: Plain texts whose only punctuation is the full stop and the comma.
+_PROSE = re.compile(f"[A-Z\u00c0-\u00d6\u00d8-\u00de{_LETTERS} \n.,]*")
+_RUNS = re.compile(f"[{_LETTERS}]+|[^ \n\t\r{_LETTERS}]+")
+
+
+def _separated(text: str) -> str:
+    """The same tokens in a form with fewer distinct words: lower case, stops and commas set apart.
+
+    Lower case only for plain texts; stops and commas only in prose where each
+    stands before white space, so none touches another punctuation mark.
+    """
+    if _PROSE.fullmatch(text):
+        text = text.lower()
+        count = text.count
+        if count(".") + count(",") == (count(". ") + count(", ") + count(".\n") + count(",\n") + (text[-1:] in (".", ","))):
+            return text.replace(".", " .").replace(",", " ,")
+        return text
+    return text.lower() if _PLAIN.fullmatch(text) else text
+
+
 class CachedTokenizer:
-    """Ids of texts by a ``tokenizers`` file, words between spaces cached (at most ``cache_words``)."""
+    """Ids of texts by a ``tokenizers`` file, parts that cannot influence each other cached.
+
+    White space separates, and so does every border between a letter and what
+    is none, apostrophes aside: no match of the pattern goes across.  Texts are
+    split at white space (plain ones lower-cased before, as the tokenizer does,
+    and in prose with stops and commas set apart); a word seen for the first time is cut into runs of letters and runs of
+    other characters, if it is plain, and the runs not seen before go to the
+    library.  About ``cache_words`` are kept.
+    """
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 900_000, joined: int = 200):
         from wattlane.llm.token_count import ResyncTokenizer
 
         self.tokenizer = ResyncTokenizer(path).tokenizer  # checks that white space separates
-        self.cache: dict[str, bytes] = {}
-        self.cache_words = cache_words
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text, without special tokens added."""
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        cache = self.cache
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list({w for ws in cut for w in ws if w not in cache})
-        # a letter and the punctuation behind it are always two matches of the pattern
-        core = [w.rstrip(".,;:!?") for w in new]
-        core = [c if c and c[-1].isascii() and c[-1].isalpha() else w for c, w in zip(core, new)]
-        parts = {p for c, w in zip(core, new) for p in (c, w[len(c):]) if p and p not in cache}
-        parts = list(parts)
-        for k in range(0, len(parts), 20_000):
-            some = parts[k:k + 20_000]
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.cache_words, self.joined = cache_words, joined
+        self._clear()
+
+    def _add(self, words: list[str], others: list[str]) -> None:
+        """Encode new parts; runs of letters, one match each, together in one text."""
+        groups = [words[i:i + self.joined] for i in range(0, len(words), self.joined)]
+        for k in range(0, len(groups), 50):
+            some = groups[k:k + 50]
+            for group, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+                if len(cuts) != len(group) + 1 or cuts[-1] != 4 * len(ids):
+                    others += group  # not one end of a word for each: one by one
+                    continue
+                raw = ids.tobytes()
+                self.cache.update(zip(group, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        for k in range(0, len(others), 10_000):
+            some = others[k:k + 10_000]
             for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-        cache[""] = b""
-        for c, w in zip(core, new):
-            cache[w] = cache[c] + cache[w[len(c):]]
-        return [b"".join(map(cache.__getitem__, ws)) for ws in cut]
+                self.cache[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Put new words, as they stand between white space, into the cache."""
+        cache, cut, words, others = self.cache, [], set(), set()
+        for w in new:
+            if w.isascii() and w.isalpha():
+                low = w.lower()
+                if low not in cache:
+                    words.add(low)
+                if low != w:
+                    cut.append((w, (low,)))
+            elif _PLAIN.fullmatch(w) and "<|" not in w:
+                runs = _RUNS.findall(w.lower())
+                for run in runs:
+                    if run not in cache:
+                        (words if run[0].isalpha() else others).add(run)
+                if len(runs) != 1 or runs[0] != w:
+                    cut.append((w, runs))
+            else:
+                others.add(w)
+        self._add(list(words), list(others))
+        for w, runs in cut:
+            cache[w] = b"".join([cache[run] for run in runs])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids (uint32) of each text, without special tokens added.
+
+        The words of all texts are dictionary-encoded together; the distinct ones
+        are looked up in the table of words, and the ids are gathered from it.
+        """
+        if not texts:
+            return []
+        split = pc.ascii_split_whitespace(pa.array(list(map(_separated, texts)), pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        if len(self.words) > self.cache_words:
+            self._clear()
+        known = pc.index_in(coded.dictionary, value_set=self.words)
+        place = known.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = len(self.words) + np.arange(len(new))
+            self._remember(coded.dictionary.take(pa.array(new)))
+        at = place[coded.indices.to_numpy()]
+        first, n = self.first[at], self.size[at]
+        ends = np.cumsum(n)
+        gathered = self.ids[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.r_[0, ends][split.offsets.to_numpy()].tolist()
+        return [gathered[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _clear(self) -> None:
+        self.cache: dict[str, bytes] = {}
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.first, self.size = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _remember(self, new: pa.Array) -> None:
+        """Append new words and their ids to the table of words."""
+        listed = new.to_pylist()
+        self._learn(listed)
+        found = [self.cache[w] for w in listed]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.words = pa.concat_arrays([self.words, new])
+        self.first = np.r_[self.first, len(self.ids) + np.cumsum(size) - size]
+        self.size = np.r_[self.size, size]
+        self.ids = np.r_[self.ids, np.frombuffer(b"".join(found), "<u4")]
 
 
 _ENCODERS: dict[str, CachedTokenizer] = {}
@@ -221,17 +320,17 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, out_dir: str | None
         _ENCODERS[tokenizer_file] = encoder
         fs, folder = _open(out_dir)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        tail = np.array([end_id], "<u4").tobytes()
+        tail = np.uint32(end_id)
         writer = sink = None
         part = f"{folder}/.{task.partitionId():07d}-{task.taskAttemptId()}"
         for batch in batches:
-            for a, b, texts in slices((x.as_py() for x in batch.column("text")), 500_000):
+            for a, b, texts in slices((x.as_py() for x in batch.column("text")), 8_000_000):
                 if writer is None:
                     fs.create_dir(folder, recursive=True)
                     sink = fs.open_output_stream(part)
                     writer = FrameWriter(sink, batch.schema.field("id").type, frame_ids, width=width)
                 for i, ids in zip(batch.column("id").slice(a, b - a).to_pylist(), encoder.encode(texts)):
-                    writer.add(i, np.frombuffer(ids + tail, "<u4"))
+                    writer.add(i, np.append(ids, tail))
         if writer is None:
             return
         writer.close()
