@@ -59,37 +59,42 @@ class WardResult:
         return self.merges.orderBy(F.col("height").desc(), F.col("merge_id").desc()).limit(max(p - 1, 0))
 
 
-def _cell(cols: Sequence[str], radius: Column | float) -> list[Column]:
-    return [F.floor(F.col(c) / F.lit(radius)).cast("long") for c in cols]
+def _cell(vector: str, dims: Sequence[int], radius: Column | float) -> list[Column]:
+    return [F.floor(F.col(vector)[i] / (radius if isinstance(radius, Column) else F.lit(radius))).cast("long") for i in dims]
 
 
-def _radius(state: DataFrame, cols: Sequence[str], widest: float, clusters: int, budget: int) -> float | None:
+def _squared_distance(a: str, b: str, dim: int) -> Column:
+    """Written out for short vectors (generated code), a fold over the arrays for long ones."""
+    if dim <= 16:
+        return reduce(lambda x, y: x + y, [(F.col(a)[i] - F.col(b)[i]) * (F.col(a)[i] - F.col(b)[i]) for i in range(dim)])
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def _radius(state: DataFrame, dims: Sequence[int], widest: float, clusters: int, budget: int) -> float | None:
     """The largest radius whose cells hold at most ``budget`` pairs per cluster; None: any."""
     if clusters <= budget or not widest > 0:
         return None
     levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(widest / 2 ** i).alias("r")) for i in range(RADII)]))
-    cells = state.select(*cols, levels.alias("l")).select("l.level", F.struct(*_cell(cols, F.col("l.r"))).alias("cell"))
+    cells = state.select("v", levels.alias("l")).withColumn("r", F.col("l.r")).select(
+        "l.level", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_cell("v", dims, F.col("r")))]).alias("cell"))
     per_level = (cells.groupBy("level", "cell").agg(F.count(F.lit(1)).cast("double").alias("n"))
                  .groupBy("level").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
-                 .where(F.col("pairs") * 3 ** len(cols) <= float(budget) * clusters).agg(F.min("level")).first()[0])
+                 .where(F.col("pairs") * 3 ** len(dims) <= float(budget) * clusters).agg(F.min("level")).first()[0])
     return widest / 2 ** (RADII - 1 if per_level is None else per_level)
 
 
-def _nearest(state: DataFrame, centre: Sequence[str], cell_cols: Sequence[str], radius: float | None,
-             blocks: int = 8) -> DataFrame:
+def _nearest(state: DataFrame, dim: int, dims: Sequence[int], radius: float | None, blocks: int = 8) -> DataFrame:
     """Per cluster ``rep`` its least (cost, lo, hi) with cost <= radius."""
-    side = lambda p: state.select(F.col("rep").alias(f"{p}rep"), F.col("size").alias(f"{p}size"),
-                                  *[F.col(c).alias(f"{p}{c}") for c in dict.fromkeys([*centre, *cell_cols])])
-    a, b = side("a"), side("b")
+    a, b = (state.select(F.col("rep").alias(f"{p}rep"), F.col("size").alias(f"{p}size"), F.col("v").alias(f"{p}v")) for p in "ab")
     if radius is None:      # all clusters are neighbours: blocks of rows against all rows
         a = a.withColumn("cell", F.pmod(F.xxhash64("arep"), F.lit(blocks)))
         b = b.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     else:
-        around = [F.array(c - 1, c, c + 1) for c in _cell([f"a{c}" for c in cell_cols], radius)]
+        around = [F.array(c - 1, c, c + 1) for c in _cell("av", dims, radius)]
         a = reduce(lambda df, i: df.withColumn(f"k{i}", F.explode(around[i])), range(len(around)), a)
         a = a.withColumn("cell", F.struct(*[F.col(f"k{i}") for i in range(len(around))])).drop(*[f"k{i}" for i in range(len(around))])
-        b = b.withColumn("cell", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_cell([f"b{c}" for c in cell_cols], radius))]))
-    squares = reduce(lambda x, y: x + y, [(F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in centre])
+        b = b.withColumn("cell", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_cell("bv", dims, radius))]))
+    squares = _squared_distance("av", "bv", dim)
     cost = F.sqrt(F.lit(2.0) * F.col("asize") * F.col("bsize") / (F.col("asize") + F.col("bsize")) * squares)
     pairs = a.join(b, "cell").where("arep <> brep").select(
         F.col("arep").alias("rep"), cost.alias("cost"), F.least("arep", "brep").alias("lo"), F.greatest("arep", "brep").alias("hi"))
@@ -98,7 +103,7 @@ def _nearest(state: DataFrame, centre: Sequence[str], cell_cols: Sequence[str],
     return pairs.groupBy("rep").agg(F.min(F.struct("cost", "lo", "hi")).alias("best"))
 
 
-def _merge_round(state: DataFrame, nearest: DataFrame, centre: Sequence[str], made: int) -> DataFrame:
+def _merge_round(state: DataFrame, nearest: DataFrame, made: int) -> DataFrame:
     """The clusters after merging all mutual nearest neighbours."""
     mutual = nearest.groupBy("best").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(
         F.col("best.lo").alias("lo"), F.col("best.cost").alias("cost"),
@@ -106,31 +111,33 @@ def _merge_round(state: DataFrame, nearest: DataFrame, centre: Sequence[str], ma
     joined = state.join(mutual, F.col("rep") == F.col("mrep"), "left").withColumn("grp", F.coalesce("lo", "rep"))
     alone = F.count(F.lit(1)) == 1
     part = F.struct("rep", "made")
+    x, y = F.get("vs", 0), F.get("vs", 1)
+    middle = F.zip_with(x["v"], y["v"], lambda p, q: (p * x["size"] + q * y["size"]) / (x["size"] + y["size"]))
     return joined.groupBy("grp").agg(
         F.when(alone, F.max("made")).otherwise(F.lit(made)).alias("made"),
         F.sum("size").alias("total"), F.greatest(F.max("h"), F.max("cost")).alias("h"),
         F.when(alone, F.max("left")).otherwise(F.min(part)).alias("left"),
         F.when(alone, F.max("right")).otherwise(F.max(part)).alias("right"),
-        *[F.when(alone, F.max(c)).otherwise(F.sum(F.col(c) * F.col("size")) / F.sum("size")).alias(c) for c in centre],
-    ).withColumnsRenamed({"grp": "rep", "total": "size"})
+        F.collect_list(F.struct("size", "v")).alias("vs"),                  # one or two
+    ).withColumn("v", F.when(F.size("vs") == 1, x["v"]).otherwise(middle)).drop("vs").withColumnsRenamed({"grp": "rep", "total": "size"})
 
 
 def _agglomerate(leaves: DataFrame, centre: Sequence[str], m: int, budget: int) -> DataFrame | None:
     """All merges: (rep, made, h, size, left, right); None for fewer than two leaves."""
     none = F.lit(None).cast("struct<rep:long,made:int>")
     state = _table(leaves.select(F.col("leaf").alias("rep"), F.lit(0).alias("made"), F.col("w").cast("double").alias("size"),
-                                      F.lit(0.0).alias("h"), none.alias("left"), none.alias("right"), *centre))
-    spread = state.agg(*[F.coalesce(F.var_pop(c), F.lit(0.0)).alias(c) for c in centre]).first()
-    cell_cols = sorted(centre, key=lambda c: -spread[c])[:CELL_COLUMNS]
-    widest = max(state.agg(*[(F.max(c) - F.min(c)).alias(c) for c in cell_cols]).first() or [0.0]) if m > 1 else 0.0
+                                      F.lit(0.0).alias("h"), none.alias("left"), none.alias("right"), F.array(*centre).alias("v")))
+    spread = leaves.agg(*[F.coalesce(F.var_pop(c), F.lit(0.0)).alias(c) for c in centre]).first()
+    dims = sorted(range(len(centre)), key=lambda i: -spread[i])[:CELL_COLUMNS]
+    widest = max(leaves.agg(*[(F.max(centre[i]) - F.min(centre[i])).alias(centre[i]) for i in dims]).first()) if m > 1 else 0.0
     rounds, left, made, floor = [], m, 0, 0.0
     while left > 1:
         made += 1
-        radius = _radius(state, cell_cols, widest, left, budget)
+        radius = _radius(state, dims, widest, left, budget)
         if radius is not None and radius < floor:
             radius = floor if floor <= 2 * widest * len(centre) else None
         path = scratch_table_path(leaves.sparkSession, "ward-round")
-        _merge_round(state, _nearest(state, centre, cell_cols, radius), centre, made).write.parquet(path)
+        _merge_round(state, _nearest(state, len(centre), dims, radius), made).select(*state.columns).write.parquet(path)
         after = leaves.sparkSession.read.schema(state.schema).parquet(path)
         n = after.where(F.col("made") == made).count()
         if n:
