@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import broadcast_if_small, components, doc_key, materialise, text_or_empty
+from wattlane.llm.common import broadcast_if_small, components, doc_key, materialise, small_batches, text_or_empty
 from wattlane.llm.embedding_dedup import groups_of, matrix_of
 from wattlane.llm.piece_codec import slices
 from wattlane.session import ship_package
@@ -330,22 +330,9 @@ class _Near:
         return materialise(dealt(near_members, payload).mapInArrow(connect, "a binary, b binary").distinct(), "minhash-across")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
-                    k: int = 5, bands: int = 40, rows: int = 8, block: int = 256) -> DataFrame:
-    """Rows (id, dkey, group_id, kept) of every row of ``docs``.
-
-    ``group_id``: the least id of the group; ``kept``: the document with that id
-    (the least by id, then by its words).  ``dkey``: the key of (id, text).  A
-    pair at the threshold shares a bucket with probability
-    1 - (1 - threshold^rows)^bands, 0.9994 here.
-    """
-    spark = docs.sparkSession
-    ship_package(spark)
-    m = bands * rows
-    found = materialise(_signature_table(docs, id_col, text_col, bands, rows, k), "minhash")
-    classes = materialise(found.groupBy("cls").agg(
-        F.min("id").alias("least_id"), F.min("dkey").alias("dkey"), F.first("bands").alias("bands"),
-        F.first("sig").alias("sig")), "minhash-classes")
+def _components_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, bands: int, m: int, k: int,
+                   threshold: float, block: int) -> DataFrame:
+    """Rows (node, component) of the classes that are linked."""
     near = _Near(docs, classes, id_col, text_col, bands, m, k, threshold)
     buckets = classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
     reps = materialise(buckets.groupBy("band", "bucket").agg(F.min("cls").alias("rep"), F.max("cls").alias("last"))
@@ -362,6 +349,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = near.across(open_members, block)
         if more.limit(1).count():
             comp = materialise(components(links.unionAll(more), "minhash-components"), "minhash-comp")
+    return comp
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8,
+                    k: int = 5, bands: int = 40, rows: int = 8, block: int = 256) -> DataFrame:
+    """Rows (id, dkey, group_id, kept) of every row of ``docs``.
+
+    ``group_id``: the least id of the group; ``kept``: the document with that id
+    (the least by id, then by its words).  ``dkey``: the key of (id, text).  A
+    pair at the threshold shares a bucket with probability
+    1 - (1 - threshold^rows)^bands, 0.9994 here.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    m = bands * rows
+    found = materialise(_signature_table(docs, id_col, text_col, bands, rows, k), "minhash")
+    classes = materialise(found.groupBy("cls").agg(
+        F.min("id").alias("least_id"), F.min("dkey").alias("dkey"), F.first("bands").alias("bands"),
+        F.first("sig").alias("sig")), "minhash-classes")
+    with small_batches(spark):  # rows carry shingles
+        comp = _components_of(docs, classes, id_col, text_col, bands, m, k, threshold, block)
 
     least = F.struct(F.col("least_id").isNull().alias("none"), F.col("least_id").alias("id"), F.col("cls").alias("cls"))
     grouped = classes.select("cls", "least_id").join(comp, F.col("cls") == F.col("node"))

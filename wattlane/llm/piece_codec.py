@@ -49,8 +49,8 @@ _NONE = np.int32(2 ** 31 - 1)
 class PieceCodec:
     """Encoder and decoder for one SentencePiece BPE model file."""
 
-    def __init__(self, model_file: str, long_word: int = 256, cache_words: int = 300_000,
-                 group_chars: int = 2_000_000):
+    def __init__(self, model_file: str, long_word: int = 256, cache_words: int = 120_000,
+                 group_chars: int = 1_000_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -299,7 +299,7 @@ def codec_for(model_file: str) -> PieceCodec:
     return _CODECS[model_file]
 
 
-def slices(texts: Iterable[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int, list[str]]]:
+def slices(texts: Iterable[str | None], chars: int = 1_000_000) -> Iterator[tuple[int, int, list[str]]]:
     """Runs (first, end, texts) of about so many characters, null as empty."""
     start, part, size = 0, [], 0
     i = -1

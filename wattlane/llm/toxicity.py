@@ -185,7 +185,7 @@ def learn_variants(counts: DataFrame, terms: list[tuple], shrink: float = 5.0,
 _HIT = "struct<weight:double,edits:int,quoted:boolean,around:array<string>>"
 
 
-def find_hits(docs: DataFrame, lexicon: tuple, window: int = 4, memo: int = 400_000) -> DataFrame:
+def find_hits(docs: DataFrame, lexicon: tuple, window: int = 4, memo: int = 150_000) -> DataFrame:
     """``docs`` (with columns text and others to keep) with ``hits`` in place of the text."""
     kept = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
