@@ -364,7 +364,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship_package(spark)
     m = bands * rows
-    found = materialise(_signature_table(docs, id_col, text_col, bands, rows, k), "minhash")
+    with small_batches(spark):
+        found = materialise(_signature_table(docs, id_col, text_col, bands, rows, k), "minhash")
     classes = materialise(found.groupBy("cls").agg(
         F.min("id").alias("least_id"), F.min("dkey").alias("dkey"), F.first("bands").alias("bands"),
         F.first("sig").alias("sig")), "minhash-classes")

@@ -343,6 +343,8 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
                     cols += [pa.array([x.astype(np.int32) for x in arrays], pa.list_(pa.int32())), pa.array(decoded)]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        codec._cache.clear()  # the worker goes on to other tasks
+        pa.default_memory_pool().release_unused()
 
     return base.mapInArrow(run, f"id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string{wide}"
                            ).withColumnRenamed("id", id_col)

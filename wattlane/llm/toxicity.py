@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import broadcast_if_small, let, materialise, steps, text_key, text_or_empty, words
+from wattlane.llm.common import broadcast_if_small, let, materialise, small_batches, steps, text_key, text_or_empty, words
 from wattlane.session import ship_package
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -289,8 +289,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     terms, counts = learn_terms(train)
     variants, prior = learn_variants(counts, terms)
 
-    hits = materialise(find_hits(labelled.select("id", "key", "toxic", "text", F.monotonically_increasing_id().alias("row")),
-                                 (terms, variants, prior), window), "tox-hits")
+    with small_batches(spark):
+        hits = materialise(find_hits(labelled.select("id", "key", "toxic", "text", F.monotonically_increasing_id().alias("row")),
+                                     (terms, variants, prior), window), "tox-hits")
     # window words: log-odds between the windows of toxic and of clean training rows
     seen = hits.where("toxic is not null").select("toxic", F.explode(F.array_distinct(F.flatten(
         F.transform("hits", lambda h: h["around"])))).alias("word"))
