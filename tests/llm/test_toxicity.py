@@ -79,3 +79,49 @@ def test_held_out_accuracy(spark):
     rows = got.join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").select("toxic", "predicted").collect()
     tp = sum(r.toxic == r.predicted == 1 for r in rows)
     assert tp >= 0.9 * sum(r.toxic for r in rows) and tp >= 0.9 * sum(r.predicted for r in rows)
+
+
+def _held_out(n, start=10_000):
+    return [i for i in range(start, start + 10 * n) if zlib.crc32(str(i).encode()) % 4 == 2][:n]
+
+
+def test_swaps_and_two_edits():
+    def osa(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(12)
+    words = sorted({"".join(rng.choice("abcé") for _ in range(rng.randrange(3, 12))) for _ in range(30)})
+    lex = Lexicon([(w, False, ()) for w in words], {}, 0.0, 4, True, 8)
+    for _ in range(4000):
+        w = list(rng.choice(words))
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(w) + 1)
+            w[i:i + rng.randrange(3)] = rng.choice([[], [rng.choice("abcé")], w[i:i + 2][::-1]])
+        w = "".join(w)
+        found = [(osa(w, t), i) for i, t in enumerate(words)]
+        found = [(e, i) for e, i in found if e <= (0 if len(words[i]) < 4 else 1 if len(words[i]) < 8 else 2)]
+        assert lex.match(w) == min(found, default=None), w
+
+
+def test_misspelt_families_and_short_terms(spark):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for i in range(600):
+        ws = [f"w{rng.randrange(300)}" for _ in range(30)]
+        if i % 6 == 0:
+            for w in rng.sample(["idiot", "idiots", "idiotic"], rng.choice([2, 3])) if i % 12 == 0 else ["scum", "moron"]:
+                ws.insert(rng.randrange(len(ws)), w)
+        docs.append((i, " ".join(ws)))
+        labels.append((i, int(i % 6 == 0), 0))
+    wrong = ["iddiot idoits", "idoit idiotc", "scmu", "scumm", "morno", "mroon", "w1", "w2 w3"]
+    ids = _held_out(len(wrong))
+    probes = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(20)) + " " + w) for i, w in zip(ids, wrong)]
+    got = {r.doc_id: r for r in score_toxicity(spark.createDataFrame(docs + probes, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    assert [got[i].predicted for i in ids] == [1] * 6 + [0] * 2
+    assert all(got[i].held_out for i in ids)

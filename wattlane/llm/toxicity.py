@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.llm.common import broadcast_if_small, let, materialise, small_batches, steps, text_key, text_or_empty, words
@@ -47,165 +47,266 @@ from wattlane.session import ship_package
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Quotation marks that open and close, as they stand in texts.
 _QUOTES = re.compile("[\"“”„‟«»‹›]")
-_END = ""  # key of a trie node's term
+_END, _STEM = "", "*"  # keys of a trie node's word term and stem; neither is a word's character
 
 
 class Lexicon:
-    """Terms with weights, their trie, and the weights of seen misspellings."""
+    """Terms with weights and their tries; ``swaps``: two neighbours exchanged are one edit.
+
+    Words match a word term of ``fuzzy_len`` characters with one edit, one of
+    ``two_len`` (None: no term) with two, stems exactly at their start.
+    """
 
     def __init__(self, terms: list[tuple[str, bool, tuple]], variants: dict[str, float], prior: float,
-                 fuzzy_len: int = 5):
+                 fuzzy_len: int = 5, swaps: bool = False, two_len: int | None = None):
         self.terms, self.variants, self.prior = terms, variants, prior
+        self.fuzzy_len, self.swaps = fuzzy_len, swaps
         self.root: dict = {}
-        for no, (term, _, _) in enumerate(terms):
-            node = self.root
+        self.long: dict = {}
+        lengths = [0]
+        for no, (term, stem, _) in enumerate(terms):
+            far = not stem and two_len is not None and len(term) >= two_len
+            node = self.long if far else self.root
             for c in term:
                 node = node.setdefault(c, {})
-            node[_END] = no
-        self.fuzzy_len = fuzzy_len
+            node[_STEM if stem else _END] = no
+            lengths.append(len(term))
+        self.least, self.most = (two_len or 0) - 2, max(lengths) + 3
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(edits, number of the term) of the best match, None without any."""
-        n = len(word)
+        word = word[:self.most]  # what is longer is too far from every word term
         at: dict[str, int] = {}
         for i, c in enumerate(word):
             at[c] = at.get(c, 0) | 1 << i
-        full, best = 1 << n, None
-        stack = [(self.root, 1, 3 if n else 1)]  # positions reached with no edit, with at most one
+        best = self._walk(self.root, at, len(word), 1)
+        if self.long and len(word) >= self.least:
+            far = self._walk(self.long, at, len(word), 2)
+            best = far if best is None or (far is not None and far < best) else best
+        return best
+
+    def _walk(self, root: dict, at: dict[str, int], n: int, bound: int) -> tuple[int, int] | None:
+        full, best, swaps = 1 << n, None, self.swaps
+        mask = 2 * full - 1
+        # positions reached with no, at most one, at most two edits; positions in the middle of an exchange
+        stack = [(root, 1, 3 & mask, 7 & mask if bound > 1 else 0, 0, 0)]
         while stack:
-            node, none, one = stack.pop()
+            node, none, one, two, mid_one, mid_two = stack.pop()
             for c, child in node.items():
-                if c == _END:
-                    _, stem, _ = self.terms[child]
-                    if none & full or (stem and none):
+                if c == _END or c == _STEM:
+                    if none & full or (c == _STEM and none):
                         found = (0, child)
-                    elif not stem and one & full and len(self.terms[child][0]) >= self.fuzzy_len:
+                    elif c == _END and one & full and len(self.terms[child][0]) >= self.fuzzy_len:
                         found = (1, child)
+                    elif c == _END and two & full:
+                        found = (2, child)
                     else:
                         continue
                     best = found if best is None or found < best else best
                     continue
                 m = at.get(c, 0)
                 next_none = (none & m) << 1
-                next_one = ((one & m) << 1) | none | (none << 1) | next_none
-                next_one |= next_none << 1
-                next_one &= 2 * full - 1
-                if next_none or next_one:
-                    stack.append((child, next_none, next_one))
+                next_one = ((one & m) << 1) | none | (none << 1) | next_none | (next_none << 1)
+                if swaps:
+                    next_one |= (mid_one & m) << 2
+                next_one &= mask
+                next_two = 0
+                if bound > 1:
+                    next_two = ((two & m) << 1) | one | (one << 1) | next_one | (next_one << 1)
+                    if swaps:
+                        next_two |= (mid_two & m) << 2
+                    next_two &= mask
+                to_one = none & (m >> 1) if swaps else 0
+                to_two = one & (m >> 1) if swaps and bound > 1 else 0
+                if next_one or next_two or to_one or to_two:
+                    stack.append((child, next_none, next_one, next_two, to_one, to_two))
         return best
 
-    def weight(self, word: str, found: tuple[int, int], forms: int) -> float:
-        """Weight of a hit; ``forms``: the number of different words of its term in the text."""
-        weights = self.terms[found[1]][2]
-        return weights[min(forms, len(weights)) - 1] if found[0] == 0 else self.variants.get(word, self.prior)
-
 
 def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _evidence(t: int, c: int) -> float:
-    return _logit((t + 1) / (t + c + 2))
+def _evidence(t: int, c: int, base: float) -> float:
+    """Log-odds above the base rate, smoothed towards it."""
+    return _logit((t + 2 * base) / (t + c + 2)) - _logit(base)
+
+
+def _raised(t: str, c: str, base: float, lift: float, tests: int) -> Column:
+    """Is t of t + c at least ``lift`` times the base rate, and by more than chance in ``tests`` tries (Chernoff's bound)?"""
+    t, c = F.col(t).cast("double"), F.col(c).cast("double")
+    n = t + c
+    far = F.when(t > 0, t * F.log(t / (n * base))).otherwise(0.0) + F.when(c > 0, c * F.log(c / (n * (1 - base)))).otherwise(0.0)
+    return F.coalesce((t >= 0.9 * n) & (far >= math.log(max(tests, 2))), F.lit(False))
+
+
+_TERM = "term string, stem boolean, family string, weights array<double>"
+
+
+def _contexts(rows: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """Rows (w, contexts): in how many different surroundings a word stands."""
+    around = let(words(F.col("text")), lambda w: F.transform(steps(1, F.size(w)), lambda i: F.struct(
+        F.get(w, i - 1).alias("w"), F.xxhash64(F.get(w, i - 2), F.get(w, i)).alias("c"))))
+    found = rows.select(F.explode(around).alias("x")).select("x.w", "x.c")
+    found = found if keep is None else found.join(keep, "w", "left_semi")
+    return found.distinct().groupBy("w").agg(F.count("*").alias("contexts"))
 
 
-def learn_terms(train: DataFrame, purity: float = 0.9, stems: tuple[int, ...] = (3, 4, 5, 6, 7, 8), min_docs: int = 3,
-                lift: float = 2.0, lexicon_size: int = 5000) -> tuple[list[tuple], DataFrame]:
-    """Terms (term, is stem, weights) from rows (key, text, toxic), and the word counts they come from.
+def learn_terms(rows: DataFrame, stems: tuple[int, ...] = (3, 4, 5, 6, 7, 8), min_docs: int = 3,
+                lift: float = 2.0) -> tuple[DataFrame | None, DataFrame, float]:
+    """Terms (term, stem, family, weights), the words of all rows with their counts, and the base rate.
 
-    A word has one weight.  A stem has the weights of one, two and three or more
-    different words with it in one document; its support is the number of
-    different sets of such words, so copies count once.  ``lexicon_size`` bounds
-    the model, best supported terms first.
+    ``rows`` has (key, text, toxic), toxic null outside the training rows; without
+    toxic or without clean rows there are no terms (None).  A stem has the
+    weights of one, two and three or more different words with it in one
+    document; its support is the number of different sets of such words, so
+    copies count once.  The training words under a stem are terms of its
+    family, for the misspellings of them.
     """
-    ws = words(F.col("text"))
+    train = rows.where("toxic is not null").select("key", "text", "toxic")
     n, bad = train.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    around = let(ws, lambda w: F.transform(steps(1, F.size(w)), lambda i: F.struct(
-        F.get(w, i - 1).alias("w"), F.xxhash64(F.get(w, i - 2), F.get(w, i)).alias("c"))))
-    contexts = (train.where("toxic = 1").select(F.explode(around).alias("x")).select("x.w", "x.c").distinct()
-                .groupBy("w").agg(F.count("*").alias("contexts")))
-    distinct = train.select("key", "toxic", F.explode(F.array_distinct(ws)).alias("w"))
-    counts = distinct.groupBy("w").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    counts = materialise(counts.join(contexts, "w", "left").na.fill(0, ["contexts"]), "tox-words")
+    distinct = rows.select("key", "toxic", F.explode(F.array_distinct(words(F.col("text")))).alias("w"))
+    counts = distinct.groupBy("w").agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"),
+                                       F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)).alias("c"))
+    counts = materialise(counts, "tox-words")
     if not bad or bad == n:
-        return [], counts
+        return None, counts, 0.5
     base = bad / n
-    chance = lambda tests: max(min_docs, math.ceil(math.log(max(tests, 2)) / -math.log(base)))
-    need = chance(counts.count())
-    by_word = counts.where((F.col("t") >= purity * (F.col("t") + F.col("c"))) & (F.col("contexts") >= need)
-                           & (F.col("t") >= min_docs))
+    seen = counts.where("t + c > 0")
+    tests = seen.count()
+    often = materialise(seen.where((F.col("t") >= min_docs) & _raised("t", "c", base, lift, tests)), "tox-often")
+    small = broadcast_if_small(often, 48)
+    often = (often.join(_contexts(train.where("toxic = 1"), small.select("w")).withColumnRenamed("contexts", "ct"), "w", "left")
+             .join(_contexts(train.where("toxic = 0"), small.where("c > 0").select("w")).withColumnRenamed("contexts", "cc"), "w", "left")
+             .na.fill(0, ["ct", "cc"]))
+    by_word = materialise(often.where((F.col("ct") >= min_docs) & _raised("ct", "cc", base, lift, tests)).orderBy(F.desc("ct"), "w").limit(5000).select("w", "t", "c"), "tox-terms")
 
     # stems: prefixes that toxic documents have more often than their share
-    forms = counts.select("w", "t", "c", F.explode(F.array(*[
+    forms = seen.select("w", "t", "c", F.explode(F.array(*[
         F.when(F.char_length("w") > k, F.substring("w", 1, k)) for k in stems])).alias("stem")).where("stem is not null")
     raised = (forms.groupBy("stem").agg(F.sum("t").alias("st"), F.sum("c").alias("sc"), F.sum((F.col("t") > 0).cast("int")).alias("n"))
               .where((F.col("st") >= lift * base * (F.col("st") + F.col("sc"))) & (F.col("n") >= min_docs)).select("stem"))
     pairs = materialise(forms.join(raised, "stem", "left_semi").select("w", "stem"), "tox-forms")
-    per_doc = (distinct.join(broadcast_if_small(pairs, 64), "w").groupBy("key", "stem")
+    per_doc = (distinct.where("toxic is not null").join(broadcast_if_small(pairs, 64), "w").groupBy("key", "stem")
                .agg(F.max("toxic").alias("toxic"), F.count("*").alias("n"), F.sum(F.xxhash64("w") % (1 << 40)).alias("set")))
     by_n = (per_doc.select("stem", "toxic", F.least("n", F.lit(3)).alias("n"), "set").distinct()
             .groupBy("stem").agg(*[F.sum(F.when(F.col("n") >= k, F.col("toxic")).otherwise(0)).alias(f"t{k}") for k in (1, 2, 3)],
                                  *[F.sum(F.when(F.col("n") >= k, 1 - F.col("toxic")).otherwise(0)).alias(f"c{k}") for k in (1, 2, 3)]))
     by_n = materialise(by_n, "tox-stems")
-    few = chance(by_n.count())
+    few = by_n.count()
     good = F.lit(False)
     for k in (1, 2, 3):
-        good = good | ((F.col(f"t{k}") >= purity * (F.col(f"t{k}") + F.col(f"c{k}"))) & (F.col(f"t{k}") >= few))
-    chosen: dict[str, tuple] = {}
-    found = by_n.where(good & (F.col("t2") >= few)).orderBy(F.desc("t2"), "stem").limit(lexicon_size).collect()
-    strength = lambda r: sum(_evidence(r[f"t{k}"], r[f"c{k}"]) * math.log1p(r[f"t{k}"]) for k in (1, 2, 3))
-    for r in sorted(found, key=lambda r: (-strength(r), r["stem"])):
-        s = r["stem"]
-        if not any(s.startswith(o) or o.startswith(s) for o in chosen):
-            chosen[s] = (True, tuple(_evidence(r[f"t{k}"], r[f"c{k}"]) for k in (1, 2, 3)))
-    for r in by_word.orderBy(F.desc("contexts"), "w").limit(lexicon_size).select("w", "t", "c").collect():
-        if not any(chosen.get(r["w"][:k], (False,))[0] for k in range(1, len(r["w"]))):
-            chosen[r["w"]] = (False, (_evidence(r["t"], r["c"]),))
-    return [(s, stem, x) for s, (stem, x) in sorted(chosen.items())], counts
-
-
-def learn_variants(counts: DataFrame, terms: list[tuple], shrink: float = 5.0,
-                   variant_size: int = 20_000) -> tuple[dict[str, float], float]:
-    """Weights of the misspellings among the training words, and of one never seen."""
-    if not terms:
-        return {}, 0.0
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(terms, {}, 0.0)
-        for batch in batches:
-            found = [lexicon.match(w) for w in batch.column("w").to_pylist()]
-            yield batch.filter(pa.array([f is not None and f[0] > 0 for f in found]))
-
-    fuzzy = materialise(counts.select("w", "t", "c").mapInArrow(run, "w string, t long, c long"), "tox-variants")
-    t, c = fuzzy.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    p = (t + 1) / (t + c + 2)
-    seen = fuzzy.orderBy(F.desc(F.col("t") + F.col("c")), "w").limit(variant_size).collect()
-    return {r["w"]: _logit((r["t"] + shrink * p) / (r["t"] + r["c"] + shrink)) for r in seen}, _logit(p)
+        good = good | _raised(f"t{k}", f"c{k}", base, lift, few)
+    enough = max(min_docs, math.ceil(math.log(max(few, 2)) / -math.log(base)))
+
+    def pick(group: pa.Table) -> pa.Table:
+        """The strongest of stems with the same start that are no starts of each other."""
+        found = []
+        for r in group.to_pylist():
+            weights = [_evidence(r[f"t{k}"], r[f"c{k}"], base) for k in (1, 2, 3)]
+            found.append((-sum(x * math.log1p(r[f"t{k}"]) for k, x in zip((1, 2, 3), weights)), r["stem"], weights))
+        chosen: dict[str, list[float]] = {}
+        starts: set[str] = set()
+        for _, s, weights in sorted(found):
+            mine = {s[:k] for k in range(1, len(s) + 1)}
+            if s not in starts and not any(x in chosen for x in mine):
+                chosen[s] = weights
+                starts |= mine
+        return pa.table({"stem": pa.array(list(chosen), pa.string()), "weights": pa.array(list(chosen.values()), pa.list_(pa.float64()))})
+
+    picked = by_n.where(good & (F.col("t2") >= enough)).orderBy(F.desc("t2"), "stem").limit(5000).groupBy(F.substring("stem", 1, min(stems)).alias("start")).applyInArrow(
+        pick, "stem string, weights array<double>")
+    picked = materialise(picked, "tox-picked").withColumn("family", F.concat(F.lit(_STEM), "stem"))
+    under = seen.where((F.col("t") > 0) & (F.col("t") >= lift * base * (F.col("t") + F.col("c")))).select("w", F.explode(F.array(*[
+        F.when(F.char_length("w") >= k, F.substring("w", 1, k)) for k in stems])).alias("stem")).where("stem is not null")
+    under = materialise(under.join(broadcast_if_small(picked, 96), "stem").select("w", "family", "weights"), "tox-under")
+    weight = F.log((F.col("t") + 2 * base) / (F.col("c") + 2 * (1 - base))) - _logit(base)
+    terms = (picked.select(F.col("stem").alias("term"), F.lit(True).alias("stem"), "family", "weights")
+             .union(under.select(F.col("w").alias("term"), F.lit(False), "family", "weights"))
+             .union(by_word.join(under, "w", "left_anti").select("w", F.lit(False), "w", F.array(weight, weight, weight))))
+    return materialise(terms, "tox-lexicon"), counts, base
+
+
+def match_words(counts: DataFrame, terms: DataFrame, fuzzy_len: int = 4, two_len: int = 8, part_terms: int = 50_000) -> DataFrame:
+    """Rows (w, t, c, edits, term, stem): every word with its best term.
+
+    The terms go to the tasks in parts of about ``part_terms``, each with a trie
+    of its own, and a word keeps the best of its matches in all parts.
+    """
+    parts = max(1, -(-terms.count() // part_terms))
+    spread = terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)))
+    all_found = None
+    for part in range(parts):
+        some = sorted(((r["term"], r["stem"], ()) for r in spread.where(F.col("part") == part).select("term", "stem").collect()),
+                      key=lambda x: (x[0], not x[1]))
+
+        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
+            lexicon = Lexicon(some, {}, 0.0, fuzzy_len, True, two_len)
+            for batch in batches:
+                found = [lexicon.match(w) for w in batch.column("w").to_pylist()]
+                hit = [f for f in found if f is not None]
+                batch = batch.filter(pa.array([f is not None for f in found], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array([e for e, _ in hit], pa.int32()), pa.array([some[k][0] for _, k in hit], pa.string()),
+                     pa.array([some[k][1] for _, k in hit], pa.bool_())], ["w", "t", "c", "edits", "term", "stem"])
+
+        found = counts.select("w", "t", "c").mapInArrow(run, "w string, t long, c long, edits int, term string, stem boolean")
+        all_found = found if all_found is None else all_found.union(found)
+    if parts > 1:
+        best = F.min(F.struct("edits", "term", (~F.col("stem")).alias("whole"))).alias("m")
+        all_found = all_found.groupBy("w", "t", "c").agg(best).select(
+            "w", "t", "c", "m.edits", "m.term", (~F.col("m.whole")).alias("stem"))
+    return materialise(all_found, "tox-matches")
+
+
+def hot_words(counts: DataFrame, terms: DataFrame, base: float, shrink: float = 5.0, share: float = 0.75, **kw) -> DataFrame:
+    """Rows (w, family, form, edits, weights) of all words that are terms or misspellings with positive weight.
+
+    A misspelling starts from a share of its family's own weight, goes as far
+    from it as the other words at that distance from the family say (each word
+    once, however often it stands), and then as its own counts say.
+    """
+    found = match_words(counts, terms, **kw).join(broadcast_if_small(terms, 128), ["term", "stem"])
+    n = F.col("t") + F.col("c")
+    types = materialise(found.where((F.col("edits") > 0) & (n > 0)).groupBy("family", "edits").agg(
+        F.sum(F.col("t") / n).alias("tt"), F.sum(F.col("c") / n).alias("tc")), "tox-types")
+    found = found.join(broadcast_if_small(types, 64), ["family", "edits"], "left").na.fill(0.0, ["tt", "tc"])
+    start = lambda x: 1 / (1 + F.exp(-(share * x + F.lit(_logit(base)))))
+    unseen = lambda x: (F.col("tt") + shrink * start(x)) / (F.col("tt") + F.col("tc") + shrink)
+    p = lambda x: (F.col("t") + shrink * unseen(x)) / (n + shrink)
+    weights = F.when(F.col("edits") == 0, F.col("weights")).otherwise(
+        F.transform("weights", lambda x: F.log(p(x) / (1 - p(x))) - _logit(base)))
+    form = F.when(F.col("edits") == 0, F.col("w")).otherwise(F.col("term"))
+    return materialise(found.select("w", "family", form.alias("form"), "edits", weights.alias("weights"))
+                       .where(F.array_max("weights") > 0).orderBy("edits", "w").limit(20_000), "tox-hot")
 
 
 _HIT = "struct<weight:double,edits:int,quoted:boolean,around:array<string>>"
 
 
-def find_hits(docs: DataFrame, lexicon: tuple, window: int = 4, memo: int = 150_000) -> DataFrame:
-    """``docs`` (with columns text and others to keep) with ``hits`` in place of the text."""
+def find_hits(docs: DataFrame, hot: DataFrame | None, window: int = 4, hot_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` (with columns key, text and others to keep) with ``hits`` in place of the text.
+
+    ``hot`` goes to every task where it is small, else each text gets its own
+    words of it by a join.
+    """
     kept = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    entry = lambda r: (r["w"].encode("utf-8", "surrogatepass"), (r["family"], r["form"], r["edits"], tuple(r["weights"])))
+    joined = hot is not None and hot.count() * 200 > hot_bytes
+    everywhere = {} if joined or hot is None else dict(map(entry, hot.collect()))
+    if joined:
+        own = (docs.select("key", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(hot, "w").distinct()
+               .groupBy("key").agg(F.collect_list(F.struct(*hot.columns)).alias("__hot")))
+        docs = docs.join(own, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = Lexicon(*lexicon)
-        cache: dict[bytes, tuple[int, int] | None] = {}
-
-        def hits(text: str) -> list[dict]:
+        def hits(text: str, table: dict[bytes, tuple]) -> list[dict]:
             raw = text.encode("utf-8", "surrogatepass").lower()
-            distinct = set(_WORD.findall(raw))
-            hot = set()
-            for w in distinct:
-                if w not in cache:
-                    cache[w] = lex.match(w.decode("utf-8", "surrogatepass"))
-                if cache[w] is not None:
-                    hot.add(w)
+            hot = {w: table[w] for w in table.keys() & set(_WORD.findall(raw))}
             if not hot:
                 return []
-            forms = Counter(cache[w] for w in hot)
+            forms = Counter(family for family, _ in {x[:2] for x in hot.values()})
             spots = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(raw)]
             out = []
             for i, (w, a, b) in enumerate(spots):
@@ -213,9 +314,9 @@ def find_hits(docs: DataFrame, lexicon: tuple, window: int = 4, memo: int = 150_
                     lo, hi = max(0, i - window), i + window + 1
                     before = raw[spots[lo][1]:a].decode("utf-8", "replace")
                     after = raw[b:spots[min(hi, len(spots)) - 1][2]].decode("utf-8", "replace")
-                    word = w.decode("utf-8", "surrogatepass")
                     near = [x.decode("utf-8", "surrogatepass") for x, _, _ in spots[lo:i] + spots[i + 1:hi] if x not in hot]
-                    out.append({"weight": lex.weight(word, cache[w], forms[cache[w]]), "edits": cache[w][0],
+                    family, _, edits, weights = hot[w]
+                    out.append({"weight": weights[min(forms[family], len(weights)) - 1], "edits": edits,
                                 "quoted": bool(_QUOTES.search(before) and _QUOTES.search(after)), "around": near})
             return out
 
@@ -224,11 +325,9 @@ def find_hits(docs: DataFrame, lexicon: tuple, window: int = 4, memo: int = 150_
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                found = []
-                for t in part.column("text"):
-                    if len(cache) > memo:
-                        cache.clear()
-                    found.append(hits(t.as_py() or ""))
+                own = part.column("__hot") if joined else [None] * part.num_rows
+                found = [hits(t.as_py() or "", dict(map(entry, h.as_py() or [])) if joined else everywhere)
+                         for t, h in zip(part.column("text"), own)]
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(found, hit_type)],
                                                  [*kept, "hits"])
 
@@ -240,7 +339,7 @@ FEATURES = ["strongest", "total", "number", "misspelt", "quoted", "context"]
 
 def _features(hits: DataFrame, context: DataFrame) -> DataFrame:
     """One row per row of ``hits`` with FEATURES; ``context`` has (word, odds)."""
-    exact = F.filter("hits", lambda h: (h["edits"] == 0) & ~h["quoted"])
+    plain = F.filter("hits", lambda h: ~h["quoted"])
     fuzzy = F.filter("hits", lambda h: h["edits"] > 0)
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, h: s + F.greatest(h["weight"], F.lit(0.0)))
     n = F.size("hits")
@@ -248,7 +347,7 @@ def _features(hits: DataFrame, context: DataFrame) -> DataFrame:
              .join(context, "word").groupBy("row").agg(F.avg("odds").alias("odds")))
     return hits.join(rated.withColumnRenamed("row", "__row"), F.col("row") == F.col("__row"), "left").withColumns({
         "strongest": F.coalesce(F.array_max(F.transform("hits", lambda h: F.when(h["quoted"], h["weight"] / 2).otherwise(h["weight"]))), F.lit(0.0)),
-        "total": F.log1p(total(exact)), "number": F.log1p(n.cast("double")), "misspelt": F.log1p(total(fuzzy)),
+        "total": F.log1p(total(plain)), "number": F.log1p(n.cast("double")), "misspelt": F.log1p(total(fuzzy)),
         "quoted": F.when(n > 0, F.size(F.filter("hits", lambda h: h["quoted"])) / n).otherwise(0.0),
         "context": F.coalesce("odds", F.lit(0.0))})
 
@@ -285,13 +384,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = broadcast_if_small(materialise(known.where(~F.crc32(F.col("lid").cast("string").cast("binary")).eqNullSafe(F.lit(None))
                                                        & (F.crc32(F.col("lid").cast("string").cast("binary")) % 4 != 2)), "tox-labels"), 16)
     labelled = rows.join(known, F.col("id") == F.col("lid"), "left")
-    train = labelled.where("toxic is not null").select("key", "text", "toxic")
-    terms, counts = learn_terms(train)
-    variants, prior = learn_variants(counts, terms)
+    terms, counts, base = learn_terms(labelled.select("key", "text", "toxic"))
+    hot = None if terms is None else hot_words(counts, terms, base)
 
     with small_batches(spark):
         hits = materialise(find_hits(labelled.select("id", "key", "toxic", "text", F.monotonically_increasing_id().alias("row")),
-                                     (terms, variants, prior), window), "tox-hits")
+                                     hot, window), "tox-hits")
     # window words: log-odds between the windows of toxic and of clean training rows
     seen = hits.where("toxic is not null").select("toxic", F.explode(F.array_distinct(F.flatten(
         F.transform("hits", lambda h: h["around"])))).alias("word"))
