@@ -125,3 +125,19 @@ def test_misspelt_families_and_short_terms(spark):
     got = {r.doc_id: r for r in score_toxicity(spark.createDataFrame(docs + probes, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
     assert [got[i].predicted for i in ids] == [1] * 6 + [0] * 2
     assert all(got[i].held_out for i in ids)
+
+
+def test_term_quoted_in_half_of_its_documents(spark):
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(900):
+        ws = [f"w{rng.randrange(300)}" for _ in range(30)]
+        at = rng.randrange(6, 24)
+        if i % 9 == 0:
+            ws.insert(at, "vermish")
+        elif i % 9 == 1:
+            ws[at:at] = ["reported", '"you', 'vermish"', "yesterday"]
+        docs.append((i, " ".join(ws)))
+        labels.append((i, int(i % 9 == 0), 0))
+    got = score_toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).where("held_out").collect()
+    assert all(r.predicted == labels[r.doc_id][1] for r in got) and any(r.predicted for r in got)

@@ -137,7 +137,7 @@ def _raised(t: str, c: str, base: float, lift: float, tests: int) -> Column:
     t, c = F.col(t).cast("double"), F.col(c).cast("double")
     n = t + c
     far = F.when(t > 0, t * F.log(t / (n * base))).otherwise(0.0) + F.when(c > 0, c * F.log(c / (n * (1 - base)))).otherwise(0.0)
-    return F.coalesce((t >= 0.9 * n) & (far >= math.log(max(tests, 2))), F.lit(False))
+    return F.coalesce((t >= F.least(F.lit(lift * base), F.lit((1 + base) / 2)) * n) & (far >= math.log(max(tests, 2))), F.lit(False))
 
 
 _TERM = "term string, stem boolean, family string, weights array<double>"
