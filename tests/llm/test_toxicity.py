@@ -141,3 +141,34 @@ def test_term_quoted_in_half_of_its_documents(spark):
         labels.append((i, int(i % 9 == 0), 0))
     got = score_toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).where("held_out").collect()
     assert all(r.predicted == labels[r.doc_id][1] for r in got) and any(r.predicted for r in got)
+
+
+def test_lexicon_has_no_largest_size(spark):
+    rng = random.Random(10)
+    vocabulary = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(5600)})
+    dealt = vocabulary * 12
+    rng.shuffle(dealt)
+    toxic = [" ".join(dealt[a:a + 100]) for a in range(0, len(dealt), 100)]
+    train = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = [(train[k], t) for k, t in enumerate(toxic)]
+    docs += [(train[len(toxic) + k], f"7{k % 50} 8{k % 40}") for k in range(3 * len(toxic))]
+    labels = [(i, int(k < len(toxic)), 0) for k, (i, _) in enumerate(docs)]
+    probes = list(zip(_held_out(len(vocabulary) + 1), ["71 81", *(f"71 {w} 81" for w in vocabulary)]))
+    got = {r.doc_id: r.score for r in score_toxicity(spark.createDataFrame(docs + probes, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    none, *scores = [got[i] for i, _ in probes]
+    assert min(scores) > none
+
+
+def test_parts_and_joins_give_the_same(spark):
+    from wattlane.llm.common import text_key
+    from wattlane.llm.toxicity import find_hits, hot_words, learn_terms
+
+    docs, labels = _rows()
+    toxic = {i: t for i, t, _ in labels}
+    rows = [(i, t + (" grumblro a snarkpt" if i % 7 == 0 else ""), toxic[i]) for i, t in docs] + [(900, None, None), (901, docs[0][1], None)]
+    df = spark.createDataFrame(rows, "id long, text string, toxic int").withColumn("key", text_key(F.coalesce("text", F.lit(""))))
+    terms, counts, base = learn_terms(df)
+    hot = hot_words(counts, terms, base)
+    assert sorted(hot.collect()) == sorted(hot_words(counts, terms, base, part_terms=1).collect())
+    a, b = ({r.id: r.hits for r in find_hits(df, hot, **kw).collect()} for kw in ({}, {"hot_bytes": 0}))
+    assert a == b and len(a) == len(rows) and any(h.edits for x in a.values() for h in x)

@@ -1,19 +1,26 @@
 """Operator 8: toxicity by Levenshtein automata over a lexicon trie, with context-window scores.
 
 *Lexicon.*  Learned from the labelled training rows, over all of them.  A word
-is a term when it stands in toxic documents almost only, in more different
-surroundings (word before, word after) than chance gives any word of the
-vocabulary; counting surroundings instead of documents keeps words that only
-copies of one document repeat out.  A stem is a prefix of which toxic
-documents hold several different words at a time; its weight depends on
-whether a text has one, two, or three and more of them.
+is a term when the share of toxic rows among its documents, and among its
+different surroundings (word before, word after), is raised above the base
+rate by more than chance gives any word of the vocabulary; counting
+surroundings keeps words that only copies of one document repeat out.  A term
+may stand in clean documents too: its weight is its log-odds above the base
+rate, and context tells quotation from abuse.  A stem is a prefix of which
+toxic documents hold several different words at a time; its weight depends on
+whether a text has one, two, and three or more of them.  The training words
+under a stem are terms of its family, so their misspellings are found.
 
 *Matching.*  The terms form a trie.  For a word of a text, its Levenshtein
 automaton (bit-parallel: one bit mask of reached positions per number of
-edits) runs down the trie; branches whose states die out are left.  Word terms
-of at least ``fuzzy_len`` characters match with up to one edit, stems exactly
-at the start of a word.  What a misspelling is worth is learned too: each
-variant seen in training has its own smoothed weight, others the average one.
+edits; an exchange of neighbours is one edit) runs down the trie; branches
+whose states die out are left.  Word terms match exactly below four
+characters, with one edit from four, with two from eight; stems exactly at the
+start of a word.  Every distinct word of the corpus is matched once, the terms
+going to the tasks in parts; the matches are a table, sent to every task where
+it is small and joined by word where not.  What a misspelling is worth is
+learned: a share of its family's weight, moved by what the other words near
+that family are worth and by its own counts.
 
 *Context.*  Every hit has a window of words around it and a flag whether it
 stands between quotation marks.  Window words have log-odds learned from the
@@ -179,7 +186,7 @@ def learn_terms(rows: DataFrame, stems: tuple[int, ...] = (3, 4, 5, 6, 7, 8), mi
     often = (often.join(_contexts(train.where("toxic = 1"), small.select("w")).withColumnRenamed("contexts", "ct"), "w", "left")
              .join(_contexts(train.where("toxic = 0"), small.where("c > 0").select("w")).withColumnRenamed("contexts", "cc"), "w", "left")
              .na.fill(0, ["ct", "cc"]))
-    by_word = materialise(often.where((F.col("ct") >= min_docs) & _raised("ct", "cc", base, lift, tests)).orderBy(F.desc("ct"), "w").limit(5000).select("w", "t", "c"), "tox-terms")
+    by_word = materialise(often.where((F.col("ct") >= min_docs) & _raised("ct", "cc", base, lift, tests)).select("w", "t", "c"), "tox-terms")
 
     # stems: prefixes that toxic documents have more often than their share
     forms = seen.select("w", "t", "c", F.explode(F.array(*[
@@ -214,7 +221,7 @@ def learn_terms(rows: DataFrame, stems: tuple[int, ...] = (3, 4, 5, 6, 7, 8), mi
                 starts |= mine
         return pa.table({"stem": pa.array(list(chosen), pa.string()), "weights": pa.array(list(chosen.values()), pa.list_(pa.float64()))})
 
-    picked = by_n.where(good & (F.col("t2") >= enough)).orderBy(F.desc("t2"), "stem").limit(5000).groupBy(F.substring("stem", 1, min(stems)).alias("start")).applyInArrow(
+    picked = by_n.where(good & (F.col("t2") >= enough)).groupBy(F.substring("stem", 1, min(stems)).alias("start")).applyInArrow(
         pick, "stem string, weights array<double>")
     picked = materialise(picked, "tox-picked").withColumn("family", F.concat(F.lit(_STEM), "stem"))
     under = seen.where((F.col("t") > 0) & (F.col("t") >= lift * base * (F.col("t") + F.col("c")))).select("w", F.explode(F.array(*[
@@ -278,7 +285,7 @@ def hot_words(counts: DataFrame, terms: DataFrame, base: float, shrink: float =
         F.transform("weights", lambda x: F.log(p(x) / (1 - p(x))) - _logit(base)))
     form = F.when(F.col("edits") == 0, F.col("w")).otherwise(F.col("term"))
     return materialise(found.select("w", "family", form.alias("form"), "edits", weights.alias("weights"))
-                       .where(F.array_max("weights") > 0).orderBy("edits", "w").limit(20_000), "tox-hot")
+                       .where(F.array_max("weights") > 0), "tox-hot")
 
 
 _HIT = "struct<weight:double,edits:int,quoted:boolean,around:array<string>>"
