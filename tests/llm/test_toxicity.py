@@ -1,5 +1,6 @@
 """Lexicon matching against plain edit distance, held-out accuracy, odd inputs."""
 
+import hashlib
 import random
 import zlib
 
@@ -172,3 +173,13 @@ def test_parts_and_joins_give_the_same(spark):
     assert sorted(hot.collect()) == sorted(hot_words(counts, terms, base, part_terms=1).collect())
     a, b = ({r.id: r.hits for r in find_hits(df, hot, **kw).collect()} for kw in ({}, {"hot_bytes": 0}))
     assert a == b and len(a) == len(rows) and any(h.edits for x in a.values() for h in x)
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    docs, labels = _rows()
+    least = min((f"w1 w2 copy {k}" for k in range(3000)), key=lambda t: hashlib.md5(t.encode()).digest())
+    copies = [(20_000 + k, least) for k in range(300)]
+    df = spark.createDataFrame(docs + copies, DOCS)
+    lab = spark.createDataFrame(labels + [(i, 0, 0) for i, _ in copies], LABELS)
+    got = {r.doc_id: r for r in score_toxicity(df, lab, sample_rows=150).collect()}
+    assert all(got[i].predicted == t for i, t, _ in labels if got[i].held_out)

@@ -28,8 +28,9 @@ windows of toxic and of clean training documents, so that reporting words
 lower and abusive ones raise a hit.
 
 *Score.*  A logistic regression on six document features, fitted on a bounded
-sample of training rows (``sample_rows``, the least by hash of the text); all
-counts and statistics before it cover all rows.
+sample of training texts (``sample_rows`` distinct texts, the least by hash,
+each with its number of rows as weight); all counts and statistics before it
+cover all rows.
 
 Only the text enters a score.  Null and empty texts have no words and get the
 score of a text without hits; without any training row every score is 0.
@@ -359,14 +360,14 @@ def _features(hits: DataFrame, context: DataFrame) -> DataFrame:
         "context": F.coalesce("odds", F.lit(0.0))})
 
 
-def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the intercept."""
+def _fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Logistic regression of shares y of n rows each by Newton steps; the last weight is the intercept."""
     x = np.c_[x, np.ones(len(x))]
     w = np.zeros(x.shape[1])
     penalty = np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (n * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -407,9 +408,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     context = broadcast_if_small(context, 96).select("word", F.least(F.greatest(odds, F.lit(-2.0)), F.lit(2.0)).alias("odds"))
     featured = materialise(_features(hits, context).select("id", "key", "toxic", *FEATURES), "tox-features")
 
-    sample = featured.where("toxic is not null").orderBy("key").limit(sample_rows).select("toxic", *FEATURES).toPandas()
+    # copies have the same features: one row of the sample, with their number as its weight
+    texts = featured.where("toxic is not null").groupBy("key").agg(
+        F.avg("toxic").alias("toxic"), F.count("*").alias("n"), *[F.min(f).alias(f) for f in FEATURES])
+    sample = texts.orderBy("key").limit(sample_rows).select("toxic", "n", *FEATURES).toPandas()
     if len(sample):
-        weights = _fit(sample[FEATURES].to_numpy(float), sample["toxic"].to_numpy(float)).tolist()
+        weights = _fit(sample[FEATURES].to_numpy(float), sample["toxic"].to_numpy(float), sample["n"].to_numpy(float)).tolist()
         z = sum((F.col(f) * w for f, w in zip(FEATURES, weights)), F.lit(weights[-1]))
         score = 1 / (1 + F.exp(-z))
     else:
