@@ -56,6 +56,14 @@ def test_cached_encoding(reference):
             reference.encode(t, add_special_tokens=False).ids for t in part]
 
 
+def test_cached_encoding_of_added_tokens_in_any_case(reference):
+    texts = ["a <|ENDOFTEXT|> b", "<|EndOfText|>", "x<|StartOfText|>y, Z.", "a <|endoftext|> B", "<|STARTOFTEXT|>.", "<|X|> y"]
+    texts += [f"a{chr(c)}b {chr(c)} X{chr(c)}{chr(c)}." for c in range(0xa0, 0x250)]
+    cached = CachedTokenizer(WORDS)
+    for part in (texts, texts[::-1]):
+        assert [x.tolist() for x in cached.encode(part)] == [reference.encode(t, add_special_tokens=False).ids for t in part]
+
+
 # ---------------------------------------------------------------------- op 5
 
 @pytest.fixture(scope="module")

@@ -56,29 +56,36 @@ SEEK_MAGIC, SKIP_SEEK, SKIP_INDEX, CHECKSUM_FLAG = 0x8F92EAB1, 0x184D2A5E, 0x184
 
 # ---------------------------------------------------------------------- encoding
 
-#: Letters whose lower case, composition and word-forming are the same in every Unicode version.
-_LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u024f"
+#: Letters whose lower case, composition and word-forming are the same in every Unicode version; up to U+0239, as
+#: some after it have a lower case outside.
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0239"
 #: Texts of such letters, ASCII and common punctuation; without apostrophes, which join letters to contractions.
-_PLAIN = re.compile("[\x00-\x1b !-&(-~\u00a1\u00ab\u00bb\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PLAIN = re.compile("[\x00-\x1b !-&(-~\u00a1\u00ab\u00bb\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0239"
                     "\u2013\u2014\u201c-\u201e\u2026]*")
 #: Plain texts whose only punctuation is the full stop and the comma.
 _PROSE = re.compile(f"[A-Z\u00c0-\u00d6\u00d8-\u00de{_LETTERS} \n.,]*")
 _RUNS = re.compile(f"[{_LETTERS}]+|[^ \n\t\r{_LETTERS}]+")
 
 
-def _separated(text: str) -> str:
+def _separated(text: str, added: tuple[str, ...]) -> str:
     """The same tokens in a form with fewer distinct words: lower case, stops and commas set apart.
 
-    Lower case only for plain texts; stops and commas only in prose where each
-    stands before white space, so none touches another punctuation mark.
+    Lower case only for plain texts without any of the ``added`` tokens, which
+    the library looks for in the text as it stands; stops and commas only in
+    prose where each stands before white space, so none touches another
+    punctuation mark.
     """
-    if _PROSE.fullmatch(text):
-        text = text.lower()
-        count = text.count
-        if count(".") + count(",") == (count(". ") + count(", ") + count(".\n") + count(",\n") + (text[-1:] in (".", ","))):
-            return text.replace(".", " .").replace(",", " ,")
+    prose = _PROSE.fullmatch(text)
+    if not prose and not _PLAIN.fullmatch(text):
         return text
-    return text.lower() if _PLAIN.fullmatch(text) else text
+    low = text.lower()
+    if any(x in low for x in added):
+        return text
+    if prose:
+        count = low.count
+        if count(".") + count(",") == (count(". ") + count(", ") + count(".\n") + count(",\n") + (low[-1:] in (".", ","))):
+            return low.replace(".", " .").replace(",", " ,")
+    return low
 
 
 class CachedTokenizer:
@@ -86,7 +93,7 @@ class CachedTokenizer:
 
     White space separates, and so does every border between a letter and what
     is none, apostrophes aside: no match of the pattern goes across.  Texts are
-    split at white space (plain ones lower-cased before, as the tokenizer does,
+    split at white space (plain ones without added tokens lower-cased before, as the tokenizer does,
     and in prose with stops and commas set apart); a word seen for the first time is cut into runs of letters and runs of
     other characters, if it is plain, and the runs not seen before go to the
     library.  About ``cache_words`` are kept.
@@ -100,6 +107,8 @@ class CachedTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        #: contents of the added tokens, in lower case
+        self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.cache_words, self.joined = cache_words, joined
         self._clear()
 
@@ -125,14 +134,16 @@ class CachedTokenizer:
         """Put new words, as they stand between white space, into the cache."""
         cache, cut, words, others = self.cache, [], set(), set()
         for w in new:
-            if w.isascii() and w.isalpha():
-                low = w.lower()
+            low = w.lower()
+            if any(x in low for x in self.added):
+                others.add(w)
+            elif w.isascii() and w.isalpha():
                 if low not in cache:
                     words.add(low)
                 if low != w:
                     cut.append((w, (low,)))
-            elif _PLAIN.fullmatch(w) and "<|" not in w:
-                runs = _RUNS.findall(w.lower())
+            elif _PLAIN.fullmatch(w):
+                runs = _RUNS.findall(low)
                 for run in runs:
                     if run not in cache:
                         (words if run[0].isalpha() else others).add(run)
@@ -152,7 +163,7 @@ class CachedTokenizer:
         """
         if not texts:
             return []
-        split = pc.ascii_split_whitespace(pa.array(list(map(_separated, texts)), pa.large_string()))
+        split = pc.ascii_split_whitespace(pa.array([_separated(t, self.added) for t in texts], pa.large_string()))
         coded = split.flatten().dictionary_encode()
         if len(self.words) > self.cache_words:
             self._clear()
