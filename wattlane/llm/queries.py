@@ -195,3 +195,39 @@ c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY vec_id),
 n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT c.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept
 FROM c LEFT JOIN n ON n.a = c.vec_id"""
+
+
+@query("op11_prefix_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations rebuilt with shared heads: every node of their prefix trie."""
+    from wattlane.llm.prefix_trie import number_turns, prefix_trie, share_heads
+    return prefix_trie(*share_heads(*number_turns(table(spark, sf_dir, "conversations"))))
+
+
+ORACLE["op11_prefix_trie"] = r"""
+WITH tab AS (
+    SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(list_prepend(n, range(8)),
+        lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS n))),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+          md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+      FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_prepend(4294967295,
+          list_transform(regexp_extract_all(hex(encode(CAST(conv_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+          lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) % 4 AS h FROM (SELECT DISTINCT conv_id FROM t), tab),
+rb AS (SELECT c.conv_id, 0 AS part, t.i, role, text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h
+       UNION ALL SELECT c.conv_id, 1, t.i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+p AS (SELECT conv_id, row_number() OVER w AS d, text, string_agg(md5(octet_length(encode(role)) || ':' || role || text), '') OVER w AS k
+      FROM rb WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
+m AS (SELECT conv_id, 0 AS d, '' AS k, NULL AS up, '' AS text FROM c
+      UNION ALL SELECT conv_id, d, k, left(k, CAST(32 * (d - 1) AS INTEGER)), text FROM p),
+l AS (SELECT conv_id, max(d) AS n FROM m GROUP BY conv_id),
+node AS (SELECT k, max(d) AS depth, max(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
+                (count(*) - 1) * len(regexp_extract_all(max(text), '[^ 	-]+')) AS own,
+                sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = n), '')) AS ends_sha256
+         FROM m JOIN l USING (conv_id) GROUP BY k),
+kids AS (SELECT up, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up),
+sub AS (SELECT a.k, sum(b.own) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves
+        FROM node a JOIN node b ON starts_with(b.k, a.k) LEFT JOIN kids ON kids.up = b.k GROUP BY a.k)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, par.conv_id AS parent_conv_id, CAST(node.n_convs AS BIGINT) AS n_convs,
+       CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.ends_sha256
+FROM node JOIN sub USING (k) LEFT JOIN kids ON kids.up = node.k LEFT JOIN node par ON par.k = node.up"""
