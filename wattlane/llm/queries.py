@@ -222,7 +222,8 @@ m AS (SELECT conv_id, 0 AS d, '' AS k, NULL AS up, '' AS text FROM c
       UNION ALL SELECT conv_id, d, k, left(k, CAST(32 * (d - 1) AS INTEGER)), text FROM p),
 l AS (SELECT conv_id, max(d) AS n FROM m GROUP BY conv_id),
 node AS (SELECT k, max(d) AS depth, max(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs,
-                (count(*) - 1) * len(regexp_extract_all(max(text), '[^ 	-]+')) AS own,
+                (count(*) - 1) * len(regexp_extract_all(max(text), '[^ 	-
+]+')) AS own,
                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = n), '')) AS ends_sha256
          FROM m JOIN l USING (conv_id) GROUP BY k),
 kids AS (SELECT up, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up),
@@ -231,3 +232,22 @@ sub AS (SELECT a.k, sum(b.own) AS saved, count(*) FILTER (WHERE kids.n IS NULL)
 SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, par.conv_id AS parent_conv_id, CAST(node.n_convs AS BIGINT) AS n_convs,
        CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.ends_sha256
 FROM node JOIN sub USING (k) LEFT JOIN kids ON kids.up = node.k LEFT JOIN node par ON par.k = node.up"""
+
+
+@query("op13_warc")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages written as archives and read back; repeated payloads are revisits."""
+    from wattlane.llm.warc import chunk_records, read_archives, write_archives
+    files = write_archives(chunk_records(table(spark, sf_dir, "pages")))
+    return read_archives(files, with_data=False).where("last").select(
+        F.col("id").alias("page_id"), F.col("upto").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+ORACLE["op13_warc"] = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          CAST((CAST('0x' || substr(hex || '000', CAST((i * 5) // 4 + 1 AS INTEGER), 3) AS BIGINT) >> (7 - (i * 5) % 4)) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+          row_number() OVER (PARTITION BY hex, payload_bytes ORDER BY page_id DESC NULLS LAST) AS n,
+          max(page_id) OVER (PARTITION BY hex, payload_bytes) AS top FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN top END AS refers_to FROM b"""
