@@ -251,3 +251,10 @@ b AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCD
           max(page_id) OVER (PARTITION BY hex, payload_bytes) AS top FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN top END AS refers_to FROM b"""
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings on their first 8 principal components, whitened."""
+    from wattlane.llm.whitening import whiten
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
