@@ -69,10 +69,11 @@ def chunk_records(df: DataFrame, id_col: str = "page_id", payload_col: str = "ht
     spark = df.sparkSession
     ship_package(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
-                     F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
+                     F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload")).withColumn(
+                         "rid", F.monotonically_increasing_id())
     n = F.greatest(F.ceil(F.octet_length("payload") / F.lit(chunk_bytes)), F.lit(1)).cast("int")
     cut = F.transform(steps(0, n - 1), lambda i: F.substring(F.col("payload"), i * F.lit(chunk_bytes) + 1, F.lit(chunk_bytes)))
-    chunks = rows.select(F.monotonically_increasing_id().alias("rid"), "id", "url", n.alias("n"), F.posexplode(cut).alias("chunk_no", "data"))
+    chunks = rows.select("rid", "id", "url", n.alias("n"), F.posexplode(cut).alias("chunk_no", "data"))
     chunks = chunks.select("rid", "id", "url", "chunk_no", (F.col("chunk_no") == F.col("n") - 1).alias("last"), "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
