@@ -1,7 +1,7 @@
 """Operator 3: token counts of whole texts, huge ones by overlap resynchronisation.
 
-A text of up to ``chunk_chars`` characters is encoded whole.  A longer one is
-encoded in chunks that overlap, each with the offsets of its tokens, and
+A text of up to ``chunk_chars`` characters is encoded whole, through the cache of
+words that the token files use, too.  A longer one is encoded in chunks that overlap, each with the offsets of its tokens, and
 spliced where both encodings provably agree:
 
 * *stable boundary*: a position after a white-space character, where white
@@ -24,8 +24,6 @@ A null text is an empty text and has no tokens.
 
 from __future__ import annotations
 
-import json
-import os
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -35,34 +33,23 @@ from pyspark.sql import functions as F
 
 from wattlane.llm.common import text_or_empty
 from wattlane.llm.piece_codec import slices
+from wattlane.llm.word_cache import SPACES as _SPACES
+from wattlane.llm.word_cache import CachedTokenizer
 from wattlane.session import ship_package
 
-_SPACES = " \n\t\r"
-
-
 class ResyncTokenizer:
     """A ``tokenizers`` file whose white space separates; no begin, end or added special tokens."""
 
     def __init__(self, path: str, chunk_chars: int = 60_000, overlap: int = 200):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        spec = json.load(open(path, encoding="utf-8"))
-        split = [s for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-                 if s.get("type") == "Split" and s.get("invert") and s.get("behavior") == "Removed"]
-        if not split or any(set(t["content"]) & set(_SPACES) or t["lstrip"] or t["rstrip"]
-                            for t in spec["added_tokens"]):
-            raise ValueError("white space is no stable boundary for this tokenizer")
+        self.words = CachedTokenizer(path)
+        self.tokenizer = self.words.tokenizer
         self.chunk_chars, self.overlap = chunk_chars, overlap
 
     def count_many(self, texts: list[str]) -> list[int]:
         counts = [0] * len(texts)
         small = [i for i, t in enumerate(texts) if len(t) <= self.chunk_chars]
-        for i, e in zip(small, self.tokenizer.encode_batch_fast([texts[i] for i in small], add_special_tokens=False)):
-            counts[i] = len(e)
+        for i, ids in zip(small, self.words.encode([texts[i] for i in small])):
+            counts[i] = len(ids)
         for i, t in enumerate(texts):
             if len(t) > self.chunk_chars:
                 counts[i] = self.count_long(t)
@@ -133,7 +120,7 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = 2048, id_col
         if key not in _TOKENIZERS:
             _TOKENIZERS[key] = ResyncTokenizer(*key)
         for batch in batches:
-            for a, b, texts in slices((x.as_py() for x in batch.column("text")), 500_000):
+            for a, b, texts in slices((x.as_py() for x in batch.column("text")), 4_000_000):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(a, b - a), pa.array([len(t.encode()) for t in texts], pa.int64()),
                      pa.array(_TOKENIZERS[key].count_many(texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
