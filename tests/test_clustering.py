@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from wattlane.operators.numbering import global_index
 from wattlane.operators.silhouette import SCORE, silhouette_samples, silhouette_score
-from wattlane.operators.ward import kmeans_labels, ward
+from wattlane.operators.components import components
+from wattlane.operators.ward import chain_merges, kmeans_labels, spanning_forest, ward
 
 
 def _blobs(spark, n=90, seed=4):
@@ -61,6 +62,63 @@ def test_ward_equals_greedy_merging(spark, parts, pairs):
         assert labels[k] == {r[0]: number[leaf[tuple(r[1:])]] for r in rows[:-1]}
 
 
+def _points(seed, n=60, d=6):
+    rng = np.random.default_rng(seed)
+    return np.concatenate([rng.normal(size=(n // 2, d)), rng.normal(size=(n - n // 2, d)) * 0.01 + 3])
+
+
+@pytest.mark.parametrize("radius", [0.02, 1.0, 2.5, np.inf])
+def test_chain_merges_are_the_greedy_ones_up_to_the_radius(radius):
+    """Merges up to a radius first, the rest later: the same tree as greedy merging."""
+    x = _points(3)
+    w = np.random.default_rng(3).integers(1, 5, len(x)).astype(float)
+    greedy, _ = _greedy(x, w)
+    a, b = x.copy(), w.copy()
+    first = chain_merges(a, b, radius)
+    assert max((c for _, _, c, _ in first), default=0) <= radius
+    left = np.setdiff1d(np.arange(len(x)), [j for _, j, _, _ in first])
+    rest = chain_merges(a[left], b[left], np.inf)
+    got = sorted((round(c, 9), s) for _, _, c, s in first + rest)
+    assert got == sorted((round(h, 9), s) for _, _, h, s in greedy)
+
+
+def test_forest_keeps_components_at_every_radius():
+    x, w = _points(4), np.ones(60)
+    home = np.arange(60) % 3 > 0
+    cost = np.array([[np.sqrt(((p - q) ** 2).sum()) for q in x] for p in x])
+    edges = spanning_forest(x, w, home, None, 3.0)
+    for r in (0.01, 0.05, 1.0, 2.0, 3.0):
+        def label(links):
+            at = list(range(60))
+            for i, j in links:
+                a, b = at[i], at[j]
+                at = [min(a, b) if v in (a, b) else v for v in at]
+            return at
+        assert label([(i, j) for i, j, c in edges if c <= r]) == label(
+            [(i, j) for i in range(60) for j in range(i) if cost[i, j] <= r and (home[i] or home[j])])
+
+
+def test_ward_in_rounds_equals_one_task(spark):
+    """More clusters than a task takes: components, large ones taken apart, blocks of a cell."""
+    rows = [(i, *map(float, v)) for i, v in enumerate(_points(5, 70))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double, e double, f double")
+    got = []
+    for limits in ({}, {"task_clusters": 30, "pairs_per_cluster": 40, "block": 16}):
+        res = ward(df, list("abcdef"), [3], keys=["id"], **limits)
+        got.append(([(r.left_node, r.right_node, r.size, round(r.height, 9)) for r in res.merges.orderBy("merge_id").collect()],
+                    sorted(map(tuple, res.labels[3].collect()))))
+    assert got[0] == got[1] and len(got[0][0]) == 69
+
+
+def test_components_of_a_star(spark):
+    """A node with nearly all edges, a path and a loop."""
+    star = spark.range(1, 20_001).selectExpr("id as a", "0L as b").union(spark.createDataFrame(
+        [(30_000 + i, 30_001 + i) for i in range(40)] + [(7, 7), (25_000, 20_000)], "a long, b long"))
+    got = components(star)
+    assert got.groupBy("component").count().orderBy("component").collect() == [(0, 20_002), (30_000, 41)]
+    assert components(star.limit(0)).count() == 0
+
+
 def test_ward_of_few_rows(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 2.0)], "id long, a double")
     res = ward(df, ["a"], [3], keys=["id"])

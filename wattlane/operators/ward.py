@@ -1,24 +1,33 @@
-"""Ward agglomerative clustering as rounds of DataFrame jobs.
-
-Exact Ward at every size.  Identical vectors are one weighted leaf.  A round
-finds the nearest neighbour of every cluster and merges all pairs that are
-each other's; Ward's cost is reducible, so such pairs can be merged in any
-order and give the same tree as merging the cheapest pair one at a time.
-
-*Nearest neighbours.*  The cost of two clusters,
-``sqrt(2 |A| |B| / (|A| + |B|)) * ||c_A - c_B||``, is never below the distance of
-their centres (sizes are at least 1).  So all pairs with cost <= r lie in
-neighbouring cells of width r over a few columns of high variance: an
-equi-join on the cell, reduced to the least cost per cluster in the same
-stage - pairs are never written.  A cluster whose least cost is above r waits.
-Every round takes the largest r whose cells hold at most ``pairs_per_cluster``
-pairs per cluster, measured from the cell counts; if nothing merges, r doubles.
-The choice of r changes the work, never the tree.
-
-*Tree.*  A round's clusters are one table in the shared checkpoint folder; new
-ones carry the two they were made of.  Merges are numbered by height over a
-range partitioning; nodes ``0..m-1`` are leaves (in order of their vectors),
-node ``m + i`` is merge ``i``.
+"""Ward agglomerative clustering by certified components.
+
+Exact Ward at every size.  Identical vectors are one weighted leaf.  The cost of
+two clusters is ``sqrt(2 |A| |B| / (|A| + |B|)) * ||c_A - c_B||``.
+
+*Certified components.*  Ward's cost is reducible: merging two clusters brings
+the result no nearer to a third one than the nearer of the two was.  So every
+merge of cost <= r happens inside one connected component of the graph of
+cluster pairs with cost <= r, and components can be merged independently, each
+by a nearest-neighbour chain up to r in a task of its own.  When at most
+``task_clusters`` clusters are left, they are one component and the tree is
+finished in one task of bounded size.
+
+*Rounds.*  With more clusters left a round takes a radius r and finds the graph:
+the cost is never below the distance of the centres, so pairs with cost <= r lie
+in neighbouring cells of width r over a few columns of high variance.  A cell is
+cut into blocks; a pair of blocks is a group of bounded size that emits a minimum
+spanning forest of its pairs, never the pairs.  The forests together hold the
+components at r and at every smaller radius.  A component of more than
+``task_clusters`` clusters is taken apart at the median cost of its nearest
+neighbours; what is too large even then merges its mutual nearest neighbours,
+which the forests hold, too.  r is the
+largest whose cells hold ``pairs_per_cluster`` pairs per cluster, at least twice
+the last one where that one is finished.  Beyond the widest column cells select
+nothing: all pairs of blocks are looked at, and r is twice the median cost of a
+nearest neighbour.  The choices change the work, never the tree.
+
+*Tree.*  A cluster is known by (least leaf, number of leaves).  Merges are
+numbered by height over a range partitioning; nodes ``0..m-1`` are leaves (in
+order of their vectors), node ``m + i`` is merge ``i``.
 
 *Labels.*  The tree is cut at the largest k asked for by pointer jumping over
 the merges below the cut; smaller k join those clusters by the merges above it
@@ -31,12 +40,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattlane.operators.components import components
 from wattlane.operators.numbering import global_index
-from wattlane.session import scratch_table_path, written_table
+from wattlane.session import ship_package, written_table
 
 
 def _table(df: DataFrame) -> DataFrame:
@@ -46,6 +59,13 @@ def _table(df: DataFrame) -> DataFrame:
 CELL_COLUMNS = 3
 #: Radii tried per round: the widest range halved so many times.
 RADII = 24
+#: Clusters of a block.
+BLOCK = 512
+#: A merge is certified up to this share of the radius; the rest is room for rounding.
+CERTAIN = 1 - 1e-9
+
+_STATE = "rep long, n long, w double, h double, x array<double>"
+_TASK_ROWS = _STATE + ", lrep long, ln long, rrep long, rn long"
 
 
 @dataclass
@@ -59,105 +79,240 @@ class WardResult:
         return self.merges.orderBy(F.col("height").desc(), F.col("merge_id").desc()).limit(max(p - 1, 0))
 
 
-def _cell(cols: Sequence[str], radius: Column | float) -> list[Column]:
-    return [F.floor(F.col(c) / F.lit(radius)).cast("long") for c in cols]
+# ---------------------------------------------------------------------- inside a task
+
+def _squares(x: np.ndarray, w: np.ndarray, i: int) -> np.ndarray:
+    """Squared costs of cluster ``i`` and every other."""
+    d = x - x[i]
+    return 2 * w[i] * w / (w[i] + w) * np.einsum("ij,ij->i", d, d)
+
+
+def chain_merges(x: np.ndarray, w: np.ndarray, radius: float) -> list[tuple[int, int, float, float]]:
+    """All merges of cost <= radius, by a nearest-neighbour chain: (kept slot, merged slot, cost, weight).
+
+    ``x`` and ``w`` are changed: a kept slot holds the merged cluster.  A search
+    looks at approximate costs of all clusters first, then exactly at those that
+    may be least; ties go to the chain's last but one, then to the lowest slot.
+    """
+    centred = x - x.mean(axis=0)
+    norms = np.einsum("ij,ij->i", centred, centred)
+    open_ = np.ones(len(x), bool)       # neither merged into another slot nor without a neighbour in reach
+    live = np.arange(len(x))
+    merges, chain, start = [], [], 0
+    while True:
+        if not chain:
+            while start < len(x) and not open_[start]:
+                start += 1
+            if start == len(x):
+                return merges
+            chain = [start]
+        i = chain[-1]
+        if open_.sum() < len(live) / 2:
+            live = np.flatnonzero(open_)
+        weight = 2 * w[i] * w[live] / (w[i] + w[live])
+        about = weight * (norms[live] + norms[i] - 2 * (centred[live] @ centred[i]))
+        about[~open_[live] | (live == i)] = np.inf
+        least = about.min(initial=np.inf)
+        j = -1
+        if np.isfinite(least):
+            slack = 1e-13 * (len(x[0]) + 8) * weight * (norms[live] + norms[i])
+            near = live[about - slack <= least + slack.max()]
+            d = x[near] - x[i]
+            exact = 2 * w[i] * w[near] / (w[i] + w[near]) * np.einsum("ij,ij->i", d, d)
+            at = exact == exact.min()
+            j = chain[-2] if len(chain) > 1 and chain[-2] in near[at] else int(near[at].min())
+            cost = float(np.sqrt(exact.min()))
+        if j < 0 or cost > radius:
+            open_[chain.pop()] = False  # its neighbours only move away
+        elif len(chain) > 1 and j == chain[-2]:
+            del chain[-2:]
+            a, b = min(i, j), max(i, j)
+            for v in (x, centred):
+                v[a] = (w[a] * v[a] + w[b] * v[b]) / (w[a] + w[b])
+            w[a] += w[b]
+            norms[a] = centred[a] @ centred[a]
+            open_[b] = False
+            merges.append((a, b, cost, float(w[a])))
+        else:
+            chain.append(j)
+
+
+def spanning_forest(x: np.ndarray, w: np.ndarray, home: np.ndarray, right: np.ndarray | None, radius: float) -> list[tuple[int, int, float]]:
+    """Minimum spanning forest (i, j, cost) of the pairs with cost <= radius of which one is at ``home``.
+
+    With ``right`` only pairs of a right and a left one count.
+    """
+    best, source, todo = np.full(len(w), np.inf), np.zeros(len(w), int), np.ones(len(w), bool)
+    edges = []
+    for _ in range(len(w)):
+        cost = np.where(todo, best, np.inf)
+        i = int(cost.argmin())
+        if np.isfinite(cost[i]):
+            edges.append((int(source[i]), i, float(cost[i])))
+        else:
+            i = int(todo.argmax())
+        todo[i] = False
+        cost = np.sqrt(_squares(x, w, i))
+        nearer = todo & (home | home[i]) & (cost <= radius) & (cost < best)
+        if right is not None:
+            nearer &= right != right[i]
+        best[nearer], source[nearer] = cost[nearer], i
+    return edges
+
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1).copy()
 
-def _radius(state: DataFrame, cols: Sequence[str], widest: float, clusters: int, budget: int) -> float | None:
+
+def _run_component(table: pa.Table) -> pa.Table:
+    """Merges and remaining clusters of one component; ``radius`` is the same in all its rows."""
+    table = table.sort_by("rep")
+    x, w = _vectors(table.column("x")), table.column("w").to_numpy().copy()
+    rep, n, h = (table.column(c).to_numpy().copy() for c in ("rep", "n", "h"))
+    rows, gone = [], np.zeros(len(rep), bool)
+    for a, b, cost, weight in chain_merges(x, w, table.column("radius")[0].as_py()):
+        parts = sorted([(int(rep[a]), int(n[a])), (int(rep[b]), int(n[b]))])
+        rep[a], n[a], h[a], gone[b] = min(rep[a], rep[b]), n[a] + n[b], max(cost, h[a], h[b]), True
+        rows.append((int(rep[a]), int(n[a]), weight, float(h[a]), None, *parts[0], *parts[1]))
+    rows += [(int(rep[i]), int(n[i]), float(w[i]), float(h[i]), x[i].tolist(), None, None, None, None) for i in np.flatnonzero(~gone)]
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64()), *[pa.int64()] * 4]
+    names = [c.split()[0] for c in _TASK_ROWS.split(", ")]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+
+# ---------------------------------------------------------------------- one round
+
+def _cell(dims: Sequence[int], radius: Column | float) -> list[Column]:
+    return [F.floor(F.col("x")[i] / F.lit(radius)).cast("long") for i in dims]
+
+
+def _radius(state: DataFrame, dims: Sequence[int], widest: float, clusters: int, budget: int) -> float | None:
     """The largest radius whose cells hold at most ``budget`` pairs per cluster; None: any."""
     if clusters <= budget or not widest > 0:
         return None
     levels = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.lit(widest / 2 ** i).alias("r")) for i in range(RADII)]))
-    cells = state.select(*cols, levels.alias("l")).select("l.level", F.struct(*_cell(cols, F.col("l.r"))).alias("cell"))
+    cells = state.select("x", levels.alias("l")).select("l.level", F.struct(*_cell(dims, F.col("l.r"))).alias("cell"))
     per_level = (cells.groupBy("level", "cell").agg(F.count(F.lit(1)).cast("double").alias("n"))
                  .groupBy("level").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
-                 .where(F.col("pairs") * 3 ** len(cols) <= float(budget) * clusters).agg(F.min("level")).first()[0])
+                 .where(F.col("pairs") * 3 ** len(dims) <= float(budget) * clusters).agg(F.min("level")).first()[0])
     return widest / 2 ** (RADII - 1 if per_level is None else per_level)
 
 
-def _nearest(state: DataFrame, centre: Sequence[str], cell_cols: Sequence[str], radius: float | None,
-             blocks: int = 8) -> DataFrame:
-    """Per cluster ``rep`` its least (cost, lo, hi) with cost <= radius."""
-    side = lambda p: state.select(F.col("rep").alias(f"{p}rep"), F.col("size").alias(f"{p}size"),
-                                  *[F.col(c).alias(f"{p}{c}") for c in dict.fromkeys([*centre, *cell_cols])])
-    a, b = side("a"), side("b")
-    if radius is None:      # all clusters are neighbours: blocks of rows against all rows
-        a = a.withColumn("cell", F.pmod(F.xxhash64("arep"), F.lit(blocks)))
-        b = b.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    else:
-        around = [F.array(c - 1, c, c + 1) for c in _cell([f"a{c}" for c in cell_cols], radius)]
-        a = reduce(lambda df, i: df.withColumn(f"k{i}", F.explode(around[i])), range(len(around)), a)
-        a = a.withColumn("cell", F.struct(*[F.col(f"k{i}") for i in range(len(around))])).drop(*[f"k{i}" for i in range(len(around))])
-        b = b.withColumn("cell", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(_cell([f"b{c}" for c in cell_cols], radius))]))
-    squares = reduce(lambda x, y: x + y, [(F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in centre])
-    cost = F.sqrt(F.lit(2.0) * F.col("asize") * F.col("bsize") / (F.col("asize") + F.col("bsize")) * squares)
-    pairs = a.join(b, "cell").where("arep <> brep").select(
-        F.col("arep").alias("rep"), cost.alias("cost"), F.least("arep", "brep").alias("lo"), F.greatest("arep", "brep").alias("hi"))
-    if radius is not None:
-        pairs = pairs.where(F.col("cost") <= F.lit(radius))
-    return pairs.groupBy("rep").agg(F.min(F.struct("cost", "lo", "hi")).alias("best"))
-
-
-def _merge_round(state: DataFrame, nearest: DataFrame, centre: Sequence[str], made: int) -> DataFrame:
-    """The clusters after merging all mutual nearest neighbours."""
-    mutual = nearest.groupBy("best").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(
-        F.col("best.lo").alias("lo"), F.col("best.cost").alias("cost"),
-        F.explode(F.array("best.lo", "best.hi")).alias("mrep"))
-    joined = state.join(mutual, F.col("rep") == F.col("mrep"), "left").withColumn("grp", F.coalesce("lo", "rep"))
-    alone = F.count(F.lit(1)) == 1
-    part = F.struct("rep", "made")
-    return joined.groupBy("grp").agg(
-        F.when(alone, F.max("made")).otherwise(F.lit(made)).alias("made"),
-        F.sum("size").alias("total"), F.greatest(F.max("h"), F.max("cost")).alias("h"),
-        F.when(alone, F.max("left")).otherwise(F.min(part)).alias("left"),
-        F.when(alone, F.max("right")).otherwise(F.max(part)).alias("right"),
-        *[F.when(alone, F.max(c)).otherwise(F.sum(F.col(c) * F.col("size")) / F.sum("size")).alias(c) for c in centre],
-    ).withColumnsRenamed({"grp": "rep", "total": "size"})
-
-
-def _agglomerate(leaves: DataFrame, centre: Sequence[str], m: int, budget: int) -> DataFrame | None:
-    """All merges: (rep, made, h, size, left, right); None for fewer than two leaves."""
-    none = F.lit(None).cast("struct<rep:long,made:int>")
-    state = _table(leaves.select(F.col("leaf").alias("rep"), F.lit(0).alias("made"), F.col("w").cast("double").alias("size"),
-                                      F.lit(0.0).alias("h"), none.alias("left"), none.alias("right"), *centre))
-    spread = state.agg(*[F.coalesce(F.var_pop(c), F.lit(0.0)).alias(c) for c in centre]).first()
-    cell_cols = sorted(centre, key=lambda c: -spread[c])[:CELL_COLUMNS]
-    widest = max(state.agg(*[(F.max(c) - F.min(c)).alias(c) for c in cell_cols]).first() or [0.0]) if m > 1 else 0.0
-    rounds, left, made, floor = [], m, 0, 0.0
-    while left > 1:
-        made += 1
-        radius = _radius(state, cell_cols, widest, left, budget)
-        if radius is not None and radius < floor:
-            radius = floor if floor <= 2 * widest * len(centre) else None
-        path = scratch_table_path(leaves.sparkSession, "ward-round")
-        _merge_round(state, _nearest(state, centre, cell_cols, radius), centre, made).write.parquet(path)
-        after = leaves.sparkSession.read.schema(state.schema).parquet(path)
-        n = after.where(F.col("made") == made).count()
-        if n:
-            rounds.append(path)
-            state, left, floor = after, left - n, 0.0
+def _forests(state: DataFrame, dims: Sequence[int], radius: float | None, block: int) -> DataFrame:
+    """Edges (a, b, cost) of spanning forests that together hold a minimum spanning forest of all pairs with cost <= radius."""
+    if radius is None:
+        cells = F.array(F.struct(F.array(F.lit(0).cast("long")).alias("cell"), F.lit(True).alias("home")))
+    else:                               # the own cell and the half of its neighbours that comes after it
+        own, none = _cell(dims, radius), (0,) * len(dims)
+        cells = F.array(*[F.struct(F.array(*[c + o for c, o in zip(own, off)]).alias("cell"), F.lit(off == none).alias("home"))
+                          for off in product((-1, 0, 1), repeat=len(dims)) if off >= none])
+    entries = _table(state.select("rep", F.explode(cells).alias("e")).select("rep", "e.cell", "e.home"))
+    sizes = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("lived")).where("m > 1 and lived")
+    sizes = sizes.select("cell", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    placed = (entries.join(sizes, "cell").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+              .select("cell", "rep", "home", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+              .select("cell", "rep", "home", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
+                      (F.col("mine") > F.col("other")).alias("right")))
+    reach = float("inf") if radius is None else radius
+
+    def search(table: pa.Table) -> pa.Table:
+        rep = table.column("rep").to_numpy()
+        home, right = (table.column(c).to_numpy() for c in ("home", "right"))
+        apart = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        found = spanning_forest(_vectors(table.column("x")), table.column("w").to_numpy(), home, right if apart else None, reach)
+        i, j, cost = (np.array(v) for v in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        return pa.table({"a": pa.array(rep[i], pa.int64()), "b": pa.array(rep[j], pa.int64()), "cost": pa.array(cost, pa.float64())})
+
+    return (placed.join(state.select("rep", "w", "x"), "rep").groupBy("cell", "lo", "hi")
+            .applyInArrow(search, "a long, b long, cost double"))
+
+
+def _mutual(edges: DataFrame) -> DataFrame:
+    """(rep, comp, radius) of pairs that are each other's nearest neighbour."""
+    pair = F.struct("cost", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    nearest = edges.select(F.explode(F.array("a", "b")).alias("rep"), pair.alias("pair")).groupBy("rep").agg(F.min("pair").alias("pair"))
+    both = nearest.groupBy("pair").agg(F.count(F.lit(1)).alias("both")).where("both = 2")
+    return both.select(F.explode(F.array("pair.lo", "pair.hi")).alias("rep"), F.col("pair.lo").alias("comp"),
+                       F.lit(float("inf")).alias("radius"))
+
+
+def _median_nearest(edges: DataFrame) -> float:
+    """Median over the clusters of the cost of their nearest neighbour."""
+    nearest = edges.select(F.explode(F.array("a", "b")).alias("rep"), "cost").groupBy("rep").agg(F.min("cost").alias("cost"))
+    return nearest.agg(F.percentile_approx("cost", 0.5)).first()[0]
+
+
+def _assigned(edges: DataFrame, radius: float, most: int) -> tuple[DataFrame, bool]:
+    """Clusters with the component to run and its certified radius; whether some components were too large at ``radius``."""
+    parts: list[DataFrame] = []
+    for last in (False, True):
+        comp = _table(components(edges.where(F.col("cost") <= radius).select("a", "b"), "ward-components"))
+        sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        parts.append(comp.join(sizes.where(F.col("size") <= most), "component").select(
+            F.col("node").alias("rep"), F.col("component").alias("comp"), F.lit(radius * CERTAIN).alias("radius")))
+        large = _table(comp.join(sizes.where(F.col("size") > most), "component").select("node"))
+        if not large.limit(1).count():
+            break
+        inside = edges.where(F.col("cost") <= radius).join(large, F.col("a") == F.col("node"), "left_semi")
+        edges = _table(inside)          # both ends of such an edge are in one component
+        if last:
+            parts.append(_mutual(edges))
         else:
-            floor = 2 * radius
-    if not rounds:
+            radius = _median_nearest(edges)
+    return reduce(DataFrame.union, parts), len(parts) > 1
+
+
+# ---------------------------------------------------------------------- the tree
+
+def _agglomerate(leaves: DataFrame, m: int, budget: int, most: int, block: int) -> DataFrame | None:
+    """All merges: (rep, n, w, h, lrep, ln, rrep, rn); None for fewer than two leaves."""
+    if m < 2:
         return None
-    # a cluster stands in the tables from its round until it is merged
-    every = leaves.sparkSession.read.schema(state.schema).parquet(*rounds).where("made > 0")
-    return every.dropDuplicates(["rep", "made"]).select("rep", "made", "h", "size", "left", "right")
+    ship_package(leaves.sparkSession)
+    state = leaves.select(F.col("leaf").alias("rep"), F.lit(1).cast("long").alias("n"), F.col("w").cast("double").alias("w"), F.lit(0.0).alias("h"), "x")
+    dims, widest, left, floor, done = [], 0.0, m, 0.0, []
+    if left > most:
+        spread = state.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(
+            F.var_pop("v").alias("var"), (F.max("v") - F.min("v")).alias("range")).orderBy(F.desc("var"), "i").limit(CELL_COLUMNS).collect()
+        dims, widest = [r.i for r in spread], max(r.range for r in spread)
+    while left > 1:
+        if left <= most:
+            todo = state.withColumns({"comp": F.lit(0), "radius": F.lit(float("inf"))})
+            waiting = None
+        else:
+            radius = _radius(state, dims, widest, left, budget)
+            if radius is not None:
+                radius = max(radius, floor) if max(radius, floor) <= 2 * widest else None
+            edges = _table(_forests(state, dims, radius, block))
+            reach = 2 * _median_nearest(edges) if radius is None else radius
+            if not edges.where(F.col("cost") <= reach).limit(1).count():
+                floor = 2 * reach
+                continue
+            tasks, crowded = _assigned(edges, reach, most)
+            tasks = _table(tasks)
+            todo = state.join(tasks, "rep")
+            waiting = state.join(tasks.select("rep"), "rep", "left_anti")
+            floor = 0.0 if crowded else 2 * reach
+        ran = _table(todo.groupBy("comp").applyInArrow(_run_component, _TASK_ROWS))
+        merged = ran.where("lrep is not null").drop("x")
+        done.append(merged)
+        left -= merged.count()
+        after = ran.where("lrep is null").select("rep", "n", "w", "h", "x")
+        state = after if waiting is None else _table(after.unionByName(waiting.select("rep", "n", "w", "h", "x")))
+    return reduce(DataFrame.union, done)
 
 
 def _merge_table(merges: DataFrame | None, spark, m: int) -> DataFrame:
     if merges is None:
         return spark.createDataFrame([], "merge_id long, left_node long, right_node long, height double, size long")
-    numbered = _table(global_index(merges, ["h", "made", "rep"], out="merge_id"))
-    ids = numbered.select(F.col("rep").alias("nrep"), F.col("made").alias("nmade"), (F.col("merge_id") + m).alias("node"))
+    numbered = _table(global_index(merges, ["h", "n", "rep"], out="merge_id"))
     out = numbered
-    for side in ("left", "right"):
-        part = ids.select(F.col("nrep").alias(f"{side}_rep"), F.col("nmade").alias(f"{side}_made"), F.col("node").alias(f"{side}_id"))
-        out = out.join(part, (F.col(f"{side}.rep") == F.col(f"{side}_rep")) & (F.col(f"{side}.made") == F.col(f"{side}_made")), "left")
-        out = out.withColumn(f"{side}_at", F.when(F.col(f"{side}.made") == 0, F.col(f"{side}.rep")).otherwise(F.col(f"{side}_id")))
-    return _table(out.select("merge_id", F.least("left_at", "right_at").alias("left_node"),
-                                  F.greatest("left_at", "right_at").alias("right_node"), F.col("h").alias("height"),
-                                  F.col("size").cast("long").alias("size")))
+    for side in ("l", "r"):
+        ids = numbered.select(F.col("rep").alias(f"{side}id"), F.col("n").alias(f"{side}size"), (F.col("merge_id") + m).alias(f"{side}made"))
+        out = out.join(ids, (F.col(f"{side}rep") == F.col(f"{side}id")) & (F.col(f"{side}n") == F.col(f"{side}size")), "left")
+        out = out.withColumn(f"{side}node", F.when(F.col(f"{side}n") == 1, F.col(f"{side}rep")).otherwise(F.col(f"{side}made")))
+    return _table(out.select("merge_id", F.least("lnode", "rnode").alias("left_node"), F.greatest("lnode", "rnode").alias("right_node"),
+                             F.col("h").alias("height"), F.col("w").cast("long").alias("size")))
 
 
 def _roots(merges: DataFrame, m: int, k: int) -> DataFrame:
@@ -192,19 +347,20 @@ def _cluster_numbers(tops: list, above: list, m: int, ks: Sequence[int]) -> list
 
 
 def ward(df: DataFrame, features: Sequence[str], ks: Sequence[int], keys: Sequence[str],
-         pairs_per_cluster: int = 2000) -> WardResult:
+         pairs_per_cluster: int = 2000, task_clusters: int = 4096, block: int = BLOCK) -> WardResult:
     """M5-M7: Ward clustering of the rows of ``df`` on ``features``.
 
     Returns labels per k for the rows (``keys`` + ``cluster``) and the merge
     table.  Rows with a missing feature get no label.  ``pairs_per_cluster``
-    bounds the work of a round; the result does not depend on it.
+    sets the radius of a round, ``task_clusters`` bounds the clusters of a task
+    and ``block`` those of a block; the result depends on none of them.
     """
     spark, keys = df.sparkSession, list(keys)
-    centre = [f"c{i}" for i in range(len(features))]
-    pts = df.select(*keys, *[F.col(f"`{f}`").cast("double").alias(c) for f, c in zip(features, centre)]).dropna(subset=centre)
-    leaves = _table(global_index(pts.groupBy(*centre).agg(F.count(F.lit(1)).alias("w")), centre, out="leaf"))
+    pts = df.select(*keys, F.array(*[F.col(f"`{f}`").cast("double") for f in features]).alias("x"))
+    pts = pts.where(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+    leaves = _table(global_index(pts.groupBy("x").agg(F.count(F.lit(1)).alias("w")), ["x"], out="leaf"))
     m = leaves.count()
-    merges = _merge_table(_agglomerate(leaves, centre, m, pairs_per_cluster), spark, m)
+    merges = _merge_table(_agglomerate(leaves, m, pairs_per_cluster, max(task_clusters, 2), block), spark, m)
 
     top_k = min(max(ks), m)
     tops = leaves.select("leaf", "w")
@@ -218,7 +374,7 @@ def ward(df: DataFrame, features: Sequence[str], ks: Sequence[int], keys: Sequen
     above = [tuple(r) for r in merges.where(F.col("merge_id") >= m - top_k).orderBy("merge_id")
              .select("merge_id", "left_node", "right_node").collect()]                             # top_k - 1 rows
     numbers = spark.createDataFrame(_cluster_numbers(small, above, m, ks), "k int, root long, cluster int")
-    assigned = _table(pts.join(leaves.select(*centre, "leaf"), centre).join(tops.select("leaf", "root"), "leaf")
+    assigned = _table(pts.join(leaves.select("x", "leaf"), "x").join(tops.select("leaf", "root"), "leaf")
                            .select(*keys, "root"))
     labels = {k: assigned.join(F.broadcast(numbers.where(F.col("k") == k).drop("k")), "root").select(*keys, "cluster")
               for k in ks}

@@ -581,3 +581,36 @@ per AS (SELECT s.k, s.id, max(CASE WHEN ca = cb THEN s / nullif(n - 1, 0) END) A
 SELECT CAST(k AS INTEGER) AS k, count(*) AS n,
        avg(CASE WHEN own <= 1 THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END) AS silhouette_sqeuclidean
 FROM per GROUP BY k"""
+
+
+# ------------------------------------------------------------------ Ward on wide vectors: costs of all pairs, updated merge by merge
+
+WARD_PAIRS = """
+    SELECT 0 AS step, a.leaf AS a, b.leaf AS b, 2.0 * a.w * b.w / (a.w + b.w) * list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d,
+           CAST(a.w AS DOUBLE) AS wa, CAST(b.w AS DOUBLE) AS wb, CAST(NULL AS BIGINT) AS l, CAST(NULL AS BIGINT) AS r, (SELECT count(*) FROM leaves) AS m
+    FROM leaves a JOIN leaves b ON a.leaf < b.leaf
+    UNION ALL
+    SELECT * FROM (
+        WITH cur AS (SELECT *, min({'d': d, 'a': a, 'b': b, 'wa': wa, 'wb': wb}) OVER () AS best FROM pairs WHERE l IS NULL),
+        side AS (SELECT step, m, best, d, CASE WHEN a IN (best.a, best.b) THEN b ELSE a END AS ka,
+                        CASE WHEN a IN (best.a, best.b) OR b IN (best.a, best.b) THEN m + step ELSE b END AS kb,
+                        CASE WHEN a IN (best.a, best.b) THEN wb ELSE wa END AS wka, wa, wb,
+                        a IN (best.a, best.b) OR b IN (best.a, best.b) AS met
+                 FROM cur WHERE NOT (a = best.a AND b = best.b))
+        SELECT any_value(step) + 1, ka, kb,
+               CASE WHEN any_value(met) THEN (sum((wa + wb) * d) - any_value(wka) * any_value(best.d)) / (any_value(best.wa) + any_value(best.wb) + any_value(wka))
+                    ELSE any_value(d) END,
+               any_value(wka), CASE WHEN any_value(met) THEN any_value(best.wa) + any_value(best.wb) ELSE any_value(wb) END,
+               CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), any_value(m) FROM side GROUP BY ka, kb
+        UNION ALL
+        SELECT any_value(step) + 1, any_value(m) + any_value(step), NULL, any_value(best.d), any_value(best.wa) + any_value(best.wb), NULL,
+               any_value(best.a), any_value(best.b), any_value(m) FROM cur HAVING count(*) > 0)"""
+ORACLE["ward_embeddings"] = f"""
+WITH RECURSIVE rows AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+leaves AS (SELECT v, count(*) AS w, row_number() OVER (ORDER BY v) - 1 AS leaf FROM rows GROUP BY v),
+pairs AS ({WARD_PAIRS}),
+up AS (SELECT a AS parent, unnest([l, r]) AS node FROM pairs WHERE l IS NOT NULL AND step <= m - 10),
+climb AS (SELECT leaf, leaf AS node FROM leaves UNION ALL SELECT climb.leaf, up.parent FROM climb JOIN up ON up.node = climb.node),
+top AS (SELECT leaf, max(node) AS root FROM climb GROUP BY leaf),
+num AS (SELECT root, row_number() OVER (ORDER BY sum(w) DESC, min(leaf)) - 1 AS cluster FROM top JOIN leaves USING (leaf) GROUP BY root)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster FROM rows JOIN leaves USING (v) JOIN top USING (leaf) JOIN num USING (root)"""
