@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wattlane.operators.numbering import global_index
-from wattlane.operators.silhouette import SCORE, silhouette_samples, silhouette_score
+from wattlane.operators.silhouette import EUCLIDEAN, SCORE, euclidean_silhouette, silhouette_samples, silhouette_score
 from wattlane.operators.components import components
 from wattlane.operators.ward import chain_merges, kmeans_labels, spanning_forest, ward
 
@@ -132,8 +132,8 @@ def test_global_index(spark):
     assert [r.no for r in got] == list(range(500)) and [r.v for r in got] == sorted(r.v for r in got)
 
 
-def _silhouette(x, y):
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+def _silhouette(x, y, power=1.0):
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1) ** power
     out = []
     for i in range(len(x)):
         own = y == y[i]
@@ -158,6 +158,23 @@ def test_silhouette_matches_brute_force(spark, pack):
     assert one.n == 61 and abs(one[SCORE] - np.mean(want)) < 1e-9
 
 
+@pytest.mark.parametrize("block,stripe", [(512, 8), (7, 2)])
+def test_euclidean_silhouette_matches_brute_force(spark, block, stripe):
+    """Two labellings at once, one with a singleton, missing labels and repeated rows."""
+    df, rows = _blobs(spark, n=61, seed=9)
+    rows = rows + [(100 + i, *rows[5][1:]) for i in range(6)]
+    df = spark.createDataFrame(rows, df.schema).withColumn("u", F.when(F.col("id") == 60, 77).otherwise(F.when(F.col("id") != 7, (F.col("id") % 4).cast("int"))))
+    df = df.withColumn("v", F.concat(F.lit("c"), (F.col("id") % 3).cast("string"))).withColumn("one", F.lit(1)).repartition(4)
+    got = {r.labelling: r for r in euclidean_silhouette(df, ["a", "b", "c"], ["u", "v", "one"], block, stripe).collect()}
+    x = np.array([r[1:] for r in rows])
+    u = np.array([77 if r[0] == 60 else r[0] % 4 for r in rows])
+    keep = np.array([r[0] != 7 for r in rows])
+    for name, y, k in (("u", u, keep), ("v", np.array([r[0] % 3 for r in rows]), np.ones(len(rows), bool))):
+        want = _silhouette(x[k], y[k], 0.5)
+        assert got[name].n == k.sum() and abs(got[name][EUCLIDEAN] - np.mean(want)) < 1e-9
+    assert got["one"][EUCLIDEAN] is None
+
+
 def test_silhouette_needs_one_length(spark):
     df = spark.createDataFrame([([1.0, 2.0], 0), ([1.0], 1)], "v array<double>, label int")
     with pytest.raises(ValueError, match="one length"):

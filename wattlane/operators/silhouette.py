@@ -1,15 +1,22 @@
-"""Silhouette score (M9) with the squared Euclidean dissimilarity, from sufficient statistics.
+"""Silhouette score (M9): Euclidean from blocked distance sums, squared Euclidean from sufficient statistics.
 
-The mean squared distance of a point x to a cluster C needs only |C|, the
+*Euclidean* (``euclidean_silhouette``).  The sum of the distances of a row to a
+cluster is additive over blocks of rows.  Rows are dealt into blocks; a block
+and a stripe of ``stripe`` blocks are one group of bounded size, whose distances
+are one matrix product, reduced in the task to (row, cluster, sum, count) - pairs
+are never written.  Several labellings of the same rows (all cuts of a tree)
+share the distances.  The work is that of all pairs, as the score's definition
+asks for; no task holds more than its blocks.
+
+*Squared Euclidean* (``silhouette_samples``).  The mean squared distance of a point x to a cluster C needs only |C|, the
 vector sum S_C and the sum of squared norms Q_C:
 
     sum_{y in C} ||x - y||^2 = |C| ||x||^2 - 2 x.S_C + Q_C
 
 so the score is exact in O(n k), at every size.  a(x) averages over the other
 members of x's cluster, b(x) is the smallest mean over another cluster, a
-singleton scores 0 - ``silhouette_score(metric='sqeuclidean')``.  The plain
-Euclidean form needs every pair of rows and is not provided; output columns
-carry the metric in their name.
+singleton scores 0 - ``silhouette_score(metric='sqeuclidean')``.  Output
+columns carry the metric in their name.
 
 The statistics are a table, packed into rows of at most ``pack_doubles`` numbers
 each; such a row is small enough to be broadcast.  Few clusters make one
@@ -20,12 +27,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.session import cut_lineage
+from wattlane.session import cut_lineage, ship_package, written_table
 
 SCORE = "silhouette_sqeuclidean"
+EUCLIDEAN = "silhouette_euclidean"
 
 
 def _vec(cols: Sequence[str] | str) -> Column:
@@ -79,3 +89,76 @@ def silhouette_score(df: DataFrame, features: Sequence[str] | str, label: str, b
     """M9: per ``by`` one row (n, silhouette_sqeuclidean); rows without a label are left out."""
     s = silhouette_samples(df.where(F.col(label).isNotNull()), features, label, by)
     return s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(SCORE).alias(SCORE))
+
+
+# ---------------------------------------------------------------------- Euclidean
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``x`` and ``y``; near ones are taken from the differences, without cancellation."""
+    middle = y.mean(axis=0)
+    x, y = x - middle, y - middle
+    nx, ny = np.einsum("ij,ij->i", x, x)[:, None], np.einsum("ij,ij->i", y, y)[None, :]
+    squares = nx + ny - 2 * (x @ y.T)
+    i, j = np.nonzero(squares <= 1e-4 * (nx + ny))
+    for a, b in zip(np.array_split(i, len(i) // 100_000 + 1), np.array_split(j, len(i) // 100_000 + 1)):
+        squares[a, b] = ((x[a] - y[b]) ** 2).sum(axis=1)
+    return np.sqrt(np.maximum(squares, 0))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """Per row at home and labelling: sum of distances to, and number of, the visitors of each cluster."""
+    table = table.sort_by("rid")
+    home = table.column("home").to_numpy()
+    x, rid = _matrix(table.column("x")), table.column("rid").to_numpy()
+    labels = np.array(table.column("labels").to_pylist(), dtype=object).reshape(len(rid), -1)
+    d = distances(x[home], x[~home]) if home.any() and not home.all() else np.empty((0, 0))
+    if d.size:
+        d[rid[home][:, None] == rid[~home][None, :]] = 0.0
+    out = []
+    for at in range(labels.shape[1] if d.size else 0):
+        mine, other = labels[home, at], labels[~home, at]
+        there, here = np.array([v is not None for v in other]), np.flatnonzero([v is not None for v in mine])
+        if not there.any() or not len(here):
+            continue
+        found, code = np.unique(other[there].astype(str), return_inverse=True)
+        member = np.zeros((there.sum(), len(found)))
+        member[np.arange(len(code)), code] = 1.0
+        sums, n = d[here][:, there] @ member, np.bincount(code)
+        k = len(found)
+        own = mine[here].astype(str)[:, None] == found[None, :]
+        out.append(pa.table({"rid": pa.array(np.repeat(rid[home][here], k)), "at": pa.array(np.full(len(here) * k, at, np.int32)),
+                             "cluster": pa.array(np.tile(found, len(here)).tolist(), pa.string()), "own": pa.array(own.ravel()),
+                             "s": pa.array(sums.ravel()), "n": pa.array(np.tile(n, len(here)).astype(np.int64))}))
+    schema = pa.schema([("rid", pa.int64()), ("at", pa.int32()), ("cluster", pa.string()), ("own", pa.bool_()), ("s", pa.float64()), ("n", pa.int64())])
+    return pa.concat_tables(out) if out else schema.empty_table()
+
+
+def euclidean_silhouette(df: DataFrame, features: Sequence[str] | str, labels: Sequence[str], block: int = 512, stripe: int = 8) -> DataFrame:
+    """M9: rows (labelling, n, silhouette_euclidean), one per column in ``labels``; rows without a label are left out of it.
+
+    A labelling of one cluster has a null score; a row that is its cluster's only one scores 0.
+    """
+    ship_package(df.sparkSession)
+    named = F.array(*[F.col(f"`{c}`").cast("string") for c in labels])
+    d = written_table(df.select(F.monotonically_increasing_id().alias("rid"), _vec(features).alias("_x"), named.alias("labels")), "silhouette-rows")
+    _dimension(d)
+    blocks = max(1, -(-d.count() // block))
+    stripes = -(-blocks // stripe)
+    d = d.withColumnRenamed("_x", "x").withColumn("b", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
+    at_home = d.withColumn("home", F.lit(True)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
+    visiting = (d.withColumn("home", F.lit(False)).withColumn("s", F.floor(F.col("b") / stripe).cast("int"))
+                .drop("b").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    parts = at_home.unionByName(visiting).groupBy("b", "s").applyInArrow(_sums, "rid long, at int, cluster string, own boolean, s double, n long")
+    whole = parts.groupBy("rid", "at", "cluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("own").alias("own"))
+    per_row = whole.groupBy("rid", "at").agg(
+        F.max(F.when(F.col("own"), F.col("n"))).alias("n"), F.max(F.when(F.col("own"), F.try_divide(F.col("s"), F.col("n") - 1))).alias("a"),
+        F.min(F.when(~F.col("own"), F.col("s") / F.col("n"))).alias("b"))
+    score = F.when(F.col("b").isNull(), F.lit(None)).when(F.col("n") <= 1, F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    names = F.array(*[F.lit(c) for c in labels])
+    return per_row.groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias(EUCLIDEAN)).select(
+        names[F.col("at")].alias("labelling"), "n", EUCLIDEAN)

@@ -421,10 +421,11 @@ def q_kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("silhouette_given_labels")
 def q_silhouette_given_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wattlane.operators.silhouette import silhouette_score
+    from wattlane.operators.silhouette import euclidean_silhouette, silhouette_score
     from wattlane.sources.tables import read_table
     emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
-    return silhouette_score(emb, "embedding", "label")
+    plain = euclidean_silhouette(emb, "embedding", ["label"]).drop("labelling", "n")
+    return silhouette_score(emb, "embedding", "label").join(plain)          # one row each
 
 
 # ------------------------------------------------------------------ models

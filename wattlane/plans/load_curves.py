@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wattlane.operators import curves
 from wattlane.operators.profiles import bucket_columns, complete_days, profile_long, profile_wide
 from wattlane.operators.scaling import scale_data
-from wattlane.operators.silhouette import silhouette_score
+from wattlane.operators.silhouette import EUCLIDEAN, euclidean_silhouette, silhouette_score
 from wattlane.operators.ward import WardResult, ward
 from wattlane.session import cut_lineage
 
@@ -63,10 +63,15 @@ def identify_load_curves(cleaned: DataFrame, scaling_method: str = "no_scaling",
 
 
 def silhouette_sweep(matrix: DataFrame, res: WardResult, cols, ks=SWEEP_KS) -> DataFrame:
-    """M9: squared Euclidean silhouette of the tree cut at each k (one tree, one pass for all cuts)."""
-    cuts = reduce(DataFrame.unionByName, [res.labels[k].withColumn("k", F.lit(k)) for k in ks])
-    rows = matrix.join(cuts, ["postalcode", "date"])
-    return silhouette_score(rows, cols, "cluster", by=["k"])
+    """M9: Euclidean and squared Euclidean silhouette of the tree cut at each k (one tree, one pass for all cuts)."""
+    keys = ["postalcode", "date"]
+    cuts = cut_lineage(reduce(DataFrame.unionByName, [res.labels[k].withColumn("k", F.lit(k)) for k in ks]))
+    rows = matrix.join(cuts, keys)
+    squared = silhouette_score(rows, cols, "cluster", by=["k"])
+    wide = cuts.groupBy(*keys).agg(*[F.max(F.when(F.col("k") == k, F.col("cluster"))).alias(f"k{k}") for k in ks])
+    plain = euclidean_silhouette(matrix.join(wide, keys), cols, [f"k{k}" for k in ks])
+    plain = plain.select(F.substring("labelling", 2, 10).cast("int").alias("k"), EUCLIDEAN)
+    return squared.join(plain, "k", "left")
 
 
 def write_outputs(result: LoadCurves, base_path: str) -> dict[str, str]:

@@ -337,19 +337,23 @@ ORACLE["silhouette_given_labels"] = """
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL),
 cnt AS (SELECT label, count(*) AS n FROM e GROUP BY label),
 pair_sums AS (
-    SELECT a.vec_id, a.label AS la, b.label AS lb,
-           sum(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS s
-    FROM e a CROSS JOIN e b GROUP BY a.vec_id, a.label, b.label),
+    SELECT vec_id, la, lb, sum(d2) AS s, sum(sqrt(d2)) AS e
+    FROM (SELECT a.vec_id, a.label AS la, b.label AS lb,
+                 list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d2
+          FROM e a CROSS JOIN e b) GROUP BY vec_id, la, lb),
 means AS (
     SELECT p.vec_id, p.la, p.lb, c.n,
-           CASE WHEN p.la = p.lb THEN p.s / NULLIF(c.n - 1, 0) ELSE p.s / c.n END AS mean_d
+           CASE WHEN p.la = p.lb THEN p.s / NULLIF(c.n - 1, 0) ELSE p.s / c.n END AS mean_d,
+           CASE WHEN p.la = p.lb THEN p.e / NULLIF(c.n - 1, 0) ELSE p.e / c.n END AS mean_e
     FROM pair_sums p JOIN cnt c ON p.lb = c.label),
 per AS (
     SELECT vec_id, max(CASE WHEN la = lb THEN mean_d END) AS a, min(CASE WHEN la <> lb THEN mean_d END) AS b,
+           max(CASE WHEN la = lb THEN mean_e END) AS ae, min(CASE WHEN la <> lb THEN mean_e END) AS be,
            max(CASE WHEN la = lb THEN n END) AS own_n
     FROM means GROUP BY vec_id)
 SELECT count(*) AS n,
-       avg(CASE WHEN own_n <= 1 THEN 0.0 ELSE coalesce((b - a) / NULLIF(greatest(a, b), 0), 0.0) END) AS silhouette_sqeuclidean
+       avg(CASE WHEN own_n <= 1 THEN 0.0 ELSE coalesce((b - a) / NULLIF(greatest(a, b), 0), 0.0) END) AS silhouette_sqeuclidean,
+       avg(CASE WHEN own_n <= 1 THEN 0.0 ELSE coalesce((be - ae) / NULLIF(greatest(ae, be), 0), 0.0) END) AS silhouette_euclidean
 FROM per"""
 
 
@@ -572,14 +576,17 @@ ORACLE["silhouette_sweep"] = with_ward() + f"""
 , pts AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY postalcode, date) AS id, cluster, v
           FROM mat JOIN leaves USING (v) JOIN {WARD_CUT} USING (leaf) WHERE k BETWEEN 2 AND 9),
 cnt AS (SELECT k, cluster, count(*) AS n FROM pts GROUP BY k, cluster),
-sums AS (SELECT a.k, a.id, a.cluster AS ca, b.cluster AS cb,
-                sum(list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) AS s
-         FROM pts a JOIN pts b ON a.k = b.k GROUP BY a.k, a.id, a.cluster, b.cluster),
+sums AS (SELECT k, id, ca, cb, sum(d2) AS s, sum(sqrt(d2)) AS e
+         FROM (SELECT a.k, a.id, a.cluster AS ca, b.cluster AS cb,
+                      list_sum(list_transform(list_zip(a.v, b.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d2
+               FROM pts a JOIN pts b ON a.k = b.k) GROUP BY k, id, ca, cb),
 per AS (SELECT s.k, s.id, max(CASE WHEN ca = cb THEN s / nullif(n - 1, 0) END) AS a, min(CASE WHEN ca <> cb THEN s / n END) AS b,
+               max(CASE WHEN ca = cb THEN e / nullif(n - 1, 0) END) AS ae, min(CASE WHEN ca <> cb THEN e / n END) AS be,
                max(CASE WHEN ca = cb THEN n END) AS own
         FROM sums s JOIN cnt ON cnt.k = s.k AND cnt.cluster = cb GROUP BY s.k, s.id)
 SELECT CAST(k AS INTEGER) AS k, count(*) AS n,
-       avg(CASE WHEN own <= 1 THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END) AS silhouette_sqeuclidean
+       avg(CASE WHEN own <= 1 THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END) AS silhouette_sqeuclidean,
+       avg(CASE WHEN own <= 1 THEN 0.0 ELSE coalesce((be - ae) / nullif(greatest(ae, be), 0), 0.0) END) AS silhouette_euclidean
 FROM per GROUP BY k"""
 
 
