@@ -1,4 +1,8 @@
-"""Decision-tree models on MLlib.
+"""Decision-tree models: exact trees of this library, other estimators on MLlib.
+
+The classifier and the forecast's "Decision Tree" are exact trees
+(``operators.trees``): every threshold, missing values routed, any depth; they
+need no scaling and no imputation.  ``grid_search`` runs any MLlib estimator:
 
 * Features are picked by column kind (numbers vs text), as the reference's
   ``select_dtypes`` does; other kinds (timestamps, dates) are left out.
@@ -35,7 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattlane.operators.splits import fold_frames
-from wattlane.session import scratch_table_path
+from wattlane.operators.trees import TreeModel, feature_array, grow, node_table, route
+from wattlane.session import cut_lineage, scratch_table_path
 
 MLLIB_MAX_DEPTH = 30
 #: Thresholds tried per numeric feature, plus one (MLlib's own default is 32).
@@ -107,7 +112,7 @@ def with_missing_indicators(df: DataFrame, cols: Sequence[str]) -> tuple[DataFra
 
 @dataclass
 class ClassifierResult:
-    model: PipelineModel
+    model: PipelineModel | TreeModel
     predictions: DataFrame            # keys, label, split, prediction, probability
     feature_names: list[str]
 
@@ -115,30 +120,25 @@ class ClassifierResult:
 def train_tree_classifier(ds: DataFrame, label: str = "cluster",
                           drop: Sequence[str] = ("date", "postalcode", "cluster", "consumption"),
                           split_col: str = "split", max_depth: int = 4, min_leaf: int = 20,
-                          impurity: str = "entropy", seed: int = 42, max_bins: int = MAX_BINS,
-                          keys: Sequence[str] = ("postalcode", "date")) -> ClassifierResult:
-    """Entropy tree (depth 4, at least 20 rows per leaf) on the 'train' rows."""
-    from pyspark.ml.classification import DecisionTreeClassifier
+                          keys: Sequence[str] = ("postalcode", "date"), task_rows: int = 200_000) -> ClassifierResult:
+    """Exact entropy tree (depth 4, at least 20 rows per leaf) on the 'train' rows.
+
+    Labels are 0, 1, ...; missing features are routed by the splits.
+    """
     numeric, _ = columns_by_kind(ds, exclude=[*drop, split_col])
-    numeric = present_columns(ds.where(F.col(split_col) == "train"), numeric)
-    d, ind = with_missing_indicators(ds, numeric)
-    stages, names = preprocessing_stages(numeric, [], scale=False)
-    # indicators go in after the imputed values
-    stages[-1] = VectorAssembler(inputCols=[f"_imp_{c}" for c in numeric] + ind, outputCol="features",
-                                 handleInvalid="keep")
-    names = names + ind
-    tree = DecisionTreeClassifier(labelCol="_label", featuresCol="features", impurity=impurity,
-                                  maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins, seed=seed)
-    d = d.withColumn("_label", F.col(label).cast("double"))
-    model = Pipeline(stages=[*stages, tree]).fit(d.where(F.col(split_col) == "train"))
-    pred = (model.transform(d)
-            .select(*keys, label, split_col, F.col("prediction").cast("int").alias("prediction"),
-                    vector_to_array("probability").alias("probability")))
-    return ClassifierResult(model=model, predictions=pred, feature_names=names)
+    train = ds.where(F.col(split_col) == "train")
+    numeric = present_columns(train, numeric)
+    classes = int(train.agg(F.max(label)).first()[0]) + 1
+    rows = train.select(F.lit(0).alias("tree"), F.col(label).cast("double").alias("y"), feature_array(train, numeric).alias("x"))
+    model = TreeModel(grow(rows, {0: (max_depth, min_leaf)}, classes, task_rows), numeric, classes)
+    pred = model.transform(ds).select(*keys, label, split_col, F.col("prediction").cast("int").alias("prediction"), "probability")
+    return ClassifierResult(model=model, predictions=pred, feature_names=numeric)
 
 
 def tree_nodes(spark: SparkSession, tree_model, feature_names: Sequence[str]) -> DataFrame:
-    """Node table of a fitted MLlib tree (saved model data read back as a table)."""
+    """Node table of a fitted tree (of an MLlib one: saved model data read back as a table)."""
+    if isinstance(tree_model, TreeModel):
+        return node_table(spark, tree_model, feature_names)
     path = scratch_table_path(spark, "tree")
     tree_model.write().overwrite().save(path)
     nodes = spark.read.parquet(f"{path}/data")
@@ -163,7 +163,7 @@ def tree_nodes(spark: SparkSession, tree_model, feature_names: Sequence[str]) ->
 class GridResult:
     scores: DataFrame                 # max_depth, min_samples_leaf, fold, mse
     best: dict
-    model: PipelineModel
+    model: PipelineModel | TreeModel
     test_predictions: DataFrame
 
 
@@ -263,6 +263,45 @@ def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: s
     return GridResult(scores=scores, best=best, model=model, test_predictions=test_pred)
 
 
+def exact_tree_grid(spark: SparkSession, folds: DataFrame, test: DataFrame, label: str, numeric: Sequence[str], text: Sequence[str],
+                    grid: Sequence[dict], n_splits: int = 5, task_rows: int = 200_000) -> GridResult:
+    """M18-M24 with exact regression trees: every grid point at its own depth on every expanding fold.
+
+    All folds and leaf sizes are grown together, each to the deepest depth
+    asked for; shallower grid points are the same trees cut there.  Trees do not
+    change when features are scaled, so none are; text values are 0/1 features,
+    and one that a fold's training rows lack is constant there and never split on.
+    """
+    train = folds.where(F.col("train_from_fold").isNotNull())
+    numeric = present_columns(train, numeric)
+    texts = {c: sorted(r[0] for r in train.select(c).distinct().collect() if r[0] is not None) for c in text}
+    x, y = feature_array(folds, numeric, texts).alias("x"), F.col(label).cast("double").alias("y")
+    rows = cut_lineage(folds.select("train_from_fold", "test_fold", y, x))
+    if not rows.where("train_from_fold = 0").limit(1).count():
+        raise ValueError(f"too few training rows for {n_splits} folds: every fold needs rows "
+                         "before its test block")
+    depths, leaves = sorted({g["max_depth"] for g in grid}), sorted({g["min_samples_leaf"] for g in grid})
+    tree = lambda fold, leaf: fold * len(leaves) + leaf                                    # noqa: E731
+    every = F.explode(F.array(*[F.lit(i) for i in range(len(leaves))])).alias("leaf")
+    fold = F.explode(F.sequence(F.col("train_from_fold").cast("int"), F.lit(n_splits - 1))).alias("fold")
+    copies = rows.where(F.col("train_from_fold") < n_splits).select(fold, "y", "x").select(
+        (F.col("fold") * len(leaves)).alias("first"), "y", "x", every).select((F.col("first") + F.col("leaf")).cast("int").alias("tree"), "y", "x")
+    limits = {tree(f, i): (depths[-1], m) for f in range(n_splits) for i, m in enumerate(leaves)}
+    nodes = grow(copies, limits, task_rows=task_rows)
+    tests = rows.where(F.col("test_fold").between(0, n_splits - 1)).select(F.col("test_fold").cast("int").alias("fold"), "y", F.col("x").alias("_x"), every)
+    routed = route(tests.withColumn("_tree", (F.col("fold") * len(leaves) + F.col("leaf")).cast("int")), nodes, depths)
+    each = routed.select("fold", "leaf", "y", F.posexplode("_at").alias("at", "s"))
+    error = each.groupBy("fold", "leaf", "at").agg(F.avg(F.pow(F.col("y") - F.col("s")[1] / F.col("s")[0], 2)).alias("mse"))
+    mse = {(r.fold, depths[r.at], leaves[r.leaf]): r.mse for r in error.collect()}           # folds x grid points
+    scored = [(g["max_depth"], g["min_samples_leaf"], f, mse[f, g["max_depth"], g["min_samples_leaf"]]) for g in grid for f in range(n_splits)]
+    scores = spark.createDataFrame(scored, "max_depth int, min_samples_leaf int, fold int, mse double")
+    mean = [sum(mse[f, g["max_depth"], g["min_samples_leaf"]] for f in range(n_splits)) / n_splits for g in grid]
+    best = {**grid[mean.index(min(mean))], "mean_mse": min(mean)}
+    last = rows.where("train_from_fold is not null").select(F.lit(0).alias("tree"), "y", "x")
+    model = TreeModel(grow(last, {0: (best["max_depth"], best["min_samples_leaf"])}, task_rows=task_rows), numeric, 0, texts)
+    return GridResult(scores=scores, best=best, model=model, test_predictions=model.transform(test))
+
+
 def grid_search_tree_regressor(spark: SparkSession, folds: DataFrame, test: DataFrame, label: str,
                                numeric: Sequence[str], text: Sequence[str],
                                depths: Sequence[int] = (15, 25, 40, 60),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from wattlane.operators.enrich import forecast_dataset
 from wattlane.operators.metrics import forecast_slices, regression_metrics
-from wattlane.operators.models import GridResult, columns_by_kind, grid_search, tree_grid, tree_regressor
+from wattlane.operators.models import GridResult, columns_by_kind, exact_tree_grid, grid_search, tree_grid
 from wattlane.operators.splits import holdout_size, holdout_with_folds, with_row_id
 
 TARGET = "consumption_filtered"
@@ -27,9 +27,9 @@ NOT_FEATURES = ("localtime", "time", "consumption_filtered", "consumption")
 DEPTHS = (15, 25, 40, 60)
 LEAVES = (5, 10, 15, 20)
 
-# Models by name -> (estimator builder, grid).  The reference has one.
+# Models by name -> (builder of an MLlib estimator, or None for the exact tree; grid).  The reference has one.
 MODELS = {
-    "Decision Tree": (tree_regressor, tree_grid(DEPTHS, LEAVES)),
+    "Decision Tree": (None, tree_grid(DEPTHS, LEAVES)),
 }
 
 
@@ -70,8 +70,11 @@ def electricity_consumption_forecast(spark: SparkSession, cleaned: DataFrame, we
     test = hold.where(F.col("split") == "test")
     grids, metrics = {}, {}
     for name, (build, grid_points) in (models or MODELS).items():
-        g = grid_search(spark, folds, test, TARGET, numeric, text, build, grid_points,
-                        n_splits=n_splits, parallelism=parallelism)
+        if build is None:
+            g = exact_tree_grid(spark, folds, test, TARGET, numeric, text, grid_points, n_splits=n_splits)
+        else:
+            g = grid_search(spark, folds, test, TARGET, numeric, text, build, grid_points,
+                            n_splits=n_splits, parallelism=parallelism)
         grids[name] = g
         metrics[name] = regression_metrics(g.test_predictions, TARGET, "prediction")
 
