@@ -37,6 +37,7 @@ from wattlane.llm.word_cache import SPACES as _SPACES
 from wattlane.llm.word_cache import CachedTokenizer
 from wattlane.session import ship_package
 
+
 class ResyncTokenizer:
     """A ``tokenizers`` file whose white space separates; no begin, end or added special tokens."""
 

@@ -621,3 +621,73 @@ climb AS (SELECT leaf, leaf AS node FROM leaves UNION ALL SELECT climb.leaf, up.
 top AS (SELECT leaf, max(node) AS root FROM climb GROUP BY leaf),
 num AS (SELECT root, row_number() OVER (ORDER BY sum(w) DESC, min(leaf)) - 1 AS cluster FROM top JOIN leaves USING (leaf) GROUP BY root)
 SELECT vec_id, CAST(cluster AS INTEGER) AS cluster FROM rows JOIN leaves USING (v) JOIN top USING (leaf) JOIN num USING (root)"""
+
+
+# ------------------------------------------------------------------ the day-ahead tree: four levels of exact splits
+
+TREE_FEATURES = ["year", "income", "persons", "builtarea", "households", "airtemperature", "relativehumidity", "totalprecipitation",
+                 "ghi", "sunelevation", "month", "weekday"]
+TREE_LEVELS, TREE_LEAF, TREE_CLASSES = 4, 20, range(4)
+
+
+def _sql_entropy(counts: list[str]) -> str:
+    n = f"({' + '.join(counts)})"
+    return "(" + " + ".join(f"CASE WHEN {c} > 0 THEN -({c} / {n}) * log2({c} / {n}) ELSE 0.0 END" for c in counts) + ")"
+
+
+def sql_tree_level(i: int) -> dict[str, str]:
+    """The best split of every node of level ``i`` and the nodes of the rows below it."""
+    def each(text: str) -> str:
+        return ", ".join(text.replace("#", str(c)) for c in TREE_CLASSES)
+    here = [f"(l{c} + CASE WHEN missing THEN m{c} ELSE 0.0 END)" for c in TREE_CLASSES]
+    there = [f"(t{c} - l{c} - CASE WHEN missing THEN m{c} ELSE 0.0 END)" for c in TREE_CLASSES]
+    nl, nr, lost = (f"({' + '.join(x)})" for x in (here, there, [f"m{c}" for c in TREE_CLASSES]))
+    whole = _sql_entropy([f"t{c}" for c in TREE_CLASSES])
+    return {
+        f"tot{i}": f"SELECT path, {each('CAST(count(*) FILTER (WHERE y = #) AS DOUBLE) AS t#')} FROM at{i} WHERE split = 'train' GROUP BY path",
+        f"cell{i}": f"""SELECT path, f, v, {each('CAST(count(*) FILTER (WHERE y = #) AS DOUBLE) AS c#')}
+            FROM at{i} JOIN lg USING (rid) WHERE split = 'train' GROUP BY path, f, v""",
+        f"run{i}": f"""SELECT path, f, v, lead(v) OVER w AS after, {each('sum(c#) OVER w AS l#')}
+            FROM cell{i} WHERE v IS NOT NULL WINDOW w AS (PARTITION BY path, f ORDER BY v)""",
+        f"cand{i}": f"""SELECT run{i}.*, missing, {each('t#')}, {each('coalesce(x.c#, 0.0) AS m#')}
+            FROM run{i} JOIN tot{i} USING (path) LEFT JOIN (SELECT * FROM cell{i} WHERE v IS NULL) x ON x.path = run{i}.path AND x.f = run{i}.f
+            CROSS JOIN (VALUES (true), (false)) s(missing)""",
+        f"best{i}": f"""SELECT path, max({{'score': round({whole} - ({nl} * {_sql_entropy(here)} + {nr} * {_sql_entropy(there)}) / ({nl} + {nr}), 10),
+                'nf': -f, 'nc': -CASE WHEN after IS NULL THEN CAST('inf' AS DOUBLE) WHEN (v + after) / 2 < after THEN (v + after) / 2 ELSE v END,
+                'm': missing, 'side': CASE WHEN {lost} > 0 THEN missing ELSE {nl} > {nr} END}}) AS b
+            FROM cand{i} WHERE {nl} >= {TREE_LEAF} AND {nr} >= {TREE_LEAF} AND {whole} > 1e-9
+                AND (CASE WHEN missing THEN {lost} > 0 AND after IS NOT NULL ELSE {lost} > 0 OR after IS NOT NULL END) GROUP BY path""",
+        f"at{i + 1}": f"""SELECT a.rid, split, y, a.path || CASE WHEN b.b IS NULL THEN '' WHEN (CASE WHEN lg.v IS NULL THEN b.b.side ELSE lg.v <= -b.b.nc END)
+                THEN 'l' ELSE 'r' END AS path
+            FROM at{i} a LEFT JOIN best{i} b USING (path) LEFT JOIN lg ON lg.rid = a.rid AND lg.f = -b.b.nf""",
+    }
+
+
+def with_tree() -> str:
+    ctes = {
+        "sp": f"""SELECT *, row_number() OVER (ORDER BY postalcode, date) AS rid, CASE WHEN {md5_bucket("concat_ws('|', '42', CAST(postalcode AS VARCHAR), CAST(date AS VARCHAR))", "100")} < 20
+            THEN 'test' ELSE 'train' END AS split FROM ds""",
+        "lg": f"""SELECT rid, unnest(range({len(TREE_FEATURES)})) AS f, unnest([{', '.join(f'CAST({c} AS DOUBLE)' for c in TREE_FEATURES)}]) AS v FROM sp""",
+        "at0": "SELECT rid, split, cluster AS y, '' AS path FROM sp",
+    }
+    for i in range(TREE_LEVELS):
+        ctes |= sql_tree_level(i)
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE y = {c}) AS DOUBLE)" for c in TREE_CLASSES)
+    splits = " UNION ALL ".join(f"SELECT path, b FROM best{i}" for i in range(TREE_LEVELS))
+    paths = " UNION ALL ".join(f"SELECT path, y FROM at{i} WHERE split = 'train' AND length(path) = {i}" for i in range(TREE_LEVELS + 1))
+    ctes["nodes"] = f"""SELECT path, s, b, row_number() OVER (ORDER BY path) - 1 AS id
+        FROM (SELECT path, [{counts}] AS s FROM ({paths}) GROUP BY path) LEFT JOIN ({splits}) USING (path)"""
+    return with_classification().rstrip() + "".join(f",\n{k} AS MATERIALIZED ({v})" for k, v in ctes.items()) + "\n"
+
+
+_PREDICTED = f"""SELECT postalcode, date, cluster, sp.split, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS prediction,
+       list_transform(s, lambda x: x / list_sum(s)) AS probability
+FROM sp JOIN at{TREE_LEVELS} USING (rid) JOIN nodes USING (path)"""
+ORACLE["tree_classify"] = with_tree() + _PREDICTED
+ORACLE["tree_accuracy"] = with_tree() + f"""
+SELECT split, count(*) AS n, avg(CAST(prediction = cluster AS DOUBLE)) AS accuracy FROM ({_PREDICTED}) GROUP BY split"""
+ORACLE["tree_nodes"] = with_tree() + f"""
+SELECT CAST(n.id AS INTEGER) AS node_id, [{', '.join(f"'{c}'" for c in TREE_FEATURES)}][1 - n.b.nf] AS feature, -n.b.nc AS threshold, n.b.score AS gain,
+       {_sql_entropy([f'n.s[{c + 1}]' for c in TREE_CLASSES])} AS impurity, CAST(list_position(n.s, list_max(n.s)) - 1 AS DOUBLE) AS prediction,
+       n.s AS class_counts, CAST(l.id AS INTEGER) AS left_child, CAST(r.id AS INTEGER) AS right_child, n.b.side AS missing_left
+FROM nodes n LEFT JOIN nodes l ON l.path = n.path || 'l' LEFT JOIN nodes r ON r.path = n.path || 'r'"""
