@@ -1,12 +1,15 @@
-"""Helpers shared by the operators: words, keys, shared tables, size-checked broadcast, components."""
+"""Helpers shared by the operators: words, keys, shared tables, size-checked broadcast."""
 
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from wattlane.operators.components import components  # noqa: F401 - used by the operators
 from wattlane.session import scratch_table_path
 
 #: A word: ASCII digits, ASCII lower-case letters and every non-ASCII character.
@@ -79,45 +82,30 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         spark.conf.set(name, before)
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when count x row_bytes is within the limit (df is a materialised table)."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def row_width(df: DataFrame) -> Column:
+    """Bytes of a row, arrays and texts as they are."""
+    def width(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+                return F.coalesce(F.aggregate(c, F.lit(16).cast("long"), lambda n, v: n + width(v, kind.elementType)), F.lit(16).cast("long"))
+            return F.greatest(F.size(c), F.lit(0)).cast("long") * 8 + 16
+        if isinstance(kind, T.StructType):
+            return reduce(lambda x, y: x + y, [width(c[f.name], f.dataType) for f in kind], F.lit(16).cast("long"))
+        return F.lit(8).cast("long")
 
+    return reduce(lambda x, y: x + y, [width(F.col(f.name), f.dataType) for f in df.schema], F.lit(16).cast("long"))
 
-def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
-    """Connected components of undirected edges (a, b): rows (node, component), component = least node.
 
-    Alternating large-star / small-star rounds: every round is two grouped
-    minima by node and a distinct, each pre-aggregated before its shuffle, so a
-    node with very many neighbours never meets in one task as rows of a group;
-    the number of rounds grows with the logarithm of the longest path.
-    Every round is a table in the shared folder.
+def broadcast_measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when the rows' measured bytes are within the limit (df is a materialised table).
+
+    For rows with arrays or vectors, whose size no constant bounds.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cur = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                      .distinct(), f"{name}-edges")
-    for i in range(max_rounds):
-        # large star: every larger neighbour of a node is linked to the least of its neighbourhood
-        sym = both(cur)
-        least = sym.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = sym.join(least, sym.a == least.n).where("b > a").select(
-            F.col("b").alias("a"), F.col("m").alias("b"))
-        # small star: a node and its smaller neighbours are linked to the least of them
-        low = large.distinct()
-        least2 = low.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
-        small = low.join(least2, low.a == least2.n).select(
-            F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")),
-                              F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        nxt = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), f"{name}-{i}")
-        # stars only: no node is both a centre and a leaf, no leaf has two centres
-        centres = nxt.select(F.col("b").alias("n")).distinct()
-        unfinished = (nxt.join(centres, nxt.a == centres.n, "left_semi").limit(1).count()
-                      or nxt.groupBy("a").count().where("count > 1").limit(1).count())
-        cur = nxt
-        if not unfinished:
-            break
-    else:
-        raise RuntimeError("components: not finished within max_rounds")
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return F.broadcast(df) if (df.agg(F.sum(row_width(df))).first()[0] or 0) <= limit else df
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast when count x row_bytes is within the limit (df is a materialised table of flat rows)."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df

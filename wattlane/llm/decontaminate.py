@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import (broadcast_if_small, let, materialise, steps, text_key, text_or_empty,
+from wattlane.llm.common import (broadcast_if_small, broadcast_measured, let, materialise, steps, text_key, text_or_empty,
                                  words)
 
 
@@ -107,7 +107,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                           .distinct(), "bench-windows")
     fps = broadcast_if_small(materialise(windows.select("fp").distinct(), "bench-fps"), 32)
     distinct_windows = windows.groupBy("win").agg(F.collect_set("cls").alias("clss"))
-    distinct_windows = broadcast_if_small(materialise(distinct_windows, "bench-win"), 512)
+    distinct_windows = broadcast_measured(materialise(distinct_windows, "bench-win"))
 
     # ---- documents: winnowed fingerprints joined with the benchmark's, in one pass over the texts.
     # The first row of a text stays whatever it hits and carries the number of words.
@@ -120,7 +120,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
              .groupBy("key").agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("found")))
     found = materialise(found, "doc-fps")
     counted = broadcast_if_small(found.select(F.col("key").alias("wkey"), "n_words"), 64)
-    found = broadcast_if_small(found.where("size(found) > 0").select("key", "found"), 256)
+    found = broadcast_measured(found.where("size(found) > 0").select("key", "found"))
 
     # ---- extend: full windows at the positions found
     cand = let(words(F.col("t")), lambda ws: let(
@@ -149,7 +149,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         "key", "spans",
         F.aggregate("spans", F.lit(0).cast("long"), lambda n, r: n + (r["b"] - r["a"])).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("sha"))
-    result = broadcast_if_small(materialise(result, "doc-result"), 512)
+    result = broadcast_measured(materialise(result, "doc-result"))
 
     base = docs.select(id_col, text_key(text).alias("key"))
     base = base.join(counted, F.col("key") == F.col("wkey"), "left").select(

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import broadcast_if_small, components, materialise
+from wattlane.llm.common import broadcast_if_small, broadcast_measured, components, materialise
 from wattlane.session import ship_package
 
 
@@ -170,7 +170,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
               .select(*bucket, "cid", "home", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
               .select(*bucket, "cid", "home", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
                       (F.col("mine") > F.col("other")).alias("right")))
-    payload = broadcast_if_small(coded.select("cid", "n", "unit", "own", "probes"), 700)
+    payload = broadcast_measured(coded.select("cid", "n", "unit", "own", "probes"))
     keys = [*bucket, "lo", "hi"]
     dealt = placed.join(payload, "cid").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
 
@@ -217,7 +217,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     firsts = judged.groupBy("comp").agg(F.min("least").alias("first"))
     judged = judged.join(firsts, "comp").select(
         F.col("label").alias("clabel"), F.col("vec").alias("cvec"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "first")
-    judged = broadcast_if_small(materialise(judged, "vec-judged"), 600)
+    judged = broadcast_measured(materialise(judged, "vec-judged"))
     usable_vec = F.when(usable, vec)
     component = F.when(F.col("clabel").isNull(), F.col("id")).otherwise(F.col("first"))
     return (rows.withColumn("uvec", usable_vec).join(judged, (F.col("label") == F.col("clabel")) & (F.col("uvec") == F.col("cvec")), "left")
