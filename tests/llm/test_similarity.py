@@ -147,3 +147,30 @@ def test_documents_repeated_null_and_empty(spark):
     same = spark.createDataFrame([(4, text)] * 3 + [(None, "x y")] * 2, DOCS)
     assert sorted(str(r.doc_id) for r in M.keep_one_of_each(same).collect()) == ["4", "None"]
     assert M.near_duplicates(df.limit(0)).count() == 0 and M.keep_one_of_each(df.limit(0)).count() == 0
+
+
+def test_broadcasts_follow_measured_bytes(spark):
+    from wattlane.llm.common import broadcast_measured, row_width
+    wide = spark.range(40).select("id", F.expr("transform(sequence(1, 4096), x -> cast(x as double))").alias("v"))
+    nested = spark.range(40).select("id", F.expr("transform(sequence(1, 50), x -> struct(x as a, repeat('y', 100) as t))").alias("v"))
+    assert wide.agg(F.max(row_width(wide))).first()[0] == 16 + 8 + 4096 * 8 + 16
+    assert nested.agg(F.min(row_width(nested))).first()[0] >= 50 * 100
+    hinted = lambda df, limit: "ResolvedHint" in broadcast_measured(df, limit)._jdf.queryExecution().analyzed().toString()
+    for df in (wide, nested):
+        assert not hinted(df, 100_000) and hinted(df, 10_000_000)
+    nulls = spark.createDataFrame([(None, None, None)], "a string, b array<string>, c array<struct<x: string>>")
+    assert nulls.agg(F.sum(row_width(nulls))).first()[0] == 16 * 4
+
+
+def test_representative_of_very_many_copies(spark):
+    """Blocks of a representative's members, each with its shingles once, give the links of the plain join."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 90):
+        words = list(base)
+        words[rng.randrange(120)] = f"new{i}"
+        docs.append((i, " ".join(words)))
+    df = spark.createDataFrame(docs, DOCS)
+    got = {r.doc_id: r.group_id for r in M.near_duplicates(df, block=8).collect()}
+    assert got == brute.near_groups(docs)

@@ -224,9 +224,9 @@ class _Near:
     """Verification over one table of classes: estimates, shingles of the classes that need them, exact J_P."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, bands: int, m: int, k: int,
-                 threshold: float):
+                 threshold: float, block: int):
         self.docs, self.classes, self.id_col, self.text_col = docs, classes, id_col, text_col
-        self.bands, self.m, self.k, self.threshold = bands, m, k, threshold
+        self.bands, self.m, self.k, self.threshold, self.block = bands, m, k, threshold, block
         self.floor = threshold - 5 * math.sqrt(threshold * (1 - threshold) / m)
         self.sets: list[DataFrame] = []  # tables (cls, s, w) made so far
 
@@ -253,34 +253,45 @@ class _Near:
             return self.docs.sparkSession.createDataFrame([], "cls binary, s array<long>, w array<double>")
         return reduce(DataFrame.unionAll, self.sets)
 
+    def meet(self, pairs: DataFrame, payload: DataFrame) -> DataFrame:
+        """Rows (b, salt, a, payload) sorted by group: the members a of b in blocks, and one row of b itself (a null) per block.
+
+        A representative of very many members is so met in many groups, and its
+        payload is there once per block, not once per member.
+        """
+        many = materialise(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > self.block)
+                           .select(F.col("b").alias("hb"), F.ceil(F.col("n") / self.block).alias("blocks")), "minhash-many")
+        salt = F.pmod(F.xxhash64("a"), F.coalesce("blocks", F.lit(1).cast("long")))
+        placed = materialise(pairs.join(broadcast_if_small(many, 64), F.col("b") == F.col("hb"), "left").select("b", salt.alias("salt"), "a"), "minhash-placed")
+        cols = [c for c in payload.columns if c != "cls"]
+        members = placed.join(payload, F.col("a") == F.col("cls")).select("b", "salt", "a", *cols)
+        heads = placed.select("b", "salt").distinct().join(payload, F.col("b") == F.col("cls")).select(
+            "b", "salt", F.lit(None).cast("binary").alias("a"), *cols)
+        return heads.unionByName(members).repartition("b", "salt").sortWithinPartitions("b", "salt", "a")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) at or above the threshold."""
-        m, floor = self.m, self.floor
-        sig = lambda c: self.classes.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"))
+        m, floor, threshold = self.m, self.floor, self.threshold
+        pairs = materialise(pairs, "minhash-pairs")
+
+        def kept(g: pa.Table, at: np.ndarray) -> pa.RecordBatch:
+            some = g.select(["a", "b"]).take(pa.array(at)).combine_chunks()
+            return pa.RecordBatch.from_arrays([some.column(c).combine_chunks() for c in ("a", "b")], ["a", "b"])
 
         def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, m) for c in ("sig_a", "sig_b"))
-                    yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= floor))
+            for g in groups_of(batches, ["b", "salt"]):
+                sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint8).reshape(-1, m)
+                yield kept(g, np.flatnonzero((sig[1:] == sig[0]).mean(axis=1) >= floor) + 1)
 
-        near = materialise(pairs.join(sig("a"), "a").join(sig("b"), "b").select("a", "b", "sig_a", "sig_b")
-                           .mapInArrow(estimate, "a binary, b binary"), "minhash-near")
+        near = materialise(self.meet(pairs, self.classes.select("cls", "sig")).mapInArrow(estimate, "a binary, b binary"), "minhash-near")
         shingled = self.shingled(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
-        side = lambda c: shingled.select(F.col("cls").alias(c), F.struct("s", "w").alias(f"set_{c}"))
-        threshold = self.threshold
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for i in range(batch.num_rows):
-                    (sa, wa), (sb, wb) = ((x["s"].values.to_numpy().view(np.uint64), x["w"].values.to_numpy())
-                                          for x in (batch.column("set_a")[i], batch.column("set_b")[i]))
-                    keep.append(prob_jaccard(sa, wa, sb, wb) >= threshold)
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for g in groups_of(batches, ["b", "salt"]):
+                sets = [(s.values.to_numpy().view(np.uint64), w.values.to_numpy()) for s, w in zip(g.column("s"), g.column("w"))]
+                yield kept(g, np.array([i for i in range(1, len(sets)) if prob_jaccard(*sets[i], *sets[0]) >= threshold], np.int64))
 
-        return materialise(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-                           .mapInArrow(exact, "a binary, b binary"), "minhash-links")
+        return materialise(self.meet(near, shingled).mapInArrow(exact, "a binary, b binary"), "minhash-links")
 
     def across(self, open_members: DataFrame, block: int) -> DataFrame:
         """Links between components inside the buckets of ``open_members`` (bucket, band, cls, comp)."""
@@ -333,7 +344,7 @@ class _Near:
 def _components_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, bands: int, m: int, k: int,
                    threshold: float, block: int) -> DataFrame:
     """Rows (node, component) of the classes that are linked."""
-    near = _Near(docs, classes, id_col, text_col, bands, m, k, threshold)
+    near = _Near(docs, classes, id_col, text_col, bands, m, k, threshold, block)
     buckets = classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
     reps = materialise(buckets.groupBy("band", "bucket").agg(F.min("cls").alias("rep"), F.max("cls").alias("last"))
                        .where("rep <> last").select("band", "bucket", "rep"), "minhash-reps")
