@@ -93,3 +93,24 @@ def test_every_patch_and_ring_is_read(spark):
     assert [(v.x, v.y) for v in r.parts[0].holes[1]] == [(7, 7), (8, 7), (8, 8), (7, 7)]
     assert r.geometry == r.parts[0].exterior and r.value is None
     assert not s.parts and s.geometry is None
+
+
+def test_malformed_rings_are_marked(spark, tmp_path):
+    """Empty, odd and non-numeric coordinates: a null geometry with a reason, the other fields as they are."""
+    def building(name, outer, inner=None):
+        ring = lambda text: f"<gml:LinearRing><gml:posList>{text}</gml:posList></gml:LinearRing>"
+        hole = f"<gml:interior>{ring(inner)}</gml:interior>" if inner is not None else ""
+        return (f"<bu-ext2d:Building><bu-ext2d:reference>{name}</bu-ext2d:reference><bu-ext2d:geometry><bu-core2d:BuildingGeometry><bu-core2d:geometry>"
+                f"<gml:Surface><gml:patches><gml:PolygonPatch><gml:exterior>{ring(outer)}</gml:exterior>{hole}</gml:PolygonPatch></gml:patches></gml:Surface>"
+                "</bu-core2d:geometry></bu-core2d:BuildingGeometry></bu-ext2d:geometry></bu-ext2d:Building>")
+    good = "0 0 4 0 4 4 0 0"
+    rows = [building("good", good), building("empty", ""), building("odd", "0 0 4 0 4"), building("text", "0 0 4 x 4 4 0 0"),
+            building("hole", good, "1 1 2"), building("court", good, "1 1 2 1 2 2 1 1")]
+    space = " ".join(f'xmlns:{p}="urn:{p}"' for p in ("bu-ext2d", "bu-core2d", "gml"))
+    (tmp_path / "b.gml").write_text(f"<root {space}>{''.join(rows)}</root>")
+    got = {r.reference: r for r in read_gml_buildings(spark, str(tmp_path / "b.gml")).collect()}
+    assert {k: r.geometry_error for k, r in got.items()} == {
+        "good": None, "court": None, "empty": "exterior ring without coordinates", "odd": "exterior ring without coordinates",
+        "text": "exterior ring without coordinates", "hole": "interior ring without coordinates"}
+    assert len(got["good"].geometry) == 4 and len(got["court"].parts[0].holes[0]) == 4
+    assert all(got[k].geometry is None and got[k].parts is None for k in ("empty", "odd", "text", "hole"))

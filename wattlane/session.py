@@ -103,8 +103,8 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``wattlane`` importable in the Python workers (``addPyFile`` of a zip).
 
-    Operators that run Python in tasks (pandas frame kernels, the Ward merge
-    task) call this; the zip is built once per application on the driver and
+    Operators that run Python in tasks (Ward components, trees, silhouette
+    blocks) call this; the zip is built once per application on the driver and
     Spark distributes it to every executor.
     """
     import zipfile

@@ -30,10 +30,11 @@ PARTS_TYPE = f"array<struct<exterior:{RING_TYPE},holes:array<{RING_TYPE}>>>"
 
 
 def poslist_to_ring(text: Column) -> Column:
-    """'x1 y1 x2 y2 ...' -> array<struct<x, y>>."""
-    nums = F.transform(F.split(F.trim(text), r"\s+"), lambda s: s.cast("double"))
-    idx = F.sequence(F.lit(0), (F.size(nums) / 2).cast("int") - 1)
-    return F.transform(idx, lambda i: F.struct(nums[i * 2].alias("x"), nums[i * 2 + 1].alias("y")))
+    """'x1 y1 x2 y2 ...' -> array<struct<x, y>>; null for a text that is empty, odd or not numeric."""
+    nums = F.transform(F.split(F.trim(text), r"\s+"), lambda s: s.try_cast("double"))
+    whole = (F.size(nums) % 2 == 0) & ~F.exists(nums, lambda v: v.isNull())
+    idx = F.sequence(F.lit(0), F.greatest((F.size(nums) / 2).cast("int") - 1, F.lit(0)))
+    return F.when(whole, F.transform(idx, lambda i: F.struct(F.get(nums, i * 2).alias("x"), F.get(nums, i * 2 + 1).alias("y"))))
 
 
 def _ring(r: Column) -> Column:
@@ -57,9 +58,12 @@ def _parts() -> Column:
 
 def read_gml_buildings(spark: SparkSession, paths: str | Sequence[str],
                        row_tag: str = "bu-ext2d:Building") -> DataFrame:
-    """Buildings with GML field names, ``parts`` (every patch with its rings), ``geometry`` and ``source_file``.
+    """Buildings with GML field names, ``parts`` (every patch with its rings), ``geometry``, ``geometry_error`` and ``source_file``.
 
-    ``geometry`` is the exterior ring of the first patch.
+    ``geometry`` is the exterior ring of the first patch.  A building with a ring
+    whose coordinates are missing, empty, odd in number or not numeric keeps its
+    other fields; its ``parts`` and ``geometry`` are null and ``geometry_error``
+    says which kind of ring it is.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = (spark.read.format("xml").schema(GML_SCHEMA).option("rowTag", row_tag.rsplit(":", 1)[-1]).option("attributePrefix", "_")
@@ -71,8 +75,11 @@ def read_gml_buildings(spark: SparkSession, paths: str | Sequence[str],
         number(F.col("numberOfBuildingUnits")).alias("numberOfBuildingUnits"),
         number(F.col("officialArea.OfficialArea.value._VALUE")).alias("value"),
         _parts().alias("parts"), F.input_file_name().alias("source_file"))
-    return rows.withColumn("geometry", F.get("parts", 0)["exterior"]).select(
-        *[c for c in rows.columns if c != "source_file"], "geometry", "source_file")
+    error = (F.when(F.exists("parts", lambda p: p["exterior"].isNull()), "exterior ring without coordinates")
+             .when(F.exists("parts", lambda p: F.exists(p["holes"], lambda h: h.isNull())), "interior ring without coordinates"))
+    rows = rows.withColumn("geometry_error", error).withColumn("parts", F.when(F.col("geometry_error").isNull(), F.col("parts")))
+    fields = [c for c in rows.columns if c not in ("geometry_error", "source_file")]
+    return rows.withColumn("geometry", F.get("parts", 0)["exterior"]).select(*fields, "geometry", "geometry_error", "source_file")
 
 
 def ring_to_poslist(ring: Column) -> Column:
