@@ -16,8 +16,8 @@ bytes.  A revisit needs no payload, so its chunks but the last are left out.
 are brought together by record number and sorted by chunk.  A task streams
 chunk rows into one archive: WARC 1.1, one gzip member per record, compressed
 as the chunks pass.  The header needs the length and digest of the whole
-payload: they come with every chunk of a long record by a window over its
-chunk rows without payloads.  A file gets its name when it is complete.
+payload: every chunk of a long record gets them by a join with its last chunk's,
+which carry no payload.  A file gets its name when it is complete.
 
 *Reading.*  Archives are read in pieces: members are decompressed and records
 cut into chunk rows again as the bytes pass.  The digest runs along and is
@@ -39,7 +39,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattlane.llm.common import BROADCAST_BYTES, materialise, small_batches, steps
