@@ -6,15 +6,14 @@ need no scaling and no imputation.  ``grid_search`` runs any MLlib estimator:
 
 * Features are picked by column kind (numbers vs text), as the reference's
   ``select_dtypes`` does; other kinds (timestamps, dates) are left out.
-* MLlib trees refuse missing values, so numeric features pass an ``Imputer``
-  (mean) and get a 0/1 missing-indicator column each.
+* MLlib trees refuse missing values, so missing numbers become their fold's mean.
 * Text features: ``StringIndexer(handleInvalid='keep')`` + ``OneHotEncoder``
   (dropLast): an unseen value becomes the all-zero vector, known values keep
   their slot - ``OneHotEncoder(handle_unknown='ignore')`` semantics.
-* Numeric features are standardised inside the pipeline (MLlib's scaler
-  divides by the sample std; trees are invariant to any scaling).
-* The grid search fits the preprocessing once per fold and the trees of all
-  parameter combinations of that fold concurrently (Spark schedules the jobs).
+* Numeric features are standardised with the mean and population std of the
+  fold's training rows (trees are invariant to any scaling).
+* The grid search takes the preprocessing of all folds from one aggregate and fits the
+  trees of all parameter combinations of a fold concurrently (Spark schedules the jobs).
 * MLlib trees are at most 30 deep.  A deeper grid value is fitted at 30; if the
   tree ends above that depth by itself, it is the tree the deeper value gives,
   and the grid point stands; if it reaches 30, the fit is an error.
@@ -38,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattlane.operators.fold_stats import fold_preprocessing
 from wattlane.operators.splits import fold_frames
 from wattlane.operators.trees import TreeModel, feature_array, grow, node_table, route
 from wattlane.session import cut_lineage, scratch_table_path
@@ -200,25 +200,25 @@ def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: s
                 n_splits: int = 5, parallelism: int | None = None) -> GridResult:
     """Every grid point on every expanding fold, mean MSE, best refitted on all training rows.
 
-    Preprocessing is fitted inside each fold (on that fold's training rows),
-    once for all grid points of the fold.  ``scores`` has every grid point as
+    Preprocessing is that of each fold's training rows, from statistics of all
+    folds gathered at once (``fold_stats``).  ``scores`` has every grid point as
     asked for; points that differ only beyond MLlib's depth are fitted once.
     """
     grid = list(grid)
     keys = sorted(grid[0])
-    # MLlib trees refuse missing values: impute (mean, refitted per fold) the
-    # numeric features that have any value in the training rows
+    # every fold's scalers and encoders come from one aggregate each; MLlib trees refuse
+    # missing values: numeric features that have any value are imputed with the fold's mean
     numeric = present_columns(folds.where(F.col("train_from_fold").isNotNull()), numeric)
-    stages, _ = preprocessing_stages(numeric, text, impute=True)
 
     first_train = folds.where(F.col("train_from_fold") == 0).limit(1).count()
     if not first_train:
         raise ValueError(f"too few training rows for {n_splits} folds: every fold needs rows "
                          "before its test block")
+    stages = fold_preprocessing(folds, numeric, text, n_splits)
 
     def prepare(fold):
         tr, te = fold_frames(folds, fold)
-        prep = Pipeline(stages=stages).fit(tr)
+        prep = Pipeline(stages=stages[fold]).fit(tr)        # ready stages: no job
         trp = prep.transform(tr).select("features", F.col(label).cast("double").alias("_y")).persist()
         tep = prep.transform(te).select("features", F.col(label).cast("double").alias("_y")).persist()
         return fold, trp, tep
@@ -255,7 +255,7 @@ def grid_search(spark: SparkSession, folds: DataFrame, test: DataFrame, label: s
     best_params = dict(zip(keys, best_key))
     best = {**best_params, "mean_mse": sum(mean[best_key]) / len(mean[best_key])}
     all_train = folds.where(F.col("train_from_fold").isNotNull())
-    model = Pipeline(stages=[*stages, build(best_params)]).fit(
+    model = Pipeline(stages=[*stages[n_splits], build(best_params)]).fit(
         all_train.withColumn("_y", F.col(label).cast("double")))
     check_depth(model.stages[-1], best_params)
     tp = model.transform(test)

@@ -324,6 +324,33 @@ def q_expanding_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
         "postalcode", "ts_utc", "test_fold", "train_from_fold")
 
 
+#: The features of the fold statistics below: numbers with and without missing values, and texts.
+FOLD_NUMERIC, FOLD_TEXT = ["hour", "contracts", "gappy"], ["postalcode", "month", "weekday"]
+
+
+def fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from wattlane.session import cut_lineage
+    hold = holdout_rows(spark, sf_dir).withColumn(
+        "gappy", F.when(F.col("hour") % 5 != 0, F.col("consumption")))      # a feature with gaps
+    return cut_lineage(hold.select("train_from_fold", *FOLD_NUMERIC, *FOLD_TEXT))
+
+
+@query("fold_scalers")
+def q_fold_scalers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and std of every numeric feature in every fold, from one aggregate."""
+    from wattlane.operators.fold_stats import fold_scalers
+    return fold_scalers(fold_rows(spark, sf_dir), FOLD_NUMERIC)
+
+
+@query("fold_categories")
+def q_fold_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fold that knows each text value."""
+    from wattlane.operators.fold_stats import fold_categories
+    return fold_categories(fold_rows(spark, sf_dir), FOLD_TEXT)
+
+
 @query("accuracy_by_split")
 def q_accuracy_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F

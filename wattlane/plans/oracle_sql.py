@@ -299,6 +299,21 @@ SELECT postalcode, ts_utc,
 FROM (SELECT *, row_number() OVER (ORDER BY ts_utc DESC, postalcode DESC) - 1 AS rn
       FROM hold WHERE split = 'train') t"""
 
+FOLD_OF = """
+    SELECT *, CASE WHEN rn < 480 THEN 5 - floor(rn / 96) ELSE 0 END AS train_from_fold
+    FROM (SELECT *, CASE WHEN hour % 5 <> 0 THEN consumption END AS gappy,
+                 row_number() OVER (ORDER BY ts_utc DESC, postalcode DESC) - 1 AS rn
+          FROM hold WHERE split = 'train') t"""
+
+ORACLE["fold_scalers"] = with_forecast_areas(hold=HOLDOUT, fold_of=FOLD_OF) + " UNION ALL ".join(f"""
+SELECT CAST(f.fold AS INTEGER) AS fold, '{c}' AS feature, count(*) AS n_rows, count({c}) AS n,
+       avg(CAST({c} AS DOUBLE)) AS mean, stddev_pop(CAST({c} AS DOUBLE)) AS std
+FROM fold_of JOIN range(0, 6) f(fold) ON train_from_fold <= f.fold GROUP BY f.fold""" for c in ("hour", "contracts", "gappy"))
+
+ORACLE["fold_categories"] = with_forecast_areas(hold=HOLDOUT, fold_of=FOLD_OF) + " UNION ALL ".join(f"""
+SELECT '{c}' AS feature, {c} AS value, CAST(min(train_from_fold) AS INTEGER) AS first_fold
+FROM fold_of WHERE {c} IS NOT NULL GROUP BY {c}""" for c in ("postalcode", "month", "weekday"))
+
 ORACLE["accuracy_by_split"] = with_classification() + f"""
 SELECT split, count(*) AS n,
        avg(CAST(prediction = cluster AS DOUBLE)) AS accuracy
