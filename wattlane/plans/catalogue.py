@@ -623,3 +623,29 @@ def q_tables_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wattlane.sources.sinks import write_tables
     paths = write_tables({"wide": profile_wide_meter(spark, sf_dir)}, scratch_table_path(spark, "tables"))
     return spark.read.parquet(paths["wide"])
+
+
+@query("stored_months")
+def q_stored_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consumption table stored by month, read back through its contract for one span of days."""
+    from pyspark.sql import functions as F
+
+    from wattlane.session import scratch_table_path
+    from wattlane.sources.storage import write_series
+    from wattlane.sources.tables import read_consumption
+    rows = S.nation_daily_orders(spark, sf_dir).withColumnRenamed("consumption_filtered", "consumption")
+    path = scratch_table_path(spark, "series")
+    write_series(rows.withColumn("contracts", F.lit(1)), path, time="time", keys=("postalcode", "time"), buckets=2)
+    return read_consumption(spark, path, start="1995-03-10", end="1996-02-05")
+
+
+@query("stored_forecast_dataset")
+def q_stored_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J10 from stored series: both sides of the weather join come in buckets of its keys."""
+    from wattlane.operators.enrich import forecast_dataset
+    from wattlane.session import scratch_table_path
+    from wattlane.sources.storage import write_series
+    series = write_series(cleaned_meter(spark, sf_dir), scratch_table_path(spark, "cleaned"), buckets=8)
+    weather = write_series(S.hourly_weather(spark, sf_dir), scratch_table_path(spark, "weather"), time="time",
+                           keys=("postalcode", "time"), buckets=8)
+    return forecast_dataset(series, weather, S.socio_events(spark, sf_dir), S.area_events(spark, sf_dir))

@@ -274,6 +274,12 @@ def with_forecast_areas(**extra: str) -> str:
 ORACLE["forecast_dataset"] = with_forecast() + "SELECT * FROM fc"
 
 
+ORACLE["stored_forecast_dataset"] = ORACLE["forecast_dataset"]
+
+ORACLE["stored_months"] = sql_with("nation_daily_orders") + """
+SELECT postalcode, time, consumption_filtered AS consumption, 1 AS contracts
+FROM nation_daily_orders WHERE time >= '1995-03-10' AND time < '1996-02-05'"""
+
 ORACLE["hash_split"] = with_classification() + f"""
 SELECT postalcode, date, cluster,
        CASE WHEN {md5_bucket("concat_ws('|', '42', CAST(postalcode AS VARCHAR), CAST(date AS VARCHAR))", "100")} < 20
