@@ -98,3 +98,61 @@ def test_whole_building_counts(spark):
     for limit in (1 << 20, 0):
         got = {r.id: r.postalcode for r in join_within(b, polys, cell=50.0, parts="parts", broadcast_bytes=limit).collect()}
         assert got == {"both_in": "H", "one_out": None, "court": "H", "small_court": None, "no_court": None}
+
+
+def _covered_inputs(spark):
+    """A polygon with a hole, one a thousand times smaller in area inside it, a triangle, one without extent; boxes all over."""
+    import random
+    rng = random.Random(3)
+    ring = "array<struct<x:double,y:double>>"
+    polys = spark.createDataFrame([
+        ("big", _sq(0, 0, 3200, 3200), [_sq(1000, 1000, 1100, 1200)]), ("small", _sq(500, 500, 600, 600), []),
+        ("triangle", [(-700.0, -300.0), (900.0, 100.0), (200.0, 2500.0)], []), ("point", _sq(5, 5, 5, 5), []), ("none", None, None),
+    ], f"postalcode string, exterior {ring}, holes array<{ring}>")
+    boxes = []
+    for i in range(400):
+        x, y, w = rng.uniform(-800, 3300), rng.uniform(-400, 3300), rng.choice([2.0, 30.0, 300.0])
+        if i % 4 == 0:
+            x, y = rng.uniform(480, 610), rng.uniform(480, 610)
+        if i % 10 == 0:                                  # on cell borders, touching the large square's side
+            x, y = 0.0, float(64 * (i // 10))
+        boxes.append((i, _sq(x, y, x + w, y + w)))
+    b = spark.createDataFrame([*boxes, (400, None), (401, [])], f"id int, geometry {ring}")
+    return b, polys
+
+
+def test_cells_of_any_size_give_the_same_rows(spark):
+    from pyspark.sql import functions as F
+
+    from wattlane.functions.geometry import within
+    b, polys = _covered_inputs(spark)
+    pairs = b.where("size(geometry) > 0").crossJoin(polys.where("exterior is not null")).where(within("geometry", "exterior", "holes"))
+    inside = pairs.select("id", "postalcode").collect()
+    want = sorted([(r.id, r.postalcode) for r in inside] + [(i, "") for i in range(402) if i not in {r.id for r in inside}])
+    assert len({r.postalcode for r in inside}) == 3 and len(inside) > 150
+    for cell, levels, limit in ((None, 4, 1 << 26), (None, 0, 1 << 26), (None, 6, 0), (500.0, 4, 1 << 26), (0.3, 4, 0), (1e6, 4, 1 << 26)):
+        got = join_within(b, polys, cell=cell, levels=levels, broadcast_bytes=limit)
+        assert got.columns == ["id", "geometry", "postalcode"]
+        assert sorted((r.id, r.postalcode or "") for r in got.collect()) == want, (cell, levels, limit)
+    assert join_within(b, polys.limit(0)).where(F.col("postalcode").isNull()).count() == 402
+    assert join_within(b.limit(0), polys).count() == 0
+
+
+def test_covering_follows_the_polygon(spark):
+    """Cells do not overlap, hold the polygon, are as many for polygons of any area, and spare most exact tests."""
+    from wattlane.operators.spatial import covering, polygon_edges
+    _, polys = _covered_inputs(spark)
+    for levels in (0, 2, 4):
+        cells = covering(polygon_edges(polys), levels).collect()
+        area = {}
+        for c in cells:
+            area.setdefault(c._key, [0.0, 0.0, 0])
+            area[c._key][0] += c._size ** 2
+            area[c._key][1] += c._size ** 2 * c._inside
+            area[c._key][2] += 1
+        for k, a in (("big", 3200 ** 2 - 100 * 200), ("small", 100 ** 2)):
+            assert area[k][1] <= a <= area[k][0]
+        assert len({(c._key, c._size, c._cx, c._cy) for c in cells}) == len(cells)
+    assert area["big"][1] > 0.7 * 3200 ** 2 and area["small"][1] > 0.5 * 100 ** 2
+    assert max(area[k][2] for k in ("big", "small")) < 3 * min(area[k][2] for k in ("big", "small"))
+    assert "none" not in area and area["point"][2] >= 1

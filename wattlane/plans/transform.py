@@ -14,7 +14,7 @@ from wattlane.operators.spatial import join_within, to_cadaster_crs
 
 
 def transform_consumption_data(consumption: DataFrame, buildings: DataFrame, postal_polygons: DataFrame,
-                               polygons_srid: int = 25831, cell: float = 1000.0,
+                               polygons_srid: int = 25831, cell: float | None = None,
                                ) -> tuple[DataFrame, DataFrame]:
     """(cleaned hourly series, cadaster per postal code).
 
