@@ -84,3 +84,28 @@ def test_single_category_and_all_missing_feature(spark):
     rows = model.transform(train).select(vector_to_array("features").alias("f")).collect()
     assert all(len(r.f) == 2 for r in rows)                 # one slot for the single category
     assert present_columns(train, ["x", "z"]) == ["x"]
+
+
+def test_wide_dimension_is_not_broadcast(spark):
+    """500 columns, or long texts: the bytes count, not the rows."""
+    def plan(dim):
+        joined = spark.range(1000).withColumn("k", F.col("id") % 10).join(dim, "k")
+        return joined._jdf.queryExecution().analyzed().toString()
+    ten = spark.range(10).withColumnRenamed("id", "k")
+    wide = ten.select("k", *[(F.col("k") * i).cast("double").alias(f"v {i}") for i in range(500)])
+    assert "broadcast" in plan(dimension(wide)) and "broadcast" not in plan(dimension(wide, broadcast_bytes=10 * 500 * 8))
+    texts = ten.withColumn("t", F.repeat(F.lit("é"), 5000)).withColumn("a", F.array(F.lit(1.5)))
+    assert "broadcast" in plan(dimension(texts, broadcast_bytes=110_000)) and "broadcast" not in plan(dimension(texts, broadcast_bytes=100_000))
+    assert "broadcast" in plan(dimension(ten.limit(0), broadcast_bytes=0))
+
+
+def test_slices_do_not_depend_on_row_order(spark):
+    """Repeated instants: the windows are the same however the rows arrive."""
+    from wattlane.operators.metrics import forecast_slices
+    rows = [("a", f"2024-01-01 {i // 6:02d}:00:00", i % 3, float(i)) for i in range(120)]
+    schema = "postalcode string, t string, consumption int, predicted double"
+
+    def windows(order):
+        df = spark.createDataFrame(order, schema).withColumn("ts_utc", F.to_timestamp_ntz("t")).repartition(3)
+        return sorted(map(tuple, forecast_slices(df, ["a"], hours=10, npred=4).select("slice", "offset", "consumption", "predicted").collect()))
+    assert windows(rows) == windows(rows[::-1]) and len(windows(rows)) == 40

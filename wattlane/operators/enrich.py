@@ -1,9 +1,9 @@
 """Feature tables of the two prediction tasks.
 
 Dimension tables (socioeconomic per (area, year), cadaster per area) are
-materialised once in the shared checkpoint folder and counted; a dimension
-of at most ``broadcast_rows`` rows is broadcast, a larger one is joined by
-sort-merge.  The planner alone would not broadcast them: it estimates an
+materialised once in the shared checkpoint folder and measured; a dimension
+of at most ``broadcast_rows`` rows and ``broadcast_bytes`` bytes, however wide its
+rows, is broadcast, a larger one is joined by sort-merge.  The planner alone would not broadcast them: it estimates an
 aggregate as large as its input, and every sort-merge join re-shuffles the
 fact table on the next key.  With the dimensions broadcast, the fact table
 keeps the partitioning of its own aggregation, and only the fact-to-fact
@@ -12,24 +12,43 @@ weather join (per day or hour) shuffles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattlane.functions.calendar import (month_number, month_text, utc_column,
                                          weekday_iso_text, weekday_monday0, year_of)
 from wattlane.session import cut_lineage
 
 
-# Rows a dimension may hold and still be broadcast to every task.
+# Rows and measured bytes a dimension may hold and still be broadcast to every task.
 BROADCAST_ROWS = 2_000_000
-
-
-def dimension(df: DataFrame, broadcast_rows: int | None = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a dimension once; broadcast it when its row count is within the bound."""
+BROADCAST_BYTES = 64 << 20
+
+
+def measured_bytes(df: DataFrame) -> Column:
+    """Bytes of a row as text and numbers: measured where the width varies, the type's own width elsewhere."""
+    fixed, varying = 16, []
+    for f in df.schema.fields:
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            fixed += 16
+            varying.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            fixed += 64
+            varying.append(F.coalesce(F.octet_length(F.to_json(F.struct(c.alias("c")))), F.lit(0)))
+        else:
+            fixed += 16 if isinstance(f.dataType, T.DecimalType) else 8
+    return F.aggregate(F.array(*varying), F.lit(fixed).cast("long"), lambda a, b: a + b) if varying else F.lit(fixed).cast("long")
+
+
+def dimension(df: DataFrame, broadcast_rows: int | None = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Materialise a dimension once; broadcast it when its rows and its measured bytes are within the bounds."""
     if broadcast_rows is None:
         return df
     d = cut_lineage(df)
-    return F.broadcast(d) if d.count() <= broadcast_rows else d
+    rows, size = d.agg(F.count(F.lit(1)), F.coalesce(F.sum(measured_bytes(d)), F.lit(0))).first()
+    return F.broadcast(d) if rows <= broadcast_rows and size <= broadcast_bytes else d
 
 
 def dimensions(dfs: list[DataFrame], broadcast_rows: int | None = BROADCAST_ROWS) -> list[DataFrame]:

@@ -40,13 +40,17 @@ def forecast_slices(pred: DataFrame, postalcodes: Sequence[str], hours: int = 96
     The start of window i is md5-hashed from (seed, postal code, i) into
     ``[0, len - hours]`` - repeatable, unlike ``random.randint``.  Series
     of at most ``hours`` rows give no windows.  Row positions come from
-    :func:`series_index`, so no series is sorted in one task.
+    :func:`series_index`, so no series is sorted in one task.  Rows of one
+    instant are ordered by all other columns that can be ordered, so the windows
+    do not depend on the order the rows arrive in.
     """
     rows = pred.where(F.col(key).isin(list(postalcodes)))
     if materialize:
         # read three times below (chunk counts, numbering, series lengths)
         rows = cut_lineage(rows)
-    rows = series_index(rows, [key], order, out="row_idx")
+    rest = [f.name for f in rows.schema.fields
+            if f.name not in (key, order) and not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    rows = series_index(rows, [key], order, tiebreak=rest, out="row_idx")
     lens = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_len"))
     starts = (lens.where(F.col("_len") > F.lit(hours))
                   .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(npred - 1))))
