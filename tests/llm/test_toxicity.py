@@ -183,3 +183,37 @@ def test_copies_do_not_fill_the_sample(spark):
     lab = spark.createDataFrame(labels + [(i, 0, 0) for i, _ in copies], LABELS)
     got = {r.doc_id: r for r in score_toxicity(df, lab, sample_rows=150).collect()}
     assert all(got[i].predicted == t for i, t, _ in labels if got[i].held_out)
+
+
+def test_dealt_lexicon_equals_one_trie(spark):
+    """Words and terms met by deletions find every match that one trie of all terms finds, and the same best one."""
+    from wattlane.llm.toxicity import match_words
+    rng = random.Random(21)
+    word = lambda lo, hi: "".join(rng.choice("abcé") for _ in range(rng.randint(lo, hi)))
+    terms = {(word(1, 14), False) for _ in range(150)} | {(word(3, 6), True) for _ in range(12)} | {("x" * 300, False), ("abcab", True), ("abcab", False)}
+
+    def near(w):
+        w = list(w)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(w) + 1)
+            kind = rng.randrange(4)
+            if kind == 0:
+                w.insert(i, rng.choice("abcé"))
+            elif i < len(w) and kind == 1:
+                del w[i]
+            elif i < len(w) and kind == 2:
+                w[i] = rng.choice("abcé")
+            elif i + 1 < len(w):
+                w[i], w[i + 1] = w[i + 1], w[i]
+        return "".join(w)
+    listed = sorted(terms)
+    found = {near(rng.choice(listed)[0]) for _ in range(2500)} | {word(1, 15) for _ in range(500)} | {"x" * 301, "x" * 5000, "x" * 297}
+    counts = spark.createDataFrame([(w, i % 3, i % 5) for i, w in enumerate(sorted(found - {""}))], "w string, t long, c long").repartition(3)
+    lexicon = spark.createDataFrame(listed, "term string, stem boolean").repartition(2)
+    for two_len in (8, 5):
+        whole = sorted(map(tuple, match_words(counts, lexicon, two_len=two_len).collect()))
+        dealt = sorted(map(tuple, match_words(counts, lexicon, two_len=two_len, part_terms=1).collect()))
+        assert whole == dealt
+        assert {m[3] for m in whole} == {0, 1, 2} and len(whole) > 1000
+    few = match_words(counts.limit(0), lexicon, part_terms=1), match_words(counts, lexicon.where("term = 'abcab' and stem"), part_terms=0)
+    assert few[0].count() == 0 and few[1].where("w like 'abcab%'").count() == few[1].count() > 0

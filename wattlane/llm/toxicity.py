@@ -16,9 +16,10 @@ automaton (bit-parallel: one bit mask of reached positions per number of
 edits; an exchange of neighbours is one edit) runs down the trie; branches
 whose states die out are left.  Word terms match exactly below four
 characters, with one edit from four, with two from eight; stems exactly at the
-start of a word.  Every distinct word of the corpus is matched once, the terms
-going to the tasks in parts; the matches are a table, sent to every task where
-it is small and joined by word where not.  What a misspelling is worth is
+start of a word.  Every distinct word of the corpus is matched once; a lexicon
+too large for one trie meets the words by equal strings left after deletions, and
+every batch of such pairs has a trie of its own.  The matches are a table, sent to
+every task where it is small and joined by word where not.  What a misspelling is worth is
 learned: a share of its family's weight, moved by what the other words near
 that family are worth and by its own counts.
 
@@ -49,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import broadcast_if_small, let, materialise, small_batches, steps, text_key, text_or_empty, words
+from wattlane.llm.common import broadcast_if_small, broadcast_measured, let, materialise, row_width, small_batches, steps, text_key, text_or_empty, words
 from wattlane.session import ship_package
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -183,7 +184,7 @@ def learn_terms(rows: DataFrame, stems: tuple[int, ...] = (3, 4, 5, 6, 7, 8), mi
     seen = counts.where("t + c > 0")
     tests = seen.count()
     often = materialise(seen.where((F.col("t") >= min_docs) & _raised("t", "c", base, lift, tests)), "tox-often")
-    small = broadcast_if_small(often, 48)
+    small = broadcast_measured(often)
     often = (often.join(_contexts(train.where("toxic = 1"), small.select("w")).withColumnRenamed("contexts", "ct"), "w", "left")
              .join(_contexts(train.where("toxic = 0"), small.where("c > 0").select("w")).withColumnRenamed("contexts", "cc"), "w", "left")
              .na.fill(0, ["ct", "cc"]))
@@ -195,7 +196,7 @@ def learn_terms(rows: DataFrame, stems: tuple[int, ...] = (3, 4, 5, 6, 7, 8), mi
     raised = (forms.groupBy("stem").agg(F.sum("t").alias("st"), F.sum("c").alias("sc"), F.sum((F.col("t") > 0).cast("int")).alias("n"))
               .where((F.col("st") >= lift * base * (F.col("st") + F.col("sc"))) & (F.col("n") >= min_docs)).select("stem"))
     pairs = materialise(forms.join(raised, "stem", "left_semi").select("w", "stem"), "tox-forms")
-    per_doc = (distinct.where("toxic is not null").join(broadcast_if_small(pairs, 64), "w").groupBy("key", "stem")
+    per_doc = (distinct.where("toxic is not null").join(broadcast_measured(pairs), "w").groupBy("key", "stem")
                .agg(F.max("toxic").alias("toxic"), F.count("*").alias("n"), F.sum(F.xxhash64("w") % (1 << 40)).alias("set")))
     by_n = (per_doc.select("stem", "toxic", F.least("n", F.lit(3)).alias("n"), "set").distinct()
             .groupBy("stem").agg(*[F.sum(F.when(F.col("n") >= k, F.col("toxic")).otherwise(0)).alias(f"t{k}") for k in (1, 2, 3)],
@@ -227,7 +228,7 @@ def learn_terms(rows: DataFrame, stems: tuple[int, ...] = (3, 4, 5, 6, 7, 8), mi
     picked = materialise(picked, "tox-picked").withColumn("family", F.concat(F.lit(_STEM), "stem"))
     under = seen.where((F.col("t") > 0) & (F.col("t") >= lift * base * (F.col("t") + F.col("c")))).select("w", F.explode(F.array(*[
         F.when(F.char_length("w") >= k, F.substring("w", 1, k)) for k in stems])).alias("stem")).where("stem is not null")
-    under = materialise(under.join(broadcast_if_small(picked, 96), "stem").select("w", "family", "weights"), "tox-under")
+    under = materialise(under.join(broadcast_measured(picked), "stem").select("w", "family", "weights"), "tox-under")
     weight = F.log((F.col("t") + 2 * base) / (F.col("c") + 2 * (1 - base))) - _logit(base)
     terms = (picked.select(F.col("stem").alias("term"), F.lit(True).alias("stem"), "family", "weights")
              .union(under.select(F.col("w").alias("term"), F.lit(False), "family", "weights"))
@@ -235,36 +236,87 @@ def learn_terms(rows: DataFrame, stems: tuple[int, ...] = (3, 4, 5, 6, 7, 8), mi
     return materialise(terms, "tox-lexicon"), counts, base
 
 
+#: Characters of a word whose deletions are its keys: at most 56 keys a word for two edits, however long it is.
+KEY_PREFIX = 10
+
+
+def _deletions(word: Column, edits: int) -> Column:
+    """The first KEY_PREFIX characters with up to ``edits`` of them left out.
+
+    Two words at that distance (an exchange of neighbours is one edit) have one
+    in common: leaving the edited positions out of both gives equal strings, and
+    of their starts the longer one is cut to the shorter.
+    """
+    cut = lambda v: F.transform(steps(1, F.char_length(v)), lambda i: F.concat(
+        F.substr(v, F.lit(1), i - 1), F.substr(v, i + 1, F.lit(KEY_PREFIX))))
+    found = F.array(F.substring(word, 1, KEY_PREFIX))
+    last = found
+    for _ in range(edits):
+        last = F.flatten(F.transform(last, cut))
+        found = F.concat(found, last)
+    return F.array_distinct(found)
+
+
+def _key(kind: str, c: Column) -> Column:
+    return F.xxhash64(F.lit(kind), c)
+
+
+def candidates(counts: DataFrame, terms: DataFrame, fuzzy_len: int, two_len: int) -> DataFrame:
+    """Rows (w, t, c, term, stem): every word with every term that it may match, and some that it does not."""
+    w, term, nothing = F.col("w"), F.col("term"), F.array().cast("array<bigint>")
+    size = F.char_length(term)
+    deleted = lambda x, k: F.transform(_deletions(x, k), lambda v: _key(str(k), v))
+    of_term = (F.when(F.col("stem"), F.array(_key("stem", term))).when(size < fuzzy_len, F.array(_key("0", term)))
+               .when(size >= two_len, deleted(term, 2)).otherwise(deleted(term, 1)))
+    dealt = broadcast_measured(materialise(terms.select("term", "stem", F.explode(of_term).alias("k")), "tox-term-keys"))
+    # one row per length of a stem, a handful; and the longest term: longer words are near no term
+    stems = sorted(r[0] for r in terms.where("stem").select(size).distinct().collect())
+    longest = terms.where("not stem").agg(F.coalesce(F.max(size), F.lit(0))).first()[0]
+    n = F.char_length(w)
+    starts = F.filter(F.array(*[F.when(n >= k, _key("stem", F.substring(w, 1, k))) for k in stems]).cast("array<bigint>"), lambda k: k.isNotNull())
+    of_word = F.concat(starts, F.when(n < fuzzy_len, F.array(_key("0", w))).otherwise(nothing),
+                       F.when(n.between(fuzzy_len - 1, min(two_len, longest + 1)), deleted(w, 1)).otherwise(nothing),
+                       F.when(n.between(two_len - 2, longest + 2), deleted(w, 2)).otherwise(nothing))
+    return (counts.select("w", "t", "c", F.explode(of_word).alias("k")).join(dealt, "k")
+            .select("w", "t", "c", "term", "stem").distinct())
+
+
 def match_words(counts: DataFrame, terms: DataFrame, fuzzy_len: int = 4, two_len: int = 8, part_terms: int = 50_000) -> DataFrame:
     """Rows (w, t, c, edits, term, stem): every word with its best term.
 
-    The terms go to the tasks in parts of about ``part_terms``, each with a trie
-    of its own, and a word keeps the best of its matches in all parts.
+    Up to ``part_terms`` terms are one trie, sent to every task.  More terms never
+    pass the driver: words and terms meet by their shared deletions, and the terms that
+    a batch of such pairs names are that batch's trie.  A word keeps the best of its matches.
     """
-    parts = max(1, -(-terms.count() // part_terms))
-    spread = terms.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)))
-    all_found = None
-    for part in range(parts):
-        some = sorted(((r["term"], r["stem"], ()) for r in spread.where(F.col("part") == part).select("term", "stem").collect()),
-                      key=lambda x: (x[0], not x[1]))
-
-        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
-            lexicon = Lexicon(some, {}, 0.0, fuzzy_len, True, two_len)
+    match = "w string, t long, c long, edits int, term string, stem boolean"
+
+    def matched(batch: pa.RecordBatch, lexicon: Lexicon, some: list[tuple]) -> pa.RecordBatch:
+        found = [lexicon.match(w) for w in batch.column("w").to_pylist()]
+        hit = [f for f in found if f is not None]
+        batch = batch.select(["w", "t", "c"]).filter(pa.array([f is not None for f in found], pa.bool_()))
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array([e for e, _ in hit], pa.int32()), pa.array([some[k][0] for _, k in hit], pa.string()),
+             pa.array([some[k][1] for _, k in hit], pa.bool_())], ["w", "t", "c", "edits", "term", "stem"])
+
+    order = lambda x: (x[0], not x[1])
+    if terms.count() <= part_terms:
+        whole = sorted(((r["term"], r["stem"], ()) for r in terms.select("term", "stem").collect()), key=order)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lexicon = Lexicon(whole, {}, 0.0, fuzzy_len, True, two_len)
             for batch in batches:
-                found = [lexicon.match(w) for w in batch.column("w").to_pylist()]
-                hit = [f for f in found if f is not None]
-                batch = batch.filter(pa.array([f is not None for f in found], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array([e for e, _ in hit], pa.int32()), pa.array([some[k][0] for _, k in hit], pa.string()),
-                     pa.array([some[k][1] for _, k in hit], pa.bool_())], ["w", "t", "c", "edits", "term", "stem"])
-
-        found = counts.select("w", "t", "c").mapInArrow(run, "w string, t long, c long, edits int, term string, stem boolean")
-        all_found = found if all_found is None else all_found.union(found)
-    if parts > 1:
-        best = F.min(F.struct("edits", "term", (~F.col("stem")).alias("whole"))).alias("m")
-        all_found = all_found.groupBy("w", "t", "c").agg(best).select(
-            "w", "t", "c", "m.edits", "m.term", (~F.col("m.whole")).alias("stem"))
-    return materialise(all_found, "tox-matches")
+                yield matched(batch, lexicon, whole)
+
+        return materialise(counts.select("w", "t", "c").mapInArrow(run, match), "tox-matches")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = sorted({(t, s, ()) for t, s in zip(batch.column("term").to_pylist(), batch.column("stem").to_pylist())}, key=order)
+            yield matched(batch, Lexicon(some, {}, 0.0, fuzzy_len, True, two_len), some)
+
+    best = F.min(F.struct("edits", "term", (~F.col("stem")).alias("whole"))).alias("m")
+    found = candidates(counts, terms, fuzzy_len, two_len).mapInArrow(confirm, match).groupBy("w", "t", "c").agg(best)
+    return materialise(found.select("w", "t", "c", "m.edits", "m.term", (~F.col("m.whole")).alias("stem")), "tox-matches")
 
 
 def hot_words(counts: DataFrame, terms: DataFrame, base: float, shrink: float = 5.0, share: float = 0.75, **kw) -> DataFrame:
@@ -274,11 +326,11 @@ def hot_words(counts: DataFrame, terms: DataFrame, base: float, shrink: float =
     from it as the other words at that distance from the family say (each word
     once, however often it stands), and then as its own counts say.
     """
-    found = match_words(counts, terms, **kw).join(broadcast_if_small(terms, 128), ["term", "stem"])
+    found = match_words(counts, terms, **kw).join(broadcast_measured(terms), ["term", "stem"])
     n = F.col("t") + F.col("c")
     types = materialise(found.where((F.col("edits") > 0) & (n > 0)).groupBy("family", "edits").agg(
         F.sum(F.col("t") / n).alias("tt"), F.sum(F.col("c") / n).alias("tc")), "tox-types")
-    found = found.join(broadcast_if_small(types, 64), ["family", "edits"], "left").na.fill(0.0, ["tt", "tc"])
+    found = found.join(broadcast_measured(types), ["family", "edits"], "left").na.fill(0.0, ["tt", "tc"])
     start = lambda x: 1 / (1 + F.exp(-(share * x + F.lit(_logit(base)))))
     unseen = lambda x: (F.col("tt") + shrink * start(x)) / (F.col("tt") + F.col("tc") + shrink)
     p = lambda x: (F.col("t") + shrink * unseen(x)) / (n + shrink)
@@ -301,7 +353,7 @@ def find_hits(docs: DataFrame, hot: DataFrame | None, window: int = 4, hot_bytes
     kept = [c for c in docs.columns if c != "text"]
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
     entry = lambda r: (r["w"].encode("utf-8", "surrogatepass"), (r["family"], r["form"], r["edits"], tuple(r["weights"])))
-    joined = hot is not None and hot.count() * 200 > hot_bytes
+    joined = hot is not None and (hot.agg(F.sum(row_width(hot) + 100)).first()[0] or 0) > hot_bytes
     everywhere = {} if joined or hot is None else dict(map(entry, hot.collect()))
     if joined:
         own = (docs.select("key", F.explode(F.array_distinct(words(F.col("text")))).alias("w")).join(hot, "w").distinct()
@@ -405,7 +457,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     context = materialise(context, "tox-context")
     t, c = context.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
     odds = F.log((F.col("t") + 1) / F.lit(t + 1.0)) - F.log((F.col("c") + 1) / F.lit(c + 1.0))
-    context = broadcast_if_small(context, 96).select("word", F.least(F.greatest(odds, F.lit(-2.0)), F.lit(2.0)).alias("odds"))
+    context = broadcast_measured(context).select("word", F.least(F.greatest(odds, F.lit(-2.0)), F.lit(2.0)).alias("odds"))
     featured = materialise(_features(hits, context).select("id", "key", "toxic", *FEATURES), "tox-features")
 
     # copies have the same features: one row of the sample, with their number as its weight
