@@ -189,16 +189,17 @@ UTM_FALSE_NORTHING = 0.0
 def _kruger_coefficients(f: float):
     n = f / (2 - f)
     big_a = 1 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64)
-    alpha = (n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16,
-             13 * n ** 2 / 48 - 3 * n ** 3 / 5,
-             61 * n ** 3 / 240)
+    alpha = (n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180,
+             13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440,
+             61 * n ** 3 / 240 - 103 * n ** 4 / 140,
+             49561 * n ** 4 / 161280)
     return n, big_a, alpha
 
 
 def lonlat_to_tm(lon: str | Column, lat: str | Column, lon0: float = UTM31_LON0, k0: float = UTM_K0,
                  a: float = GRS80_A, f: float = GRS80_F, false_e: float = UTM_FALSE_EASTING,
                  false_n: float = UTM_FALSE_NORTHING, digits: int | None = 3) -> Column:
-    """geographic degrees -> transverse Mercator metres (Krueger series, 3rd order).
+    """geographic degrees -> transverse Mercator metres (Krueger series, 4th order).
 
     Defaults give ETRS89 / UTM 31N, the CRS of the cadaster files.  The series
     is accurate to well under a millimetre inside a zone, so results are

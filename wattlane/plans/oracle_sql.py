@@ -498,10 +498,13 @@ FROM postal_polygons"""
 def _sql_tm() -> tuple[str, str]:
     import math
 
-    from wattlane.functions.geometry import GRS80_A, GRS80_F, UTM_K0, _kruger_coefficients
-    n, big_a, alpha = _kruger_coefficients(GRS80_F)
-    k = 2 * math.sqrt(n) / (1 + n)
-    scale = UTM_K0 * GRS80_A * big_a
+    # fixed values: GRS80 (a, 1/f), UTM's scale, and by quadrature of the meridian the radius of the
+    # rectifying sphere over a and the Fourier coefficients of rectifying minus conformal latitude
+    a, f, k0 = 6378137.0, 1 / 298.257222101, 0.9996
+    big_a = 0.9983242984230423
+    alpha = (0.0008377318247285103, 7.608527848336207e-07, 1.1976455079943694e-09, 2.429178874111676e-12)
+    k = math.sqrt(f * (2 - f))
+    scale = k0 * a * big_a
     east = "eta" + "".join(f" + {a!r} * cos({2.0 * j!r} * xi) * sinh({2.0 * j!r} * eta)"
                            for j, a in enumerate(alpha, 1))
     north = "xi" + "".join(f" + {a!r} * sin({2.0 * j!r} * xi) * cosh({2.0 * j!r} * eta)"

@@ -31,7 +31,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         .config("spark.sql.session.timeZone", "UTC")
     )
     if master:
-        builder = builder.master(master).config("spark.driver.memory", "16g")
+        builder = builder.master(master)
+        if master.startswith("local"):                # driver and tasks share one heap
+            builder = builder.config("spark.driver.memory", "16g")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
