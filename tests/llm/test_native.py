@@ -139,3 +139,24 @@ def test_lines_equal_brute_force(spark):
     twice = spark.createDataFrame([(1, "p\nq\nr\ns"), (1, "p\nq\nr\ns"), (2, "p\nq\nr\nt")], DOCS)
     assert sorted((r.doc_id, r.text) for r in dedup_lines(twice).collect()) == [(1, "p\nq\nr\ns")] * 2 + [(2, "t")]
     assert dedup_lines(twice.limit(0)).count() == 0
+
+
+def test_hot_url_expressions_beyond_the_broadcast_limit(spark):
+    """Rules too many to broadcast: hot expressions are spread, the verdicts stay those of the brute force."""
+    from wattlane.llm.url_filter import _salted
+    urls = [f"http://h{i % 7}.example.com/{'de/' if i % 3 else ''}{i}" for i in range(300)] + [
+        f"http://x{i}.net/en/{i}" for i in range(20)] + ["", None, "no url", "https://com", "http://a.b.c.example.com/de/x/y?q"]
+    rules = [("com", "", "allow"), ("com", "/d", "block"), ("example.com", "/de/", "block"), ("h3.example.com", "/de/1", "allow"),
+             ("net", "/", "block"), *((f"never{i}.org", "/x/", "block") for i in range(50)), (None, "/", "block")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("salt", F.lit("clash")).withColumn("n", F.lit(1))
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for hot_rows in (1, 40, 100_000):
+        got = filter_urls(df, listed, broadcast_bytes=0, hot_rows=hot_rows).collect()
+        assert len(got) == len(urls) and all(r.salt == "clash" for r in got)
+        for r in got:
+            assert (r.url_host, r.url_path, r.url_rule, r.url_verdict) == brute.url_verdict(r.url, [x for x in rules if x[0]]), r.url
+    many = spark.range(3000).select(F.concat(F.lit("u"), "id").alias("u"), F.lit("aa").alias("short"), F.lit("aabb").alias("digest"))
+    spread, used = _salted(many, spark.createDataFrame([("aa", "aabb"), ("aa", "aacc")], "short string, rule_digest string"), 100)
+    parts = [r["count"] for r in spread.groupBy("salt").count().collect()]
+    assert len(parts) == 30 and max(parts) < 200 and used.count() == 30
+    assert filter_urls(df.limit(0), listed, broadcast_bytes=0).count() == 0

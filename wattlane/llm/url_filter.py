@@ -8,6 +8,12 @@ host and their path up to its last slash.  Both sides are joined on the first
 the rest of the rule's path is checked with ``startswith``, so a rule path
 that ends inside a directory name works too.  The longest rule wins.
 
+Rules within the broadcast limit (measured bytes) go to every task.  Beyond it
+expressions are counted first, with partial counts before the shuffle; rules whose
+expression no URL has go, and an expression of very many URLs (``com`` with the
+empty path) is spread over several join keys, the rules under it repeated once for
+each.
+
 No rule can fit a suffix or prefix longer than the longest rule, so URLs
 with thousands of dots or slashes are expanded only that far.
 
@@ -22,9 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.llm.common import LOWER, UPPER, broadcast_if_small, materialise
+from wattlane.llm.common import BROADCAST_BYTES, LOWER, UPPER, materialise, row_width
 
-_RULE_ROW_BYTES = 512
+#: Most expressions that may count as hot, whatever their number in all.
+_HOT = 10_000
 
 
 def url_host(url: Column) -> Column:
@@ -40,7 +47,24 @@ def _digest(host: Column, directory: Column) -> Column:
     return F.sha2(F.concat(host, F.lit("\u0000"), directory).cast("binary"), 256)
 
 
-def filter_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
+def _salted(expressions: DataFrame, indexed: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``salt`` to join on: expressions of over ``hot_rows`` URLs are spread, their rules repeated."""
+    seen = materialise(expressions.groupBy("short", "digest").agg(F.count("*").alias("n")), "url-seen")
+    # at least a 1/_HOT part of all: at most _HOT rows are hot, so they may be broadcast
+    total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    block = max(hot_rows, total // _HOT)
+    hot = F.broadcast(seen.where(F.col("n") > block).select(F.col("digest").alias("hot"), F.ceil(F.col("n") / block).alias("copies")))
+    used = indexed.join(seen.select(F.col("short").alias("s"), "digest"),
+                        (F.col("short") == F.col("s")) & (F.col("rule_digest") == F.col("digest")), "left_semi")
+    used = used.join(hot, F.col("rule_digest") == F.col("hot"), "left").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1))).drop("hot", "copies")
+    spread = expressions.join(hot, F.col("digest") == F.col("hot"), "left").withColumn(
+        "salt", F.pmod(F.xxhash64("u"), F.coalesce("copies", F.lit(1)))).drop("hot", "copies")
+    return spread, used
+
+
+def filter_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow",
+                broadcast_bytes: int = BROADCAST_BYTES, hot_rows: int = 100_000) -> DataFrame:
     """``df`` with columns url_host, url_path, url_rule (``host`` + ``path`` or null), url_verdict.
 
     ``rules``: columns host, path, verdict (``allow`` or ``block``).  Any of the
@@ -73,9 +97,14 @@ def filter_urls(df: DataFrame, rules: DataFrame, url_col: str = "url", default:
                    .select("u", "p", "suffix", F.explode("prefixes").alias("prefix"))
                    .select("u", "p", _digest(F.col("suffix"), F.col("prefix")).alias("digest"))
                    .withColumn("short", F.substring("digest", 1, 8)))
-    indexed = broadcast_if_small(rules.withColumn("short", F.substring("rule_digest", 1, 8)), _RULE_ROW_BYTES)
+    indexed, on = rules.withColumn("short", F.substring("rule_digest", 1, 8)), ["short"]
+    if (rules.agg(F.sum(row_width(rules))).first()[0] or 0) <= broadcast_bytes:
+        indexed = F.broadcast(indexed)
+    else:
+        expressions, indexed = _salted(expressions, indexed, hot_rows)
+        on = ["short", "salt"]
     rule = F.concat("host", "path")
-    best = (expressions.join(indexed, "short")
+    best = (expressions.join(indexed, on)
             .where((F.col("digest") == F.col("rule_digest")) & F.col("p").startswith(F.col("path")))
             .groupBy("u").agg(F.max(F.struct(F.char_length(rule).alias("len"), F.char_length("host").alias("hl"),
                                              rule.alias("rule"), "verdict")).alias("best"))
