@@ -186,3 +186,41 @@ def test_kmeans_recovers_blobs(spark):
     got = {r.id: r.cluster for r in kmeans_labels(df, ["a", "b", "c"], ["id"], k=3).collect()}
     share = [max(np.bincount([got[i] for i in got if i % 3 == b], minlength=3)) / 50 for b in range(3)]
     assert min(share) > 0.95 and len(set(got.values())) == 3
+
+
+def test_distance_sums_grow_with_the_rows(spark):
+    """However many blocks the rows are cut into: a sum per row and cluster for each part of the stripes, and no shuffle of tiles."""
+    from wattlane.operators.silhouette import _cluster_sums, _vec
+    from wattlane.operators.tiles import packed, product
+    df, _ = _blobs(spark, n=240, seed=9)
+    d = df.select(F.col("id").alias("rid"), _vec(["a", "b", "c"]).alias("x"), F.array((F.col("id") % 3).cast("string")).alias("labels"))
+    for block, stripe in ((240, 1), (4, 2)):
+        stripes = packed(d, "rid", block * stripe, "test-stripes")
+        parts = _cluster_sums(d, block, stripe)
+        assert parts.count() <= 240 * 3 * stripes.rdd.getNumPartitions()
+        assert parts.agg(F.sum("n")).first()[0] == 240 * 240
+        plan = product(stripes, stripes)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_distance_sums_of_very_many_clusters(spark, monkeypatch):
+    """More clusters than a task keeps sums for, and too many for a matrix product."""
+    from wattlane.operators import silhouette as S
+    df, rows = _blobs(spark, n=61, seed=9)
+    x, y = np.array([r[1:] for r in rows]), np.array([r[0] // 2 for r in rows])
+    lab = df.withColumn("u", F.floor(F.col("id") / 2).cast("int"))
+    monkeypatch.setattr(S, "KEPT_SUMS", 5)
+    monkeypatch.setattr(S, "FEW", 3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for t in S._sums(iter([(0, *[_table(x, y)] * 2), (0, *[_table(x, y)] * 2), (1, *[_table(x[:9], y[:9])] * 2)])):
+        for r in t.to_pylist():
+            assert r["own"] == (y[r["rid"]] == int(r["cluster"]))
+    got = euclidean_silhouette(lab, ["a", "b", "c"], ["u"], 16, 2).first()
+    assert abs(got[EUCLIDEAN] - np.mean(_silhouette(x, y, 0.5))) < 1e-9
+    assert np.allclose(S._sums_to(d, y, 31), np.stack([d[:, y == c].sum(1) for c in range(31)], axis=1))
+
+
+def _table(x, y):
+    import pyarrow as pa
+    return pa.table({"rid": pa.array(range(len(x)), pa.int64()), "x": pa.array(x.tolist(), pa.list_(pa.float64())),
+                     "labels": pa.array([[str(v)] for v in y], pa.list_(pa.string()))})

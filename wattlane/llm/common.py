@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattlane.operators.components import components  # noqa: F401 - used by the operators
-from wattlane.session import scratch_table_path
+from wattlane.session import scratch_table_path, small_batches  # noqa: F401 - small_batches is used by the operators
 
 #: A word: ASCII digits, ASCII lower-case letters and every non-ASCII character.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -70,18 +69,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Fewer rows per Arrow batch for jobs run inside, whose rows are wide; the setting is put back after."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def row_width(df: DataFrame) -> Column:
     """Bytes of a row, arrays and texts as they are."""
     def width(c: Column, kind: T.DataType) -> Column:

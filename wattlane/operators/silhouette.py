@@ -1,12 +1,14 @@
 """Silhouette score (M9): Euclidean from blocked distance sums, squared Euclidean from sufficient statistics.
 
 *Euclidean* (``euclidean_silhouette``).  The sum of the distances of a row to a
-cluster is additive over blocks of rows.  Rows are dealt into blocks; a block
-and a stripe of ``stripe`` blocks are one group of bounded size, whose distances
-are one matrix product, reduced in the task to (row, cluster, sum, count) - pairs
-are never written.  Several labellings of the same rows (all cuts of a tree)
-share the distances.  The work is that of all pairs, as the score's definition
-asks for; no task holds more than its blocks.
+cluster is additive over blocks of rows.  Rows are packed into blocks and stripes of
+``stripe`` blocks, which meet as the tiles of :mod:`wattlane.operators.tiles`: the
+distances of a block and a stripe are one matrix product, added up in the task over
+its stripes to (row, cluster, sum, count).  Neither pairs nor copies of the rows are
+shuffled, so what is written grows with the rows (times the clusters and the parts
+the stripes are read in, about as many as there are cores).  Several labellings of
+the same rows (all cuts of a tree) share the distances.  The work is that of all
+pairs, as the score's definition asks for; no task holds more than its blocks.
 
 *Squared Euclidean* (``silhouette_samples``).  The mean squared distance of a point x to a cluster C needs only |C|, the
 vector sum S_C and the sum of squared norms Q_C:
@@ -25,17 +27,22 @@ packed row, very many make several, which every point meets one after another.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.session import cut_lineage, ship_package, written_table
+from wattlane.operators.tiles import Tile, over_tiles, packed
+from wattlane.session import cut_lineage, written_table
 
 SCORE = "silhouette_sqeuclidean"
 EUCLIDEAN = "silhouette_euclidean"
+#: Clusters whose sums a task keeps for a block before it writes them.
+KEPT_SUMS = 4096
+#: Clusters of a stripe that are summed by a matrix product.
+FEW = 64
 
 
 def _vec(cols: Sequence[str] | str) -> Column:
@@ -109,32 +116,68 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1)
 
 
-def _sums(table: pa.Table) -> pa.Table:
-    """Per row at home and labelling: sum of distances to, and number of, the visitors of each cluster."""
-    table = table.sort_by("rid")
-    home = table.column("home").to_numpy()
-    x, rid = _matrix(table.column("x")), table.column("rid").to_numpy()
-    labels = np.array(table.column("labels").to_pylist(), dtype=object).reshape(len(rid), -1)
-    d = distances(x[home], x[~home]) if home.any() and not home.all() else np.empty((0, 0))
-    if d.size:
-        d[rid[home][:, None] == rid[~home][None, :]] = 0.0
-    out = []
-    for at in range(labels.shape[1] if d.size else 0):
-        mine, other = labels[home, at], labels[~home, at]
-        there, here = np.array([v is not None for v in other]), np.flatnonzero([v is not None for v in mine])
-        if not there.any() or not len(here):
-            continue
-        found, code = np.unique(other[there].astype(str), return_inverse=True)
-        member = np.zeros((there.sum(), len(found)))
+def _labelling(labels: pa.ChunkedArray, at: int) -> tuple[np.ndarray, list[str]]:
+    """Code of every row in labelling ``at``, -1 without a label, and the labels by code."""
+    flat = labels.combine_chunks().flatten()
+    one = flat.take(pa.array(np.arange(at, len(flat), len(flat) // len(labels)))).dictionary_encode()
+    return one.indices.fill_null(-1).to_numpy(zero_copy_only=False), one.dictionary.to_pylist()
+
+
+def _sums_to(d: np.ndarray, code: np.ndarray, k: int) -> np.ndarray:
+    """Per row of ``d`` the sums over the columns of each of the ``k`` codes."""
+    if k <= FEW:
+        member = np.zeros((len(code), k))
         member[np.arange(len(code)), code] = 1.0
-        sums, n = d[here][:, there] @ member, np.bincount(code)
-        k = len(found)
-        own = mine[here].astype(str)[:, None] == found[None, :]
-        out.append(pa.table({"rid": pa.array(np.repeat(rid[home][here], k)), "at": pa.array(np.full(len(here) * k, at, np.int32)),
-                             "cluster": pa.array(np.tile(found, len(here)).tolist(), pa.string()), "own": pa.array(own.ravel()),
-                             "s": pa.array(sums.ravel()), "n": pa.array(np.tile(n, len(here)).astype(np.int64))}))
-    schema = pa.schema([("rid", pa.int64()), ("at", pa.int32()), ("cluster", pa.string()), ("own", pa.bool_()), ("s", pa.float64()), ("n", pa.int64())])
-    return pa.concat_tables(out) if out else schema.empty_table()
+        return d @ member
+    order = np.argsort(code, kind="stable")
+    return np.add.reduceat(d[:, order], np.searchsorted(code[order], np.arange(k)), axis=1)
+
+
+def _written(home: pa.Table, sums: dict[tuple[int, str], list]) -> pa.Table:
+    rid, at, cluster, own, s, n = [], [], [], [], [], []
+    mine = [_labelling(home.column("labels"), i) for i in range(1 + max(i for i, _ in sums))]
+    for (i, label), (total, count) in sums.items():
+        code, names = mine[i]
+        here = np.flatnonzero(code >= 0)
+        rid.append(home.column("rid").to_numpy()[here])
+        at.append(np.full(len(here), i, np.int32))
+        cluster += [label] * len(here)
+        own.append(code[here] == (names.index(label) if label in names else -2))
+        s.append(total[here])
+        n.append(np.full(len(here), count))
+    rid, at, own, s, n = (np.concatenate(v) for v in (rid, at, own, s, n))
+    return pa.table({"rid": pa.array(rid, pa.int64()), "at": pa.array(at, pa.int32()), "cluster": pa.array(cluster, pa.string()),
+                     "own": pa.array(own, pa.bool_()), "s": pa.array(s, pa.float64()), "n": pa.array(n, pa.int64())})
+
+
+def _sums(tiles: Iterator[Tile]) -> Iterator[pa.Table]:
+    """Per row at home and labelling: sum of distances to, and number of, the visitors of each cluster."""
+    last, before, sums = None, None, {}
+    for no, home, visiting in tiles:
+        if sums and (no != last or len(sums) > KEPT_SUMS):
+            yield _written(before, sums)
+            sums = {}
+        last, before = no, home
+        d = distances(_matrix(home.column("x")), _matrix(visiting.column("x")))
+        d[home.column("rid").to_numpy()[:, None] == visiting.column("rid").to_numpy()[None, :]] = 0.0
+        for at in range(len(home.column("labels")[0])):
+            code, names = _labelling(visiting.column("labels"), at)
+            there = code >= 0
+            if not there.any():
+                continue
+            found, counts = _sums_to(d if there.all() else d[:, there], code[there], len(names)), np.bincount(code[there])
+            for i, label in enumerate(names):
+                total = sums.setdefault((at, label), [np.zeros(len(d)), 0])
+                total[0] += found[:, i]
+                total[1] += int(counts[i])
+    if sums:
+        yield _written(before, sums)
+
+
+def _cluster_sums(d: DataFrame, block: int, stripe: int) -> DataFrame:
+    """Partial sums (rid, at, cluster, own, s, n): one per row, cluster and part of the stripes."""
+    return over_tiles(packed(d, "rid", block, "silhouette-blocks"), packed(d, "rid", block * stripe, "silhouette-stripes"), _sums,
+                      "rid long, at int, cluster string, own boolean, s double, n long", "silhouette-sums")
 
 
 def euclidean_silhouette(df: DataFrame, features: Sequence[str] | str, labels: Sequence[str], block: int = 512, stripe: int = 8) -> DataFrame:
@@ -142,17 +185,10 @@ def euclidean_silhouette(df: DataFrame, features: Sequence[str] | str, labels: S
 
     A labelling of one cluster has a null score; a row that is its cluster's only one scores 0.
     """
-    ship_package(df.sparkSession)
     named = F.array(*[F.col(f"`{c}`").cast("string") for c in labels])
     d = written_table(df.select(F.monotonically_increasing_id().alias("rid"), _vec(features).alias("_x"), named.alias("labels")), "silhouette-rows")
     _dimension(d)
-    blocks = max(1, -(-d.count() // block))
-    stripes = -(-blocks // stripe)
-    d = d.withColumnRenamed("_x", "x").withColumn("b", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
-    at_home = d.withColumn("home", F.lit(True)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
-    visiting = (d.withColumn("home", F.lit(False)).withColumn("s", F.floor(F.col("b") / stripe).cast("int"))
-                .drop("b").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    parts = at_home.unionByName(visiting).groupBy("b", "s").applyInArrow(_sums, "rid long, at int, cluster string, own boolean, s double, n long")
+    parts = _cluster_sums(d.withColumnRenamed("_x", "x"), block, stripe)
     whole = parts.groupBy("rid", "at", "cluster").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("own").alias("own"))
     per_row = whole.groupBy("rid", "at").agg(
         F.max(F.when(F.col("own"), F.col("n"))).alias("n"), F.max(F.when(F.col("own"), F.try_divide(F.col("s"), F.col("n") - 1))).alias("a"),
