@@ -224,3 +224,65 @@ def _table(x, y):
     import pyarrow as pa
     return pa.table({"rid": pa.array(range(len(x)), pa.int64()), "x": pa.array(x.tolist(), pa.list_(pa.float64())),
                      "labels": pa.array([[str(v)] for v in y], pa.list_(pa.string()))})
+
+
+def test_components_in_rounds_equal_those_in_a_task(spark):
+    star = spark.range(1, 3_001).selectExpr("id as a", "0L as b").union(spark.createDataFrame(
+        [(30_000 + i, 30_001 + i) for i in range(40)] + [(7, 7), (25_000, 2_000)], "a long, b long"))
+    for edges in (star, star.select(F.unhex(F.md5(F.col("a").cast("string"))).alias("a"), F.unhex(F.md5(F.col("b").cast("string"))).alias("b"))):
+        got = [sorted(map(tuple, components(edges, task_edges=most).collect())) for most in (0, 500, 500_000)]
+        assert got[0] == got[1] == got[2] and len(got[0]) == 3_043
+
+
+def test_ward_of_wide_vectors_looks_at_tiles(spark, monkeypatch):
+    """Where cells select nothing no cells are formed; the tree is that of one task."""
+    import wattlane.operators.ward as W
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(260, 24))
+    x[200:] = x[:60] + rng.normal(size=(60, 24)) * 0.01
+    rows = [(i, *map(float, v)) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])]
+    df = spark.createDataFrame(rows, "id long, " + ", ".join(f"e{i} double" for i in range(24)))
+    monkeypatch.setattr(W, "_forests", lambda *a: pytest.fail("cells"))
+    got = []
+    for limits in ({}, {"task_clusters": 60, "pairs_per_cluster": 20, "block": 16}):
+        res = ward(df, [f"e{i}" for i in range(24)], [4], keys=["id"], **limits)
+        got.append(([(r.left_node, r.right_node, r.size, round(r.height, 9)) for r in res.merges.orderBy("merge_id").collect()],
+                    sorted(map(tuple, res.labels[4].collect()))))
+    assert got[0] == got[1] and len(got[0][0]) == 259
+
+
+@pytest.mark.parametrize("most", [3, 10, 1000])
+def test_tasks_of_a_round_hold_all_merges_up_to_their_radius(most):
+    """Components split at the radius, those too large taken apart, or mutual neighbours."""
+    from wattlane.operators.ward import CERTAIN, assigned_in_task
+    x = _points(7)
+    cost = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    i, j = np.nonzero(np.triu(cost <= 2.0, 1))
+    found = assigned_in_task(i, j, cost[i, j], 2.0, most)
+    assert found and len({r for r, _, _ in found}) == len(found)
+    comp = {r: (c, radius) for r, c, radius in found}
+    for c in {c for _, c, _ in found}:
+        own = [r for r in comp if comp[r][0] == c]
+        radius = comp[own[0]][1]
+        assert len(own) <= max(most, 2) and all(comp[r][1] == radius for r in own)
+        others = np.setdiff1d(np.arange(60), own)
+        if np.isinf(radius):
+            a, b = own
+            assert cost[a, b] <= min(cost[a, others].min(), cost[b, others].min())
+        else:
+            assert radius <= 2.0 * CERTAIN and cost[np.ix_(own, others)].min(initial=np.inf) > radius
+
+
+def test_close_pairs_are_many_or_few():
+    """A forest of a dense tile holds the components of its pairs."""
+    import pyarrow as pa
+    from wattlane.operators.components import connected
+    from wattlane.operators.ward import _close_of
+    x = _points(6, 80)
+    t = pa.table({"rep": pa.array(range(80), pa.int64()), "w": np.ones(80), "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    cost = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for radius in (0.02, 1.5, 9.0):
+        e = pa.concat_tables(_close_of(radius)(iter([(0, t, t)])))
+        i, j = np.nonzero(np.triu(cost <= radius, 1))
+        assert (connected(80, e.column("a").to_numpy(), e.column("b").to_numpy()) == connected(80, i, j)).all()
+        assert len(e) == len(i) or len(i) > 4 * 160 and len(e) <= 79

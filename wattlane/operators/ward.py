@@ -11,19 +11,28 @@ by a nearest-neighbour chain up to r in a task of its own.  When at most
 ``task_clusters`` clusters are left, they are one component and the tree is
 finished in one task of bounded size.
 
-*Rounds.*  With more clusters left a round takes a radius r and finds the graph:
-the cost is never below the distance of the centres, so pairs with cost <= r lie
+*Rounds.*  With more clusters left a round takes a radius r and finds the graph,
+near ones by cells or all pairs tile by tile.
+
+Cells: the cost is never below the distance of the centres, so pairs with cost <= r lie
 in neighbouring cells of width r over a few columns of high variance.  A cell is
 cut into blocks; a pair of blocks is a group of bounded size that emits a minimum
-spanning forest of its pairs, never the pairs.  The forests together hold the
-components at r and at every smaller radius.  A component of more than
-``task_clusters`` clusters is taken apart at the median cost of its nearest
-neighbours; what is too large even then merges its mutual nearest neighbours,
-which the forests hold, too.  r is the
-largest whose cells hold ``pairs_per_cluster`` pairs per cluster, at least twice
-the last one where that one is finished.  Beyond the widest column cells select
-nothing: all pairs of blocks are looked at, and r is twice the median cost of a
-nearest neighbour.  The choices change the work, never the tree.
+spanning forest of its pairs, never the pairs.  r is the largest whose cells hold
+``pairs_per_cluster`` pairs per cluster, at least twice the last one where that one
+is finished.
+
+Tiles: where the nearest neighbour of most clusters is farther than that r, as with
+vectors of many dimensions, cells select nothing.  Then r is a quantile of the costs of
+the nearest neighbours (of at most ``BLOCK`` clusters, which meet all others), and all
+pairs are looked at as tiles (:mod:`wattlane.operators.tiles`), which emit their pairs
+with cost <= r, a spanning forest of them where they are many.  The quantile is
+halved after a round with too large a component, else it grows.
+
+The forests together hold the components at r and at every smaller radius.  A component
+of more than ``task_clusters`` clusters is taken apart at the median cost of its nearest
+neighbours, up to ``TRIES`` times; what is too large even then merges its mutual nearest
+neighbours, which the forests hold, too.  At most ``TASK_EDGES`` edges are handled in one
+task, more by components over Spark.  The choices change the work, never the tree.
 
 *Tree.*  A cluster is known by (least leaf, number of leaves).  Merges are
 numbered by height over a range partitioning; nodes ``0..m-1`` are leaves (in
@@ -37,7 +46,7 @@ Rows get labels by equi-joins on the vector and the leaf.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -47,8 +56,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattlane.operators.components import components
+from wattlane.operators.components import TASK_EDGES, components, connected
 from wattlane.operators.numbering import global_index
+from wattlane.operators.tiles import Tile, over_tiles, packed
 from wattlane.session import ship_package, written_table
 
 
@@ -61,6 +71,12 @@ CELL_COLUMNS = 3
 RADII = 24
 #: Clusters of a block.
 BLOCK = 512
+#: Blocks of a pack of clusters.
+STRIPE = 8
+#: Radii at which a component is taken apart.
+TRIES = 4
+#: The quantile of nearest costs a first round over tiles takes, and the least and largest one.
+SHARE, LEAST_SHARE, MOST_SHARE = 0.6, 0.05, 0.9
 #: A merge is certified up to this share of the radius; the rest is room for rounding.
 CERTAIN = 1 - 1e-9
 
@@ -198,14 +214,11 @@ def _radius(state: DataFrame, dims: Sequence[int], widest: float, clusters: int,
     return widest / 2 ** (RADII - 1 if per_level is None else per_level)
 
 
-def _forests(state: DataFrame, dims: Sequence[int], radius: float | None, block: int) -> DataFrame:
+def _forests(state: DataFrame, dims: Sequence[int], radius: float, block: int) -> DataFrame:
     """Edges (a, b, cost) of spanning forests that together hold a minimum spanning forest of all pairs with cost <= radius."""
-    if radius is None:
-        cells = F.array(F.struct(F.array(F.lit(0).cast("long")).alias("cell"), F.lit(True).alias("home")))
-    else:                               # the own cell and the half of its neighbours that comes after it
-        own, none = _cell(dims, radius), (0,) * len(dims)
-        cells = F.array(*[F.struct(F.array(*[c + o for c, o in zip(own, off)]).alias("cell"), F.lit(off == none).alias("home"))
-                          for off in product((-1, 0, 1), repeat=len(dims)) if off >= none])
+    own, none = _cell(dims, radius), (0,) * len(dims)   # the own cell and the half of its neighbours that comes after it
+    cells = F.array(*[F.struct(F.array(*[c + o for c, o in zip(own, off)]).alias("cell"), F.lit(off == none).alias("home"))
+                      for off in product((-1, 0, 1), repeat=len(dims)) if off >= none])
     entries = _table(state.select("rep", F.explode(cells).alias("e")).select("rep", "e.cell", "e.home"))
     sizes = entries.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.max("home").alias("lived")).where("m > 1 and lived")
     sizes = sizes.select("cell", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
@@ -213,13 +226,12 @@ def _forests(state: DataFrame, dims: Sequence[int], radius: float | None, block:
               .select("cell", "rep", "home", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
               .select("cell", "rep", "home", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
                       (F.col("mine") > F.col("other")).alias("right")))
-    reach = float("inf") if radius is None else radius
 
     def search(table: pa.Table) -> pa.Table:
         rep = table.column("rep").to_numpy()
         home, right = (table.column(c).to_numpy() for c in ("home", "right"))
         apart = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
-        found = spanning_forest(_vectors(table.column("x")), table.column("w").to_numpy(), home, right if apart else None, reach)
+        found = spanning_forest(_vectors(table.column("x")), table.column("w").to_numpy(), home, right if apart else None, radius)
         i, j, cost = (np.array(v) for v in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
         return pa.table({"a": pa.array(rep[i], pa.int64()), "b": pa.array(rep[j], pa.int64()), "cost": pa.array(cost, pa.float64())})
 
@@ -227,6 +239,77 @@ def _forests(state: DataFrame, dims: Sequence[int], radius: float | None, block:
             .applyInArrow(search, "a long, b long, cost double"))
 
 
+def _about(home: pa.Table, visiting: pa.Table) -> tuple[np.ndarray, float]:
+    """Squared costs of all clusters at home and visiting, without the differences' accuracy, and the largest error."""
+    (x, w), (y, v) = ((_vectors(t.column("x")), t.column("w").to_numpy()) for t in (home, visiting))
+    middle = y.mean(axis=0)
+    x, y = x - middle, y - middle
+    nx, ny = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    weight = 2 * w[:, None] * v / (w[:, None] + v)
+    about = x @ y.T
+    about *= -2
+    about += nx[:, None]
+    about += ny
+    about *= weight
+    return about, 1e-13 * (x.shape[1] + 8) * float(weight.max()) * float(nx.max() + ny.max())
+
+
+def _pair_costs(home: pa.Table, visiting: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Costs of the clusters ``i`` at home and ``j`` visiting."""
+    (x, w), (y, v) = ((_vectors(t.column("x")), t.column("w").to_numpy()) for t in (home, visiting))
+    cost = np.empty(len(i))
+    for at in np.array_split(np.arange(len(i)), len(i) // 100_000 + 1):
+        d = x[i[at]] - y[j[at]]
+        cost[at] = np.sqrt(2 * w[i[at]] * v[j[at]] / (w[i[at]] + v[j[at]]) * np.einsum("ij,ij->i", d, d))
+    return cost
+
+
+def _nearest_of(tiles: Iterator[Tile]) -> Iterator[pa.Table]:
+    for _, home, visiting in tiles:
+        home = home.slice(0, BLOCK)
+        about, _ = _about(home, visiting)
+        rep, other = home.column("rep").to_numpy(), visiting.column("rep").to_numpy()
+        about[rep[:, None] == other[None, :]] = np.inf
+        j = about.argmin(axis=1)
+        cost = np.where(np.isfinite(about.min(axis=1)), _pair_costs(home, visiting, np.arange(len(j)), j), np.inf)
+        yield pa.table({"rep": rep, "cost": cost})
+
+
+def _close_of(radius: float):
+    def close(tiles: Iterator[Tile]) -> Iterator[pa.Table]:
+        """Edges (a, b, cost) of the pairs with cost <= radius, or of a spanning forest of them; a pair in one of its two tiles."""
+        for _, whole, visiting in tiles:
+            for home in (whole.slice(at, BLOCK) for at in range(0, len(whole), BLOCK)):
+                about, slack = _about(home, visiting)
+                rep, other = home.column("rep").to_numpy(), visiting.column("rep").to_numpy()
+                i, j = np.nonzero(about <= radius * radius + slack)
+                i, j = i[rep[i] < other[j]], j[rep[i] < other[j]]
+                if not len(i):
+                    continue
+                if len(i) > 4 * (len(rep) + len(other)):
+                    a, b, cost = _tile_forest(home.take(pa.array(np.unique(i))), visiting.take(pa.array(np.unique(j))), radius)
+                else:
+                    a, b, cost = rep[i], other[j], _pair_costs(home, visiting, i, j)
+                near = cost <= radius
+                yield pa.table({"a": a[near], "b": b[near], "cost": cost[near]})
+    return close
+
+
+def _tile_forest(home: pa.Table, visiting: pa.Table, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Minimum spanning forest of the clusters of a tile, each once, also of the pairs on one side."""
+    both = pa.concat_tables([home, visiting])
+    ids, at = np.unique(both.column("rep").to_numpy(), return_index=True)
+    found = spanning_forest(_vectors(both.column("x"))[at], both.column("w").to_numpy()[at], np.ones(len(ids), bool), None, radius)
+    i, j, cost = (np.array(c) for c in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+    return ids[i], ids[j], cost
+
+
+def _nearest_costs(packs: DataFrame) -> np.ndarray:
+    """Costs of the nearest neighbours of at most ``BLOCK`` clusters, those of a pack."""
+    nearest = over_tiles(packs.where("no = 0"), packs, _nearest_of, "rep long, cost double", "ward-nearest")
+    return np.array([r.cost for r in nearest.groupBy("rep").agg(F.min("cost").alias("cost")).collect()])
+
+
 def _mutual(edges: DataFrame) -> DataFrame:
     """(rep, comp, radius) of pairs that are each other's nearest neighbour."""
     pair = F.struct("cost", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
@@ -242,10 +325,50 @@ def _median_nearest(edges: DataFrame) -> float:
     return nearest.agg(F.percentile_approx("cost", 0.5)).first()[0]
 
 
-def _assigned(edges: DataFrame, radius: float, most: int) -> tuple[DataFrame, bool]:
-    """Clusters with the component to run and its certified radius; whether some components were too large at ``radius``."""
+def _nearest_edges(ends: np.ndarray, lo: np.ndarray, hi: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Per node that ends an edge (``ends``: rows of low and high ends) its least edge by (cost, lo, hi)."""
+    node, edge = ends.ravel(), np.tile(np.arange(len(lo)), 2)
+    order = np.lexsort((hi[edge], lo[edge], cost[edge], node))
+    return edge[order][np.r_[True, np.diff(node[order]) > 0]]
+
+
+def assigned_in_task(a: np.ndarray, b: np.ndarray, cost: np.ndarray, radius: float, most: int) -> list[tuple[int, int, float]]:
+    """(rep, comp, radius) as :func:`_assigned` gives them."""
+    out: list[tuple[int, int, float]] = []
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    for tries in range(1, TRIES + 1):
+        near = cost <= radius
+        lo, hi, cost = lo[near], hi[near], cost[near]
+        ids, ends = np.unique(np.r_[lo, hi], return_inverse=True)
+        ends = ends.reshape(2, -1)
+        comp = connected(len(ids), *ends)
+        large = np.bincount(comp, minlength=len(ids))[comp] > most
+        out += [(int(r), int(c), radius * CERTAIN) for r, c in zip(ids[~large], ids[comp[~large]])]
+        inside = large[ends[0]]
+        if not inside.any():
+            break
+        lo, hi, cost, ends = lo[inside], hi[inside], cost[inside], ends[:, inside]
+        least = _nearest_edges(ends, lo, hi, cost)
+        smaller = float(np.median(cost[least])) * (1 + 1e-6)
+        if tries == TRIES or not smaller < radius:
+            edge, times = np.unique(least, return_counts=True)
+            for e in edge[times == 2].tolist():
+                out += [(int(lo[e]), int(lo[e]), float("inf")), (int(hi[e]), int(lo[e]), float("inf"))]
+            break
+        radius = smaller
+    return out
+
+
+def _assigned(edges: DataFrame, radius: float, most: int) -> DataFrame:
+    """Clusters with the component to run and its certified radius, a lower or no one where it was too large at ``radius``: (rep, comp, radius)."""
+    if edges.count() <= TASK_EDGES:
+        def run(table: pa.Table) -> pa.Table:
+            found = assigned_in_task(*(table.column(c).to_numpy() for c in ("a", "b", "cost")), radius, most)
+            return pa.table({c: pa.array(v, t) for c, v, t in zip(("rep", "comp", "radius"), zip(*found), (pa.int64(), pa.int64(), pa.float64()))})
+
+        return _table(edges.where(F.col("cost") <= radius).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "rep long, comp long, radius double"))
     parts: list[DataFrame] = []
-    for last in (False, True):
+    for tries in range(1, TRIES + 1):
         comp = _table(components(edges.where(F.col("cost") <= radius).select("a", "b"), "ward-components"))
         sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
         parts.append(comp.join(sizes.where(F.col("size") <= most), "component").select(
@@ -255,11 +378,12 @@ def _assigned(edges: DataFrame, radius: float, most: int) -> tuple[DataFrame, bo
             break
         inside = edges.where(F.col("cost") <= radius).join(large, F.col("a") == F.col("node"), "left_semi")
         edges = _table(inside)          # both ends of such an edge are in one component
-        if last:
+        smaller = _median_nearest(edges) * (1 + 1e-6)
+        if tries == TRIES or not smaller < radius:
             parts.append(_mutual(edges))
-        else:
-            radius = _median_nearest(edges)
-    return reduce(DataFrame.union, parts), len(parts) > 1
+            break
+        radius = smaller
+    return _table(reduce(DataFrame.union, parts))
 
 
 # ---------------------------------------------------------------------- the tree
@@ -270,7 +394,7 @@ def _agglomerate(leaves: DataFrame, m: int, budget: int, most: int, block: int)
         return None
     ship_package(leaves.sparkSession)
     state = leaves.select(F.col("leaf").alias("rep"), F.lit(1).cast("long").alias("n"), F.col("w").cast("double").alias("w"), F.lit(0.0).alias("h"), "x")
-    dims, widest, left, floor, done = [], 0.0, m, 0.0, []
+    dims, widest, left, floor, share, done = [], 0.0, m, 0.0, SHARE, []
     if left > most:
         spread = state.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(
             F.var_pop("v").alias("var"), (F.max("v") - F.min("v")).alias("range")).orderBy(F.desc("var"), "i").limit(CELL_COLUMNS).collect()
@@ -283,16 +407,22 @@ def _agglomerate(leaves: DataFrame, m: int, budget: int, most: int, block: int)
             radius = _radius(state, dims, widest, left, budget)
             if radius is not None:
                 radius = max(radius, floor) if max(radius, floor) <= 2 * widest else None
-            edges = _table(_forests(state, dims, radius, block))
-            reach = 2 * _median_nearest(edges) if radius is None else radius
-            if not edges.where(F.col("cost") <= reach).limit(1).count():
-                floor = 2 * reach
-                continue
-            tasks, crowded = _assigned(edges, reach, most)
-            tasks = _table(tasks)
+            packs = packed(state.select("rep", "w", "x"), "rep", block * STRIPE, "ward-packs")
+            nearest = _nearest_costs(packs)
+            tiled = radius is None or float(np.median(nearest)) > radius
+            if tiled:
+                reach = float(np.quantile(nearest, share)) * (1 + 1e-6)
+                edges = over_tiles(packs, packs, _close_of(reach), "a long, b long, cost double", "ward-close")
+            else:
+                reach = radius
+                edges = _table(_forests(state, dims, radius, block))
+            tasks = _assigned(edges, reach, most)
+            crowded = tasks.where(F.col("radius") != reach * CERTAIN).limit(1).count() > 0
             todo = state.join(tasks, "rep")
             waiting = state.join(tasks.select("rep"), "rep", "left_anti")
-            floor = 0.0 if crowded else 2 * reach
+            floor = 0.0 if crowded or tiled else 2 * reach
+            if tiled:
+                share = max(share / 2, LEAST_SHARE) if crowded else min(share * 1.5, MOST_SHARE)
         ran = _table(todo.groupBy("comp").applyInArrow(_run_component, _TASK_ROWS))
         merged = ran.where("lrep is not null").drop("x")
         done.append(merged)
