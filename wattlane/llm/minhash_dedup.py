@@ -52,6 +52,8 @@ from wattlane.session import ship_package
 
 _BASE = 0x9E3779B97F4A7C15 | 1  # odd, so invertible modulo 2**64
 _INVERSE = pow(_BASE, -1, 2 ** 64)
+#: Largest side of a join, in bytes, that is broadcast: one of tens in a run, each of which the driver holds for a while.
+_BROADCAST = 8 << 20
 _IS_WORD = np.array([c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A for c in range(256)])
 
 
@@ -238,7 +240,7 @@ class _Near:
         if wanted.limit(1).count():
             text, k = text_or_empty(self.text_col), self.k
             texts = (self.docs.select(doc_key(F.col(self.id_col), text).alias("wkey"), text.alias("text"))
-                     .join(broadcast_if_small(wanted, 96), "wkey").groupBy("cls").agg(F.first("text").alias("text")))
+                     .join(broadcast_if_small(wanted, 96, _BROADCAST), "wkey").groupBy("cls").agg(F.first("text").alias("text")))
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
@@ -262,7 +264,7 @@ class _Near:
         many = materialise(pairs.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n") > self.block)
                            .select(F.col("b").alias("hb"), F.ceil(F.col("n") / self.block).alias("blocks")), "minhash-many")
         salt = F.pmod(F.xxhash64("a"), F.coalesce("blocks", F.lit(1).cast("long")))
-        placed = materialise(pairs.join(broadcast_if_small(many, 64), F.col("b") == F.col("hb"), "left").select("b", salt.alias("salt"), "a"), "minhash-placed")
+        placed = materialise(pairs.join(broadcast_if_small(many, 64, _BROADCAST), F.col("b") == F.col("hb"), "left").select("b", salt.alias("salt"), "a"), "minhash-placed")
         cols = [c for c in payload.columns if c != "cls"]
         members = placed.join(payload, F.col("a") == F.col("cls")).select("b", "salt", "a", *cols)
         heads = placed.select("b", "salt").distinct().join(payload, F.col("b") == F.col("cls")).select(
@@ -300,7 +302,7 @@ class _Near:
         def dealt(members: DataFrame, payload: DataFrame) -> DataFrame:
             sizes = materialise(members.groupBy("band", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "minhash-sizes")
             mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-            placed = (members.join(broadcast_if_small(sizes, 24), ["band", "bucket"]).withColumn("mine", mine)
+            placed = (members.join(broadcast_if_small(sizes, 24, _BROADCAST), ["band", "bucket"]).withColumn("mine", mine)
                       .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                       .select("bucket", "band", "cls", "comp", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"),
                               (F.col("mine") > F.col("other")).alias("right")))
@@ -348,7 +350,7 @@ def _components_of(docs: DataFrame, classes: DataFrame, id_col: str, text_col: s
     buckets = classes.select("cls", F.posexplode("bands").alias("band", "bucket"))
     reps = materialise(buckets.groupBy("band", "bucket").agg(F.min("cls").alias("rep"), F.max("cls").alias("last"))
                        .where("rep <> last").select("band", "bucket", "rep"), "minhash-reps")
-    members = materialise(buckets.join(broadcast_if_small(reps, 64), ["band", "bucket"]).where("cls <> rep"), "minhash-members")
+    members = materialise(buckets.join(broadcast_if_small(reps, 64, _BROADCAST), ["band", "bucket"]).where("cls <> rep"), "minhash-members")
     links = near.links(members.select(F.col("cls").alias("a"), F.col("rep").alias("b")).distinct())
     comp = materialise(components(links, "minhash-components"), "minhash-comp")
 
@@ -388,7 +390,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = grouped.groupBy("component").agg(F.min(least).alias("first"))
     linked = (grouped.join(chosen, "component").select(F.col("cls").alias("lcls"), F.col("first.id").alias("gid"),
                                                        F.col("first.cls").alias("gcls")))
-    linked = broadcast_if_small(materialise(linked, "minhash-linked"), 64)
+    linked = broadcast_if_small(materialise(linked, "minhash-linked"), 64, _BROADCAST)
     per_class = classes.select("cls", "least_id").join(linked, F.col("cls") == F.col("lcls"), "left").select(
         F.col("cls").alias("pcls"), F.coalesce("gid", "least_id").alias("group_id"),
         F.coalesce(F.col("gcls") == F.col("cls"), F.lit(True)).alias("of_first"))
@@ -397,7 +399,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     result = materialise(result.distinct(), "minhash-result")
     text = text_or_empty(text_col)
     rows_ = docs.select(F.col(id_col).alias(id_col), doc_key(F.col(id_col), text).alias("dkey"))
-    return rows_.join(broadcast_if_small(result.select(F.col("dkey").alias("rkey"), "group_id", "kept"), 64),
+    return rows_.join(broadcast_if_small(result.select(F.col("dkey").alias("rkey"), "group_id", "kept"), 64, _BROADCAST),
                       F.col("dkey") == F.col("rkey"), "left").select(
         id_col, "dkey", F.when(F.col("rkey").isNull(), F.col(id_col)).otherwise(F.col("group_id")).alias("group_id"),
         F.coalesce("kept", F.lit(True)).alias("kept"))
@@ -408,7 +410,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     judged = near_duplicates(docs, id_col, text_col, **kw)
     per_doc = judged.groupBy("dkey").agg(F.min("kept").alias("kept"), F.count("*").alias("times"))
     odd = materialise(per_doc.where(~F.col("kept") | (F.col("times") > 1)), "minhash-odd")
-    odd = broadcast_if_small(odd.select(F.col("dkey").alias("__odd"), F.col("kept").alias("__kept")), 64)
+    odd = broadcast_if_small(odd.select(F.col("dkey").alias("__odd"), F.col("kept").alias("__kept")), 64, _BROADCAST)
     text = text_or_empty(text_col)
     marked = docs.withColumn("__dkey", doc_key(F.col(id_col), text)).join(odd, F.col("__dkey") == F.col("__odd"), "left")
     whole = marked.where("__odd is null").select(*docs.columns)
