@@ -286,3 +286,127 @@ def test_close_pairs_are_many_or_few():
         i, j = np.nonzero(np.triu(cost <= radius, 1))
         assert (connected(80, e.column("a").to_numpy(), e.column("b").to_numpy()) == connected(80, i, j)).all()
         assert len(e) == len(i) or len(i) > 4 * 160 and len(e) <= 79
+
+
+def _costs(x, w):
+    return np.sqrt(2 * w[:, None] * w / (w[:, None] + w) * ((x[:, None] - x[None]) ** 2).sum(-1))
+
+
+@pytest.mark.parametrize("most", [2, 7, 1000])
+@pytest.mark.parametrize("share", [0.01, 0.1, 0.6, 1.0])
+def test_joined_clusters_are_merges_of_the_tree(share, most):
+    """Turns of merges of the pairs up to a radius, without the vectors; nearly all that cost no more where components may be large."""
+    from wattlane.operators.ward import joined_in_task
+    for seed in range(4):
+        x = np.random.default_rng(seed).normal(size=(90, 5 + 8 * seed))
+        x[70:] = x[:20] + np.random.default_rng(seed + 9).normal(size=(20, x.shape[1])) * 0.02
+        w = np.random.default_rng(seed).integers(1, 1 + 3 * (seed % 2), 90, endpoint=True).astype(float)
+        members, tree = {i: frozenset([i]) for i in range(90)}, {}
+        for a, b, c, _ in chain_merges(x.copy(), w.copy(), np.inf):
+            members[a] = members[a] | members[b]
+            tree[members[a]] = c
+        cost = _costs(x, w)
+        radius = float(np.quantile(cost[np.triu_indices(90, 1)], share))
+        i, j = np.nonzero(np.triu(cost <= radius, 1))
+        order = np.random.default_rng(1).permutation(len(i))
+        a, b = np.where(order % 2, i[order], j[order]), np.where(order % 2, j[order], i[order])
+        rep, comp, turn, into = joined_in_task(a * 3, b * 3, cost[a, b], w[a], w[b], radius, most)
+        rep, comp, into = rep // 3, comp // 3, into // 3
+        got = {k: frozenset([k]) for k in rep.tolist()}
+        made = []
+        for t in range(turn.max() + 1):
+            now = np.r_[rep[turn == t], into[turn == t]]
+            assert len(now) == len(set(now.tolist())) > 0
+            for k, at in zip(rep[turn == t].tolist(), into[turn == t].tolist()):
+                got[at] = got[at] | got[k]
+                made.append(got[at])
+        assert all(c in tree and tree[c] <= radius and len(c) <= most for c in made)
+        for c in set(comp.tolist()):
+            assert got[c] == frozenset(rep[comp == c].tolist()) and min(got[c]) == c and turn[rep == c] == -1
+        if most == 1000:
+            assert len(made) >= 0.9 * sum(v <= radius for v in tree.values())
+
+
+def test_no_near_pair_is_missed():
+    """Vectors far from their middle, very near ones and other weights: single and double precision."""
+    import pyarrow as pa
+    from wattlane.operators.ward import _close_of
+    rng = np.random.default_rng(6)
+    for spread, far, kinds in ((1.0, 0.0, 1), (1e-9, 1.0, 1), (1e3, 1e6, 50), (1e-160, 0.0, 3)):
+        x = rng.normal(size=(700, 12)) * spread + far * (np.arange(700) % 3)[:, None]
+        w = rng.integers(1, kinds, 700, endpoint=True).astype(float)
+        t = pa.table({"rep": pa.array(rng.permutation(700), pa.int64()), "w": w, "x": pa.array(x.tolist(), pa.list_(pa.float64()))})
+        rep = t.column("rep").to_numpy()
+        cost = _costs(x, w)
+        for share in (0.001, 0.05):
+            radius = float(np.quantile(cost[np.triu_indices(700, 1)], share))
+            e = pa.concat_tables(_close_of(radius, complete=True)(iter([(0, t.slice(0, 300), t.slice(300)), (0, t.slice(0, 300), t.slice(0, 300)), (1, t.slice(300), t.slice(300))])))
+            got = {(min(a, b), max(a, b)): c for a, b, c in zip(*(e.column(k).to_pylist() for k in ("a", "b", "cost")))}
+            i, j = np.nonzero(np.triu(cost <= radius, 1))
+            want = {(min(rep[a], rep[b]), max(rep[a], rep[b])): cost[a, b] for a, b in zip(i, j)}
+            surely = {k for k, c in want.items() if c < radius * (1 - 1e-9)}
+            assert surely <= set(got) and len(e) == len(got)
+            np.testing.assert_allclose([got[k] for k in surely], [want[k] for k in surely], rtol=1e-6)
+            weight = dict(zip(rep.tolist(), w.tolist()))
+            assert all(weight[a] == v for k in "ab" for a, v in zip(e.column(k).to_pylist(), e.column("w" + k).to_pylist()))
+
+
+def test_a_pair_of_packs_meets_once(spark):
+    from wattlane.operators.tiles import over_tiles, packed, product
+    import pyarrow as pa
+
+    def met(tiles):
+        for _, home, visiting in tiles:
+            a, b = (t.column("id").to_numpy() for t in (home, visiting))
+            yield pa.table({"a": np.repeat(a, len(b)), "b": np.tile(b, len(a))})
+
+    packs = packed(spark.range(50), "id", 8, "test-packs")
+    assert "CartesianProduct" in product(packs, packs, once=True)._jdf.queryExecution().executedPlan().toString()
+    pairs = [tuple(r) for r in over_tiles(packs, packs, met, "a long, b long", "test-met", once=True).collect()]
+    assert {(min(p), max(p)) for p in pairs} == {(i, j) for i in range(50) for j in range(i, 50)}
+    assert sum((b, a) in set(pairs) for a, b in pairs if a != b) == sum(len(r) * (len(r) - 1) for r in _packs(packs))
+
+
+def _packs(packs):
+    import pyarrow as pa
+    return [pa.ipc.open_stream(r.rows).read_all() for r in packs.collect()]
+
+
+@pytest.mark.parametrize("edges,task", [(1_500_000, 20), (400, 60), (10, 200)])
+def test_ward_of_wide_vectors_takes_few_rounds(spark, monkeypatch, edges, task):
+    """All pairs are looked at a few times, not once for each layer of the tree; fewer pairs at a time and components give the same tree."""
+    import wattlane.operators.ward as W
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(420, 24))
+    x[380:] = x[0] + rng.normal(size=(40, 24)) * 0.01          # a group of near copies
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, " + ", ".join(f"e{i} double" for i in range(24)))
+    rounds, packed_ = [], W.packed
+    monkeypatch.setattr(W, "packed", lambda *a: rounds.append(1) or packed_(*a))
+    if edges != 1_500_000:
+        monkeypatch.setattr(W, "JOINED_EDGES", edges)
+    res = ward(df, [f"e{i}" for i in range(24)], [5], keys=["id"], pairs_per_cluster=20, task_clusters=task, block=16)
+    got = res.merges.orderBy("merge_id").collect()
+    order = np.lexsort(x.T[::-1])
+    members, tree = {i: [i] for i in range(420)}, {}
+    for a, b, c, n in chain_merges(x[order].copy(), np.ones(420), np.inf):
+        members[a] = sorted(members[a] + members[b])
+        tree[tuple(members[a])] = round(c, 9)
+    nodes = {i: [i] for i in range(420)}
+    for r in got:
+        nodes[420 + r.merge_id] = sorted(nodes[r.left_node] + nodes[r.right_node])
+        assert tree[tuple(nodes[420 + r.merge_id])] == round(r.height, 9) and len(nodes[420 + r.merge_id]) == r.size
+    assert len(got) == 419
+    if edges == 1_500_000:
+        assert len(rounds) <= 4
+
+
+def test_pairs_beyond_those_of_a_task_are_cut_by_cost(spark, monkeypatch):
+    """What is left are all pairs up to the radius given with them; equal costs are not torn apart."""
+    import wattlane.operators.ward as W
+    monkeypatch.setattr(W, "JOINED_EDGES", 100)
+    edges = spark.range(1000).selectExpr("id as a", "id + 1 as b", "1.0 + floor(id / 10) as cost").repartition(3)
+    few, radius = W._least_edges(edges, 500.0)
+    assert few.count() == edges.where(F.col("cost") <= radius).count() and 80 <= few.count() <= 130 and radius < 500.0
+    assert few.agg(F.max("cost")).first()[0] < radius
+    assert W._least_edges(edges.withColumn("cost", F.lit(1.0)), 500.0)[0] is None
+    assert W._least_edges(edges.limit(50), 500.0)[1] == 500.0

@@ -45,17 +45,22 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[Tile]:
             yield no.as_py(), home, pa.ipc.open_stream(other.as_buffer()).read_all()
 
 
-def product(home: DataFrame, visiting: DataFrame) -> DataFrame:
-    """Pairs (no, home, visiting) of packs."""
-    return home.select("no", F.col("rows").alias("home")).hint("shuffle_replicate_nl").crossJoin(
-        visiting.select(F.col("rows").alias("visiting")))
+def product(home: DataFrame, visiting: DataFrame, once: bool = False) -> DataFrame:
+    """Pairs (no, home, visiting) of packs; with ``once`` a pack visits only those of no greater number, itself too."""
+    mine = home.select("no", F.col("rows").alias("home")).hint("shuffle_replicate_nl")
+    met = mine.crossJoin(visiting.select(F.col("no").alias("_visitor"), F.col("rows").alias("visiting")))
+    return (met.where("no <= _visitor") if once else met).select("no", "home", "visiting")
 
 
-def over_tiles(home: DataFrame, visiting: DataFrame, work: Callable[[Iterator[Tile]], Iterator[pa.Table]], schema: str, name: str) -> DataFrame:
-    """What ``work`` makes of the tiles (number of the home pack, home, visiting), as a table; tiles of a home pack follow each other in a task."""
+def over_tiles(home: DataFrame, visiting: DataFrame, work: Callable[[Iterator[Tile]], Iterator[pa.Table]], schema: str, name: str,
+               once: bool = False, batch: int = 4) -> DataFrame:
+    """What ``work`` makes of the tiles (number of the home pack, home, visiting), as a table; tiles of a home pack follow each other in a task.
+
+    With ``once`` two packs of the same table meet in one tile, not in two.  ``batch`` tiles are handed to Python at a time.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in work(_tiles(batches)):
             yield from table.to_batches()
 
-    with small_batches(home.sparkSession, 4):   # a row is a tile
-        return written_table(product(home, visiting).mapInArrow(run, schema), name)
+    with small_batches(home.sparkSession, batch):   # a row is a tile
+        return written_table(product(home, visiting, once).mapInArrow(run, schema), name)

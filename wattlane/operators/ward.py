@@ -22,10 +22,18 @@ spanning forest of its pairs, never the pairs.  r is the largest whose cells hol
 is finished.
 
 Tiles: where the nearest neighbour of most clusters is farther than that r, as with
-vectors of many dimensions, cells select nothing.  Then r is a quantile of the costs of
-the nearest neighbours (of at most ``BLOCK`` clusters, which meet all others), and all
-pairs are looked at as tiles (:mod:`wattlane.operators.tiles`), which emit their pairs
-with cost <= r, a spanning forest of them where they are many.  The quantile is
+vectors of many dimensions, cells select nothing, and all pairs are looked at once, as tiles
+(:mod:`wattlane.operators.tiles`), by one matrix product in single precision that finds all that may
+cost at most r and a few more, whose costs are then taken exactly.  r is a quantile of the costs of a sample (of at
+most ``BLOCK`` clusters, which meet all others), aimed at ``DEGREE`` neighbours per cluster or twice ``JOINED_EDGES``
+pairs; of more pairs those of least cost count.  These pairs, without the vectors, are handled in one task: mutual nearest neighbours
+merge in turns, and the costs of what they make follow from the pairs' (Lance-Williams).  The costs of a
+cluster beyond r are known from below only; a cluster whose nearest neighbour is known so waits for
+the next round.  So a round does nearly all merges of cost <= r; heights and centres are then
+taken from the vectors, component by component.
+
+With more than ``JOINED_EDGES`` clusters r is a quantile of the costs of nearest neighbours, too, and the tiles emit
+their pairs with cost <= r, a spanning forest of them where they are many.  The quantile is
 halved after a round with too large a component, else it grows.
 
 The forests together hold the components at r and at every smaller radius.  A component
@@ -71,12 +79,18 @@ CELL_COLUMNS = 3
 RADII = 24
 #: Clusters of a block.
 BLOCK = 512
-#: Blocks of a pack of clusters.
+#: Blocks of a group of clusters.
 STRIPE = 8
+#: Packs that all clusters make, and numbers of a pack at most.
+PACKS, PACK_DOUBLES = 24, 2 ** 20
 #: Radii at which a component is taken apart.
 TRIES = 4
-#: The quantile of nearest costs a first round over tiles takes, and the least and largest one.
+#: The quantile of nearest costs a first round over tiles takes, and the least and largest one, where components are run.
 SHARE, LEAST_SHARE, MOST_SHARE = 0.6, 0.05, 0.9
+#: Neighbours per cluster and pairs in all that a round over tiles aims at, and turns of merges in a task; neighbours where components are run.
+DEGREE, JOINED_EDGES, TURNS, FEW = 128, 1_500_000, 200, 16
+#: Rounding of single and double precision.
+SINGLE, DOUBLE = 2.0 ** -23, 2.0 ** -52
 #: A merge is certified up to this share of the radius; the rest is room for rounding.
 CERTAIN = 1 - 1e-9
 
@@ -239,59 +253,111 @@ def _forests(state: DataFrame, dims: Sequence[int], radius: float, block: int) -
             .applyInArrow(search, "a long, b long, cost double"))
 
 
-def _about(home: pa.Table, visiting: pa.Table) -> tuple[np.ndarray, float]:
-    """Squared costs of all clusters at home and visiting, without the differences' accuracy, and the largest error."""
-    (x, w), (y, v) = ((_vectors(t.column("x")), t.column("w").to_numpy()) for t in (home, visiting))
-    middle = y.mean(axis=0)
-    x, y = x - middle, y - middle
-    nx, ny = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
-    weight = 2 * w[:, None] * v / (w[:, None] + v)
-    about = x @ y.T
-    about *= -2
-    about += nx[:, None]
-    about += ny
-    about *= weight
-    return about, 1e-13 * (x.shape[1] + 8) * float(weight.max()) * float(nx.max() + ny.max())
-
-
-def _pair_costs(home: pa.Table, visiting: pa.Table, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Costs of the clusters ``i`` at home and ``j`` visiting."""
-    (x, w), (y, v) = ((_vectors(t.column("x")), t.column("w").to_numpy()) for t in (home, visiting))
+class _Near:
+    """The pairs of a tile that may have a cost <= radius.
+
+    A cost is <= r where ``|x|^2 - r^2 / 2w + |y|^2 - r^2 / 2v - 2 x.y <= 0``, which is one matrix product of vectors
+    with two more columns.  It is taken in single precision where its error is far below the least bound, and
+    a pair counts up to that error, so none is missed; exact costs are for the caller.
+    """
+
+    def __init__(self, home: pa.Table, visiting: pa.Table, radius: float):
+        (x, w), (y, v) = (_weighted(t) for t in (home, visiting))
+        middle, square = y.mean(axis=0), radius * radius
+        x, y = x - middle, y - middle
+        p, q = np.einsum("ij,ij->i", x, x) - square / (2 * w), np.einsum("ij,ij->i", y, y) - square / (2 * v)
+        most = max(float(np.abs(p).max() + square / (2 * w.min())), float(np.abs(q).max() + square / (2 * v.min()))) or 1.0
+        error = 4 * (x.shape[1] + 10) * most
+        exact = error * SINGLE > 0.02 * square * (1 / (2 * w.max()) + 1 / (2 * v.max()))
+        kind, self.slack = (np.float64, error / most * DOUBLE) if exact else (np.float32, error / most * SINGLE)
+        scale = np.sqrt(most)
+        self.home = np.column_stack([x / scale, p / most, np.ones(len(x))]).astype(kind)
+        self.visiting = np.column_stack([y * (-2 / scale), np.ones(len(y)), q / most]).astype(kind)
+        self.room, self.near = np.empty((BLOCK, 2 * BLOCK), kind), np.empty((BLOCK, 2 * BLOCK), bool)
+
+    def pairs(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j): i from ``lo`` to ``hi`` at home, less ``lo``, and j visiting."""
+        mine, found = self.home[lo:hi], []
+        for at in range(0, len(self.visiting), 2 * BLOCK):
+            other = self.visiting[at:at + 2 * BLOCK]
+            shape = len(mine), len(other)
+            room, near = (r.ravel()[:len(mine) * len(other)].reshape(shape) for r in (self.room, self.near))
+            i, j = np.divmod(np.flatnonzero(np.less_equal(np.matmul(mine, other.T, out=room), self.slack, out=near)), len(other))
+            found.append((i, j + at))
+        i, j = (np.concatenate(c) for c in zip(*found))
+        return i, j
+
+
+def _weighted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return _vectors(table.column("x")), table.column("w").to_numpy()
+
+
+def _pair_costs(x: np.ndarray, w: np.ndarray, y: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Costs of the clusters ``i`` of (x, w) and ``j`` of (y, v)."""
     cost = np.empty(len(i))
-    for at in np.array_split(np.arange(len(i)), len(i) // 100_000 + 1):
+    for at in np.array_split(np.arange(len(i)), len(i) // 20_000 + 1):
         d = x[i[at]] - y[j[at]]
         cost[at] = np.sqrt(2 * w[i[at]] * v[j[at]] / (w[i[at]] + v[j[at]]) * np.einsum("ij,ij->i", d, d))
     return cost
 
 
-def _nearest_of(tiles: Iterator[Tile]) -> Iterator[pa.Table]:
-    for _, home, visiting in tiles:
-        home = home.slice(0, BLOCK)
-        about, _ = _about(home, visiting)
-        rep, other = home.column("rep").to_numpy(), visiting.column("rep").to_numpy()
-        about[rep[:, None] == other[None, :]] = np.inf
-        j = about.argmin(axis=1)
-        cost = np.where(np.isfinite(about.min(axis=1)), _pair_costs(home, visiting, np.arange(len(j)), j), np.inf)
-        yield pa.table({"rep": rep, "cost": cost})
-
-
-def _close_of(radius: float):
+def _sample_of(most: int):
+    def sample(tiles: Iterator[Tile]) -> Iterator[pa.Table]:
+        """Of the first ``BLOCK`` clusters at home: each one's least cost per tile (``nearest``) and the ``most`` least costs of all."""
+        for _, home, whole in tiles:
+            home = home.slice(0, BLOCK)
+            for visiting in (whole.slice(at, BLOCK * STRIPE) for at in range(0, len(whole), BLOCK * STRIPE)):
+                (x, w), (y, v) = (_weighted(t) for t in (home, visiting))
+                middle = y.mean(axis=0)
+                a, b = x - middle, y - middle
+                about = a @ (b.T * -2)
+                about += np.einsum("ij,ij->i", a, a)[:, None]
+                about += np.einsum("ij,ij->i", b, b)
+                about *= 2 * w[:, None] * v / (w[:, None] + v)
+                rep, other = home.column("rep").to_numpy(), visiting.column("rep").to_numpy()
+                about[rep[:, None] == other[None, :]] = np.inf
+                i, j = np.flatnonzero(np.isfinite(about.min(axis=1))), about.argmin(axis=1)
+                yield pa.table({"rep": rep[i], "cost": _pair_costs(x, w, y, v, i, j[i]), "nearest": np.ones(len(i), bool)})
+                least = np.argpartition(about, min(most, about.size) - 1, axis=None)[:most]
+                i, j = np.divmod(least[np.isfinite(about.ravel()[least])], len(v))
+                yield pa.table({"rep": rep[i], "cost": _pair_costs(x, w, y, v, i, j), "nearest": np.zeros(len(i), bool)})
+    return sample
+
+
+def _sampled(packs: DataFrame, degree: float) -> tuple[np.ndarray, float]:
+    """Costs of the nearest neighbours of at most ``BLOCK`` clusters of a pack, and the cost up to which they have ``degree`` neighbours on average."""
+    first = packs.agg(F.min("no")).first()[0]
+    found = over_tiles(packs.where(F.col("no") == first).coalesce(1), packs, _sample_of(max(1, int(BLOCK * degree))),
+                       "rep long, cost double, nearest boolean", "ward-sample", batch=1)
+    nearest = np.array([r.cost for r in found.where("nearest").groupBy("rep").agg(F.min("cost").alias("cost")).collect()])
+    least = found.where("not nearest").select("cost").orderBy("cost").limit(max(1, int(len(nearest) * degree)))
+    return nearest, max(least.agg(F.max("cost")).first()[0], float(nearest.min()))
+
+
+def _close_of(radius: float, complete: bool = False):
     def close(tiles: Iterator[Tile]) -> Iterator[pa.Table]:
-        """Edges (a, b, cost) of the pairs with cost <= radius, or of a spanning forest of them; a pair in one of its two tiles."""
+        """Edges (a, b, cost) of the pairs with cost <= radius, or of a spanning forest of them; in the tile of a pack and itself a pair once.
+
+        ``complete``: all of them, with the weights (wa, wb).
+        """
         for _, whole, visiting in tiles:
-            for home in (whole.slice(at, BLOCK) for at in range(0, len(whole), BLOCK)):
-                about, slack = _about(home, visiting)
-                rep, other = home.column("rep").to_numpy(), visiting.column("rep").to_numpy()
-                i, j = np.nonzero(about <= radius * radius + slack)
-                i, j = i[rep[i] < other[j]], j[rep[i] < other[j]]
+            near, (x, w), (y, v) = _Near(whole, visiting, radius), _weighted(whole), _weighted(visiting)
+            rep, other = whole.column("rep").to_numpy(), visiting.column("rep").to_numpy()
+            itself = np.array_equal(rep, other)
+            for at in range(0, len(whole), BLOCK):
+                i, j = near.pairs(at, at + BLOCK)
+                i += at
+                if itself:
+                    i, j = i[rep[i] < other[j]], j[rep[i] < other[j]]
                 if not len(i):
                     continue
-                if len(i) > 4 * (len(rep) + len(other)):
-                    a, b, cost = _tile_forest(home.take(pa.array(np.unique(i))), visiting.take(pa.array(np.unique(j))), radius)
+                if not complete and len(i) > 4 * (min(BLOCK, len(whole) - at) + len(other)):
+                    a, b, cost = _tile_forest(whole.take(pa.array(np.unique(i))), visiting.take(pa.array(np.unique(j))), radius)
                 else:
-                    a, b, cost = rep[i], other[j], _pair_costs(home, visiting, i, j)
-                near = cost <= radius
-                yield pa.table({"a": a[near], "b": b[near], "cost": cost[near]})
+                    a, b, cost = rep[i], other[j], _pair_costs(x, w, y, v, i, j)
+                at_most = cost <= radius
+                edges = {"a": a[at_most], "b": b[at_most], "cost": cost[at_most]}
+                yield pa.table(edges | ({"wa": w[i[at_most]], "wb": v[j[at_most]]} if complete else {}))
     return close
 
 
@@ -304,12 +370,6 @@ def _tile_forest(home: pa.Table, visiting: pa.Table, radius: float) -> tuple[np.
     return ids[i], ids[j], cost
 
 
-def _nearest_costs(packs: DataFrame) -> np.ndarray:
-    """Costs of the nearest neighbours of at most ``BLOCK`` clusters, those of a pack."""
-    nearest = over_tiles(packs.where("no = 0"), packs, _nearest_of, "rep long, cost double", "ward-nearest")
-    return np.array([r.cost for r in nearest.groupBy("rep").agg(F.min("cost").alias("cost")).collect()])
-
-
 def _mutual(edges: DataFrame) -> DataFrame:
     """(rep, comp, radius) of pairs that are each other's nearest neighbour."""
     pair = F.struct("cost", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
@@ -386,6 +446,146 @@ def _assigned(edges: DataFrame, radius: float, most: int) -> DataFrame:
     return _table(reduce(DataFrame.union, parts))
 
 
+class _Joins:
+    """Costs of clusters after the merges of a turn, by the Lance-Williams formula, from those of the pairs up to ``reach`` (all squared)."""
+
+    def __init__(self, w: np.ndarray, lo: np.ndarray, hi: np.ndarray, between: np.ndarray, reach: float):
+        n = len(w)
+        self.w, self.reach, self.root, self.mate, self.between = w, reach, np.arange(n), np.full(n, -1), np.zeros(n)
+        self.root[hi] = lo
+        self.mate[lo], self.mate[hi], self.between[lo] = hi, lo, between
+        self.after = w.copy()
+        self.after[lo] += w[hi]
+
+    def side(self, mine: np.ndarray, third: np.ndarray, weight: np.ndarray, value: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(cluster after the merge, third one, cost, exact) for the costs of its parts, ``mine``, and third ones of these weights.
+
+        The cost of a part that is not among the pairs is beyond the reach, which gives a bound from below.
+        """
+        key, first, at = np.unique(self.root[mine] * len(self.w) + third, return_index=True, return_inverse=True)
+        lo, other = np.divmod(key, len(self.w))
+        costs, known = np.full((len(key), 2), self.reach), np.zeros((len(key), 2), bool)
+        part = (mine != lo[at]).astype(int)
+        costs[at, part], known[at, part] = value, exact
+        a, b, c = self.w[lo], self.w[self.mate[lo]], weight[first]
+        known = known.all(axis=1)
+        cost = ((a + c) * costs[:, 0] + (b + c) * costs[:, 1] - c * self.between[lo]) / (a + b + c)
+        return lo, other, np.where(known, cost, cost * CERTAIN), known
+
+    def __call__(self, p: np.ndarray, q: np.ndarray, value: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The pairs (p, q, cost, exact) after the merges."""
+        now = self.mate >= 0
+        touched = now[p] | now[q]
+        kept = [c[~touched] for c in (p, q, value, exact)]
+        p, q, value, exact = (c[touched] for c in (p, q, value, exact))
+        apart = self.root[p] != self.root[q]
+        p, q, value, exact = (c[apart] for c in (p, q, value, exact))
+        swap = ~now[p] | (now[q] & (self.root[q] < self.root[p]))
+        mine, third = np.where(swap, q, p), np.where(swap, p, q)
+        mine, third, value, exact = self.side(mine, third, self.w[third], value, exact)
+        both = now[third]
+        kept = [np.r_[k, c[~both]] for k, c in zip(kept, (mine, third, value, exact))]
+        if both.any():
+            mine, third, value, exact = (c[both] for c in (mine, third, value, exact))
+            kept = [np.r_[k, c] for k, c in zip(kept, self.side(third, mine, self.after[mine], value, exact))]
+        near = kept[2] <= self.reach                       # beyond it, it is nobody's nearest in reach
+        return tuple(c[near] for c in kept)
+
+
+def joined_in_task(a: np.ndarray, b: np.ndarray, cost: np.ndarray, wa: np.ndarray, wb: np.ndarray, radius: float, most: int) -> tuple[np.ndarray, ...]:
+    """(rep, comp, turn, into) of the clusters to merge, given all pairs with cost <= radius.
+
+    ``rep`` is merged into ``into``, a lesser one, in that turn (-1: the least one of its ``comp``, of ``most`` at most).
+    In a turn mutual nearest neighbours merge.  The costs of what they make follow from theirs, or
+    are known from below where a pair was beyond the radius: a cluster whose nearest neighbour
+    is known so only waits.  By reducibility no other merge brings a cluster nearer than its nearest neighbour.
+    """
+    ids, ends = np.unique(np.r_[a, b], return_inverse=True)
+    p, q = ends.reshape(2, -1)
+    w = np.empty(len(ids))
+    w[ends] = np.r_[wa, wb]
+    value, exact, reach = cost * cost, np.ones(len(cost), bool), (radius * CERTAIN) ** 2
+    size, turn, into = np.ones(len(ids), np.int64), np.full(len(ids), -1), np.arange(len(ids))
+    for no in range(TURNS):
+        best = np.full(len(ids), np.inf)
+        np.minimum.at(best, p, value)
+        np.minimum.at(best, q, value)
+        found = np.flatnonzero(exact & (value == best[p]) & (value == best[q]) & (value <= reach) & (size[p] + size[q] <= most))
+        lo, hi = np.minimum(p[found], q[found]), np.maximum(p[found], q[found])
+        order = np.lexsort((hi, lo, value[found]))
+        lo, hi, found = lo[order], hi[order], found[order]
+        _, first, of = np.unique(np.c_[lo, hi].ravel(), return_index=True, return_inverse=True)
+        once = (first[of.reshape(-1, 2)] // 2 == np.arange(len(found))[:, None]).all(axis=1)    # of equal costs the first one of a cluster
+        if not once.any():
+            break
+        lo, hi, found = lo[once], hi[once], found[once]
+        turn[hi], into[hi] = no, lo
+        size[lo] += size[hi]
+        joins = _Joins(w, lo, hi, value[found], reach)
+        p, q, value, exact = joins(p, q, value, exact)
+        w = joins.after
+    comp = into.copy()
+    for no in range(turn.max(initial=-1), -1, -1):
+        at = np.flatnonzero(turn == no)
+        comp[at] = comp[into[at]]
+    found = np.flatnonzero((turn >= 0) | (size > 1))
+    return ids[found], ids[comp[found]], turn[found], ids[into[found]]
+
+
+def _least_edges(edges: DataFrame, radius: float) -> tuple[DataFrame | None, float]:
+    """About ``JOINED_EDGES`` of least cost, where there are more, and their radius; None where so many have one cost that they are too many."""
+    count = edges.count()
+    if count <= 1.2 * JOINED_EDGES:
+        return edges, radius
+    radius = min(radius, edges.agg(F.percentile_approx("cost", JOINED_EDGES / count)).first()[0] * (1 + 1e-6))
+    near = edges.where(F.col("cost") <= radius)
+    return near if near.count() <= 2 * JOINED_EDGES else None, radius
+
+
+def _joined(edges: DataFrame, radius: float, most: int) -> DataFrame:
+    """Merges (rep, comp, turn, into) as :func:`joined_in_task` gives them."""
+    def run(table: pa.Table) -> pa.Table:
+        found = joined_in_task(*(table.column(c).to_numpy() for c in ("a", "b", "cost", "wa", "wb")), radius, most)
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("rep", "comp", "turn", "into"), found)})
+
+    return _table(edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "rep long, comp long, turn long, into long"))
+
+
+def _merge_joined(table: pa.Table) -> pa.Table:
+    """Merges, turn by turn, and remaining clusters of whole components."""
+    table = table.sort_by("rep")
+    x, w = _vectors(table.column("x")), table.column("w").to_numpy().copy()
+    rep, n, h = (table.column(c).to_numpy().copy() for c in ("rep", "n", "h"))
+    turn, into = (table.column(c).fill_null(-1).to_numpy() for c in ("turn", "into"))
+    rows = []
+    for no in np.unique(turn[turn >= 0]):
+        hi = np.flatnonzero(turn == no)
+        lo = np.searchsorted(rep, into[hi])
+        cost, parts = _pair_costs(x, w, x, w, lo, hi), (rep[lo], n[lo], rep[hi], n[hi])
+        x[lo] = (w[lo, None] * x[lo] + w[hi, None] * x[hi]) / (w[lo] + w[hi])[:, None]
+        w[lo] += w[hi]
+        n[lo] += n[hi]
+        h[lo] = np.maximum(cost, np.maximum(h[lo], h[hi]))
+        rows.append((rep[lo], n[lo], w[lo], h[lo], *parts))
+    left = np.flatnonzero(turn < 0)
+    made = tuple(np.concatenate(c) for c in zip(*rows)) if rows else (np.empty(0, np.int64),) * 8
+    nothing = pa.nulls(len(left), pa.int64())
+    offsets = pa.array(np.arange(len(left) + 1, dtype=np.int32) * x.shape[1])
+    lists = pa.ListArray.from_arrays(offsets, pa.array(x[left].ravel()))
+    names = [c.split()[0] for c in _TASK_ROWS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), lists.type, *[pa.int64()] * 4]
+    merged = pa.table([*(pa.array(c, k) for c, k in zip(made[:4], kinds)), pa.nulls(len(made[0]), lists.type), *(pa.array(c, pa.int64()) for c in made[4:])],
+                      schema=pa.schema(list(zip(names, kinds))))
+    return pa.concat_tables([merged, pa.table([*(pa.array(c[left]) for c in (rep, n, w, h)), lists, *[nothing] * 4], schema=merged.schema)])
+
+
+def _run_joined(state: DataFrame, joined: DataFrame, clusters: int) -> DataFrame:
+    """Merges and remaining clusters, as a table."""
+    groups = F.lit(max(1, clusters // (BLOCK * STRIPE)))
+    whole = state.join(joined, "rep", "left").withColumn("group", F.pmod(F.xxhash64(F.coalesce("comp", "rep")), groups))
+    return _table(whole.groupBy("group").applyInArrow(_merge_joined, _TASK_ROWS))
+
+
 # ---------------------------------------------------------------------- the tree
 
 def _agglomerate(leaves: DataFrame, m: int, budget: int, most: int, block: int) -> DataFrame | None:
@@ -394,25 +594,42 @@ def _agglomerate(leaves: DataFrame, m: int, budget: int, most: int, block: int)
         return None
     ship_package(leaves.sparkSession)
     state = leaves.select(F.col("leaf").alias("rep"), F.lit(1).cast("long").alias("n"), F.col("w").cast("double").alias("w"), F.lit(0.0).alias("h"), "x")
-    dims, widest, left, floor, share, done = [], 0.0, m, 0.0, SHARE, []
+    dims, widest, width, left, floor, share, done = [], 0.0, 1, m, 0.0, SHARE, []
+    checked: int | None = None          # clusters when cells selected nothing
     if left > most:
         spread = state.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(
             F.var_pop("v").alias("var"), (F.max("v") - F.min("v")).alias("range")).orderBy(F.desc("var"), "i").limit(CELL_COLUMNS).collect()
-        dims, widest = [r.i for r in spread], max(r.range for r in spread)
+        dims, widest, width = [r.i for r in spread], max(r.range for r in spread), state.select(F.size("x")).first()[0]
     while left > 1:
         if left <= most:
             todo = state.withColumns({"comp": F.lit(0), "radius": F.lit(float("inf"))})
             waiting = None
         else:
-            radius = _radius(state, dims, widest, left, budget)
+            tiled = checked is not None and left > checked / 2
+            radius = None if tiled else _radius(state, dims, widest, left, budget)
             if radius is not None:
                 radius = max(radius, floor) if max(radius, floor) <= 2 * widest else None
-            packs = packed(state.select("rep", "w", "x"), "rep", block * STRIPE, "ward-packs")
-            nearest = _nearest_costs(packs)
-            tiled = radius is None or float(np.median(nearest)) > radius
-            if tiled:
-                reach = float(np.quantile(nearest, share)) * (1 + 1e-6)
-                edges = over_tiles(packs, packs, _close_of(reach), "a long, b long, cost double", "ward-close")
+            packs = packed(state.select("rep", "w", "x"), "rep", max(block, min(left // PACKS, PACK_DOUBLES // width)), "ward-packs")
+            in_task = left <= JOINED_EDGES
+            nearest, reach = _sampled(packs, min(left - 1, DEGREE, 4 * JOINED_EDGES / left if in_task else FEW))
+            if not tiled:
+                tiled = radius is None or float(np.median(nearest)) > radius
+                checked = left if tiled else None
+            if tiled and in_task:
+                reach *= 1 + 1e-6
+                edges = over_tiles(packs, packs, _close_of(reach, complete=True), "a long, b long, cost double, wa double, wb double", "ward-close", once=True, batch=1)
+                few, least = _least_edges(edges, reach)
+                if few is not None:
+                    ran = _run_joined(state, _joined(few, least, most), left)
+                    merged = ran.where("lrep is not null").drop("x")
+                    done.append(merged)
+                    left -= merged.count()
+                    state = ran.where("lrep is null").select("rep", "n", "w", "h", "x")
+                    continue
+                reach = min(reach, float(np.quantile(nearest, share)) * (1 + 1e-6))     # too many of one cost
+            elif tiled:
+                reach = min(reach, float(np.quantile(nearest, share))) * (1 + 1e-6)
+                edges = over_tiles(packs, packs, _close_of(reach), "a long, b long, cost double", "ward-close", once=True, batch=1)
             else:
                 reach = radius
                 edges = _table(_forests(state, dims, radius, block))
