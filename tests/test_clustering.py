@@ -404,7 +404,7 @@ def test_pairs_beyond_those_of_a_task_are_cut_by_cost(spark, monkeypatch):
     """What is left are all pairs up to the radius given with them; equal costs are not torn apart."""
     import wattlane.operators.ward as W
     monkeypatch.setattr(W, "JOINED_EDGES", 100)
-    edges = spark.range(1000).selectExpr("id as a", "id + 1 as b", "1.0 + floor(id / 10) as cost").repartition(3)
+    edges = spark.range(1000).selectExpr("id as a", "id + 1 as b", "1e0 + floor(id / 10) as cost").repartition(3)
     few, radius = W._least_edges(edges, 500.0)
     assert few.count() == edges.where(F.col("cost") <= radius).count() and 80 <= few.count() <= 130 and radius < 500.0
     assert few.agg(F.max("cost")).first()[0] < radius
